@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import public_tokenizers
+
+from voxlake.llm.bpe import bpe_encode
 from voxlake.llm.common import table
+from voxlake.llm.packing import pack_documents
 from voxlake.llm.substring_dedup import substring_dedup
 
 
@@ -15,7 +19,19 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_bpe_chunk_reuse(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe_encode(docs, vocabulary or public_tokenizers.path("word_bpe_49k.json"), digests=True)
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pack_documents(docs, vocabulary or public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
+    "op5_bpe_chunk_reuse": op5_bpe_chunk_reuse,
+    "op9_best_fit_packing": op9_best_fit_packing,
     "op2_substring_dedup": op2_substring_dedup,
 }
 
