@@ -9,6 +9,7 @@ import public_tokenizers
 
 from voxlake.llm.bpe import bpe_encode
 from voxlake.llm.common import table
+from voxlake.llm.near_dedup import near_duplicates
 from voxlake.llm.packing import pack_documents
 from voxlake.llm.substring_dedup import substring_dedup
 
@@ -29,7 +30,12 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str, vocabulary: str | Non
     return pack_documents(docs, vocabulary or public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_prob_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op10_prob_min_hash": op10_prob_min_hash,
     "op5_bpe_chunk_reuse": op5_bpe_chunk_reuse,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op2_substring_dedup": op2_substring_dedup,
