@@ -11,6 +11,8 @@ from voxlake.llm.bpe import bpe_encode
 from voxlake.llm.common import table
 from voxlake.llm.near_dedup import near_duplicates
 from voxlake.llm.packing import pack_documents
+from voxlake.llm.quality_rules import QUERY_SQL as RULES_SQL
+from voxlake.llm.quality_rules import quality_cascade
 from voxlake.llm.substring_dedup import substring_dedup
 
 
@@ -34,11 +36,19 @@ def op10_prob_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_cascade(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.drop("text")
+
+
 QUERIES = {
+    "op6_quality_rules": op6_quality_rules,
     "op10_prob_min_hash": op10_prob_min_hash,
     "op5_bpe_chunk_reuse": op5_bpe_chunk_reuse,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op2_substring_dedup": op2_substring_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_quality_rules": RULES_SQL.format(source="documents"),
+}
