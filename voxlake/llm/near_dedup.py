@@ -281,12 +281,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     buckets = buckets.groupBy("n", "members").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
     met = banded.join(buckets, "bucket").join(firsts.select("doc_id", "sig"), "doc_id").dropDuplicates(["bucket", "doc_id"])
     tasks = _blocks(met, "bucket", F.col("n")).repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "doc_id")
-    links = tasks.select("bucket", "i", "j", "doc_id", "sig").mapInArrow(_candidate_links, "a long, b long")
+    links = materialise(tasks.select("bucket", "i", "j", "doc_id", "sig").mapInArrow(_candidate_links, "a long, b long"), "near-candidates")
     groups = materialise(connected_components(links), "near-groups")
     sized = groups.join(groups.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root")
-    texts = known.join(sized.withColumnRenamed("id", "doc_id"), "doc_id")
+    # The table of groups grows with the data: never broadcast, at any size the same plan.
+    texts = known.join(sized.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id")
     work = _blocks(texts, "root", F.col("n")).repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j", "doc_id")
-    verified = work.select("root", "i", "j", "doc_id", "text").mapInArrow(_verified_links(threshold), "a long, b long")
+    verified = materialise(work.select("root", "i", "j", "doc_id", "text").mapInArrow(_verified_links(threshold), "a long, b long"), "near-links")
     classes = connected_components(verified)
     named = reps.join(classes, reps["rep"] == classes["id"], "left").select("k1", "k2", F.coalesce("root", "rep").alias("class_id"))
     worded = sigs.select("doc_id", "k1", "k2").join(named, ["k1", "k2"]).select("doc_id", "class_id")
