@@ -11,6 +11,7 @@ from voxlake.llm.bpe import bpe_encode
 from voxlake.llm.common import table
 from voxlake.llm.near_dedup import near_duplicates
 from voxlake.llm.packing import pack_documents
+from voxlake.llm.quality_classifier import fit_quality, grade, score_quality
 from voxlake.llm.quality_rules import QUERY_SQL as RULES_SQL
 from voxlake.llm.quality_rules import quality_cascade
 from voxlake.llm.substring_dedup import substring_dedup
@@ -41,7 +42,21 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("text")
 
 
+def judge_quality(docs: DataFrame, fit_on: DataFrame, labels: DataFrame) -> DataFrame:
+    """Score ``docs`` by a model fitted on the labelled rows of ``fit_on``; add ``kept``: the
+    probability of the best grade reaches the model's cut, and low quality isn't likelier than not."""
+    graded = labels.select("doc_id", grade(F.col("quality"), F.col("toxic")).alias("grade"))
+    model = fit_quality(fit_on, graded)
+    return score_quality(docs, model).withColumn("kept", (F.col("tail_2") >= model.cut) & (F.col("tail_1") >= 0.5))
+
+
+def op3_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return judge_quality(docs, docs, table(spark, sf_dir, "labels")).drop("text")
+
+
 QUERIES = {
+    "op3_ordinal_quality": op3_ordinal_quality,
     "op6_quality_rules": op6_quality_rules,
     "op10_prob_min_hash": op10_prob_min_hash,
     "op5_bpe_chunk_reuse": op5_bpe_chunk_reuse,
