@@ -15,6 +15,7 @@ from voxlake.llm.quality_classifier import fit_quality, grade, score_quality
 from voxlake.llm.quality_rules import QUERY_SQL as RULES_SQL
 from voxlake.llm.quality_rules import quality_cascade
 from voxlake.llm.substring_dedup import substring_dedup
+from voxlake.llm.url_filter import filter_urls, fit_url_model, word_counts
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +56,13 @@ def op3_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(docs, docs, table(spark, sf_dir, "labels")).drop("text")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return filter_urls(pages, fit_url_model(word_counts(pages)))
+
+
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op3_ordinal_quality": op3_ordinal_quality,
     "op6_quality_rules": op6_quality_rules,
     "op10_prob_min_hash": op10_prob_min_hash,
