@@ -55,7 +55,7 @@ def join_agrees(tok, left: list[bytes], right: list[bytes], between: bytes, alon
     return ids if ok else None
 
 
-def encode_slice(path: str, separator: str, x: Texts) -> tuple[np.ndarray, np.ndarray]:
+def encode_slice(path: str, x: Texts) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts in a row, offsets of texts in them)."""
     tok, (word_memo, chunk_memo, join_memo) = tokenizer(path), _memos(path)
     hashes = x.hashes()
@@ -65,7 +65,7 @@ def encode_slice(path: str, separator: str, x: Texts) -> tuple[np.ndarray, np.nd
     alone = lambda w: ids_of(tok, w.decode("utf-8", "replace"))
 
     def words(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return encode_apart(tok, [x.word(k) for k in at.tolist()], separator)
+        return encode_apart(tok, [x.word(k) for k in at.tolist()])
 
     def chunks(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = gather(np.arange(len(hashes)), first[at], size[at])
@@ -75,7 +75,7 @@ def encode_slice(path: str, separator: str, x: Texts) -> tuple[np.ndarray, np.nd
     def joins(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each join (its right chunk's first word): 1 if the ids on both sides stand."""
         pairs = [x.data[x.start[k - 1] : x.end[k]].tobytes() for k in at.tolist()]
-        count, ids = encode_apart(tok, pairs, separator)
+        count, ids = encode_apart(tok, pairs)
         side = np.stack((at - 1, at), 1).ravel()
         n, flat = word_memo.runs(hashes[side], lambda new: words(side[new]))
         n = n.reshape(-1, 2).sum(1)
@@ -163,11 +163,11 @@ class _Decoder:
 _DECODERS: dict[str, _Decoder] = {}
 
 
-def bpe_encode(docs: DataFrame, vocabulary: str, separator: str = "<|startoftext|>", digests: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def bpe_encode(docs: DataFrame, vocabulary: str, digests: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and decode whole texts with the tokenizer file ``vocabulary``.
 
-    ``separator`` is one of its special tokens.  The tokenizer has to part texts at ASCII
-    white space; joins are checked against it, see the module.
+    The tokenizer has to part texts at ASCII white space; joins are checked against it, see
+    the module.
 
     Returns the columns of ``docs`` but the text, with ``n_tokens`` (long) and either
     ``ids`` (array of long) and ``decoded`` (string), or with ``digests`` the lower-case hex
@@ -190,7 +190,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str, separator: str = "<|startoftext
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = _DECODERS.setdefault(vocabulary, _Decoder(vocabulary)) if vocabulary not in _DECODERS else _DECODERS[vocabulary]
         for x in text_slices(batches, id_col, text_col):
-            ids, offsets = encode_slice(vocabulary, separator, x)
+            ids, offsets = encode_slice(vocabulary, x)
             n = pa.array(np.diff(offsets), pa.int64())
             if digests:
                 raw = memoryview(ids.astype("<u4").tobytes())

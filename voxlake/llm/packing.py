@@ -48,14 +48,14 @@ def _odd_space(x: Texts) -> np.ndarray:
     return odd
 
 
-def encode_bytes_slice(path: str, separator: str, x: Texts) -> tuple[np.ndarray, np.ndarray]:
+def encode_bytes_slice(path: str, x: Texts) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts in a row, offsets of texts in them) of a byte-level tokenizer.
 
     Its pattern never joins a word with the white space after it, so a text is cut after
     each word; a piece is white space and a word.  Texts for which that doesn't hold are
     encoded as they are."""
     tok = tokenizer(path)
-    memo = _MEMOS.setdefault(path, Memo(500_000))
+    memo = _MEMOS.setdefault(path, Memo(1_200_000))
     end = x.end.copy()
     last = x.word_offsets[1:][x.n_words > 0] - 1
     start = np.zeros(len(end), np.int64)
@@ -75,7 +75,7 @@ def encode_bytes_slice(path: str, separator: str, x: Texts) -> tuple[np.ndarray,
     start, end, owner = start[keep], end[keep], owner[keep]
     if len(start):
         h = hash_words(x.data, start, end)
-        make = lambda new: encode_apart(tok, [x.data[start[k] : end[k]].tobytes() for k in new.tolist()], separator)
+        make = lambda new: encode_apart(tok, [x.data[start[k] : end[k]].tobytes() for k in new.tolist()])
         count, ids = memo.runs(h, make)
     else:
         count, ids = np.empty(0, np.int64), np.empty(0, np.uint32)
@@ -89,13 +89,13 @@ def encode_bytes_slice(path: str, separator: str, x: Texts) -> tuple[np.ndarray,
     return ids, offsets
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, separator: str = "<|endoftext|>", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenise, append ``end_id``, and cut what is longer than ``capacity`` into pieces of
     that length, of which the first may be shorter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in text_slices(batches, id_col, text_col):
-            ids, offsets = encode_bytes_slice(vocabulary, separator, x)
+            ids, offsets = encode_bytes_slice(vocabulary, x)
             null = x.columns.column(id_col).is_null().to_numpy(zero_copy_only=False)
             raw = memoryview(ids.astype("<u4").tobytes())
             last = int(end_id).to_bytes(4, "little")

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
@@ -28,7 +29,8 @@ def offsets_of(count: np.ndarray) -> np.ndarray:
 
 
 class Memo:
-    """Sorted hash -> run of ids.  Cleared when it would pass ``most`` entries or ids."""
+    """Sorted hash -> run of ids.  When it would pass ``most`` entries or ``most_ids`` ids,
+    only the entries that were found again since the last time stay."""
 
     def __init__(self, most: int, most_ids: int = 8_000_000) -> None:
         self.most, self.most_ids = most, most_ids
@@ -37,6 +39,17 @@ class Memo:
     def clear(self) -> None:
         self.hash, self.start, self.count = np.empty(0, U), np.empty(0, np.int64), np.empty(0, np.int32)
         self.flat = np.empty(0, np.uint32)
+        self.again = np.empty(0, bool)
+
+    def shrink(self) -> None:
+        keep = self.again
+        if keep.sum() > self.most // 2:
+            self.clear()
+            return
+        flat = gather(self.flat, self.start[keep], self.count[keep])
+        self.hash, self.count, self.flat = self.hash[keep], self.count[keep], flat
+        self.start = offsets_of(self.count)[:-1]
+        self.again = np.zeros(len(self.hash), bool)
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place, found) of each hash."""
@@ -48,17 +61,19 @@ class Memo:
         at = np.searchsorted(self.hash, h)
         self.start = np.insert(self.start, at, len(self.flat) + offsets_of(count)[:-1])
         self.hash, self.count = np.insert(self.hash, at, h), np.insert(self.count, at, count)
+        self.again = np.insert(self.again, at, False)
         self.flat = np.concatenate((self.flat, flat.astype(np.uint32)))
 
     def runs(self, h: np.ndarray, make: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         """(count, ids) of each hash in order.  ``make`` gets the places in ``h`` of one
         instance of each hash that is not held, and gives counts and ids for those."""
         distinct, first, back = np.unique(h, return_index=True, return_inverse=True)
-        _, found = self.find(distinct)
+        at, found = self.find(distinct)
+        self.again[at[found]] = True
         if not found.all():
             if len(self.hash) + len(distinct) > self.most or len(self.flat) > self.most_ids:
-                self.clear()
-                found[:] = False
+                self.shrink()
+                _, found = self.find(distinct)
             new = ~found
             self.add(distinct[new], *make(first[new]))
         at, _ = self.find(distinct)
@@ -86,27 +101,12 @@ def ids_of(tok, text: str) -> np.ndarray:
     return np.asarray(tok.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
-def encode_apart(tok, pieces: list[bytes], separator: str) -> tuple[np.ndarray, np.ndarray]:
-    """(counts, ids) of the pieces, each encoded as a text of its own.
-
-    They are joined by a special token, at which the tokenizer always parts a text; a piece
-    that holds that token itself is encoded alone."""
-    mark = separator.encode()
-    sep_id = tok.token_to_id(separator)
-    odd = [k for k, p in enumerate(pieces) if mark in p]
-    plain = [p if mark not in p else b"" for p in pieces]
+def encode_apart(tok, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(counts, ids) of the pieces, each encoded as a text of its own."""
     counts, found = np.zeros(len(pieces), np.int64), []
-    for a in range(0, len(plain), 20_000):
-        part = plain[a : a + 20_000]
-        ids = ids_of(tok, mark.join(part).decode("utf-8", "replace"))
-        cut = ids == sep_id
-        ends = np.append(np.flatnonzero(cut), len(ids))
-        counts[a : a + len(part)] = np.diff(np.append(-1, ends)) - 1
-        found.append(ids[~cut])
-    flat = np.concatenate(found) if found else np.empty(0, np.uint32)
-    if odd:
-        runs = np.split(flat, np.cumsum(counts)[:-1])
-        for k in odd:
-            runs[k] = ids_of(tok, pieces[k].decode("utf-8", "replace"))
-        counts, flat = np.array([len(r) for r in runs], np.int64), np.concatenate(runs)
-    return counts, flat
+    for a in range(0, len(pieces), 10_000):
+        made = tok.encode_batch_fast([p.decode("utf-8", "replace") for p in pieces[a : a + 10_000]], add_special_tokens=False)
+        ids = [e.ids for e in made]
+        counts[a : a + len(ids)] = [len(x) for x in ids]
+        found.append(np.fromiter(chain.from_iterable(ids), np.uint32))
+    return counts, np.concatenate(found) if found else np.empty(0, np.uint32)
