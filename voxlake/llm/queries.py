@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
+from voxlake.llm.ann import nearest_neighbours
 from voxlake.llm.bpe import bpe_encode
 from voxlake.llm.common import table
 from voxlake.llm.near_dedup import near_duplicates
@@ -61,7 +62,12 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, fit_url_model(word_counts(pages)))
 
 
+def op4_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES = {
+    "op4_adaptive_scan": op4_adaptive_scan,
     "op1_url_filter": op1_url_filter,
     "op3_ordinal_quality": op3_ordinal_quality,
     "op6_quality_rules": op6_quality_rules,
