@@ -10,6 +10,7 @@ import public_tokenizers
 from voxlake.llm.ann import nearest_neighbours
 from voxlake.llm.bpe import bpe_encode
 from voxlake.llm.common import table
+from voxlake.llm.html_extract import extract_text
 from voxlake.llm.near_dedup import near_duplicates
 from voxlake.llm.packing import pack_documents
 from voxlake.llm.quality_classifier import fit_quality, grade, score_quality
@@ -66,7 +67,13 @@ def op4_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op8_text_to_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract_text(pages).select("page_id", "url", "text", "n_chars")
+
+
 QUERIES = {
+    "op8_text_to_tag": op8_text_to_tag,
     "op4_adaptive_scan": op4_adaptive_scan,
     "op1_url_filter": op1_url_filter,
     "op3_ordinal_quality": op3_ordinal_quality,
