@@ -18,6 +18,7 @@ from voxlake.llm.quality_rules import QUERY_SQL as RULES_SQL
 from voxlake.llm.quality_rules import quality_cascade
 from voxlake.llm.substring_dedup import substring_dedup
 from voxlake.llm.url_filter import filter_urls, fit_url_model, word_counts
+from voxlake.llm.warc import archive_pages
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +73,13 @@ def op8_text_to_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(pages).select("page_id", "url", "text", "n_chars")
 
 
+def op7_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = archive_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "ts", F.col("range").alias("index_range"), F.col("place").alias("index_place"))
+
+
 QUERIES = {
+    "op7_warc_index_merge": op7_warc_index_merge,
     "op8_text_to_tag": op8_text_to_tag,
     "op4_adaptive_scan": op4_adaptive_scan,
     "op1_url_filter": op1_url_filter,
