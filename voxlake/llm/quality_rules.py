@@ -11,20 +11,19 @@ Words are runs of ``[^\\x20\\x09-\\x0D]``.
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxlake.llm.common import materialise
-
 # White space between words, symbols that are counted.
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = "#*$%&|<>"
 SPLIT = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]"
 NGRAM = 5
-SAMPLE_ROWS = 1000
+SAMPLE_ROWS = 200
 
 
 def _let(value: Column, body) -> Column:
@@ -65,70 +64,80 @@ def repeated_words(words: Column, size: int = NGRAM) -> Column:
     return F.when(n < size, F.lit(0).cast("long")).otherwise(_let(runs, count))
 
 
-def base_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``, ``n_repeat_words``.
+def base_statistics(text: Column) -> Column:
+    """Struct of ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines`` and
+    ``n_repeat_words``.  A null text has no words, lines or symbols: all are 0.
 
-    A null text has no words, lines or symbols: all are 0."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    split = docs.withColumn("_words", words_of(text))
+    One expression that binds what it uses more than once: a filter on a result can be pushed
+    below it without splitting the text anew for each use."""
+    text = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
-    out = split.withColumn("n_words", F.size("_words").cast("long"))
-    out = out.withColumn("word_chars", F.length(F.translate(text, SPACE, "")).cast("long"))
-    out = out.withColumn("n_symbols", removed_length(text, SYMBOLS))
-    out = out.withColumn("n_dup_lines", _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"))
-    out = out.withColumn("n_repeat_words", repeated_words(F.col("_words")))
-    return out.drop("_words")
+    return _let(
+        words_of(text),
+        lambda words: F.struct(
+            F.size(words).cast("long").alias("n_words"),
+            F.length(F.translate(text, SPACE, "")).cast("long").alias("word_chars"),
+            removed_length(text, SYMBOLS).alias("n_symbols"),
+            _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+            repeated_words(words).alias("n_repeat_words"),
+        ),
+    )
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+def base_failed(stats: Column) -> Column:
+    return (stats["n_words"] < 10) | (100 * stats["n_repeat_words"] > 20 * stats["n_words"])
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects`` may use the columns of ``base_statistics`` and the text; never null."""
+    """``rejects`` makes a Boolean column, never null, from the base statistics and the text
+    (never null)."""
 
     name: str
-    rejects: Column
+    rejects: Callable[[Column, Column], Column]
 
 
-def rules(text_col: str = "text") -> list[Rule]:
+def rules() -> list[Rule]:
     """The production rules.  Each looks for text that isn't prose, with wide margins."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    n = F.col("n_words")
-    letters_big = removed_length(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
-    letters_small = removed_length(text, "abcdefghijklmnopqrstuvwxyz")
+    big, small = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return [
-        Rule("symbols", 10 * F.col("n_symbols") > n),
-        Rule("word_length", (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 15 * n)),
-        Rule("duplicate_lines", 3 * F.col("n_dup_lines") > F.size(F.split(text, "\n"))),
-        Rule("capitals", letters_big > letters_small),
-        Rule("exclamations", 5 * removed_length(text, "!") > n),
-        Rule("braces", 10 * removed_length(text, "{}[]\\^~") > n),
-        Rule("digits", 2 * removed_length(text, "0123456789") > F.col("word_chars")),
+        Rule("symbols", lambda s, t: 10 * s["n_symbols"] > s["n_words"]),
+        Rule("word_length", lambda s, t: (s["word_chars"] < 2 * s["n_words"]) | (s["word_chars"] > 15 * s["n_words"])),
+        Rule("duplicate_lines", lambda s, t: 3 * s["n_dup_lines"] > F.size(F.split(t, "\n"))),
+        Rule("capitals", lambda s, t: removed_length(t, big) > removed_length(t, small)),
+        Rule("exclamations", lambda s, t: 5 * removed_length(t, "!") > s["n_words"]),
+        Rule("braces", lambda s, t: 10 * removed_length(t, "{}[]\\^~") > s["n_words"]),
+        Rule("digits", lambda s, t: 2 * removed_length(t, "0123456789") > s["word_chars"]),
     ]
 
 
-def order_rules(stats: DataFrame, found: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """Order by rejections per cost, both measured on at most ``sample_rows`` rows.
+def order_rules(docs: DataFrame, found: list[Rule], text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+    """Order by rejections per cost, both measured on ``sample_rows`` rows of ``docs``.
+
+    The rows are those that Spark reads first (``take`` reads partitions until it has them);
+    only flags reach the driver.  The sample only steers the order of evaluation."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+
+    def flags(*tests: Rule) -> Column:
+        return _let(base_statistics(F.col(text_col)), lambda s: F.array(s["n_words"] >= 0, *(t.rejects(s, text) for t in tests))).alias("f")
 
-    The sample only steers the order of evaluation."""
-    sample = materialise(stats.limit(sample_rows), "rule-sample")
-    rates = sample.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(r.rejects).alias(f"r{k}") for k, r in enumerate(found))).first()
-    scored = []
-    for k, r in enumerate(found):
+    def seconds(*tests: Rule) -> float:
         began = time.perf_counter()
-        sample.agg(F.count_if(r.rejects)).first()
-        cost = time.perf_counter() - began
-        scored.append((-(rates[f"r{k}"] + 0.5) / (rates["n"] + 1) / cost, k))
-    return [found[k] for _, k in sorted(scored)]
+        docs.select(flags(*tests)).take(sample_rows)
+        return time.perf_counter() - began
+
+    seen = [r["f"][1:] for r in docs.select(flags(*found)).take(sample_rows)]
+    base = seconds()
+    rate = [(sum(f[k] for f in seen) + 0.5) / (len(seen) + 1) for k in range(len(found))]
+    cost = [max(seconds(r) - base, 1e-4) for r in found]
+    return [found[k] for k in sorted(range(len(found)), key=lambda k: (-rate[k] / cost[k], k))]
 
 
-def first_rejection(ordered: list[Rule]) -> Column:
-    """Name of the first rule that rejects, null if none does."""
+def first_rejection(ordered: list[Rule], stats: Column, text: Column) -> Column:
+    """Name of the first rule that rejects, null if none does; later rules aren't evaluated."""
     out = F.lit(None).cast("string")
     for r in reversed(ordered):
-        out = F.when(r.rejects, F.lit(r.name)).otherwise(out)
+        out = F.when(r.rejects(stats, text), F.lit(r.name)).otherwise(out)
     return out
 
 
@@ -138,12 +147,19 @@ def quality_cascade(docs: DataFrame, found: list[Rule] | None = None, text_col:
     The base rules come first; the other rules run as a cascade on what they let pass.  Null,
     empty and short texts (under ten words) fail the base.  Repeated rows and null ids get
     their own verdict.  Columns of ``docs`` named like an added one are replaced."""
-    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "_words"]
-    plain = docs.drop(*added)
-    ordered = order_rules(base_statistics(plain.limit(sample_rows), text_col), rules(text_col) if found is None else found, sample_rows)
-    stats = base_statistics(plain, text_col).withColumn("base_failed", base_failed())
-    verdict = F.when(F.col("base_failed"), F.lit(False)).otherwise(first_rejection(ordered).isNull())
-    return stats.withColumn("kept", verdict)
+    stats_names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    plain = docs.drop(*stats_names, "base_failed", "kept", "_judged", "_stats")
+    found = rules() if found is None else found
+    ordered = order_rules(plain, found, text_col, sample_rows)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+
+    def judge(s: Column) -> Column:
+        failed = base_failed(s)
+        verdict = F.when(failed, F.lit(False)).otherwise(first_rejection(ordered, s, text).isNull())
+        return F.struct(*(s[n].alias(n) for n in stats_names), failed.alias("base_failed"), verdict.alias("kept"))
+
+    judged = plain.withColumn("_judged", _let(base_statistics(F.col(text_col)), judge))
+    return judged.select(*plain.columns, *(F.col(f"_judged.{n}").alias(n) for n in [*stats_names, "base_failed", "kept"]))
 
 
 #: DuckDB SQL for the query over ``documents``; the same rules on the same statistics.
