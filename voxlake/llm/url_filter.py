@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from voxlake.llm.common import materialise
+
 # Rules as (verdict, host, path).
 RULES = [
     ("block", "net", "/"),
@@ -75,8 +77,9 @@ _TAG, _PLAIN = re.compile(r"<[^>]*>"), re.compile(r"[a-z]{2,24}")
 
 
 def word_counts(pages: DataFrame, most_words: int = MOST_WORDS) -> dict[str, int]:
-    """Counts of the words ``[a-z]{2,24}`` of all pages; the ``most_words`` commonest of
-    them are the dictionary of the segmentation (ties in alphabetic order)."""
+    """Counts of the words ``[a-z]{2,24}`` of all pages.  The commonest of them, at most
+    ``most_words``, are the dictionary of the segmentation; words of about equal counts are
+    taken or left together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter[str] = Counter()
@@ -94,8 +97,19 @@ def word_counts(pages: DataFrame, most_words: int = MOST_WORDS) -> dict[str, int
         if found:
             yield rows()
 
-    counted = pages.select("html").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return {r["word"]: r["n"] for r in counted.orderBy(F.desc("n"), "word").limit(most_words).collect()}
+    counted = materialise(pages.select("html").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+    # Counts by eighths of octaves, a few hundred rows, tell from where on the words are few
+    # enough; so no more than ``most_words`` rows reach the driver, however many tasks there are.
+    level = F.floor(F.log2("n") * 8).cast("int")
+    levels = sorted(((r["level"], r["words"]) for r in counted.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words")).collect()), reverse=True)
+    lowest, words = None, 0
+    for at, more in levels:
+        if words + more > most_words:
+            break
+        lowest, words = at, words + more
+    if lowest is None:
+        return {}
+    return {r["word"]: r["n"] for r in counted.where(level >= lowest).collect()}
 
 
 @dataclass
