@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import gzip
 import hashlib
 import re
 
@@ -95,7 +96,7 @@ def test_archives_are_warc_files(spark, tmp_path):
     write_warc(pages, f"{tmp_path}/w")
     found = []
     for f in sorted((tmp_path / "w").glob("part-*")):
-        data = f.read_bytes()
+        data = gzip.decompress(f.read_bytes())
         for offset, length, headers, block in parse_warc(data):
             assert data[offset : offset + 10] == b"WARC/1.1\r\n" and data[offset + length : offset + length + 4] == b"\r\n\r\n"
             assert int(headers["content-length"]) == len(block)

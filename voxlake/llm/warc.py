@@ -3,8 +3,9 @@
 *Writing.*  Each page is one record, a ``response`` with its payload or, if an equal payload
 of at least ``LEAST_REVISIT`` bytes is held by a page with a smaller id, a ``revisit`` of that
 one.  Records are strings built by DataFrame functions; Spark's text writer puts the blank
-lines that end a WARC record between them, so its files are WARC files and its commit
-protocol makes them safe against lost tasks.  The archive's rows never shuffle unless the
+lines that end a WARC record between them, so its files are gzipped WARC files and its commit
+protocol makes them safe against lost tasks.  Offsets count bytes of the archive as it was before
+compression.  The archive's rows never shuffle unless the
 table of repeated payloads is too large for Spark to broadcast.
 
 *Reading.*  Archives are read as binary files, one parser pass each, in the tasks.
@@ -17,6 +18,7 @@ captures, so a URL's history is contiguous.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -77,7 +79,7 @@ def warc_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
 def write_warc(pages: DataFrame, folder: str) -> None:
     """Write archives of at most ``RECORDS_PER_FILE`` records into a new ``folder``."""
-    warc_records(pages).write.option("lineSep", END).option("compression", "none").option("maxRecordsPerFile", RECORDS_PER_FILE).text(folder)
+    warc_records(pages).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(folder)
 
 
 def url_key(url: str | None) -> str:
@@ -117,7 +119,7 @@ def _captures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path, content in zip(batch.column(0), batch.column(1), strict=True):
             name = path.as_py().rsplit("/", 1)[-1]
             rows = []
-            for offset, length, h, block in parse_warc(content.as_buffer().to_pybytes()):
+            for offset, length, h, block in parse_warc(gzip.decompress(content.as_buffer().to_pybytes())):
                 http, _, payload = block.partition(b"\r\n\r\n")
                 said = h["warc-payload-digest"].removeprefix("sha256:")
                 size = int(http.rsplit(b"Content-Length: ", 1)[1])
