@@ -298,6 +298,27 @@ def test_classifier_on_held_out_documents(spark):
     assert rates[1, 0] > 0.98 and rates[0, 0] < 0.15
 
 
+def test_cut_acts_on_few_labels(spark):
+    """399 labelled rows set a cut too, in the same way as many do."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{d}/labels.parquet")
+    graded = labels.select("doc_id", Q.grade(F.col("quality"), F.col("toxic")).alias("grade"))
+    assert Q.fit_quality(docs, graded).cut > 0
+    judged = queries.judge_quality(docs, docs, labels).join(labels, "doc_id")
+    rates = {(r.quality, r.toxic): r.kept for r in judged.groupBy("quality", "toxic").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
+    assert rates[1, 0] > 0.98 and rates[0, 0] < 0.15
+
+
+def test_cut_weighs_both_errors():
+    best = np.arange(1000) % 2 == 0
+    tail = np.where(best, 0.8, 0.6)
+    assert Q.choose_cut(tail, best) == 0.8
+    tail[::100] = 0.1  # two in a hundred of the best: dearer to lose than ...
+    tail[1::20] = 0.05
+    assert Q.choose_cut(tail, best) == 0.8
+    assert Q.choose_cut(tail, np.ones(1000, bool)) == Q.choose_cut(np.empty(0), np.empty(0, bool)) == 0.0
+
+
 def test_classifier_edges(spark, edge, edge_rows):
     labels = spark.createDataFrame([(8, 1, 0), (6, 0, 0), (None, 1, 1), (5, None, 0)], "doc_id long, quality int, toxic int")
     rows = queries.judge_quality(edge, edge.select("doc_id", "text"), labels).collect()

@@ -8,7 +8,7 @@ thresholds t_1 < t_2 < ... part them:
 
 The loss is the negative log likelihood of the grades with an L2 penalty, minimised by
 AdaGrad over the whole sample.  The expected grade is the sum of the tail probabilities;
-documents are selected by a tail probability.
+documents are selected by a tail probability, whose cut weighs both errors on out-of-fold rows.
 
 The weights are fitted on a bounded sample (``most_labelled``) of the labelled rows; scoring
 is one pass without a shuffle over all documents.
@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +32,8 @@ from voxlake.llm.wordhash import Texts, U, hash_words, mix, text_slices
 BITS = 18
 MOST_LABELLED = 4000
 HEAD, TAIL = 6, 3
-#: The cut is the highest that loses no larger share of the held-out documents of the best grade;
-#: 0 where too few are held out to tell.
-LOST_GOOD, MOST_CUT = 0.002, 0.3
+FOLDS = 3  # every labelled row is scored by a model fitted without it, to set the cut
+GOOD_COST = 20.0  # losing a share of the best grade costs this many times as much as keeping that share of the others
 
 
 @dataclass(frozen=True)
@@ -128,21 +127,40 @@ def _shards(rows: list, docs: int = 400) -> list[Shard]:
     return out
 
 
+def _fit_rows(rows: list, n_grades: int) -> OrdinalModel:
+    return fit_ordinal(_shards(rows), n_grades)
+
+
+def _score_rows(rows: list, model: OrdinalModel) -> np.ndarray:
+    return np.concatenate([np.empty(0), *(np.bincount(doc, model.weights[index] * value, len(own)) for index, value, doc, own in _shards(rows))])
+
+
+def choose_cut(tail: np.ndarray, best: np.ndarray) -> float:
+    """The cut of least ``GOOD_COST`` * (share of the best grade under it) + (share of the others
+    that reach it).  It is 0 if there are only documents of the best grade, or none of it."""
+    if best.all() or not best.any():
+        return 0.0
+    good, other, cuts = np.sort(tail[best]), np.sort(tail[~best]), np.unique(tail)
+    cost = GOOD_COST * np.searchsorted(good, cuts) / len(good) + 1 - np.searchsorted(other, cuts) / len(other)
+    return float(cuts[np.argmin(cost)])
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame, n_grades: int = 3, most_labelled: int = MOST_LABELLED) -> OrdinalModel:
     """Fit on the ``most_labelled`` labelled rows that come first by hash of their id.
 
     ``labels`` has ``doc_id`` and ``grade``; null grades and ids that ``docs`` lacks take no
-    part.  A fifth of the sample is held out to set ``cut``.  Without labels the model gives every document the same score."""
+    part.  ``cut`` is set in the same way at every size, on out-of-fold scores of all rows of
+    the sample; copies of a text share a fold.  Without labels the model gives every document the same score."""
     chosen = labels.where("grade is not null and doc_id is not null").select("doc_id", "grade").orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(most_labelled)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most most_labelled rows are broadcast
     found = rows.mapInArrow(_sparse_rows, "grade int, index binary, value binary").limit(2 * most_labelled).collect()
     found.sort(key=lambda r: (zlib.crc32(r["index"]), r["grade"]))  # the rows come in any order
-    held = _shards(found[::5])
-    model = fit_ordinal(_shards([r for k, r in enumerate(found) if k % 5]), n_grades)
-    scores = [(np.bincount(doc, model.weights[index] * value, len(own)), own) for index, value, doc, own in held]
-    good = np.sort(np.concatenate([model.tails(s)[own == n_grades - 1, -1] for s, own in scores])) if scores else np.empty(0)
-    cut = min(MOST_CUT, float(good[int(LOST_GOOD * len(good))])) if len(good) * LOST_GOOD >= 1 else 0.0
-    return OrdinalModel(model.weights, model.thresholds, cut)
+    fold = np.array([zlib.crc32(r["index"]) % FOLDS for r in found], int)
+    tail, best = np.zeros(len(found)), np.array([r["grade"] == n_grades - 1 for r in found], bool)
+    for k in range(FOLDS):
+        part = _fit_rows([r for r, f in zip(found, fold, strict=True) if f != k], n_grades)
+        tail[fold == k] = part.tails(_score_rows([r for r, f in zip(found, fold, strict=True) if f == k], part))[:, -1]
+    return replace(_fit_rows(found, n_grades), cut=choose_cut(tail, best))
 
 
 def score_quality(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
