@@ -309,6 +309,20 @@ def test_cut_acts_on_few_labels(spark):
     assert rates[1, 0] > 0.98 and rates[0, 0] < 0.15
 
 
+def test_insults_tell_in_long_texts(spark):
+    """Toxic documents are found by a few insults, in long held-out texts too; clean ones stay."""
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{d}/labels.parquet")
+    judged = queries.judge_quality(docs.where("doc_id % 3 = 0"), docs, labels.where("doc_id % 3 <> 0")).join(labels, "doc_id")
+    insults = F.regexp_count(F.lower("text"), F.lit("trash|pathetic|idiot|disgusting|worthless|clown|loser|scum|stupid|moron"))
+    rows = judged.where("quality = 1").select("toxic", "kept", insults.alias("insults"), F.size(F.split("text", " ")).alias("words")).collect()
+    toxic = [r.kept for r in rows if r.toxic == 1 and r.insults]
+    long = [r.kept for r in rows if r.toxic == 1 and r.insults and r.words > 600]
+    clean = [r.kept for r in rows if r.toxic == 0]
+    assert len(long) > 5 and sum(toxic) < 0.1 * len(toxic) and sum(long) < 0.1 * len(long)
+    assert sum(clean) > 0.98 * len(clean)
+
+
 def test_cut_weighs_both_errors():
     best = np.arange(1000) % 2 == 0
     tail = np.where(best, 0.8, 0.6)

@@ -1,8 +1,11 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings.
 
 A document's features are hashed: each word, its first six bytes, its last three bytes and
-whether it repeats the word before are dimensions, valued count / sqrt(words).  All grades share one weight vector w; ordered
-thresholds t_1 < t_2 < ... part them:
+whether it repeats the word before are dimensions, valued ``SCALE`` * count / words, so that a
+score does not grow with the length.  One more for each grade but the best is its evidence, which
+does not thin out with the length either: the largest value of a word in the document, by how
+surely the word is commoner in documents of that grade than of higher ones.  All grades share one
+weight vector w; ordered thresholds t_1 < t_2 < ... part them:
 
     P(grade >= k | x) = sigmoid(w . x - t_k)
 
@@ -32,15 +35,18 @@ from voxlake.llm.wordhash import Texts, U, hash_words, mix, text_slices
 BITS = 18
 MOST_LABELLED = 4000
 HEAD, TAIL = 6, 3
+SCALE = 3.0
+SURE = 3.0  # standard errors that are taken off a word's log odds ratio
 FOLDS = 3  # every labelled row is scored by a model fitted without it, to set the cut
 GOOD_COST = 20.0  # losing a share of the best grade costs this many times as much as keeping that share of the others
 
 
 @dataclass(frozen=True)
 class OrdinalModel:
-    weights: np.ndarray  # float32, 2 ** BITS
+    weights: np.ndarray  # float32, 2 ** BITS and one for each evidence
     thresholds: np.ndarray  # ascending
     cut: float = 0.5  # documents whose last tail probability is under it are rejected
+    evidence: np.ndarray | None = None  # float32, a row of word values for each grade but the best
 
     def tails(self, score: np.ndarray) -> np.ndarray:
         """P(grade >= k) for k = 1, 2, ... by column; no column is above the one before."""
@@ -65,6 +71,33 @@ def features_of_words(x: Texts) -> np.ndarray:
     return np.stack((whole, head, tail, again), 1).astype(np.int32)
 
 
+def cores_of_words(x: Texts) -> np.ndarray:
+    """Hashes of the words in lower case (A-Z) without ASCII punctuation at their ends."""
+    data = x.data.copy()
+    data[(data >= 65) & (data <= 90)] += 32
+    at = np.flatnonzero((data >= 97) & (data <= 122) | (data >= 48) & (data <= 57) | (data >= 128))
+    first, last = np.searchsorted(at, x.start), np.searchsorted(at, x.end)
+    at = np.append(at, 0)
+    some = last > first
+    start, end = np.where(some, at[first], x.start), np.where(some, at[last - 1] + 1, x.end)
+    return (hash_words(data, start, end, 15) & U((1 << BITS) - 1)).astype(np.int64)
+
+
+def word_values(words: list[np.ndarray], grades: np.ndarray, n_grades: int) -> np.ndarray:
+    """For each grade but the best, by word: the log odds ratio of being in its documents
+    against those of higher grades, less ``SURE`` standard errors, 0 at least."""
+    held = [np.zeros(1 << BITS) for _ in range(n_grades)]
+    for w, g in zip(words, grades, strict=True):
+        held[g][w] += 1  # the words of a document are distinct
+    size = np.bincount(grades, minlength=n_grades)
+    out = np.zeros((n_grades - 1, 1 << BITS), np.float32)
+    for g in range(n_grades - 1):
+        a, b = held[g] + 0.5, np.sum(held[g + 1 :], 0) + 0.5
+        odds = np.log(a / (size[g] + 1 - a)) - np.log(b / (size[g + 1 :].sum() + 1 - b))
+        out[g] = np.maximum(odds - SURE * np.sqrt(1 / a + 1 / b), 0)
+    return out
+
+
 Shard = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # index, value, document, grades
 
 
@@ -73,7 +106,7 @@ def fit_ordinal(shards: list[Shard], n_grades: int, l2: float = 1e-4, rounds: in
     gradient over all shards, so only one shard's working arrays exist at a time."""
     grades = np.concatenate([g for *_, g in shards]) if shards else np.empty(0, int)
     n = max(len(grades), 1)
-    w = np.zeros(1 << BITS)
+    w = np.zeros((1 << BITS) + n_grades - 1)
     at_least = np.array([(grades >= k).mean() if len(grades) else 0.5 for k in range(1, n_grades)]).clip(1e-3, 1 - 1e-3)
     start = -np.log(at_least / (1 - at_least))
     first, steps = start[0], np.log(np.maximum(np.diff(start), 1e-3))  # thresholds by log steps: always ordered
@@ -109,30 +142,38 @@ def _sparse_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, n = np.unique(doc.astype(np.int64) << BITS | f.ravel(), return_counts=True)
         bounds = np.searchsorted(key, np.arange(len(x.ids) + 1, dtype=np.int64) << BITS)
         index = (key & ((1 << BITS) - 1)).astype(np.int32)
-        value = (n / np.sqrt(np.maximum(x.n_words, 1))[key >> BITS]).astype(np.float32)
-        yield pa.RecordBatch.from_arrays(
-            [x.columns.column("grade"), pa.array([index[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()), pa.array([value[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())],
-            ["grade", "index", "value"],
-        )
+        value = (SCALE * n / np.maximum(x.n_words, 1)[key >> BITS]).astype(np.float32)
+        core = np.unique(x.doc_of_word() << BITS | cores_of_words(x))
+        ends = np.searchsorted(core, np.arange(len(x.ids) + 1, dtype=np.int64) << BITS)
+        core = (core & ((1 << BITS) - 1)).astype(np.int32)
+        parts = [pa.array([v[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()) for v, at in ((index, bounds), (value, bounds), (core, ends))]
+        yield pa.RecordBatch.from_arrays([x.columns.column("grade"), *parts], ["grade", "index", "value", "words"])
 
 
-def _shards(rows: list, docs: int = 400) -> list[Shard]:
+def _shards(rows: list, evidence: np.ndarray, docs: int = 400) -> list[Shard]:
     out = []
     for a in range(0, len(rows), docs):
         part = rows[a : a + docs]
         size = [len(r["index"]) // 4 for r in part]
-        index = np.frombuffer(b"".join(r["index"] for r in part), np.int32)
-        value = np.frombuffer(b"".join(r["value"] for r in part), np.float32)
-        out.append((index, value, np.repeat(np.arange(len(part), dtype=np.int32), size), np.array([r["grade"] for r in part], int)))
+        index = [np.frombuffer(b"".join(r["index"] for r in part), np.int32)]
+        value = [np.frombuffer(b"".join(r["value"] for r in part), np.float32)]
+        doc = [np.repeat(np.arange(len(part), dtype=np.int32), size)]
+        for k, values in enumerate(evidence):
+            index.append(np.full(len(part), (1 << BITS) + k, np.int32))
+            value.append(np.array([values[np.frombuffer(r["words"], np.int32)].max(initial=0) for r in part], np.float32))
+            doc.append(np.arange(len(part), dtype=np.int32))
+        out.append((np.concatenate(index), np.concatenate(value), np.concatenate(doc), np.array([r["grade"] for r in part], int)))
     return out
 
 
 def _fit_rows(rows: list, n_grades: int) -> OrdinalModel:
-    return fit_ordinal(_shards(rows), n_grades)
+    evidence = word_values([np.frombuffer(r["words"], np.int32) for r in rows], np.array([r["grade"] for r in rows], int), n_grades)
+    model = fit_ordinal(_shards(rows, evidence), n_grades)
+    return OrdinalModel(model.weights, model.thresholds, evidence=evidence)
 
 
 def _score_rows(rows: list, model: OrdinalModel) -> np.ndarray:
-    return np.concatenate([np.empty(0), *(np.bincount(doc, model.weights[index] * value, len(own)) for index, value, doc, own in _shards(rows))])
+    return np.concatenate([np.empty(0), *(np.bincount(doc, model.weights[index] * value, len(own)) for index, value, doc, own in _shards(rows, model.evidence))])
 
 
 def choose_cut(tail: np.ndarray, best: np.ndarray) -> float:
@@ -153,7 +194,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, n_grades: int = 3, most_labe
     the sample; copies of a text share a fold.  Without labels the model gives every document the same score."""
     chosen = labels.where("grade is not null and doc_id is not null").select("doc_id", "grade").orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(most_labelled)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most most_labelled rows are broadcast
-    found = rows.mapInArrow(_sparse_rows, "grade int, index binary, value binary").limit(2 * most_labelled).collect()
+    found = rows.mapInArrow(_sparse_rows, "grade int, index binary, value binary, words binary").limit(2 * most_labelled).collect()
     found.sort(key=lambda r: (zlib.crc32(r["index"]), r["grade"]))  # the rows come in any order
     fold = np.array([zlib.crc32(r["index"]) % FOLDS for r in found], int)
     tail, best = np.zeros(len(found)), np.array([r["grade"] == n_grades - 1 for r in found], bool)
@@ -174,13 +215,19 @@ def score_quality(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id",
     docs = docs.select(*keep)
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)])
     arrow = to_arrow_schema(schema)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 1 MB
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 3 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for x in text_slices(batches, id_col, text_col):
             by_word = m.weights[features_of_words(x)].sum(1, dtype=np.float64)
-            score = np.bincount(x.doc_of_word(), by_word, len(x.ids)) / np.sqrt(np.maximum(x.n_words, 1))
+            score = SCALE * np.bincount(x.doc_of_word(), by_word, len(x.ids)) / np.maximum(x.n_words, 1)
+            if m.evidence is not None:
+                doc, core = x.doc_of_word(), cores_of_words(x)
+                for k, values in enumerate(m.evidence):
+                    most, tells = np.zeros(len(x.ids), np.float32), np.flatnonzero(values[core])
+                    np.maximum.at(most, doc[tells], values[core[tells]])
+                    score += m.weights[(1 << BITS) + k] * most
             p = m.tails(score)
             yield pa.RecordBatch.from_arrays([*(x.columns.column(c) for c in keep), pa.array(score), pa.array(p.sum(1)), *(pa.array(p[:, k]) for k in range(p.shape[1]))], schema=arrow)
 
