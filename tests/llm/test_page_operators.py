@@ -150,6 +150,15 @@ def test_html_extraction_of_odd_pages():
     assert main_text(long).count("\n") == 19999
 
 
+def test_text_around_skipped_inline_elements():
+    for inner in ("<script>x</script>", "<style>x</style>", "<button>Share</button>", "<svg><text>x</text></svg>", "<span class=share>x</span>", "<select><option>x</select>", "<iframe>x</iframe>", "<label>x</label>"):
+        assert main_text(f"<article><p>Hello {inner}world</p><p>More text.</p></article>") == "Hello world\nMore text.", inner
+        assert main_text(f"<article><p>Long text {inner}</p></article>") == "Long text"
+    assert main_text("<article><div>Hello <span class=share><div>x</div></span>world</div><p>a <span class=share>x</p><p>b</p></article>") == "Hello world\na\nb"
+    assert main_text("<p>before<nav>menu</nav>after</p>") == "before\nafter"
+    assert main_text("text<script>x") == "text"
+
+
 def exact(rows, k):
     fine = [(i, np.array(v, float)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all() and any(v)]
     size = collections.Counter(len(v) for _, v in fine).most_common(1)[0][0]

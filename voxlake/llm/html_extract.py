@@ -60,27 +60,36 @@ class _Lines(HTMLParser):
         self.parent, self.kind = [0], ["#"]  # of containers
         self.open: list[tuple[str, bool, int]] = []  # (element, skipped, container)
         self.buffer: list[str] = []
+        self.hidden: list[str] = []  # text of skipped elements
+        self.where: tuple[int, bool] | None = None  # container and heading of the text in the buffer
         self.tags = 0
         self.heading = False
 
     def _flush(self) -> None:
-        if self.buffer:
-            line = " ".join("".join(self.buffer).split())
-            self.buffer = []
-            if line:
-                _, skipped, box = self.open[-1] if self.open else ("", False, 0)
-                self.text.append(line)
-                self.ratio.append(len(line) / max(self.tags, 1))
-                self.box.append(box)
-                self.skip.append(skipped)
-                self.title.append(self.heading and not skipped)
-                self.tags = 0
+        """End the lines.  In a skipped element only its own ends: it may be part of an open one."""
+        if self.buffer and not (self.open and self.open[-1][1]):
+            self._line(self.buffer, False, *(self.where or (0, False)))
+            self.buffer, self.where = [], None
+        if self.hidden:
+            self._line(self.hidden, True, self.open[-1][2] if self.open else 0, False)
+            self.hidden = []
+
+    def _line(self, buffer: list[str], skipped: bool, box: int, title: bool) -> None:
+        line = " ".join("".join(buffer).split())
+        if line:
+            self.text.append(line)
+            self.ratio.append(len(line) / max(self.tags, 1))
+            self.box.append(box)
+            self.skip.append(skipped)
+            self.title.append(title)
+            self.tags = 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCKS:
             self._flush()
             while self.open and tag in CLOSED_BY.get(self._inner(tag), ()):
                 self._close(self._inner(tag))
+            self._flush()
         self.tags += 1
         if tag in VOID:
             if tag in ("br", "hr"):
@@ -135,8 +144,9 @@ class _Lines(HTMLParser):
             self._flush()
         self.tags += 1
         if any(name == tag for name, _, _ in self.open):
-            self._flush() if tag in SKIPPED else None
             self._close(tag)
+            if tag in BLOCKS:
+                self._flush()
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -144,10 +154,13 @@ class _Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_data(self, data: str) -> None:
-        if not (self.open and self.open[-1][1]):
+        name, skipped, box = self.open[-1] if self.open else ("", False, 0)
+        if not skipped:
+            if self.where is None and data.strip():
+                self.where = (box, self.heading)
             self.buffer.append(data)
-        elif data.strip():
-            self.buffer.append(data if self.open[-1][0] not in ("script", "style") else "")
+        elif data.strip() and name not in ("script", "style"):
+            self.hidden.append(data)
 
     def unknown_decl(self, data: str) -> None:
         """Marked sections say nothing about the text."""
@@ -179,6 +192,7 @@ def main_text(html: str | None) -> str:
     page = _Lines()
     page.feed(html)
     page.close()
+    page.open.clear()
     page._flush()
     open_lines = [k for k, s in enumerate(page.skip) if not s]
     if not open_lines:
