@@ -159,6 +159,17 @@ def test_text_around_skipped_inline_elements():
     assert main_text("text<script>x") == "text"
 
 
+def test_class_words_do_not_drop_the_article():
+    body = "<h1>Head</h1><p>The first paragraph is long enough to be seen as content of the page.</p><p>The second one goes on for a while, too.</p>"
+    want = "Head\nThe first paragraph is long enough to be seen as content of the page.\nThe second one goes on for a while, too."
+    for start, end in (("<div class='content has-sidebar'>", "</div>"), ("<div id=page-with-comments>", "</div>"), ("<article class='post comments-open'>", "</article>"), ("<div class=side-by-side>", "</div>"), ("<div class=search-page><main>", "</main></div>"), ("<div class='widget social'><article>", "</article></div>")):
+        comments = "<div class=comments><p>A comment that is as long as a paragraph of the page, or even longer than that.</p></div>"
+        assert main_text(f"<body><nav>menu</nav>{start}{body}{end}{comments}<footer>f</footer>") == want, start
+        assert main_text(f"<body>{start}{body}{comments}{end}") == want, start
+    assert main_text("<body><div class=widget>" + body.replace("h1", "p") + "</div><p>x</p>").endswith(want)
+    assert main_text(f"<!doctype html><title>T</title>{body}") == main_text(f"<html><head><title>T</title><meta charset=utf-8>{body}") == want
+
+
 def exact(rows, k):
     fine = [(i, np.array(v, float)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all() and any(v)]
     size = collections.Counter(len(v) for _, v in fine).most_common(1)[0][0]

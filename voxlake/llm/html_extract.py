@@ -5,7 +5,8 @@ the tags since the line before.  The ratios are smoothed with a Gaussian, and a
 between two clusters of them selects the content lines.  The smallest container that holds
 nearly all of the content's text is the article; every line in it is kept but those in menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments,
-which their elements, roles or class names tell.
+which their elements, roles or class names tell.  A class name alone does not skip a block that
+turns out to hold the article.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ SKIPPED_WORDS = set(
     menu breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login social
     share sharing related recommended recommendations comment comments respond disqus reply replies widget toolbar pagination pager masthead skip contentinfo complementary search""".split()
 )
+MODIFIERS = set("has with without no not by open closed enabled disabled".split())  # a class name with one tells of another element
+IN_HEAD = set("head title base link meta style script noscript template".split())
 HEADER_WORDS = {"header", "topbar", "top"}
 CLOSED_BY = {  # an open element (left) ends where one of these starts
     "p": BLOCKS - {"option", "optgroup"},
@@ -41,7 +44,6 @@ CLOSED_BY = {  # an open element (left) ends where one of these starts
     "td": {"td", "th", "tr"},
     "th": {"td", "th", "tr"},
     "option": {"option", "optgroup"},
-    "head": {"body"},
 }
 SIGMA, RADIUS = 1.0, 2
 MOST_OF_TEXT = 0.85
@@ -55,26 +57,28 @@ class _Lines(HTMLParser):
         self.text: list[str] = []
         self.ratio: list[float] = []
         self.box: list[int] = []
-        self.skip: list[bool] = []
+        self.skip: list[int] = []
         self.title: list[bool] = []
         self.parent, self.kind = [0], ["#"]  # of containers
-        self.open: list[tuple[str, bool, int]] = []  # (element, skipped, container)
+        self.open: list[tuple[str, int, int]] = []  # (element, skipped, container); skipped: -1, or the innermost region
+        self.region = [0]  # the regions around each region, a block that only its class names skip; 0: none
+        self.landmarks: list[tuple[int, bool]] = []  # region of each article, h1 and main, and whether it is a main
         self.buffer: list[str] = []
         self.hidden: list[str] = []  # text of skipped elements
-        self.where: tuple[int, bool] | None = None  # container and heading of the text in the buffer
+        self.where: tuple[int, int, bool] | None = None  # region, container and heading of the text in the buffer
         self.tags = 0
         self.heading = False
 
     def _flush(self) -> None:
         """End the lines.  In a skipped element only its own ends: it may be part of an open one."""
-        if self.buffer and not (self.open and self.open[-1][1]):
-            self._line(self.buffer, False, *(self.where or (0, False)))
+        if self.buffer and not (self.open and self.open[-1][1] < 0):
+            self._line(self.buffer, *(self.where or (0, 0, False)))
             self.buffer, self.where = [], None
         if self.hidden:
-            self._line(self.hidden, True, self.open[-1][2] if self.open else 0, False)
+            self._line(self.hidden, -1, self.open[-1][2] if self.open else 0, False)
             self.hidden = []
 
-    def _line(self, buffer: list[str], skipped: bool, box: int, title: bool) -> None:
+    def _line(self, buffer: list[str], skipped: int, box: int, title: bool) -> None:
         line = " ".join("".join(buffer).split())
         if line:
             self.text.append(line)
@@ -85,6 +89,8 @@ class _Lines(HTMLParser):
             self.tags = 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag not in IN_HEAD:
+            self._leave_head()
         if tag in BLOCKS:
             self._flush()
             while self.open and tag in CLOSED_BY.get(self._inner(tag), ()):
@@ -95,8 +101,16 @@ class _Lines(HTMLParser):
             if tag in ("br", "hr"):
                 self.buffer.append(" ")
             return
-        _, skipped, box = self.open[-1] if self.open else ("", False, 0)
-        skipped = skipped or self._is_skipped(tag, attrs)
+        _, skipped, box = self.open[-1] if self.open else ("", 0, 0)
+        if skipped >= 0:
+            if self._is_skipped(tag, attrs):
+                skipped = -1
+            elif self._is_named(tag, attrs):
+                if tag in BLOCKS:
+                    self.region.append(skipped)
+                skipped = len(self.region) - 1 if tag in BLOCKS else -1
+        if skipped >= 0 and (tag in ("article", "main", "h1") or ("role", "article") in attrs or ("role", "main") in attrs):
+            self.landmarks.append((skipped, tag == "main" or ("role", "main") in attrs))
         if tag in CONTAINERS:
             self.parent.append(box)
             self.kind.append("article" if tag == "article" or ("role", "article") in attrs else "main" if tag == "main" or ("role", "main") in attrs else tag)
@@ -117,20 +131,36 @@ class _Lines(HTMLParser):
     def _is_skipped(self, tag: str, attrs: list) -> bool:
         if tag in SKIPPED:
             return True
-        inside = any(self.kind[box] in ("article", "main") for _, _, box in self.open)
-        if tag == "header" and not inside:
+        if tag == "header" and not self._inside():
             return True
         if tag in ("html", "body"):
             return False
         for name, value in attrs:
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and re.search(r"display\s*:\s*none", value):
                 return True
+        return False
+
+    def _inside(self) -> bool:
+        return any(self.kind[box] in ("article", "main") for _, _, box in self.open)
+
+    def _is_named(self, tag: str, attrs: list) -> bool:
+        """Whether a whole class name, id or role, without modifiers, tells of a part to skip."""
+        if tag in ("html", "body"):
+            return False
+        for name, value in attrs:
             if name in ("class", "id", "role") and value:
-                words = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
-                if words & SKIPPED_WORDS or not inside and words & HEADER_WORDS:
-                    return True
+                for one in value.split():
+                    words = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", one).lower()))
+                    if not words & MODIFIERS and (words & SKIPPED_WORDS or words & HEADER_WORDS and not self._inside()):
+                        return True
         return False
 
+    def _leave_head(self) -> None:
+        """``</head>`` may be left out: what cannot be in a head ends it."""
+        if self.open and self.open[-1][0] == "head":
+            self._flush()
+            self._close("head")
+
     def _close(self, tag: str) -> None:
         while self.open:
             name = self.open.pop()[0]
@@ -154,10 +184,12 @@ class _Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_data(self, data: str) -> None:
-        name, skipped, box = self.open[-1] if self.open else ("", False, 0)
-        if not skipped:
+        if data.strip():
+            self._leave_head()
+        name, skipped, box = self.open[-1] if self.open else ("", 0, 0)
+        if skipped >= 0:
             if self.where is None and data.strip():
-                self.where = (box, self.heading)
+                self.where = (skipped, box, self.heading)
             self.buffer.append(data)
         elif data.strip() and name not in ("script", "style"):
             self.hidden.append(data)
@@ -185,6 +217,39 @@ def threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
+def released(page: _Lines, content: list[int]) -> np.ndarray:
+    """By region, whether its lines count although its class names say skip.
+
+    A region with a ``main`` does.  While no article, h1 or main lies open, so does the heaviest
+    region in content text, if it holds one with content or has half of all content's text."""
+    n = len(page.region)
+    free = np.zeros(n, bool)
+    free[0] = True
+    if n == 1:
+        return free
+    weight, marks = np.zeros(n), np.zeros(n, np.int64)
+    main = np.zeros(n, bool)
+    for k in content:
+        weight[page.skip[k]] += 0 if page.title[k] else len(page.text[k])
+    for region, is_main in page.landmarks:
+        marks[region] += 1
+        main[region] |= is_main
+    own = marks.copy()
+    for k in range(n - 1, 0, -1):
+        weight[page.region[k]] += weight[k]
+        marks[page.region[k]] += marks[k]
+        main[page.region[k]] |= main[k]
+    free |= main
+    while not own[free].any():
+        fit = [k for k in range(1, n) if not free[k] and free[page.region[k]] and weight[k] > 0 and (marks[k] or 2 * weight[k] >= weight[0])]
+        if not fit:
+            break
+        free[max(fit, key=lambda k: weight[k])] = True
+    for k in range(1, n):
+        free[k] &= free[page.region[k]]
+    return free
+
+
 def main_text(html: str | None) -> str:
     """The article's blocks, joined by newlines; empty if there are none."""
     if not html:
@@ -194,11 +259,15 @@ def main_text(html: str | None) -> str:
     page.close()
     page.open.clear()
     page._flush()
-    open_lines = [k for k, s in enumerate(page.skip) if not s]
-    if not open_lines:
+    lines = [k for k, s in enumerate(page.skip) if s >= 0]
+    if not lines:
         return ""
     level = smooth(np.log1p(np.asarray(page.ratio)))
     cut = threshold(level)
+    free = released(page, [k for k in lines if level[k] >= cut])
+    open_lines = [k for k in lines if free[page.skip[k]]]
+    if not open_lines:
+        return ""
     content = [k for k in open_lines if level[k] >= cut] or open_lines
     n = len(page.kind)
     weight, headings = np.zeros(n), np.zeros(n, np.int64)
