@@ -56,6 +56,19 @@ def test_segmentation_finds_the_most_probable_words():
     assert model.block_odds(model.tokens_of("www.freecasino.com", "/win")) > 0 > model.block_odds(model.tokens_of("city-library.org", "/blog"))
 
 
+def test_single_bad_words_block():
+    """Hosts that are no seed names: one bad word is enough, a word of either class is not."""
+    model = fit_url_model({"the": 1000, "shop": 30, "my": 50, "best": 40, "world": 60})
+    for host in ("porn.example.org", "casinocity.example.com", "viagra-shop.example.net", "spam.example.com", "ads.example.com", "mypoker.example.org", "best-warez.example.com", "xxx.example.com", "phishing.example.org", "bestcasinos.example.org"):
+        assert model.block_odds(model.tokens_of(host, "/en/1")) > 0, host
+    for host in ("example.org", "organicfarm.example.com", "free-library.example.org", "cheapflights.example.com", "onlinecourse.example.net", "video-games.example.com", "citypharmacy.example.org", "track-record.example.com", "the-world.example.org"):
+        assert model.block_odds(model.tokens_of(host, "/en/1")) < 0, host
+    from voxlake.llm import url_filter
+
+    names = {" ".join(n.split()) for n in url_filter.BLOCK_SEEDS.split(";")}
+    assert not names & {"casino win", "free bets", "cheap pills", "ads track", "spam farm", "adult x"}
+
+
 def test_word_counts_are_of_all_pages(spark):
     pages = spark.createDataFrame([("<p>Alpha beta</p>",), ("beta <b>gamma</b> beta",), (None,), ("",)], "html string")
     assert word_counts(pages) == {"alpha": 1, "beta": 3, "gamma": 1}

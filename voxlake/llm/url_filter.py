@@ -30,14 +30,16 @@ RULES = [
     ("allow", "org", "/fr/"),
 ]
 
-# Seed names, written as words, that train the classifier.
+# Seed names, written as words, that train the classifier.  They are general
+# vocabulary, not names from the tables; words that either class uses stand in both lists.
 BLOCK_SEEDS = """
-casino win; online casino bonus; poker rooms; slots jackpot; free bets; sports betting odds; bet now; roulette live;
-adult x; adult video; xxx movies; sex chat; nude cams; porn tube; escort girls; hot singles dating;
-cheap pills; buy viagra online; pharmacy no prescription; weight loss pills; cialis discount; replica watches cheap;
-spam farm; link farm; ads track; ad tracker; click ads; popup ads; banner ads server; tracking pixel; affiliate offers;
-payday loans fast; quick cash loan; get rich quick; crypto doubler; free prizes winner; lottery winner claim;
-warez cracks; keygen serial; torrent piracy free; malware download; phishing login verify; cheap seo backlinks; spam mail blast
+casino; online casino bonus; casino games; live casino; poker; poker rooms; slots; slots jackpot; jackpot; sports betting odds; betting; bets; bet; gambling;
+roulette; roulette live; blackjack; bookmaker; baccarat; bingo bonus; lottery; lottery winner claim; sweepstakes; wager;
+adult; adult video; adult dating; xxx; xxx movies; porn; porn tube; porno; sex; sex chat; nude; nude cams; nudes; escort; escort girls; hot singles dating; erotic; hentai; milf; webcam girls; fetish; nsfw; hookup; camgirls;
+viagra; buy viagra online; cialis; cialis discount; levitra; pills; diet pills; pharmacy no prescription; weight loss pills; steroids; replica; replica shop; replica watches; counterfeit; fake watches cheap;
+spam; spam mail blast; spammer; spamming; link farm; ads; ads server; banner ads; click ads; popup; popup ads; adserver; adware; advertising; adtracker; tracker; tracking; tracking pixel; doubleclick; clickbait; affiliate; affiliate offers; telemetry;
+payday; payday loans fast; loans; quick cash loan; get rich quick; crypto doubler; doubler; ponzi; scam; scams; fraud; free prizes winner; giveaway claim;
+warez; warez cracks; cracks; crack; keygen; keygen serial; torrent; torrents; torrent piracy free; pirated; piracy; malware; malware download; spyware; ransomware; trojan; botnet; phishing; phishing login verify; backlinks; cheap seo backlinks; hacked
 """
 ALLOW_SEEDS = """
 city library; university research; school news; science journal; history museum; public health; national weather service;
@@ -45,12 +47,18 @@ open source project; software documentation; developer blog; travel guide; garde
 music review; film archive; book club; language course; math lessons; physics lectures; chemistry notes; daily news;
 local government; tax office help; train timetable; bicycle repair; nature photos; bird watch; medical encyclopedia;
 law review; world economy; football results; chess puzzles; mountain hiking; family history; craft workshop; blog archive;
-product manual; community forum; question answer; dictionary entries; map data; image archive; press office; site index
+product manual; community forum; question answer; dictionary entries; map data; image archive; press office; site index;
+free software; free books; online course; online shop; online banking help; video lessons; video archive; live music; live weather; cheap flights; cheap hotels;
+fast food recipes; quick start guide; sports club; sports news; chat help; mail server; login; download; download center; movies; movie guide; games; video games; cash register manual;
+health clinic; pharmacy; city pharmacy; hospital pharmacy; hotel rooms; rooms; watches; watch repair; girls school; boys school; singles chart; winner of the prize; nobel prizes; serial novel; buy books; discount store;
+farm; organic farm; farm shop; sheep farm; link; link list; click here; banner; pixel art; mail; seo guide; rich history; lose weight; weight; win; offers; special offers; claim form; hot springs; tube map; race track; track record;
+sussex; essex; middlesex; wessex; sexton; better; alphabet; diabetes; tibet; elizabeth; between; bethlehem; adsorption; roads; railroads; loads; uploads; heads; threads; beads; leads; crackers; nutcracker; spills; caterpillars; cockpit; grapes; analysis; classic; assets
 """
 COMMON = {"www", "com", "net", "org", "http", "https", "html", "htm", "php", "index"}  # fixed values: tokens that say nothing
 MOST_WORDS = 100_000  # of the word table that is sent to the workers
 LONGEST_WORD = 24
 SEED_COUNT = 50
+PRIOR_BLOCK, SMOOTHING = 0.3, 0.05  # one bad word, seen once, is enough; one that both lists have is not
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -175,7 +183,7 @@ class UrlModel:
         return odds
 
 
-def fit_url_model(counts: dict[str, int], block: str = BLOCK_SEEDS, allow: str = ALLOW_SEEDS, prior_block: float = 0.1, smoothing: float = 0.5) -> UrlModel:
+def fit_url_model(counts: dict[str, int], block: str = BLOCK_SEEDS, allow: str = ALLOW_SEEDS, prior_block: float = PRIOR_BLOCK, smoothing: float = SMOOTHING) -> UrlModel:
     """Word probabilities from ``counts`` plus the seed words; naive Bayes from the seeds."""
     names = [[n.split() for n in text.split(";") if n.split()] for text in (block, allow)]
     by_class = [Counter(w for n in group for w in n) for group in names]
