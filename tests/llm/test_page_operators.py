@@ -220,3 +220,16 @@ def test_recall_of_lists(spark, monkeypatch):
     hits = sum(len(got[q] & {j for _, j in w}) for q, w in want.items())
     assert hits / sum(map(len, want.values())) >= 0.9
     assert all(len(v) == 20 for v in got.values())
+
+
+def test_lists_with_few_rows_do_not_cut_rankings(spark, monkeypatch):
+    """Tiny clusters far apart and isolated vectors: every query still gets ``k`` neighbours."""
+    monkeypatch.setattr(ann, "SMALL", 100)
+    rng = np.random.default_rng(3)
+    centre = rng.standard_normal((60, 16)) * 10
+    centre = np.concatenate((np.repeat(centre[:50], 6, 0), centre[50:], np.repeat(rng.standard_normal((1, 16)) * 10, 300, 0)))
+    rows = [(k, [float(c) for c in v]) for k, v in enumerate(centre + rng.standard_normal(centre.shape) * 0.01)]
+    rows += [(40, rows[40][1])] * 100
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collections.Counter(r.query_id for r in ann.nearest_neighbours(df, F.col("vec_id") < 310).collect())
+    assert got == {q: 20 for q in range(310)}

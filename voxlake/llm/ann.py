@@ -31,6 +31,7 @@ MOST_ROWS = 4096
 SMALL = 2000  # up to here one list
 BLOCK = 16  # columns in a scan step
 EPSILON = 2.1  # of the test; a larger one drops fewer candidates
+ENOUGH = 2  # a query's lists hold so many times k candidates at least, if there are as many
 COVER = 0.98  # share of the sample's true neighbours that the probes must reach
 
 
@@ -169,6 +170,7 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, id_col
 
     listed = rows.select("id", "vec").mapInArrow(assigned, "list int, id long, vec array<double>")
     sizes = {r["list"]: r["n"] for r in listed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most MOST_LISTS rows
+    held = np.array([sizes.get(a, 0) for a in range(len(index.centroids))], np.int64)
     salts = {a: -(-n // MOST_ROWS) for a, n in sizes.items()}
 
     def probing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,21 +181,26 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, id_col
                 ids, q = part.column(0).to_numpy(), matrix(part.column(1))
                 s = q @ ix.sample.T
                 s[ids[:, None] == ix.sample_ids[None, :]] = -np.inf
-                order = ix.order(ix.turned_queries(q))[:, : ix.probes]
+                order = ix.order(ix.turned_queries(q))
+                upto = np.cumsum(held[order], axis=1)  # rows in the lists so far; those of the query's id are no candidates
+                lists = np.maximum(ix.probes, 1 + (upto < ENOUGH * k + part.column(2).to_numpy()[:, None]).sum(1))
                 probed = np.zeros((len(ids), len(ix.centroids)), bool)
-                np.put_along_axis(probed, order, True, axis=1)
+                np.put_along_axis(probed, order, np.arange(order.shape[1]) < lists[:, None], axis=1)
                 s[~probed[:, ix.sample_lists]] = -np.inf
                 spare = 2 * k  # so many of the sample reach the bound: the test may drop some
                 bound = np.partition(s, s.shape[1] - spare, axis=1)[:, s.shape[1] - spare] if s.shape[1] >= spare else np.full(len(ids), -np.inf)
+                bound = bound - 1e-9 * ix.longest * np.sqrt((q**2).sum(1))  # sums in another order differ in the last digits
                 who, to, salt = [], [], []
                 for i in range(len(ids)):
-                    for li in order[i].tolist():
+                    for li in order[i, : lists[i]].tolist():
                         for t in range(salts.get(li, 0)):
                             who.append(i), to.append(li), salt.append(t)
                 who = np.array(who, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(salt, pa.int32()), pa.array(ids[who]), part.column(1).take(pa.array(who)), pa.array(bound[who])], ["list", "salt", "id", "vec", "bound"])
 
-    probes = rows.where("is_query").dropDuplicates(["id"]).select("id", "vec").mapInArrow(probing, "list int, salt int, id long, vec array<double>, bound double")
+    asked = rows.where("is_query").dropDuplicates(["id"]).select("id", "vec")
+    same = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n_same"))
+    probes = asked.join(same, "id").select("id", "vec", "n_same").mapInArrow(probing, "list int, salt int, id long, vec array<double>, bound double")
     split = F.create_map(*(F.lit(v) for pair in salts.items() for v in pair))
     salted = listed.withColumn("salt", F.pmod(F.xxhash64("id"), F.element_at(split, F.col("list")).cast("long")).cast("int"))
 
