@@ -19,8 +19,9 @@ from tokenizers import Tokenizer
 from voxlake.llm import near_dedup as N
 from voxlake.llm import quality_classifier as Q
 from voxlake.llm import queries
+from voxlake.llm import substring_dedup as substring
 from voxlake.llm.bpe import bpe_encode
-from voxlake.llm.common import bucket_of_long
+from voxlake.llm.common import materialise
 from voxlake.llm.near_dedup import near_duplicates
 from voxlake.llm.packing import best_fit_plan, pack_documents
 from voxlake.llm.quality_rules import Rule, first_rejection, quality_cascade
@@ -56,12 +57,6 @@ def test_long_words_hash_by_content():
     assert len(set(h.tolist())) == 3
 
 
-def test_bucket_is_sparks(spark):
-    ids = [0, 1, -1, 2**62, -(2**63), 12345]
-    got = [r.b for r in spark.createDataFrame([(i,) for i in ids], "i long").select(F.pmod(F.xxhash64("i"), F.lit(97)).alias("b")).collect()]
-    assert got == bucket_of_long(np.array(ids), 97).tolist()
-
-
 def plain_substring(rows, size):
     first = {}
     for i, t in rows:
@@ -89,6 +84,46 @@ def test_substring_dedup(spark, texts, size):
     assert got == plain_substring(rows, size)
 
 
+def test_substring_query_and_its_digest(spark, small, texts):
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in queries.op2_substring_dedup(spark, small).collect()}
+    want = plain_substring(sorted(texts.items()), 50)
+    assert got == {i: (n, gone, hashlib.sha256(t.encode()).hexdigest()) for i, (n, gone, t) in want.items()}
+
+
+def hit_rows_of(spark, docs, partitions):
+    """Rows that the bucket step makes for ``partitions`` shuffle partitions."""
+    found = []
+
+    def keep(df, name):
+        found.append(materialise(df, name))
+        return found[-1]
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    original, substring.materialise = substring.materialise, keep
+    try:
+        kept = {(r.doc_id, r.n_removed) for r in substring_dedup(docs).collect()}
+    finally:
+        substring.materialise = original
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    return found[0].count(), kept
+
+
+def test_substring_rows_do_not_grow_with_partitions(spark):
+    """Hit rows are at most one for each hit, whatever the number of partitions."""
+    base = " ".join(f"t{k}" for k in range(400))
+    docs = spark.createDataFrame([(k, f"x{k} {base} y{k}") for k in range(60)], "doc_id long, text string").repartition(3)
+    (few, a), (many, b) = hit_rows_of(spark, docs, 4), hit_rows_of(spark, docs, 64)
+    assert a == b and len(a) == 60 and sum(n for _, n in a) == 59 * 400
+    assert few <= many <= 60 * 16 + 3 * 400
+
+
+def test_substring_dedup_of_one_word_over_and_over(spark):
+    rows = [(k, "la " * 3000 + f"end{k}") for k in range(5)]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_substring(rows, 50)
+
+
 def test_substring_dedup_edges(spark, edge, edge_rows):
     rows = substring_dedup(edge).collect()
     assert len(rows) == len(edge_rows)

@@ -13,27 +13,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bucket_of_long(x: np.ndarray, buckets: int) -> np.ndarray:
-    """The same as ``pmod(xxhash64(x), buckets)`` of a Spark bigint column."""
-    p1, p2, p3, p4, p5 = (np.uint64(v) for v in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    turn = lambda v, k: (v << np.uint64(k)) | (v >> np.uint64(64 - k))
-    h = np.full(len(x), np.uint64(42) + p5 + np.uint64(8))
-    h ^= turn(x.astype(np.int64).view(np.uint64) * p2, 31) * p1
-    h = turn(h, 27) * p1 + p4
-    h ^= h >> np.uint64(33)
-    h *= p2
-    h ^= h >> np.uint64(29)
-    h *= p3
-    h ^= h >> np.uint64(32)
-    return np.mod(h.view(np.int64), buckets).astype(np.int32)
-
-
 # ---- packed rows -------------------------------------------------------------
 # Entries (document, position, payload) of one bucket travel as a few binary columns:
-# far smaller than a row for each entry, and still dealt by an ordinary shuffle.
+# far smaller than a row for each entry, and still dealt by an ordinary shuffle.  Entries that
+# are decided already only pass through; they carry no payload.
 
-PACK_SCHEMA = "bucket int, ids binary, tags binary, counts binary, pos binary, payload binary"
-PACK_ARROW = pa.schema([("bucket", pa.int32()), *((n, pa.binary()) for n in ("ids", "tags", "counts", "pos", "payload"))])
+PACK_SCHEMA = "bucket int, decided boolean, ids binary, tags binary, counts binary, pos binary, payload binary"
+PACK_ARROW = pa.schema([("bucket", pa.int32()), ("decided", pa.bool_()), *((n, pa.binary()) for n in ("ids", "tags", "counts", "pos", "payload"))])
 
 
 def _small(x: np.ndarray) -> bytes:
@@ -66,15 +52,16 @@ def pack(bucket: np.ndarray, doc: np.ndarray, pos: np.ndarray, ids: np.ndarray,
     head_doc = doc[heads]
     cut = np.append(np.flatnonzero(new_bucket), n)
     head_cut = np.searchsorted(heads, cut)
-    rows: list[list] = [[], [], [], [], [], []]
+    rows: list[list] = [[], [], [], [], [], [], []]
     for k in range(len(cut) - 1):
         a, b, u, v = cut[k], cut[k + 1], head_cut[k], head_cut[k + 1]
         rows[0].append(int(bucket[a]))
-        rows[1].append(ids[head_doc[u:v]].tobytes())
-        rows[2].append(tags[head_doc[u:v]].tobytes())
-        rows[3].append(_small(counts[u:v]))
-        rows[4].append(_small(delta[a:b]))
-        rows[5].append(payload[a:b].tobytes() if payload is not None else b"")
+        rows[1].append(payload is None)
+        rows[2].append(ids[head_doc[u:v]].tobytes())
+        rows[3].append(tags[head_doc[u:v]].tobytes())
+        rows[4].append(_small(counts[u:v]))
+        rows[5].append(_small(delta[a:b]))
+        rows[6].append(payload[a:b].tobytes() if payload is not None else b"")
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, PACK_ARROW.types, strict=True)], schema=PACK_ARROW)
 
 
@@ -84,11 +71,11 @@ def unpack(packs: pa.Table, payload_type=None) -> tuple[np.ndarray, np.ndarray,
     for row in packs.select(["ids", "tags", "counts", "pos", "payload"]).to_pylist():
         counts, delta = _wide(row["counts"]), _wide(row["pos"])
         ids.append(np.repeat(np.frombuffer(row["ids"], np.int64), counts))
-        tags.append(np.repeat(np.frombuffer(row["tags"], np.uint32), counts))
+        tags.append(np.repeat(np.frombuffer(row["tags"], np.int32), counts))
         upto = np.cumsum(delta)
         first = np.cumsum(counts) - counts
         pos.append(upto - np.repeat(np.where(first > 0, upto[first - 1], 0), counts))
         if payload_type is not None:
             payload.append(np.frombuffer(row["payload"], payload_type))
     cat = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
-    return cat(ids, np.int64), cat(tags, np.uint32), cat(pos, np.int64), cat(payload, payload_type) if payload_type is not None else None
+    return cat(ids, np.int64), cat(tags, np.int32), cat(pos, np.int64), cat(payload, payload_type) if payload_type is not None else None

@@ -10,141 +10,181 @@ covers it also starts in a document with a smaller id.  Windows are judged on th
 2. *Extend*: around the hits, and only there, whole windows are hashed; the smallest
    document id of each window decides it.  Windows that overlap merge to maximal repeats.
 
-Hashes travel packed (about seven bytes a word) and both shuffles deal by hash, so a passage
-that a third of all documents hold spreads over as many buckets as it has windows.  Only
-positions that hit come back to the documents.
+Both steps are settled within a slice of documents first: a window sends one entry for each
+document, and only those that the slice can't decide, so a passage that a third of all
+documents hold sends a few entries from each slice.  Hashes travel packed (about ten bytes a
+word) and are dealt by hash.  What comes back is a row of positions for each document and
+bucket, sort-merged onto the documents, which then stream by; a task holds one slice of texts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from voxlake.llm.common import PACK_ARROW, PACK_SCHEMA, bucket_of_long, materialise, pack, shuffle_partitions, unpack
-from voxlake.llm.wordhash import MULT2, Rolling, Texts, U, text_slices, window_starts
+from voxlake.llm.common import PACK_ARROW, PACK_SCHEMA, materialise, pack, shuffle_partitions, unpack
+from voxlake.llm.wordhash import MULT2, Rolling, Texts, U, mix, text_slices, window_starts
 
 WINDOW = 50
 SLICE_BYTES = 16 << 20
 OUT = T.StructType().add("n_words", "long").add("n_removed", "long").add("kept_text", "string").add("removed_spans", T.ArrayType(T.StructType().add("start", "long").add("end", "long")))
+HITS = "_id long, _tag int, pos array<int>"
+NO_ID = np.iinfo(np.int64).max
 
 
-def _tags(texts: Texts, rolling: Rolling) -> np.ndarray:
-    """Tells apart documents of one id but different words."""
-    return rolling.at(texts.word_offsets[:-1], texts.n_words).astype(np.uint32)
+def _tags(x: Texts) -> np.ndarray:
+    """Tells apart documents of one id but different texts."""
+    return np.asarray(x.columns.column("_tag"), np.int32)
 
 
-def _pairs_of(texts: Texts, ids: np.ndarray, tags: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Match entries to the slice's documents by (id, tag): (index of document, position)."""
-    entry = np.rec.fromarrays([ids, tags], names="i,t")
-    own = np.rec.fromarrays([texts.ids, _tags(texts, Rolling(texts.hashes()))], names="i,t")
-    order = np.argsort(entry, order=("i", "t"), kind="stable") if len(entry) else np.empty(0, int)
-    entry = entry[order]
-    lo, hi = np.searchsorted(entry, own, "left"), np.searchsorted(entry, own, "right")
-    n = hi - lo
-    doc = np.repeat(np.arange(len(own)), n)
-    at = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-    return doc, pos[order][at]
+def _one_per_document(h: np.ndarray, doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries in order of document, then position.  (hash, document, least key) of each distinct
+    (hash, document), by hash."""
+    order = np.argsort(h, kind="stable")
+    h, doc, key = h[order], doc[order], key[order]
+    first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])))
+    return h[first], doc[first], np.minimum.reduceat(key, first)
+
+
+def _by_hash(h: np.ndarray, of: Callable, values: np.ndarray) -> np.ndarray:
+    """``of.reduceat`` over runs of equal hashes, for each entry."""
+    new = np.append(True, h[1:] != h[:-1])
+    return of.reduceat(values, np.flatnonzero(new))[np.cumsum(new) - 1]
+
+
+def _packs(x: Texts, doc: np.ndarray, pos: np.ndarray, bucket: np.ndarray | None, payload: np.ndarray | None, buckets: int) -> pa.RecordBatch:
+    """Packed entries; decided ones (without a payload) are dealt by document."""
+    order = np.lexsort((pos, doc))
+    doc, pos = doc[order], pos[order]
+    dealt = (mix(x.ids[doc].view(U)) % U(buckets)).astype(np.int32) if bucket is None else bucket[order]
+    return pack(dealt, doc, pos, x.ids, _tags(x), None if payload is None else payload[order])
 
 
 def _probes(id_col: str, text_col: str, block: int, window: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in text_slices(batches, id_col, text_col, SLICE_BYTES):
-            rolling = Rolling(x.hashes())
-            long_enough = x.n_words >= window
             start, doc = window_starts(x.word_offsets, block)
-            keep = long_enough[doc]
+            keep = (x.n_words >= window)[doc]
             start, doc = start[keep], doc[keep]
             if not len(start):
                 continue
-            h = rolling.at(start, block)
-            bucket = ((h >> U(32)) % U(buckets)).astype(np.int32)
-            yield pack(bucket, doc, start - x.word_offsets[doc], x.ids, _tags(x, rolling), h.astype(np.uint32))
+            pos = start - x.word_offsets[doc]
+            h, doc, key = _one_per_document(Rolling(x.hashes()).at(start, block), doc, pos + ((pos % block != 0).astype(np.int64) << 40))
+            anchor, pos, ids = key < 1 << 40, key & ((1 << 40) - 1), x.ids[doc]
+            least = _by_hash(h, np.minimum, np.where(anchor, ids, NO_ID))
+            hit = (ids > least) | (anchor & (ids < _by_hash(h, np.maximum, ids)))
+            if hit.any():
+                yield _packs(x, doc[hit], pos[hit], None, None, buckets)
+            ask = ids <= least
+            yield _packs(x, doc[ask], pos[ask], ((h[ask] >> U(32)) % U(buckets)).astype(np.int32), h[ask].astype(np.uint32), buckets)
 
     return run
 
 
-def _hits(block: int, buckets: int):
+def _hit_rows(ids: np.ndarray, tags: np.ndarray, pos: np.ndarray) -> pa.Table:
+    """A row for each document."""
+    order = np.lexsort((tags, ids))
+    ids, tags, pos = ids[order], tags[order], pos[order]
+    first = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1]))) if len(ids) else np.empty(0, int)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(ids)), pa.int32()), pa.array(pos.astype(np.int32)))
+    return pa.table({"_id": pa.array(ids[first]), "_tag": pa.array(tags[first], pa.int32()), "pos": lists})
+
+
+def _decided_and_rest(packs: pa.Table, payload_type) -> tuple[tuple, tuple]:
+    done = packs.column("decided")
+    return unpack(packs.filter(done))[:3], unpack(packs.filter(pc.invert(done)), payload_type)
+
+
+def _hits(block: int):
     def run(packs: pa.Table) -> pa.Table:
-        ids, tags, pos, h = unpack(packs, np.uint32)
-        order = np.argsort(h, kind="stable")
-        ids, tags, pos, h = ids[order], tags[order], pos[order], h[order]
-        group = np.cumsum(np.append(True, h[1:] != h[:-1])) - 1
-        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        anchor = pos % block == 0
-        least = np.minimum.reduceat(np.where(anchor, ids, np.iinfo(np.int64).max), first)[group]
-        most = np.maximum.reduceat(ids, first)[group]
-        keep = (ids > least) | (anchor & (ids < most))
-        return pa.Table.from_batches([_by_document(ids[keep], tags[keep], pos[keep], buckets)], PACK_ARROW)
+        done, (ids, tags, pos, h) = _decided_and_rest(packs, np.uint32)
+        if len(ids):
+            order = np.argsort(h, kind="stable")
+            ids, tags, pos, h = ids[order], tags[order], pos[order], h[order]
+            anchor = pos % block == 0
+            keep = (ids > _by_hash(h, np.minimum, np.where(anchor, ids, NO_ID))) | (anchor & (ids < _by_hash(h, np.maximum, ids)))
+            done = tuple(np.concatenate((a, b[keep])) for a, b in zip(done, (ids, tags, pos), strict=True))
+        return _hit_rows(*done)
 
     return run
 
 
-def _by_document(ids: np.ndarray, tags: np.ndarray, pos: np.ndarray, buckets: int) -> pa.RecordBatch:
-    order = np.lexsort((pos, tags, ids))
-    ids, tags, pos = ids[order], tags[order], pos[order]
-    new = np.append(True, (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1]))[: len(ids)]
-    return pack(bucket_of_long(ids, buckets), np.cumsum(new) - 1, pos, ids[new], tags[new], None)
+def _decide(packs: pa.Table) -> pa.Table:
+    done, (ids, tags, pos, h) = _decided_and_rest(packs, U)
+    if len(ids):
+        order = np.argsort(h, kind="stable")
+        ids, tags, pos, h = ids[order], tags[order], pos[order], h[order]
+        keep = ids > _by_hash(h, np.minimum, ids)
+        done = tuple(np.concatenate((a, b[keep])) for a, b in zip(done, (ids, tags, pos), strict=True))
+    return _hit_rows(*done)
 
 
-def _windows(id_col: str, text_col: str, block: int, window: int, buckets: int):
-    """Hash the whole windows that cover a hit block."""
+def _with_equal(x: Texts, hashes: Rolling, size: int, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, position) of every window of ``size`` words that equals one given by
+    (document, position) in its document: entries stand for all of a document's equal windows."""
+    if not len(doc):
+        return doc, at
+    start, of = window_starts(x.word_offsets, size)
+    keep = np.isin(of, doc)
+    start, of = start[keep], of[keep]
+    own = lambda d, s: mix(hashes.at(s, size) ^ mix(d.astype(U) + U(1)))
+    same = np.isin(own(of, start), own(doc, x.word_offsets[doc] + at))
+    return of[same], start[same] - x.word_offsets[of[same]]
 
-    def run(docs: pa.Table, hits: pa.Table) -> pa.Table:
-        out = []
-        if hits.num_rows:
-            ids, tags, pos, _ = unpack(hits)
-            for x in text_slices(docs.combine_chunks().to_batches(), id_col, text_col, SLICE_BYTES):
-                doc, at = _pairs_of(x, ids, tags, pos)
-                if not len(doc):
-                    continue
-                n_starts = np.maximum(x.n_words - window + 1, 0)
-                base = x.word_offsets[:-1]
-                total = x.word_offsets[-1] + 1
-                edge = np.zeros(total + 1, np.int64)
-                lo = np.maximum(at - (window - block), 0)
-                hi = np.minimum(at + 1, n_starts[doc])
-                ok = lo < hi
-                np.add.at(edge, base[doc[ok]] + lo[ok], 1)
-                np.add.at(edge, base[doc[ok]] + hi[ok], -1)
-                start = np.flatnonzero(np.cumsum(edge)[:total] > 0)
-                which = np.searchsorted(x.word_offsets, start, side="right") - 1
-                w = x.hashes()
-                tags_here = _tags(x, Rolling(w))
-                h = Rolling(w).at(start, window)
-                other = Rolling(x.hashes(1), MULT2).at(start, window)
-                bucket = ((other >> U(16)) % U(buckets)).astype(np.int32)
-                out.append(pack(bucket, which, start - base[which], x.ids, tags_here, h))
-        return pa.Table.from_batches(out, PACK_ARROW)
 
-    return run
+def _marks(x: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """(document, position) of the slice's joined positions."""
+    column = x.columns.column("_pos")
+    n = np.asarray(pc.fill_null(pc.list_value_length(column), 0), np.int64)
+    return np.repeat(np.arange(len(n)), n), np.asarray(column.flatten(), np.int64)
 
 
-def _decide(buckets: int):
-    def run(packs: pa.Table) -> pa.Table:
-        ids, tags, pos, h = unpack(packs, U)
-        order = np.argsort(h, kind="stable")
-        ids, tags, pos, h = ids[order], tags[order], pos[order], h[order]
-        new = np.append(True, h[1:] != h[:-1])
-        least = np.minimum.reduceat(ids, np.flatnonzero(new))[np.cumsum(new) - 1]
-        keep = ids > least
-        return pa.Table.from_batches([_by_document(ids[keep], tags[keep], pos[keep], buckets)], PACK_ARROW)
+def _windows(id_col: str, text_col: str, block: int, window: int, buckets: int):
+    """Hash the whole windows that cover a hit block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hit = (b.filter(b.column("_pos").is_valid()) for b in batches)
+        for x in text_slices(hit, id_col, text_col, SLICE_BYTES):
+            hashes = x.hashes()
+            doc, at = _with_equal(x, Rolling(hashes), block, *_marks(x))
+            n_starts = np.maximum(x.n_words - window + 1, 0)
+            base = x.word_offsets[:-1]
+            total = x.word_offsets[-1] + 1
+            edge = np.zeros(total + 1, np.int64)
+            lo = np.maximum(at - (window - block), 0)
+            hi = np.minimum(at + 1, n_starts[doc])
+            ok = lo < hi
+            np.add.at(edge, base[doc[ok]] + lo[ok], 1)
+            np.add.at(edge, base[doc[ok]] + hi[ok], -1)
+            start = np.flatnonzero(np.cumsum(edge)[:total] > 0)
+            if not len(start):
+                continue
+            which = np.searchsorted(x.word_offsets, start, side="right") - 1
+            h, doc, pos = _one_per_document(Rolling(hashes).at(start, window), which, start - base[which])
+            ids = x.ids[doc]
+            later = ids > _by_hash(h, np.minimum, ids)
+            if later.any():
+                yield _packs(x, doc[later], pos[later], None, None, buckets)
+            ask = ~later
+            other = Rolling(x.hashes(1), MULT2).at(base[doc[ask]] + pos[ask], window)
+            yield _packs(x, doc[ask], pos[ask], ((other >> U(16)) % U(buckets)).astype(np.int32), h[ask], buckets)
 
     return run
 
 
 def _remove(id_col: str, text_col: str, window: int, schema: pa.Schema, keep_cols: list[str]):
-    def run(docs: pa.Table, repeats: pa.Table) -> pa.Table:
-        ids, tags, pos, _ = unpack(repeats)
-        out = []
-        for x in text_slices(docs.combine_chunks().to_batches(), id_col, text_col, SLICE_BYTES):
-            no_id = x.columns.column(id_col).is_null().to_numpy(zero_copy_only=False)
-            doc, at = _pairs_of(x, ids, tags, pos) if len(ids) else (np.empty(0, int), np.empty(0, int))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in text_slices(batches, id_col, text_col):
+            doc, at = _marks(x)
+            if len(doc):
+                doc, at = _with_equal(x, Rolling(x.hashes()), window, doc, at)
             edge = np.zeros(x.word_offsets[-1] + window + 2, np.int64)
             np.add.at(edge, x.word_offsets[doc] + at, 1)
             np.add.at(edge, x.word_offsets[doc] + at + window, -1)
@@ -154,7 +194,7 @@ def _remove(id_col: str, text_col: str, window: int, schema: pa.Schema, keep_col
             n_removed, kept, spans = [], [], []
             for k in range(len(x.ids)):
                 words = x.text(k).split()
-                if touched[k] and not no_id[k]:
+                if touched[k]:
                     g = gone[x.word_offsets[k] : x.word_offsets[k + 1]]
                     turn = np.flatnonzero(np.diff(np.concatenate(([False], g, [False])).astype(np.int8)))
                     spans.append([{"start": int(a), "end": int(b)} for a, b in zip(turn[::2], turn[1::2], strict=True)])
@@ -165,8 +205,7 @@ def _remove(id_col: str, text_col: str, window: int, schema: pa.Schema, keep_col
                     n_removed.append(0)
                 kept.append(b" ".join(words))
             new = [pa.array(x.n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(spans, schema.field("removed_spans").type)]
-            out.append(pa.RecordBatch.from_arrays([x.columns.column(c) for c in keep_cols] + new, schema=schema))
-        return pa.Table.from_batches(out, schema)
+            yield pa.RecordBatch.from_arrays([x.columns.column(c) for c in keep_cols] + new, schema=schema)
 
     return run
 
@@ -184,14 +223,17 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
         raise ValueError("window must be at least 2")
     spark = docs.sparkSession
     block, buckets = window // 2, 2 * shuffle_partitions(spark)
-    keep_cols = [c for c in docs.columns if c not in OUT.fieldNames() and c != "bucket"]
-    docs = docs.select(*keep_cols)
-    with_id = docs.where(F.col(id_col).isNotNull())
-    probes = with_id.select(id_col, text_col).mapInArrow(_probes(id_col, text_col, block, window, buckets), PACK_SCHEMA)
-    hits = materialise(probes.groupBy("bucket").applyInArrow(_hits(block, buckets), PACK_SCHEMA), "substring-hits")
-    key = F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col)))
-    dealt = docs.withColumn("bucket", F.pmod(key, F.lit(buckets).cast("long")).cast("int"))
-    windows = dealt.groupBy("bucket").cogroup(hits.groupBy("bucket")).applyInArrow(_windows(id_col, text_col, block, window, buckets), PACK_SCHEMA)
-    repeats = windows.groupBy("bucket").applyInArrow(_decide(buckets), PACK_SCHEMA)
-    schema = T.StructType([*docs.schema.fields, *OUT.fields])
-    return dealt.groupBy("bucket").cogroup(repeats.groupBy("bucket")).applyInArrow(_remove(id_col, text_col, window, to_arrow_schema(schema), keep_cols), schema)
+    keep_cols = [c for c in docs.columns if c not in (*OUT.fieldNames(), "_id", "_tag", "_pos")]
+    schema = T.StructType([*docs.select(*keep_cols).schema.fields, *OUT.fields])
+    docs = docs.select(*keep_cols, F.col(id_col).cast("long").alias("_id"), F.hash(text_col).alias("_tag"))
+    probes = docs.where("_id is not null").mapInArrow(_probes("_id", text_col, block, window, buckets), PACK_SCHEMA)
+    hits = materialise(probes.groupBy("bucket").applyInArrow(_hits(block), HITS), "substring-hits")
+
+    def marked(found: DataFrame) -> DataFrame:
+        """The documents, with their positions in ``_pos``; a sort-merge join at every size."""
+        own = found.groupBy("_id", "_tag").agg(F.flatten(F.collect_list("pos")).alias("_pos"))
+        return docs.join(own.hint("merge"), ["_id", "_tag"], "left")
+
+    windows = marked(hits).mapInArrow(_windows("_id", text_col, block, window, buckets), PACK_SCHEMA)
+    repeats = windows.groupBy("bucket").applyInArrow(_decide, HITS)
+    return marked(repeats).mapInArrow(_remove("_id", text_col, window, to_arrow_schema(schema), keep_cols), schema)
