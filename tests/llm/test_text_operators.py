@@ -16,6 +16,7 @@ from public_tokenizers import path
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from voxlake.llm import bpe
 from voxlake.llm import near_dedup as N
 from voxlake.llm import quality_classifier as Q
 from voxlake.llm import queries
@@ -137,7 +138,7 @@ def test_substring_dedup_edges(spark, edge, edge_rows):
 
 
 def test_encoding(spark, texts, edge_rows):
-    rows = [*texts.items(), *((10000 + k, t) for k, (_, t, _, _) in enumerate(edge_rows) if t is None or len(t) < 150000)]
+    rows = [*texts.items(), *((10000 + k, t) for k, (_, t, _, _) in enumerate(edge_rows))]
     tok = Tokenizer.from_file(path("word_bpe_49k.json"))
     tok.no_truncation()
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("ids", F.lit("clash"))
@@ -152,6 +153,73 @@ def test_encoding(spark, texts, edge_rows):
     assert bpe_encode(df.limit(0), path("word_bpe_49k.json")).count() == 0
 
 
+def slice_of(texts):
+    return next(iter(text_slices([batch(texts)], "doc_id", "text", 1 << 30)))
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_chunks_and_joins_of_real_texts(texts, name):
+    """Bytes of chunks make the texts; ids equal the tokenizer's, also where every join breaks."""
+    tok = Tokenizer.from_file(path(name))
+    tok.no_truncation()
+    rows = [None, "", " \t\n ", *list(texts.values())[:60], "", "  a\tb\n\nc " * 300, "x", None]
+    x = slice_of(rows)
+    at, offsets = bpe.pieces_of(x)
+    assert [x.data[at[a] : at[b]].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [(t or "").encode() for t in rows]
+    ids, offsets = bpe.encode_slice(path(name), x)
+    for t, a, b in zip(rows, offsets[:-1], offsets[1:], strict=True):
+        assert ids[a:b].tolist() == tok.encode(t or "", add_special_tokens=False).ids
+
+
+@pytest.fixture(scope="module")
+def joining(tmp_path_factory):
+    """A tokenizer without pre-tokens, whose merges cross spaces: joins of chunks break."""
+    from tokenizers import models
+
+    letters = ["a", "b", "c", " "]
+    merges = [("a", " "), ("a ", "b"), ("b", " "), ("c", "a "), ("b", "c"), (" ", "a"), (" ", "c"), ("b ", "b")]
+    vocab = {t: k for k, t in enumerate([*letters, *("".join(m) for m in merges)])}
+    file = tmp_path_factory.mktemp("tokenizer") / "joining.json"
+    Tokenizer(models.BPE(vocab, merges)).save(str(file))
+    return str(file)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", "b", "c", "ab", "bc", "ca", "abc"]), max_size=60), max_size=4), st.sampled_from([" ", "  "]))
+def test_broken_joins_are_repaired(joining, rows, space):
+    made = [space.join(r) for r in rows]
+    tok = Tokenizer.from_file(joining)
+    mask, roll = bpe.CUT_MASK, bpe.ROLL
+    bpe.CUT_MASK, bpe.ROLL = 3, 2
+    try:
+        ids, offsets = bpe.encode_slice(joining, slice_of(made)) if made else ([], [0])
+    finally:
+        bpe.CUT_MASK, bpe.ROLL = mask, roll
+    for t, a, b in zip(made, offsets[:-1], offsets[1:], strict=True):
+        assert ids[a:b].tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
+def test_repair_runs_on_broken_joins(joining, monkeypatch):
+    calls = []
+    monkeypatch.setattr(bpe, "CUT_MASK", 3)
+    original = bpe._repair
+    monkeypatch.setattr(bpe, "_repair", lambda *a: calls.append(1) or original(*a))
+    rng = np.random.default_rng(0)
+    made = [" ".join(rng.choice(["a", "b", "c", "ab"], 200)) for _ in range(10)]
+    ids, offsets = bpe.encode_slice(joining, slice_of(made))
+    tok = Tokenizer.from_file(joining)
+    assert calls and [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [tok.encode(t, add_special_tokens=False).ids for t in made]
+
+
+def test_encoding_edges(spark, edge, edge_rows):
+    rows = bpe_encode(edge.withColumn("n_tokens", F.lit("clash")), path("word_bpe_49k.json")).collect()
+    assert collections.Counter((r.doc_id, r.n_words, r.kept) for r in rows) == collections.Counter((i, n, k) for i, _, n, k in edge_rows)
+    tok = Tokenizer.from_file(path("word_bpe_49k.json"))
+    tok.no_truncation()
+    want = collections.Counter((i, tuple(tok.encode(t or "", add_special_tokens=False).ids)) for i, t, _, _ in edge_rows)
+    assert collections.Counter((r.doc_id, tuple(r.ids)) for r in rows) == want
+
+
 def test_packing(spark, texts, edge_rows):
     rows = [*texts.items(), *((10000 + k, t) for k, (_, t, _, _) in enumerate(edge_rows) if t is None or len(t) < 150000)]
     tok = Tokenizer.from_file(path("byte_bpe_50k.json"))

@@ -1,11 +1,12 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
-A text is cut into chunks where a rolling hash of the last words says so, so texts that
-share a passage share its chunks.  Each chunk is encoded once and then reused by its hash,
-within a worker and across documents and tasks.  Joins of chunks are then repaired: the
-words around a join are encoded together, over the true white space between them, and the
-stretch is widened until its outer words come out as they do alone; those ids replace the
-chunks' own.  If a stretch never agrees, the whole text is encoded in one go.
+A text is cut into pieces, each a word with the white space after it, and into chunks of
+pieces where a rolling hash of the last pieces says so; texts that share a passage share its
+chunks.  The bytes of a chunk are encoded as one text, once, and reused by their hash, within
+a worker and across documents and tasks.  A join of two chunks stands if the pieces around it
+come out together as they do on each side.  Where they don't, the join is re-encoded over
+ever more pieces until two widths agree on what to replace on each side; if that doesn't fit
+the chunks' ids, the whole text is encoded in one go.
 
 No shuffle: texts are read once, and only their ids leave the task.
 """
@@ -22,109 +23,132 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from voxlake.llm.tokens import Memo, encode_apart, gather, ids_of, offsets_of, tokenizer
-from voxlake.llm.wordhash import Rolling, Texts, U, text_slices
+from voxlake.llm.wordhash import Rolling, Texts, U, hash_words, mix, text_slices
 
-ROLL = 8  # words that decide about a cut
-CUT_MASK = 127  # a chunk has about this many words
-_MEMOS: dict[str, tuple[Memo, Memo, Memo]] = {}
+ROLL = 8  # pieces that decide about a cut
+CUT_MASK = 127  # a chunk has about this many pieces
+AROUND = 2  # pieces on each side that a join is first judged by
+RIM = 3  # ids next to a join that a chunk has to share with what the join was judged by
+NONE = 2**32 - 1
+_MEMOS: dict[str, tuple[Memo, Memo]] = {}
 
 
-def _memos(path: str) -> tuple[Memo, Memo, Memo]:
+def _memos(path: str) -> tuple[Memo, Memo]:
+    """Of chunks and of joins, by hash; bounded."""
     if path not in _MEMOS:
-        _MEMOS[path] = (Memo(400_000), Memo(60_000), Memo(300_000))
+        _MEMOS[path] = (Memo(60_000), Memo(300_000))
     return _MEMOS[path]
 
 
-def chunk_starts(rolling: Rolling, word_offsets: np.ndarray) -> np.ndarray:
-    """First words of the content-defined chunks; every text with words begins one."""
-    n = int(word_offsets[-1])
+def pieces_of(x: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """(starts in the data with the end of all after the last, offsets of texts in them).
+
+    A piece is a word and what follows it up to the next word; a text's first piece begins
+    with the text.  A text of nothing but white space is one piece."""
+    start = x.start.copy()
+    has = x.n_words > 0
+    start[x.word_offsets[:-1][has]] = x.offsets[:-1][has]
+    blank = x.offsets[:-1][~has & (np.diff(x.offsets) > 0)]
+    start = np.sort(np.concatenate((start, blank)))
+    return np.append(start, x.offsets[-1]), np.searchsorted(start, x.offsets)
+
+
+def chunk_starts(rolling: Rolling, offsets: np.ndarray) -> np.ndarray:
+    """First pieces of the content-defined chunks; every text with pieces begins one."""
+    n = int(offsets[-1])
     start = np.zeros(n + 1, bool)
     if n > ROLL:
         h = rolling.at(np.arange(n - ROLL), ROLL)
         start[ROLL:n] = (h & U(CUT_MASK)) == 0
-    start[word_offsets] = True
+    start[offsets] = True
     start[n] = False
     return np.flatnonzero(start)
 
 
-def join_agrees(tok, left: list[bytes], right: list[bytes], between: bytes, alone) -> np.ndarray | None:
-    """The ids of ``left`` + ``between`` + ``right`` if the outer words come out as alone."""
-    ids = ids_of(tok, (b" ".join(left) + between + b" ".join(right)).decode("utf-8", "replace"))
-    head, tail = alone(left[0]), alone(right[-1])
-    ok = len(ids) >= len(head) + len(tail) and np.array_equal(ids[: len(head)], head) and np.array_equal(ids[len(ids) - len(tail) :], tail)
-    return ids if ok else None
+def splice(left: np.ndarray, right: np.ndarray, both: np.ndarray) -> tuple[int, int, np.ndarray]:
+    """(ids lost at the end of ``left``, ids lost at the start of ``right``, ids between): what
+    makes ``both`` of the ids of two sides."""
+    n = min(len(left), len(both))
+    differ = np.flatnonzero(left[:n] != both[:n])
+    head = int(differ[0]) if len(differ) else n
+    n = min(len(right), len(both) - head)
+    differ = np.flatnonzero(right[len(right) - n :][::-1] != both[len(both) - n :][::-1])
+    tail = int(differ[0]) if len(differ) else n
+    return len(left) - head, len(right) - tail, both[head : len(both) - tail]
 
 
 def encode_slice(path: str, x: Texts) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts in a row, offsets of texts in them)."""
-    tok, (word_memo, chunk_memo, join_memo) = tokenizer(path), _memos(path)
-    hashes = x.hashes()
-    rolling = Rolling(hashes)
-    first = chunk_starts(rolling, x.word_offsets)
-    size = np.diff(np.append(first, x.word_offsets[-1]))
-    alone = lambda w: ids_of(tok, w.decode("utf-8", "replace"))
-
-    def words(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return encode_apart(tok, [x.word(k) for k in at.tolist()])
-
-    def chunks(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        w = gather(np.arange(len(hashes)), first[at], size[at])
-        count, ids = word_memo.runs(hashes[w], lambda new: words(w[new]))
-        return np.add.reduceat(count, offsets_of(size[at])[:-1]).astype(np.int64) if len(at) else count, ids
-
-    def joins(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each join (its right chunk's first word): 1 if the ids on both sides stand."""
-        pairs = [x.data[x.start[k - 1] : x.end[k]].tobytes() for k in at.tolist()]
-        count, ids = encode_apart(tok, pairs)
-        side = np.stack((at - 1, at), 1).ravel()
-        n, flat = word_memo.runs(hashes[side], lambda new: words(side[new]))
-        n = n.reshape(-1, 2).sum(1)
-        same = n == count
-        got, want = np.split(ids, np.cumsum(count)[:-1]), np.split(flat, np.cumsum(n)[:-1])
-        same &= np.array([np.array_equal(g, w) for g, w in zip(got, want, strict=True)], bool)
-        return np.ones(len(at), np.int64), same.astype(np.uint32)
-
-    chunk_doc = np.searchsorted(x.word_offsets, first, side="right") - 1
+    tok, (chunk_memo, join_memo) = tokenizer(path), _memos(path)
     n_doc = len(x.ids)
-    if not len(first):
+    at, texts = pieces_of(x)
+    if len(at) == 1:
         return np.empty(0, np.uint32), np.zeros(n_doc + 1, np.int64)
-    count, ids = chunk_memo.runs(rolling.at(first, size), chunks)
-    doc_count = np.bincount(chunk_doc, weights=count, minlength=n_doc).astype(np.int64)
-    inner = first[1:][chunk_doc[1:] == chunk_doc[:-1]]
-    bad: set[int] = set()
+    rolling = Rolling(hash_words(x.data, at[:-1], at[1:]))
+    first = chunk_starts(rolling, texts)
+    bounds = np.append(first, texts[-1])
+    size = np.diff(bounds)
+    count, ids = chunk_memo.runs(rolling.at(first, size), lambda new: encode_apart(tok, [x.data[at[bounds[k]] : at[bounds[k + 1]]].tobytes() for k in new.tolist()]))
+    doc = np.searchsorted(texts, first, side="right") - 1
+    inner = np.flatnonzero(doc[1:] == doc[:-1]) + 1  # chunks that have one before them in their text
+    bad: list[int] = []
     if len(inner):
-        gap = x.start[inner] - x.end[inner - 1]
-        space = x.data[x.end[inner - 1]].astype(U) + U(256) * np.minimum(gap, 1 << 20).astype(U)
-        _, stands = join_memo.runs(rolling.at(inner - 1, 2) ^ (space * U(0x9E3779B97F4A7C15)), lambda new: joins(inner[new]))
-        broken = inner[stands == 0]
-        bad = set((np.searchsorted(x.word_offsets, broken, side="right") - 1).tolist())
-    offsets = offsets_of(doc_count)
+        a, b = first[inner] - np.minimum(size[inner - 1], AROUND), first[inner] + np.minimum(size[inner], AROUND)
+
+        def joins(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """For each join: 1 if the ids of its sides stand side by side, then the last ids of
+            the left side, from the join on, and the first ones of the right side."""
+            texts_of = [x.data[at[u] : at[v]].tobytes() for k in new.tolist() for u, v in ((a[k], first[inner[k]]), (first[inner[k]], b[k]), (a[k], b[k]))]
+            n, found = encode_apart(tok, texts_of)
+            runs = np.split(found, np.cumsum(n)[:-1])
+            out = np.full((len(new), 1 + 2 * RIM), NONE, np.uint32)
+            for k, row in enumerate(out):
+                left, right, both = runs[3 * k : 3 * k + 3]
+                row[0] = np.array_equal(np.concatenate((left, right)), both)
+                near, far = left[::-1][:RIM], right[:RIM]
+                row[1 : 1 + len(near)], row[1 + RIM : 1 + RIM + len(far)] = near, far
+            return np.full(len(new), out.shape[1], np.int64), out.ravel()
+
+        key = rolling.at(a, b - a) ^ mix((b - first[inner]).astype(U))
+        judged = join_memo.runs(key, joins)[1].reshape(len(inner), -1)
+        stands, end = judged[:, 0] == 1, offsets_of(count)[:-1][inner]
+        for k in range(RIM):
+            for seen, place, within in ((judged[:, 1 + k], end - 1 - k, count[inner - 1] > k), (judged[:, 1 + RIM + k], end + k, count[inner] > k)):
+                stands &= (seen == NONE) | within & (ids[np.clip(place, 0, len(ids) - 1)] == seen)
+        bad = np.unique(doc[inner[~stands]]).tolist()
+    offsets = offsets_of(np.bincount(doc, weights=count, minlength=n_doc).astype(np.int64))
     if not bad:
         return ids, offsets
     runs = np.split(ids, offsets[1:-1])
-    chunk_ids, chunk_off = ids, offsets_of(count)
+    parts = np.split(ids, offsets_of(count)[1:-1])
     for d in bad:
-        own = np.flatnonzero(chunk_doc == d)
-        runs[d] = _repair(tok, x, d, [chunk_ids[chunk_off[k] : chunk_off[k + 1]] for k in own], first[own], size[own], alone)
+        lo, hi = np.searchsorted(doc, (d, d + 1))
+        runs[d] = _repair(tok, x.data, at, parts[lo:hi], bounds[lo : hi + 1])
     return np.concatenate(runs), offsets_of(np.array([len(r) for r in runs]))
 
 
-def _repair(tok, x: Texts, d: int, parts: list[np.ndarray], first: np.ndarray, size: np.ndarray, alone) -> np.ndarray:
-    """Re-encode around each join of one text, ever wider, until the outer words agree."""
+def _repair(tok, data: np.ndarray, at: np.ndarray, parts: list[np.ndarray], bounds: np.ndarray) -> np.ndarray:
+    """The ids of one text from those of its chunks, whose first pieces are ``bounds``."""
+    ids = lambda a, b: ids_of(tok, data[at[a] : at[b]].tobytes().decode("utf-8", "replace"))
     done = parts[0]
     for k in range(1, len(parts)):
-        width, fixed = 1, None
-        while fixed is None and width <= min(size[k - 1], size[k]):
-            left = [x.word(w) for w in range(first[k] - width, first[k])]
-            right = [x.word(w) for w in range(first[k], first[k] + width)]
-            ids = join_agrees(tok, left, right, x.data[x.end[first[k] - 1] : x.start[first[k]]].tobytes(), alone)
-            n_left, n_right = len(alone(b" ".join(left))), len(alone(b" ".join(right)))
-            if ids is not None and n_left <= len(done) and n_right <= len(parts[k]):
-                fixed = np.concatenate((done[: len(done) - n_left], ids, parts[k][n_right:]))
-            width *= 2
-        if fixed is None:
-            return ids_of(tok, x.text(d).decode("utf-8", "replace"))
-        done = fixed
+        low, here, high = bounds[k - 1 : k + 2].tolist()
+        width, before = AROUND, None
+        while True:
+            a, b = max(low, here - width), min(high, here + width)
+            left, right, both = ids(a, here), ids(here, b), ids(a, b)
+            lost_left, lost_right, between = splice(left, right, both)
+            now = (lost_left, lost_right, between.tobytes())
+            # what goes, and the ids next to it, must be the chunks' own
+            n_left, n_right = min(len(left), lost_left + RIM), min(len(right), lost_right + RIM)
+            fits = n_left <= len(done) and np.array_equal(done[len(done) - n_left :], left[len(left) - n_left :]) and np.array_equal(parts[k][:n_right], right[:n_right])
+            reached = (a > low and lost_left == len(left)) or (b < high and lost_right == len(right))  # no id at the rim agrees
+            if fits and not reached and (now == before or (a, b) == (low, high)):
+                break
+            if (a, b) == (low, high):
+                return ids(bounds[0], bounds[-1])
+            before, width = now, 2 * width
+        done = np.concatenate((done[: len(done) - lost_left], between, parts[k][lost_right:]))
     return done
 
 
@@ -166,8 +190,8 @@ _DECODERS: dict[str, _Decoder] = {}
 def bpe_encode(docs: DataFrame, vocabulary: str, digests: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and decode whole texts with the tokenizer file ``vocabulary``.
 
-    The tokenizer has to part texts at ASCII white space; joins are checked against it, see
-    the module.
+    Joins of chunks are checked against the tokenizer, see the module; it has to settle a
+    place in a text by the words around it, as BPE over pre-tokens does.
 
     Returns the columns of ``docs`` but the text, with ``n_tokens`` (long) and either
     ``ids`` (array of long) and ``decoded`` (string), or with ``digests`` the lower-case hex
