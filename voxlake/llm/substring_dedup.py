@@ -33,7 +33,7 @@ from voxlake.llm.common import PACK_ARROW, PACK_SCHEMA, materialise, pack, shuff
 from voxlake.llm.wordhash import MULT2, Rolling, Texts, U, mix, text_slices, window_starts
 
 WINDOW = 50
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 6 << 20
 OUT = T.StructType().add("n_words", "long").add("n_removed", "long").add("kept_text", "string").add("removed_spans", T.ArrayType(T.StructType().add("start", "long").add("end", "long")))
 HITS = "_id long, _tag int, pos array<int>"
 NO_ID = np.iinfo(np.int64).max
