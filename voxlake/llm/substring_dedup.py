@@ -88,13 +88,17 @@ def _probes(id_col: str, text_col: str, block: int, window: int, buckets: int):
     return run
 
 
-def _hit_rows(ids: np.ndarray, tags: np.ndarray, pos: np.ndarray) -> pa.Table:
-    """A row for each document."""
+def _hit_rows(done: tuple, found: tuple) -> pa.Table:
+    """A row for each document of a slice that decided it, and one for each position found here:
+    as many whatever the number of buckets."""
+    ids, tags, pos = done
     order = np.lexsort((tags, ids))
     ids, tags, pos = ids[order], tags[order], pos[order]
     first = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1]))) if len(ids) else np.empty(0, int)
-    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(ids)), pa.int32()), pa.array(pos.astype(np.int32)))
-    return pa.table({"_id": pa.array(ids[first]), "_tag": pa.array(tags[first], pa.int32()), "pos": lists})
+    start = np.concatenate((first, len(ids) + np.arange(len(found[0]) + 1)))
+    ids, tags, pos = np.concatenate((ids[first], found[0])), np.concatenate((tags[first], found[1])), np.concatenate((pos, found[2]))
+    lists = pa.ListArray.from_arrays(pa.array(start, pa.int32()), pa.array(pos.astype(np.int32)))
+    return pa.table({"_id": pa.array(ids), "_tag": pa.array(tags, pa.int32()), "pos": lists})
 
 
 def _decided_and_rest(packs: pa.Table, payload_type) -> tuple[tuple, tuple]:
@@ -110,8 +114,8 @@ def _hits(block: int):
             ids, tags, pos, h = ids[order], tags[order], pos[order], h[order]
             anchor = pos % block == 0
             keep = (ids > _by_hash(h, np.minimum, np.where(anchor, ids, NO_ID))) | (anchor & (ids < _by_hash(h, np.maximum, ids)))
-            done = tuple(np.concatenate((a, b[keep])) for a, b in zip(done, (ids, tags, pos), strict=True))
-        return _hit_rows(*done)
+            ids, tags, pos = ids[keep], tags[keep], pos[keep]
+        return _hit_rows(done, (ids, tags, pos))
 
     return run
 
@@ -122,8 +126,8 @@ def _decide(packs: pa.Table) -> pa.Table:
         order = np.argsort(h, kind="stable")
         ids, tags, pos, h = ids[order], tags[order], pos[order], h[order]
         keep = ids > _by_hash(h, np.minimum, ids)
-        done = tuple(np.concatenate((a, b[keep])) for a, b in zip(done, (ids, tags, pos), strict=True))
-    return _hit_rows(*done)
+        ids, tags, pos = ids[keep], tags[keep], pos[keep]
+    return _hit_rows(done, (ids, tags, pos))
 
 
 def _with_equal(x: Texts, hashes: Rolling, size: int, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
