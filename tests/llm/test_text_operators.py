@@ -18,13 +18,14 @@ from tokenizers import Tokenizer
 
 from voxlake.llm import bpe
 from voxlake.llm import near_dedup as N
+from voxlake.llm import packing
 from voxlake.llm import quality_classifier as Q
 from voxlake.llm import queries
 from voxlake.llm import substring_dedup as substring
 from voxlake.llm.bpe import bpe_encode
 from voxlake.llm.common import materialise
 from voxlake.llm.near_dedup import near_duplicates
-from voxlake.llm.packing import best_fit_plan, pack_documents
+from voxlake.llm.packing import best_fit_pack, meet, pack_documents, sweep
 from voxlake.llm.quality_rules import Rule, first_rejection, quality_cascade
 from voxlake.llm.substring_dedup import substring_dedup
 from voxlake.llm.wordhash import Rolling, hash_words, text_slices, window_starts
@@ -111,12 +112,12 @@ def hit_rows_of(spark, docs, partitions):
 
 
 def test_substring_rows_do_not_grow_with_partitions(spark):
-    """Hit rows are at most one for each hit, whatever the number of partitions."""
+    """Hit rows are as many, whatever the number of partitions."""
     base = " ".join(f"t{k}" for k in range(400))
     docs = spark.createDataFrame([(k, f"x{k} {base} y{k}") for k in range(60)], "doc_id long, text string").repartition(3)
     (few, a), (many, b) = hit_rows_of(spark, docs, 4), hit_rows_of(spark, docs, 64)
     assert a == b and len(a) == 60 and sum(n for _, n in a) == 59 * 400
-    assert few <= many <= 60 * 16 + 3 * 400
+    assert few == many <= 60 + 3 * 400
 
 
 def test_substring_dedup_of_one_word_over_and_over(spark):
@@ -221,7 +222,7 @@ def test_encoding_edges(spark, edge, edge_rows):
 
 
 def test_packing(spark, texts, edge_rows):
-    rows = [*texts.items(), *((10000 + k, t) for k, (_, t, _, _) in enumerate(edge_rows) if t is None or len(t) < 150000)]
+    rows = [*texts.items(), *((10000 + k, t) for k, (_, t, _, _) in enumerate(edge_rows))]
     tok = Tokenizer.from_file(path("byte_bpe_50k.json"))
     tok.no_truncation()
     got = collections.defaultdict(list)
@@ -248,29 +249,88 @@ def test_packing(spark, texts, edge_rows):
     assert len(sequences) <= math.ceil(total / 1024) * 1.02 + 1
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.dictionaries(st.integers(1, 30), st.integers(1, 60), max_size=12))
-def test_plan_is_best_fit_decreasing(counts):
-    capacity = 30
-    bins: list[int] = []
-    for length in sorted(counts, reverse=True):
-        for _ in range(counts[length]):
-            fits = [k for k, room in enumerate(bins) if room >= length]
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 40), st.booleans()), max_size=60))
+def test_one_sweep_is_best_fit_decreasing(rows):
+    rows = sorted(rows, key=lambda r: (-r[0], r[1]))
+    gaps = {k: n for k, (n, is_doc) in enumerate(rows) if not is_doc}
+    want, without = [], []
+    for k, (n, is_doc) in enumerate(rows):
+        if is_doc:
+            fits = [(room, g) for g, room in gaps.items() if room >= n]
             if fits:
-                bins[min(fits, key=lambda k: bins[k])] -= length
+                room, g = min(fits)
+                want.append((n, room))
+                gaps[g] -= n
             else:
-                bins.append(capacity - length)
-    used = collections.defaultdict(set)
-    placed = collections.Counter()
-    for length, _, many, first, offset, per in best_fit_plan(dict(counts), capacity):
-        for r in range(many):
-            at = offset + r % per * length
-            cells = set(range(at, at + length))
-            assert not cells & used[first + r // per] and at + length <= capacity
-            used[first + r // per] |= cells
-            placed[length] += 1
-    assert placed == collections.Counter(counts)
-    assert len(used) <= len(bins) * 1.05 + 1
+                without.append(n)
+    seq = list(range(len(rows)))
+    found, rest, left, smaller = sweep([n for n, _ in rows], [d for _, d in rows], seq, [0] * len(rows))
+    assert [rows[k][0] for k in rest] == without and [rows[k][0] for k, _, _ in found] == [n for n, _ in want]
+    assert sorted(n for n, _, _ in left + smaller) == sorted(n for n in gaps.values() if n)
+    assert [n for n, _, _ in left] == sorted((n for n, _, _ in left), reverse=True)
+    for s in {s for _, s, _ in found}:
+        own = sorted((a, rows[k][0]) for k, t, a in found if t == s)
+        assert all(a == sum(n for _, n in own[:i]) for i, (a, _) in enumerate(own)) and sum(n for _, n in own) <= rows[s][0]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 5), st.integers(0, 5)), max_size=8))
+def test_ranges_meet_in_order(sizes):
+    """Documents of a range, the longest first, take the last gaps of the ranges before."""
+    met = meet([(p, d) for p, (d, _) in enumerate(sizes)], [(p, g) for p, (_, g) in enumerate(sizes)])
+    stack, want = [], []
+    for p, (d, g) in enumerate(sizes):
+        for k in range(d):
+            if stack:
+                want.append((p, k, *stack.pop()))
+        stack += [(p, k) for k in range(g)]
+    left = {p: g for p, (_, g) in enumerate(sizes)}
+    got = []
+    for p, first, n, q in met:
+        got += [(p, first + k, q, left[q] - 1 - k) for k in range(n)]
+        left[q] -= n
+    assert got == want
+
+
+def best_fit_decreasing(lengths, capacity):
+    bins: list[int] = []
+    for length in sorted(lengths, reverse=True):
+        fits = [k for k, room in enumerate(bins) if room >= length]
+        if fits:
+            bins[min(fits, key=lambda k: bins[k])] -= length
+        else:
+            bins.append(capacity - length)
+    return len(bins)
+
+
+@pytest.mark.parametrize("case", ["mixed", "one length", "short", "whole", "thirds", "none"])
+def test_supersteps_pack_like_best_fit(spark, case, monkeypatch):
+    """Many small ranges: most documents find their gap across ranges."""
+    monkeypatch.setattr(packing, "RANGE_ROWS", 60)
+    rng = np.random.default_rng(2)
+    lengths = {"mixed": rng.integers(1, 101, 300), "one length": np.full(200, 30), "short": rng.integers(1, 4, 400), "whole": np.full(20, 100), "thirds": np.repeat([33, 34, 50, 100, 1], 40), "none": np.empty(0, int)}[case].tolist()
+    rows = [(None if k % 50 == 0 else k % 40, 0, n, "x") for k, n in enumerate(lengths)]
+    found = best_fit_pack(spark.createDataFrame(rows, "doc_id long, piece int, length long, offset string"), 100).collect()
+    assert sorted((str(r.doc_id), r.length) for r in found) == sorted((str(i), n) for i, _, n, _ in rows)
+    spans = collections.defaultdict(list)
+    for r in found:
+        spans[r.sequence_id].append((r.offset, r.length))
+    for own in spans.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 100
+    assert len(spans) <= best_fit_decreasing(lengths, 100) * 1.03 + 1
+
+
+def test_packing_edges(spark, edge, edge_rows):
+    found = pack_documents(edge, path("byte_bpe_50k.json")).collect()
+    assert sum(r.piece == 0 for r in found) == len(edge_rows)
+    assert sum(r.length for r in found if r.doc_id in (1, 2)) == 2
+    assert sum(r.piece == 0 for r in found if r.doc_id == 9) == 3 and sum(r.piece == 0 for r in found if r.doc_id is None) == 2
+    assert pack_documents(edge.limit(0), path("byte_bpe_50k.json")).count() == 0
 
 
 def plain_classes(rows, least=0.8):

@@ -1,30 +1,34 @@
 """Best-fit packing of tokenised documents into sequences of a fixed capacity.
 
-Bulk-synchronous best fit.  Documents are range-sorted by length: one superstep takes all
-documents of one length, longest first.  The open gaps are kept range-sorted by size, and
-one sweep gives the documents the smallest gaps that hold them; documents compete for the
-gaps of one size by rank, the r-th document taking the r-th gap.  Then gaps shrink, and the
-next superstep begins.  Documents without a gap open new sequences.
-
-Gaps of one size and history are one run (size, first sequence, how many), so the table of
-gaps is bounded by the capacity and not by the data: matching works on counts of lengths
-(at most ``capacity`` rows), and yields assignments of rank intervals.  What is as large as
-the data stays distributed: ranks of documents (a window within length and salt, plus
-offsets of the salts) and their join with the assignments.
+Bulk-synchronous best fit.  In a superstep documents and open gaps are range-sorted together by
+size, largest first.  A sweep over each range gives every document its successor, the smallest
+gap that can hold it and that no longer document takes; what is left of a gap stays open in the
+range if its size lies there.  What a range leaves over is its longest documents and its smallest
+gaps, by rank; the counts of all ranges (a row for each range and length) tell which ranks of one
+range meet which of another, and an ordinary join brings them together.  Then gaps shrink and
+the next superstep begins.  Sequences are opened for documents of more than half the capacity,
+then, for the longest documents left, as many as all packings need at least, and where no gap
+can hold a document.
+
+Ranges have about ``RANGE_ROWS`` rows, and equal sizes are parted by a hash, so a length that a
+third of all documents have is dealt over many ranges.  Only counts reach the driver.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from voxlake.llm.common import materialise, shuffle_partitions
+from voxlake.llm.common import materialise
 from voxlake.llm.tokens import Memo, encode_apart, ids_of, offsets_of, tokenizer
 from voxlake.llm.wordhash import Texts, U, hash_words, text_slices
 
@@ -119,77 +123,203 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end
     return docs.select(id_col, text_col).mapInArrow(run, PIECES)
 
 
-def best_fit_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
-    """Assignments (length, first rank, how many, first sequence, offset, per sequence).
-
-    The document of rank r in an assignment goes to sequence ``first + (r - rank) // per`` at
-    ``offset + (r - rank) % per * length``."""
-    plan: list[tuple[int, int, int, int, int, int]] = []
-    gaps: dict[int, list[tuple[int, int]]] = {}  # size -> runs (first sequence, how many)
-    sizes: list[int] = []
-    opened = 0
-
-    def leave(size: int, first: int, n: int) -> None:
-        if size and n:
-            if size not in gaps:
-                gaps[size] = []
-                insort(sizes, size)
-            gaps[size].append((first, n))
-
-    for length in sorted(counts, reverse=True):
-        left, rank = counts[length], 0
-
-        def put(n: int, first: int, offset: int, per: int, room: int, length=length) -> None:
-            """``n`` documents into sequences of ``room`` free tokens from ``first`` on."""
-            nonlocal left, rank
-            plan.append((length, rank, n, first, offset, per))
-            full, rest = divmod(n, per)
-            leave(room - per * length, first, full)
-            leave(room - rest * length, first + full, 1 if rest else 0)
-            left, rank = left - n, rank + n
-
-        while left and (at := bisect_left(sizes, length)) < len(sizes):
-            room = sizes[at]
-            first, n = gaps[room].pop(0)
-            if not gaps[room]:
-                del gaps[room], sizes[at]
-            per = room // length
-            used = min(n, -(-left // per))
-            if used < n:
-                leave(room, first + used, n - used)
-            put(min(left, used * per), first, capacity - room, per, room)
-        if left:
-            per = capacity // length
-            need = -(-left // per)
-            opened, first = opened + need, opened
-            put(left, first, 0, per, capacity)
-    return plan
+GAP, DOC, PLACED, SHRUNK = 0, 1, 2, 3  # roles of rows
+RANGE_ROWS = 20_000  # of documents and gaps, at least, if there are so many
+INTERVALS = "part int, low long, high long, pair int, first long, step int"
+OPENED = "size long, first_rank long, take long, first_seq long, per long"
+
+
+def sweep(size: list[int], is_doc: list[bool], seq: list[int], at: list[int]) -> tuple[list, list, list, list]:
+    """One range, largest first, gaps before documents of their size.
+
+    (documents that found a gap as (place, sequence, offset), places of the others, gaps left as
+    (size, sequence, offset) from the largest on, gaps left that are smaller than the range)."""
+    low = size[-1] if size else 0
+    stack: list[tuple] = []  # open gaps, the smallest last
+    later: list[tuple] = []  # rests of gaps that come when the sweep reaches their size
+    found, without, smaller = [], [], []
+    for k, n in enumerate(size):
+        while later and -later[0][0] >= n:
+            stack.append(heappop(later))
+        if not is_doc[k]:
+            stack.append((-n, seq[k], at[k]))
+        elif stack:
+            room, s, a = stack.pop()
+            found.append((k, s, a))
+            if -room - n >= max(low, 1):
+                heappush(later, (room + n, s, a + n))
+            elif -room > n:
+                smaller.append((-room - n, s, a + n))
+        else:
+            without.append(k)
+    stack += sorted(later)
+    return found, without, [(-n, s, a) for n, s, a in stack], smaller
+
+
+def _sweeps(schema: pa.Schema):
+    """Match within a range; the rest keeps its rank among the range's documents or gaps."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        t = pa.Table.from_batches(held).combine_chunks()
+        role, size, seq, at = (t.column(c).to_numpy() for c in ("role", "size", "seq", "at"))
+        found, without, gaps, smaller = sweep(size.tolist(), (role == DOC).tolist(), seq.tolist(), at.tolist())
+        row = t.column("row").combine_chunks()
+        row = row.combine_chunks() if isinstance(row, pa.ChunkedArray) else row
+        part = TaskContext.get().partitionId()
+
+        def rows(role: int, size, seq, at, row) -> pa.RecordBatch:
+            n = len(size)
+            cols = [np.full(n, role), np.full(n, part), np.arange(n), size, seq, at]
+            return pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(cols, schema, strict=False)), row], schema=schema)
+
+        where = np.array([k for k, _, _ in found], int)
+        yield rows(PLACED, size[where], [s for _, s, _ in found], [a for _, _, a in found], row.take(pa.array(where)))
+        yield rows(DOC, size[without], seq[without], at[without], row.take(pa.array(without, pa.int64())))
+        for kind, some in ((GAP, gaps), (SHRUNK, smaller)):
+            yield rows(kind, *(list(zip(*some, strict=True)) or ([], [], [])), pa.nulls(len(some), row.type))
+
+    return run
+
+
+def meet(docs: list[tuple[int, int]], gaps: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
+    """(range of documents, first rank, how many, range of gaps) of what meets across ranges,
+    from the numbers of documents and gaps that each range leaves, ranges in order.
+
+    The documents of a range come before its gaps, and take the last ones of the ranges before."""
+    stack: list[list[int]] = []
+    found = []
+    n_docs, n_gaps = dict(docs), dict(gaps)
+    for part in sorted({*n_docs, *n_gaps}):
+        rank, left = 0, n_docs.get(part, 0)
+        while left and stack:
+            top = stack[-1]
+            n = min(left, top[1])
+            found.append((part, rank, n, top[0]))
+            rank, left, top[1] = rank + n, left - n, top[1] - n
+            if not top[1]:
+                stack.pop()
+        if n_gaps.get(part):
+            stack.append([part, n_gaps[part]])
+    return found
+
+
+def open_sequences(counts: dict[int, int], free: int, largest: int, capacity: int, first: int) -> list[tuple[int, int, int, int, int]]:
+    """(length, rank of its first document, documents taken, first new sequence, documents in
+    each) for the documents left, ``counts`` by length, with ``free`` tokens in gaps."""
+    per = lambda k: capacity // k
+    need = sum(n for k, n in counts.items() if 2 * k > capacity)
+    if not need:
+        need = -(-(sum(k * n for k, n in counts.items()) - free) // capacity)
+    if need <= 0 and max(counts, default=0) > largest:  # room enough in all, but no gap that holds the longest
+        need = sum(-(-n // per(k)) for k, n in counts.items() if k > largest)
+    out, rank = [], 0
+    for k in sorted(counts, reverse=True):
+        if need <= 0:
+            break
+        opened = min(need, -(-counts[k] // per(k)))
+        out.append((k, rank, min(counts[k], opened * per(k)), first, per(k)))
+        rank, first, need = rank + counts[k], first + opened, need - opened
+    return out
 
 
 def best_fit_pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Give each piece (``doc_id``, ``piece``, ``length`` from 1 to ``capacity``) its
     ``sequence_id`` and ``offset``; sequences are gapless from 0.
 
-    Ranks within a length follow (salt, doc_id, piece), ties among repeated rows any way.
-    An empty table gives an empty result."""
+    Repeated rows are pieces each.  An empty table gives an empty result."""
     spark = pieces.sparkSession
-    salts = 4 * shuffle_partitions(spark)
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts).cast("long")))
-    counted = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counted.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    counts = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
-    plan = best_fit_plan(counts, capacity)
-    schema = "length long, _rank long, _many long, _first long, _at long, _per long"
-    # At most two runs are left by each assignment, and each one uses up a run or a length:
-    # a few thousand rows at a capacity of 1024, whatever the input.
-    plan_df = F.broadcast(spark.createDataFrame(plan, schema))
-    own = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")
-    ranked = salted.withColumn("_r", F.row_number().over(own) - 1).join(offsets, ["length", "_salt"]).withColumn("_r", F.col("_r") + F.col("_before"))
-    inside = (ranked["length"] == plan_df["length"]) & (ranked["_r"] >= plan_df["_rank"]) & (ranked["_r"] < plan_df["_rank"] + plan_df["_many"])
-    placed = ranked.join(plan_df, inside).drop(plan_df["length"])
-    step = F.col("_r") - F.col("_rank")
-    return placed.select(*pieces.columns, (F.col("_first") + F.floor(step / F.col("_per"))).cast("long").alias("sequence_id"), (F.col("_at") + (step % F.col("_per")) * F.col("length")).cast("long").alias("offset"))
+    rows = pieces.count()
+    cols = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    zero = F.lit(0).cast("long")
+    row = F.struct(*cols)
+    state = pieces.select(F.lit(DOC).alias("role"), F.col("length").cast("long").alias("size"), zero.alias("seq"), zero.alias("at"), row.alias("row"))
+    step_schema = T.StructType().add("role", "integer").add("part", "integer").add("rank", "long").add("size", "long").add("seq", "long").add("at", "long").add("row", state.schema["row"].dataType)
+    names = ["role", "size", "seq", "at", "row"]
+    placed: list[DataFrame] = []
+    n_open = 0
+    while True:
+        # a hash parts equal sizes; gaps come before documents of their size
+        tie = F.xxhash64("seq", "at", "row")
+        parts = max(1, rows // RANGE_ROWS)
+        dealt = state.withColumn("_size", -F.col("size")).withColumn("_tie", tie).repartitionByRange(parts, "_size", "role", "_tie")
+        swept = dealt.sortWithinPartitions("_size", "role", "_tie").select(*names).mapInArrow(_sweeps(to_arrow_schema(step_schema)), step_schema)
+        step = materialise(swept, "pack-step")
+        placed.append(step.where(F.col("role") == PLACED))
+        # At most a row for each range and role, and one more for each length: counts only.
+        kinds = F.when(F.col("role") == DOC, F.col("size")).otherwise(0)
+        counted = step.where(F.col("role") != PLACED).groupBy("part", "role", kinds.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"), F.max("size").alias("most")).collect()
+        lengths: dict[int, dict[int, int]] = {}
+        for r in counted:
+            if r["role"] == DOC:
+                lengths.setdefault(r["part"], {})[r["kind"]] = r["n"]
+        rows = sum(r["n"] for r in counted)
+        n_gaps = {r["part"]: r["n"] for r in counted if r["role"] == GAP}
+        met = meet([(p, sum(c.values())) for p, c in lengths.items()], list(n_gaps.items()))
+        free = sum(r["total"] for r in counted if r["role"] != DOC)
+        taken = {p: 0 for p in lengths}
+        for p, _, n, _ in met:
+            taken[p] += n
+        counts: dict[int, int] = {}
+        offsets, before = [], 0
+        for p in sorted(lengths):
+            skip = taken[p]
+            offsets.append((p, taken[p], before))
+            for k in sorted(lengths[p], reverse=True):
+                n = max(0, lengths[p][k] - skip)
+                free -= k * (lengths[p][k] - n)
+                skip -= lengths[p][k] - n
+                before += n
+                if n:
+                    counts[k] = counts.get(k, 0) + n
+        if not lengths:
+            break
+        opened = open_sequences(counts, free, max((r["most"] for r in counted if r["role"] != DOC), default=0), capacity, n_open)
+        n_open = max([n_open, *(first + -(-take // per) for _, _, take, first, per in opened)])
+        # What meets across ranges: the i-th document of a pair with the i-th gap from the end.
+        ends, doc_side, gap_side = dict(n_gaps), [], []
+        for pair, (p, rank, n, q) in enumerate(met):
+            doc_side.append((p, rank, rank + n, pair, rank, 1))
+            gap_side.append((q, ends[q] - n, ends[q], pair, ends[q] - 1, -1))
+            ends[q] -= n
+        number = (F.col("rank") - F.col("first")) * F.col("step")
+        inside = lambda side: (F.col("_part") == F.col("part")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))  # noqa: E731, ARG005
+        # broadcast: at most two rows for each range
+        paired = [step.where(F.col("role") == role).withColumnRenamed("part", "_part").join(F.broadcast(spark.createDataFrame(side, INTERVALS)), inside(side)).withColumn("number", number) for role, side in ((DOC, doc_side), (GAP, gap_side))]
+        d = paired[0].select("pair", "number", F.col("size").alias("length"), F.col("row").alias("_row"))
+        g = paired[1].select("pair", "number", "size", "seq", "at")
+        both = d.join(g.hint("merge"), ["pair", "number"])
+        none = F.lit(None).cast(step_schema["row"].dataType)
+        across = both.select(F.explode(F.array(_row(PLACED, "length", "seq", "at", F.col("_row")), _row(SHRUNK, F.col("size") - F.col("length"), "seq", F.col("at") + F.col("length"), none))).alias("r")).select("r.*")
+        # The rest: documents that open sequences or wait, and gaps that nobody took.
+        ranks = F.broadcast(spark.createDataFrame(offsets, "part int, taken long, before long"))  # a row for each range
+        waiting = step.where(F.col("role") == DOC).join(ranks, "part").where("rank >= taken").withColumn("number", F.col("before") + F.col("rank") - F.col("taken"))
+        waiting = waiting.withColumnRenamed("seq", "_seq").join(F.broadcast(spark.createDataFrame(opened, OPENED)), "size", "left")  # at most `capacity` rows
+        own = F.col("number") - F.col("first_rank")
+        seq, place = F.col("first_seq") + F.floor(own / F.col("per")).cast("long"), own % F.col("per")
+        last = (place == F.col("per") - 1) | (own == F.col("take") - 1)
+        goes = own < F.col("take")
+        done = _row(PLACED, "size", seq, place * F.col("size"), F.col("row"))
+        gap = F.when(last, _row(SHRUNK, F.lit(capacity) - (place + 1) * F.col("size"), seq, (place + 1) * F.col("size"), none))
+        stays = _row(DOC, "size", "_seq", "at", F.col("row"))
+        new = waiting.select(F.explode(F.when(goes, F.array(done, gap)).otherwise(F.array(stays))).alias("r")).where("r is not null").select("r.*")
+        kept = F.broadcast(spark.createDataFrame(list(ends.items()), "part int, n long"))  # a row for each range
+        idle = step.where(F.col("role") == GAP).join(kept, "part").where("rank < n").select(*names)
+        resolved = materialise(across.unionByName(new).where("size > 0"), "pack-resolved")
+        placed.append(resolved.where(F.col("role") == PLACED))
+        gaps = idle.unionByName(step.where(F.col("role") == SHRUNK).select(*names)).unionByName(resolved.where(F.col("role") == SHRUNK).select(*names))
+        state = gaps.withColumn("role", F.lit(GAP)).unionByName(resolved.where(F.col("role") == DOC).select(*names))
+    out = placed[0].select("seq", "at", "row")
+    for p in placed[1:]:
+        out = out.unionByName(p.select("seq", "at", "row"))
+    return out.select("row.*", F.col("seq").alias("sequence_id"), F.col("at").alias("offset"))
+
+
+def _row(role: int, size, seq, at, row: Column) -> Column:  # noqa: ANN001
+    col = lambda c: F.col(c) if isinstance(c, str) else c
+    return F.struct(F.lit(role).alias("role"), col(size).cast("long").alias("size"), col(seq).cast("long").alias("seq"), col(at).cast("long").alias("at"), row.alias("row"))
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
