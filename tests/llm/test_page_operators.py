@@ -6,6 +6,7 @@ import collections
 import gzip
 import hashlib
 import re
+import time
 
 import numpy as np
 import pytest
@@ -13,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from voxlake.llm import ann, queries
+from voxlake.llm import ann, html_extract, queries
 from voxlake.llm.html_extract import main_text
 from voxlake.llm.url_filter import RULES, filter_urls, fit_url_model, word_counts
 from voxlake.llm.warc import LoserTree, archive_pages, new_folder, parse_warc, url_key, warc_records, write_warc
@@ -183,6 +184,45 @@ def test_class_words_do_not_drop_the_article():
     assert main_text(f"<!doctype html><title>T</title>{body}") == main_text(f"<html><head><title>T</title><meta charset=utf-8>{body}") == want
 
 
+LINKS = "".join(f"<li><a href=/{k}>Some other story, number {k}, of this site</a></li>" for k in range(12))
+WORDS = "The paragraph number {k} of this story is long enough to be seen as content, and it has no link in it."
+NO_ARTICLE = f"<body><div id=page><h1>Head line</h1><p>{WORDS.format(k=1)}</p><p>{WORDS.format(k=2)}</p><ul>{LINKS}</ul><p>{WORDS.format(k=3)}</p><p>So.</p><p>{WORDS.format(k=4)}</p></div><p>x</p></body>"
+
+
+def test_the_ratio_selects_the_lines(monkeypatch):
+    """No article element: the ratio finds the box and drops a list of links in it."""
+    want = "\n".join(["Head line", *(WORDS.format(k=k) for k in (1, 2, 3)), "So.", WORDS.format(k=4)])
+    assert main_text(NO_ARTICLE) == want
+    assert main_text(NO_ARTICLE.replace("<div id=page>", "<article>").replace("</div>", "</article>")) == want
+    monkeypatch.setattr(html_extract, "smooth", lambda ratio: np.ones(len(ratio)))
+    assert "Some other story, number 3" in main_text(NO_ARTICLE)
+    monkeypatch.setattr(html_extract, "smooth", lambda ratio: np.zeros(len(ratio)))
+    assert main_text(NO_ARTICLE) == main_text(PAGE) == ""
+
+
+def test_short_lines_between_content_stay():
+    items = "".join(f"<li>item {k}" for k in range(40))
+    text = main_text(f"<nav>{LINKS}</nav><div><p>{WORDS.format(k=1)}</p><ul>{items}</ul><p>{WORDS.format(k=2)}</p></div>")
+    assert text.split("\n") == [WORDS.format(k=1), *(f"item {k}" for k in range(40)), WORDS.format(k=2)]
+    assert main_text(f"<div><p>{WORDS.format(k=1)}</p><p>See <a href=x>this</a>.</p><p>{WORDS.format(k=2)}</p></div>").split("\n")[1] == "See this."
+
+
+def test_hostile_markup_takes_linear_time():
+    for start in ("<div>", "<b>", "<p><b>", "<div class=widget>", "<ul><li>", "<td>", "<article>", "</p>", "<a>x"):
+        began = time.perf_counter()
+        main_text(start * 100_000 + "deep")
+        assert time.perf_counter() - began < 20, start
+
+
+def test_extraction_of_tables(spark):
+    rows = [(1, "u", NO_ARTICLE, "clash"), (1, "u", NO_ARTICLE, "clash"), (None, None, None, None), (2, "v", "", "clash"), (3, "w", "<p>" + "long words " * 100_000, "clash")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = html_extract.extract_text(pages).collect()
+    assert collections.Counter((r.page_id, r.url, r.text, r.n_chars) for r in got) == collections.Counter((i, u, main_text(h), len(main_text(h))) for i, u, h, _ in rows)
+    assert html_extract.extract_text(pages.limit(0)).columns == ["page_id", "url", "html", "text", "n_chars"]
+    assert html_extract.extract_text(pages.limit(0)).count() == 0
+
+
 def exact(rows, k):
     fine = [(i, np.array(v, float)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all() and any(v)]
     size = collections.Counter(len(v) for _, v in fine).most_common(1)[0][0]

@@ -1,17 +1,21 @@
 """Main text of web pages from the events of the standard-library parser.
 
-The events are cut into lines at block elements.  A line's text-to-tag ratio is its length by
-the tags since the line before.  The ratios are smoothed with a Gaussian, and a threshold
-between two clusters of them selects the content lines.  The smallest container that holds
-nearly all of the content's text is the article; every line in it is kept but those in menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments,
-which their elements, roles or class names tell.  A class name alone does not skip a block that
-turns out to hold the article.
+The events are cut into lines at block elements.  A line's text-to-tag ratio is its length
+outside links by the tags since the line before; lines in menus, headers, footers, sidebars,
+notices, adverts, forms, scripts, styles and reader comments, which their elements, roles or
+class names tell, count as 0.  The ratios are smoothed with a Gaussian, and a threshold between
+two clusters of them selects the content lines.  The smallest container that holds nearly all of
+the content's text is the article; an ``article`` or ``main`` element around it decides where
+several would do.  In it, content regions grow over the lines between them and next to them;
+runs of lines that are mostly links, and what lies apart from all content, are left out.  A class
+name alone does not skip a block that turns out to hold the article.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
+from heapq import heappop, heappush
 from html.parser import HTMLParser
 
 import numpy as np
@@ -45,7 +49,9 @@ CLOSED_BY = {  # an open element (left) ends where one of these starts
     "th": {"td", "th", "tr"},
     "option": {"option", "optgroup"},
 }
+BARRIERS = CONTAINERS - {"td", "tr", "tbody"} | {"ul", "ol", "dl", "table"}  # left-out end tags are not looked for beyond these
 SIGMA, RADIUS = 1.0, 2
+REACH = 5  # lines before and after all content that may still belong to it
 MOST_OF_TEXT = 0.85
 
 
@@ -60,13 +66,18 @@ class _Lines(HTMLParser):
         self.skip: list[int] = []
         self.title: list[bool] = []
         self.parent, self.kind = [0], ["#"]  # of containers
+        self.links: list[int] = []  # characters of each line in links
         self.open: list[tuple[str, int, int]] = []  # (element, skipped, container); skipped: -1, or the innermost region
+        self.n_open: Counter[str] = Counter()  # elements in ``open`` by name
+        self.marks: list[str] = []  # those of them that may be closed early, or stop the search for such
+        self.n_inside = 0  # of them, article and main
         self.region = [0]  # the regions around each region, a block that only its class names skip; 0: none
         self.landmarks: list[tuple[int, bool]] = []  # region of each article, h1 and main, and whether it is a main
         self.buffer: list[str] = []
         self.hidden: list[str] = []  # text of skipped elements
         self.where: tuple[int, int, bool] | None = None  # region, container and heading of the text in the buffer
         self.tags = 0
+        self.linked = 0
         self.heading = False
 
     def _flush(self) -> None:
@@ -82,19 +93,21 @@ class _Lines(HTMLParser):
         line = " ".join("".join(buffer).split())
         if line:
             self.text.append(line)
-            self.ratio.append(len(line) / max(self.tags, 1))
+            linked = min(self.linked, len(line))
+            self.ratio.append((len(line) - linked) / max(self.tags, 1) if skipped >= 0 else 0.0)
+            self.links.append(linked)
             self.box.append(box)
             self.skip.append(skipped)
             self.title.append(title)
-            self.tags = 0
+            self.tags = self.linked = 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag not in IN_HEAD:
             self._leave_head()
         if tag in BLOCKS:
             self._flush()
-            while self.open and tag in CLOSED_BY.get(self._inner(tag), ()):
-                self._close(self._inner(tag))
+            while inner := self._inner(tag):
+                self._close(inner)
             self._flush()
         self.tags += 1
         if tag in VOID:
@@ -115,16 +128,20 @@ class _Lines(HTMLParser):
             self.parent.append(box)
             self.kind.append("article" if tag == "article" or ("role", "article") in attrs else "main" if tag == "main" or ("role", "main") in attrs else tag)
             box = len(self.kind) - 1
+            self.n_inside += self.kind[box] in ("article", "main")
         self.open.append((tag, skipped, box))
+        self.n_open[tag] += 1
+        if tag in CLOSED_BY or tag in BARRIERS:
+            self.marks.append(tag)
         if tag == "h1":
             self.heading = True
 
     def _inner(self, tag: str) -> str:
         """The innermost open element that ``tag`` could end, not looking past containers."""
-        for name, _, _ in reversed(self.open):
+        for name in reversed(self.marks):
             if tag in CLOSED_BY.get(name, ()):
                 return name
-            if name in CONTAINERS and name not in ("td", "tr", "tbody") or name in ("ul", "ol", "dl", "table"):
+            if name in BARRIERS:
                 break
         return ""
 
@@ -141,7 +158,7 @@ class _Lines(HTMLParser):
         return False
 
     def _inside(self) -> bool:
-        return any(self.kind[box] in ("article", "main") for _, _, box in self.open)
+        return self.n_inside > 0
 
     def _is_named(self, tag: str, attrs: list) -> bool:
         """Whether a whole class name, id or role, without modifiers, tells of a part to skip."""
@@ -163,7 +180,12 @@ class _Lines(HTMLParser):
 
     def _close(self, tag: str) -> None:
         while self.open:
-            name = self.open.pop()[0]
+            name, _, box = self.open.pop()
+            self.n_open[name] -= 1
+            if name in CLOSED_BY or name in BARRIERS:
+                self.marks.pop()
+            if name in CONTAINERS:
+                self.n_inside -= self.kind[box] in ("article", "main")
             if name == "h1":
                 self.heading = False
             if name == tag:
@@ -173,7 +195,7 @@ class _Lines(HTMLParser):
         if tag in BLOCKS:
             self._flush()
         self.tags += 1
-        if any(name == tag for name, _, _ in self.open):
+        if self.n_open[tag]:
             self._close(tag)
             if tag in BLOCKS:
                 self._flush()
@@ -191,6 +213,8 @@ class _Lines(HTMLParser):
             if self.where is None and data.strip():
                 self.where = (skipped, box, self.heading)
             self.buffer.append(data)
+            if self.n_open["a"]:
+                self.linked += len(" ".join(data.split()))
         elif data.strip() and name not in ("script", "style"):
             self.hidden.append(data)
 
@@ -240,11 +264,22 @@ def released(page: _Lines, content: list[int]) -> np.ndarray:
         marks[page.region[k]] += marks[k]
         main[page.region[k]] |= main[k]
     free |= main
-    while not own[free].any():
-        fit = [k for k in range(1, n) if not free[k] and free[page.region[k]] and weight[k] > 0 and (marks[k] or 2 * weight[k] >= weight[0])]
-        if not fit:
-            break
-        free[max(fit, key=lambda k: weight[k])] = True
+    if not own[free].any():
+        inner: list[list[int]] = [[] for _ in range(n)]
+        for k in range(1, n):
+            inner[page.region[k]].append(k)
+        fit: list[tuple[float, int]] = []
+        fresh = [k for k in range(n) if free[k]]
+        while True:
+            for k in (c for f in fresh for c in inner[f]):
+                if not free[k] and weight[k] > 0 and (marks[k] or 2 * weight[k] >= weight[0]):
+                    heappush(fit, (-weight[k], k))
+            if not fit:
+                break
+            fresh = [heappop(fit)[1]]
+            free[fresh] = True
+            if own[fresh[0]]:
+                break
     for k in range(1, n):
         free[k] &= free[page.region[k]]
     return free
@@ -264,11 +299,12 @@ def main_text(html: str | None) -> str:
         return ""
     level = smooth(np.log1p(np.asarray(page.ratio)))
     cut = threshold(level)
-    free = released(page, [k for k in lines if level[k] >= cut])
+    selected = (level >= cut) & (level > 0)
+    free = released(page, [k for k in lines if selected[k]])
     open_lines = [k for k in lines if free[page.skip[k]]]
-    if not open_lines:
+    content = [k for k in open_lines if selected[k]]
+    if not content:
         return ""
-    content = [k for k in open_lines if level[k] >= cut] or open_lines
     n = len(page.kind)
     weight, headings = np.zeros(n), np.zeros(n, np.int64)
     for k in content:
@@ -295,7 +331,29 @@ def main_text(html: str | None) -> str:
     inside[box] = True
     for c in range(box + 1, n):
         inside[c] |= inside[page.parent[c]]
-    return "\n".join(page.text[k] for k in open_lines if inside[page.box[k]])
+    own = [k for k in open_lines if inside[page.box[k]]]
+    return "\n".join(page.text[k] for k, kept in zip(own, grow(page, own, selected, article is not None or whole is not None), strict=True) if kept)
+
+
+def grow(page: _Lines, own: list[int], selected: np.ndarray, marked: bool) -> np.ndarray:
+    """Which of a container's lines are in a content region.
+
+    Selected lines are.  A run of other lines joins them unless it is mostly links; one before
+    the first or after the last selected line joins only up to ``REACH`` lines from it, if no
+    article or main element is around (``marked``)."""
+    kept = selected[own].copy()
+    at = np.flatnonzero(kept)
+    if not len(at):
+        return kept
+    length, links = np.array([len(page.text[k]) for k in own]), np.array([page.links[k] for k in own])
+    edges = [-1, *at.tolist(), len(own)]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        low, high = a + 1, b
+        if not marked:
+            low, high = (max(low, b - REACH) if a < 0 else low), (min(high, a + 1 + REACH) if b == len(own) else high)
+        if low < high and 2 * links[a + 1 : b].sum() <= length[a + 1 : b].sum():
+            kept[low:high] = True
+    return kept
 
 
 @F.pandas_udf(T.StringType())
@@ -306,7 +364,8 @@ def main_text_udf(html: pd.Series) -> pd.Series:
 def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """Add ``text`` (string, never null) and ``n_chars`` (its code points) to ``pages``.
 
-    A null or empty page, or one without text outside skipped elements, has an empty text.
+    A null or empty page, or one without text outside links and skipped elements, has an empty
+    text.
     ``<br>`` is white space in a block.  Broken or unclosed markup is read as far as it goes.
     All rows come back with their columns; ones named like an added column are replaced."""
     kept = pages.drop(*(c for c in ("text", "n_chars") if c != html_col))
