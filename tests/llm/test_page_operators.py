@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import gzip
 import hashlib
+import math
 import re
 import time
 
@@ -229,7 +230,8 @@ def exact(rows, k):
     return {i: sorted(((-sum(a * b for a, b in zip(v, w, strict=True)), j) for j, w in fine if j != i and len(w) == size))[:k] for i, v in fine if i % 20 == 0 and len(v) == size}
 
 
-def test_neighbours_edges(spark):
+def test_neighbours_edges(spark, monkeypatch):
+    monkeypatch.setattr(ann, "ENOUGH", 1000)  # probe every list: the result is exact
     rng = np.random.default_rng(0)
     rows = [(k, [float(c) for c in rng.standard_normal(8)]) for k in range(300)]
     rows += [(1000, rows[0][1]), (1001, rows[0][1]), (1020, None), (1040, [0.0] * 8), (1060, [1.0, None] * 4), (1080, [float("nan")] * 8), (1100, [1.0]), (None, rows[1][1]), (1120, [float("inf")] * 8)]
@@ -247,11 +249,13 @@ def test_neighbours_edges(spark):
     assert ann.nearest_neighbours(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
-def test_recall_of_lists(spark, monkeypatch):
-    """With many lists and few probes, at least nine in ten true neighbours are found."""
-    monkeypatch.setattr(ann, "SMALL", 100)
-    monkeypatch.setattr(ann, "MOST_ROWS", 200)
-    d = "/root/testdata/sf0.1"
+@pytest.mark.parametrize(("d", "n_lists"), [("/root/testdata/sf0.01", 22), ("/root/testdata/sf0.1", 45)])
+def test_recall_at_two_sizes(spark, monkeypatch, d, n_lists):
+    """About sqrt(n) lists at every size, cut by salts; nine in ten true neighbours are found."""
+    monkeypatch.setattr(ann, "MOST_ROWS", 20)
+    made = []
+    original = ann.fit_index
+    monkeypatch.setattr(ann, "fit_index", lambda *a: made.append(original(*a)) or made[-1])
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding").collect()]
     want = exact(rows, 20)
     got = collections.defaultdict(set)
@@ -260,11 +264,23 @@ def test_recall_of_lists(spark, monkeypatch):
     hits = sum(len(got[q] & {j for _, j in w}) for q, w in want.items())
     assert hits / sum(map(len, want.values())) >= 0.9
     assert all(len(v) == 20 for v in got.values())
+    assert n_lists / 2 < len(made[0].centroids) < 2 * n_lists
 
 
-def test_lists_with_few_rows_do_not_cut_rankings(spark, monkeypatch):
+def test_samples_are_bounded_by_the_hash(spark, monkeypatch):
+    """The sample that reaches the driver doesn't grow with rows, tasks or repeated ids."""
+    monkeypatch.setattr(ann, "SAMPLE", 50)
+    rng = np.random.default_rng(1)
+    for n in (400, 1600):
+        rows = [(k, [float(c) for c in rng.standard_normal(6)]) for k in range(n)] * 2
+        df = spark.createDataFrame(rows, "id long, vec array<double>").repartition(16)
+        index = ann.fit_index(df, 2 * n, 5.0, 5)
+        assert 5 < len(index.sample) < 100
+        assert 0.3 * math.sqrt(2 * n) <= len(index.centroids) <= 2 * math.sqrt(2 * n)
+
+
+def test_lists_with_few_rows_do_not_cut_rankings(spark):
     """Tiny clusters far apart and isolated vectors: every query still gets ``k`` neighbours."""
-    monkeypatch.setattr(ann, "SMALL", 100)
     rng = np.random.default_rng(3)
     centre = rng.standard_normal((60, 16)) * 10
     centre = np.concatenate((np.repeat(centre[:50], 6, 0), centre[50:], np.repeat(rng.standard_normal((1, 16)) * 10, 300, 0)))
