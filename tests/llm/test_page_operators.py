@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from voxlake.llm import ann, html_extract, queries
+from voxlake.llm import ann, html_extract, queries, warc
 from voxlake.llm.html_extract import main_text
 from voxlake.llm.url_filter import RULES, filter_urls, fit_url_model, word_counts
 from voxlake.llm.warc import LoserTree, archive_pages, new_folder, parse_warc, url_key, warc_records, write_warc
@@ -110,7 +110,7 @@ def test_archives_are_warc_files(spark, tmp_path):
     pages = spark.createDataFrame(ODD_PAGES, "page_id long, url string, html string")
     write_warc(pages, f"{tmp_path}/w")
     found = []
-    for f in sorted((tmp_path / "w").glob("part-*")):
+    for f in sorted((tmp_path / "w").glob("*/part-*")):
         data = gzip.decompress(f.read_bytes())
         for offset, length, headers, block in parse_warc(data):
             assert data[offset : offset + 10] == b"WARC/1.1\r\n" and data[offset + length : offset + length + 4] == b"\r\n\r\n"
@@ -130,6 +130,31 @@ def test_loser_tree_merges(runs):
     assert [_order(r) for r in merged] == sorted(_order(r) for run in full for r in run)
 
 
+def test_archives_are_bounded_by_bytes(spark, tmp_path):
+    """Long payloads come in archives of their own; all are read back whole."""
+    rows = [(k, f"http://a.b/{k}", "x" * n + str(k)) for k, n in enumerate([10] * 40 + [200_000] * 20 + [5_000_000] * 2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    write_warc(pages, f"{tmp_path}/w")
+    sizes = collections.defaultdict(list)
+    for f in (tmp_path / "w").glob("*/part-*"):
+        sizes[f.parent.name].append(sum(1 for _ in parse_warc(gzip.decompress(f.read_bytes()))))
+    assert {k: sum(v) for k, v in sizes.items()} == {"size-0": 40, "size-1": 20, "size-2": 2}
+    assert max(sizes["size-1"]) <= 16 and max(sizes["size-2"]) == 1
+    got = {r.page_id: (r.payload_bytes, r.payload_digest) for r in archive_pages(pages).collect()}
+    assert got == {i: (len(h), hashlib.sha256(h.encode()).hexdigest()) for i, _, h in rows}
+
+
+def test_ranges_grow_with_the_captures(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RANGE_ROWS", 50)
+    monkeypatch.setattr(warc, "SEGMENT_ROWS", 7)
+    pages = spark.range(2000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), F.col("id") % 97, F.lit(".org/"), F.col("id") % 13).alias("url"), F.lit("p").alias("html"))
+    rows = archive_pages(pages).collect()
+    by_range = collections.Counter(r.range for r in rows)
+    assert len(rows) == 2000 and 20 <= len(by_range) <= 80 and max(by_range.values()) < 400
+    keys = [(r.url_key, r.ts, r.page_id) for r in sorted(rows, key=lambda r: (r.range, r.place))]
+    assert keys == sorted(keys)
+
+
 def test_url_keys():
     assert url_key("http://www.Example.org/A?b=C#d") == "org,example,www)/a?b=c"
     assert url_key("http://a.b") == "b,a)/" and url_key(None) == "" and url_key("http://a.b?x") == "b,a)?x"

@@ -10,34 +10,43 @@ table of repeated payloads is too large for Spark to broadcast.
 
 *Reading.*  Archives are read as binary files, one parser pass each, in the tasks.
 
-*Index.*  Each archive gives a run of captures sorted by (URL key, timestamp, page).  Range
-bounds from a bounded sample of keys cut all runs into segments; the segments of a range meet
-in one task, where a loser tree merges them.  Ranges and places within them order all
-captures, so a URL's history is contiguous.
+*Index.*  Each task that reads archives gives a run of captures sorted by (URL key, timestamp,
+page).  Bounds, every ``SPACING``-th key of a sorted sample by hash, cut all runs into segments; there
+are as many ranges as the captures need, about ``RANGE_ROWS`` rows each, or one for each shuffle
+partition.  The segments of a range meet in one task, packed; a loser tree merges them, with a few
+rows of each run unpacked at a time, and streams them out.  Ranges and places within them order
+all captures, so a URL's history is contiguous.
 """
 
 from __future__ import annotations
 
 import gzip
 import hashlib
-from bisect import bisect_left
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
+from itertools import groupby, islice
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxlake.llm.common import materialise, new_folder, shuffle_partitions
 
 LEAST_REVISIT = 100
-RECORDS_PER_FILE = 500
+#: Pages of up to so many payload bytes go so many to an archive: no archive holds more than
+#: 64 MB of payloads, or else a single record.
+ARCHIVES = [(1 << 17, 500), (1 << 22, 16), (None, 1)]
 EPOCH = 946684800  # captures have no time of their own: this plus the page id
 END = "\r\n\r\n"
 CAPTURE = "url_key string, ts string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long, length long"
 CAPTURE_ARROW = pa.schema(
     [("url_key", pa.string()), ("ts", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("archive", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]
 )
-SAMPLE_KEYS = 4096
+RANGE_ROWS = 250_000  # captures in a range, about
+SPACING = 16  # sampled keys in a range
+SEGMENT_ROWS = 256  # captures that are unpacked at a time
+KEYS = ["url_key", "ts", "page_id", "archive", "offset"]
 
 
 def _line(name: str, value: Column) -> Column:
@@ -49,7 +58,8 @@ def _page_uri(page_id: Column) -> Column:
 
 
 def warc_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One column ``record``: the WARC record of each page, without the two line ends after it."""
+    """``record``: the WARC record of each page, without the two line ends after it, and ``bytes``
+    of its payload."""
     payload = F.coalesce(F.col(html_col), F.lit(""))
     p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
     p = p.withColumn("bytes", F.octet_length("payload")).withColumn("digest", F.sha2("payload", 256))
@@ -74,12 +84,19 @@ def warc_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         _line("Content-Length", F.octet_length("block").cast("string")),
         F.lit("\r\n"),
     )
-    return p.select(F.concat(head, F.col("block")).alias("record"))
+    return p.select(F.concat(head, F.col("block")).alias("record"), "bytes")
 
 
 def write_warc(pages: DataFrame, folder: str) -> None:
-    """Write archives of at most ``RECORDS_PER_FILE`` records into a new ``folder``."""
-    warc_records(pages).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(folder)
+    """Write archives, of which ``ARCHIVES`` bounds the bytes, into new folders in ``folder``."""
+    records = warc_records(pages)
+    longest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    above = -1
+    for k, (most, per_file) in enumerate(ARCHIVES):
+        if above < longest:
+            own = (F.col("bytes") > above) & (F.col("bytes") <= most if most else F.lit(True))
+            records.where(own).select("record").write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(f"{folder}/size-{k}")
+        above = most
 
 
 def url_key(url: str | None) -> str:
@@ -114,7 +131,7 @@ def _id_of(uri: str | None) -> int | None:
 
 
 def _captures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A sorted run of captures from each archive."""
+    """The captures of each archive."""
     for batch in batches:
         for path, content in zip(batch.column(0), batch.column(1), strict=True):
             name = path.as_py().rsplit("/", 1)[-1]
@@ -127,7 +144,6 @@ def _captures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     raise ValueError(f"{name}: the payload at byte {offset} is not the one that was written")
                 url = h.get("warc-target-uri")
                 rows.append((url_key(url), h["warc-date"], _id_of(h["warc-record-id"]), url, size, said, h["warc-type"], _id_of(h.get("warc-refers-to")), name, offset, length))
-            rows.sort(key=_order)
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), CAPTURE_ARROW.types, strict=True)], schema=CAPTURE_ARROW)
 
@@ -139,17 +155,18 @@ def _order(row: tuple) -> tuple:
 
 def read_warc(spark: SparkSession, folder: str) -> DataFrame:
     """The captures of the archives in ``folder``: payloads are checked against their digests."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(folder).select("path", "content")
     return files.mapInArrow(_captures, CAPTURE)
 
 
 class LoserTree:
-    """k-way merge: each inner node holds the loser of its match, the root's winner comes next."""
+    """k-way merge of sorted iterables: each inner node holds the loser of its match, the root's
+    winner comes next.  One row of each run is held."""
 
-    def __init__(self, runs: list[list[tuple]]) -> None:
-        self.runs, self.k = runs, max(1, len(runs))
-        self.at = [0] * len(runs)
-        self.keys = [_order(r[0]) if r else None for r in runs] or [None]
+    def __init__(self, runs: list[Iterable[tuple]]) -> None:
+        self.runs, self.k = [iter(r) for r in runs], max(1, len(runs))
+        self.heads: list[tuple | None] = [next(r, None) for r in self.runs] or [None]
+        self.keys = [None if h is None else _order(h) for h in self.heads]
         self.loser = [-1] * self.k
         self.winner = self._play(1) if self.k > 1 else 0
 
@@ -170,9 +187,9 @@ class LoserTree:
     def __iter__(self) -> Iterator[tuple]:
         while self.keys[self.winner] is not None:
             w = self.winner
-            yield self.runs[w][self.at[w]]
-            self.at[w] += 1
-            self.keys[w] = _order(self.runs[w][self.at[w]]) if self.at[w] < len(self.runs[w]) else None
+            yield self.heads[w]
+            self.heads[w] = next(self.runs[w], None)
+            self.keys[w] = None if self.heads[w] is None else _order(self.heads[w])
             node = (w + self.k) // 2
             while node >= 1:
                 if self._less(self.loser[node], w):
@@ -181,48 +198,76 @@ class LoserTree:
             self.winner = w
 
 
+def sorted_runs(captures: DataFrame) -> DataFrame:
+    """Each partition sorted by URL key, timestamp, page and place, and written as a run; ``_id``
+    counts up within a run, its high bits are the run's."""
+    order = [F.asc_nulls_first(c) for c in KEYS]
+    return materialise(captures.sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()), "warc-runs")
+
+
+def range_bounds(runs: DataFrame) -> list[tuple]:
+    """Keys that part the captures into ranges; one for each range reaches the driver."""
+    n = runs.count()
+    ranges = max(shuffle_partitions(runs.sparkSession), -(-n // RANGE_ROWS))
+    one_in = max(1, n // (ranges * SPACING))
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
+        for b in batches:
+            at = [k for k in range(b.num_rows) if (seen + k + 1) % SPACING == 0]
+            seen += b.num_rows
+            yield b.take(pa.array(at, pa.int64()))
+
+    sample = runs.select(*KEYS).where(F.pmod(F.xxhash64("archive", "offset"), F.lit(one_in).cast("long")) == 0)
+    picked = sample.orderBy(*(F.asc_nulls_first(c) for c in KEYS)).mapInArrow(every, sample.schema)
+    return sorted((r["url_key"], r["ts"], r["page_id"] is not None, r["page_id"] or 0, r["archive"], r["offset"]) for r in picked.collect())
+
+
 def merge_index(runs: DataFrame) -> DataFrame:
-    """Merge sorted runs (the captures of one archive, in order) into one global order.
+    """Merge runs (``sorted_runs``) into one global order.
 
     Adds ``range`` (int) and ``place`` (long, from 0 in each range): ordered by both, captures
     are ordered by URL key, timestamp and page."""
-    spark = runs.sparkSession
-    parts = shuffle_partitions(spark)
-    sample = runs.select("url_key", "ts", "page_id", "archive", "offset").orderBy(F.xxhash64("archive", "offset"), "archive", "offset").limit(SAMPLE_KEYS).collect()
-    keys = sorted((r["url_key"], r["ts"], r["page_id"] is not None, r["page_id"] or 0, r["archive"], r["offset"]) for r in sample)
-    bounds = [keys[len(keys) * k // parts] for k in range(1, parts)] if keys else []
+    bounds = range_bounds(runs)
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Cut each run at the bounds; a segment travels as one row."""
+        """Cut runs at the bounds; a segment travels as one row."""
         for batch in batches:
-            rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
-            a = 0
-            while a < len(rows):
-                b = a
-                while b < len(rows) and rows[b][8] == rows[a][8]:
-                    b += 1
-                own = [_order(r) for r in rows[a:b]]
-                cuts = [0, *(bisect_left(own, x) for x in bounds), len(own)]
-                full = [(k, cuts[k], cuts[k + 1]) for k in range(len(cuts) - 1) if cuts[k] < cuts[k + 1]]
-                data = []
-                for _, x, y in full:
-                    sink = pa.BufferOutputStream()
-                    with pa.ipc.new_stream(sink, CAPTURE_ARROW) as w:
-                        w.write_batch(batch.slice(a + x, y - x))
-                    data.append(sink.getvalue().to_pybytes())
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in full], pa.int32()), pa.array(data, pa.binary())], ["range", "segment"])
-                a = b
-
-    def merged(table: pa.Table) -> pa.Table:
-        sorted_runs = []
-        for s in table.column("segment").to_pylist():
-            t = pa.ipc.open_stream(s).read_all()
-            sorted_runs.append(list(zip(*(c.to_pylist() for c in t.columns), strict=True)))
-        rows = list(LoserTree(sorted_runs))
-        out = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), CAPTURE_ARROW.types, strict=True)]
-        return pa.Table.from_arrays([*out, pa.array([table.column("range")[0].as_py()] * len(rows), pa.int32()), pa.array(range(len(rows)), pa.int64())], names=[*CAPTURE_ARROW.names, "range", "place"])
-
-    cut = runs.mapInArrow(segments, "range int, segment binary")
+            if not batch.num_rows:
+                continue
+            keys = list(zip(*(batch.column(c).to_pylist() for c in KEYS), strict=True))
+            where = [bisect_right(bounds, (u, t, p is not None, p or 0, a, o)) for u, t, p, a, o in keys]
+            ids = batch.column("_id").to_pylist()
+            captures = batch.select(CAPTURE_ARROW.names)
+            rows, a = [], 0
+            for b in range(1, len(ids) + 1):
+                if b == len(ids) or where[b] != where[a] or ids[b] != ids[b - 1] + 1 or b - a == SEGMENT_ROWS:
+                    part = pa.RecordBatch.from_arrays([pc.take(c, pa.array(range(a, b))) for c in captures.columns], schema=CAPTURE_ARROW)
+                    rows.append((where[a], ids[a], part.serialize().to_pybytes()))
+                    a = b
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["range", "first", "segment"])
+
+    def unpacked(packed: list[pa.Scalar]) -> Iterator[tuple]:
+        for s in packed:
+            part = pa.ipc.read_record_batch(s.as_buffer(), CAPTURE_ARROW)
+            yield from zip(*(c.to_pylist() for c in part.columns), strict=True)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[int, pa.Scalar]] = []
+        at = None
+        for b in batches:
+            found += zip(b.column("first").to_pylist(), b.column("segment"), strict=True)
+            at = b.column("range")[0].as_py() if b.num_rows else at
+        found.sort(key=lambda f: f[0])
+        by_run = [[s for _, s in own] for _, own in groupby(found, key=lambda f: f[0] >> 33)]
+        rows, place = iter(LoserTree([unpacked(r) for r in by_run])), 0
+        while some := list(islice(rows, 4096)):
+            out = [pa.array(c, t) for c, t in zip(zip(*some, strict=True), CAPTURE_ARROW.types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*out, pa.array([at] * len(some), pa.int32()), pa.array(range(place, place + len(some)), pa.int64())], names=[*CAPTURE_ARROW.names, "range", "place"])
+            place += len(some)
+
+    merged.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    cut = runs.mapInArrow(segments, "range int, first long, segment binary")
     return cut.groupBy("range").applyInArrow(merged, f"{CAPTURE}, range int, place long")
 
 
@@ -237,4 +282,4 @@ def archive_pages(pages: DataFrame, folder: str | None = None) -> DataFrame:
     spark = pages.sparkSession
     folder = folder or new_folder(spark, "warc")
     write_warc(pages, folder)
-    return merge_index(materialise(read_warc(spark, folder), "warc-runs"))
+    return merge_index(sorted_runs(read_warc(spark, folder)))
