@@ -15,9 +15,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from voxlake.llm import ann, html_extract, queries, warc
+from voxlake.llm import ann, html_extract, queries, url_filter, warc
 from voxlake.llm.html_extract import main_text
-from voxlake.llm.url_filter import RULES, filter_urls, fit_url_model, word_counts
+from voxlake.llm.url_filter import RULES, filter_urls, segment, word_counts
 from voxlake.llm.warc import LoserTree, archive_pages, new_folder, parse_warc, url_key, warc_records, write_warc
 
 
@@ -34,47 +34,87 @@ def plain_url(u):
     return host, path, rule, verdict
 
 
+def judged_urls(spark, urls, counts):
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    return {urls[r.page_id]: r for r in filter_urls(pages, spark.createDataFrame(counts, "word string, n long")).collect()}
+
+
 def test_url_filter(spark, small):
-    odd = [None, "", "nothing", "://", "HTTP://A.NET", "x://Foo.ORG/fr/a?b#c", "a://b?c/d", "a://b#c://d/e", "http://net/", "http://xnet/", "http://EXAMPLE.net/en/\n://x", "http://example.net/EN/"]
+    odd = [None, "", "nothing", "://", "HTTP://A.NET", "x://Foo.ORG/fr/a?b#c", "a://b?c/d", "a://b#c://d/e", "http://net/", "http://xnet/", "http://EXAMPLE.net/en/\n://x", "http://example.net/EN/", "http://h.org/" + "verylong" * 30_000]
     pages = spark.read.parquet(f"{small}/pages.parquet").select("page_id", "url")
-    pages = pages.unionByName(spark.createDataFrame([(10**6 + k, u) for k, u in enumerate(odd)], "page_id long, url string"))
-    urls = {r.page_id: r.url for r in pages.collect()}
-    rows = filter_urls(pages.withColumn("host", F.lit("clash")), fit_url_model({"the": 5})).collect()
-    assert len(rows) == len(urls)
+    more = [(10**6 + k, u) for k, u in enumerate(odd)] + [(None, odd[5]), (10**6, None), (10**6 + 5, odd[5])]
+    pages = pages.unionByName(spark.createDataFrame(more, "page_id long, url string"))
+    urls = collections.Counter((r.page_id, *plain_url(r.url)[:3]) for r in pages.collect())
+    rows = filter_urls(pages.withColumn("host", F.lit("clash")), spark.createDataFrame([("the", 5)], "word string, n long")).collect()
+    assert collections.Counter((r.page_id, r.host, r.path, r.rule) for r in rows) == urls
+    rule_says = {h + p: v for v, h, p in RULES}
     for r in rows:
-        host, path, rule, verdict = plain_url(urls[r.page_id])
-        assert (r.host, r.path, r.rule) == (host, path, rule)
-        assert r.verdict == (verdict or ("block" if r.block_odds > 0 else "allow"))
-    assert filter_urls(pages.limit(0), fit_url_model({})).count() == 0
+        assert r.verdict == (rule_says[r.rule] if r.rule else "block" if r.block_odds > 0 else "allow")
+    assert filter_urls(pages.limit(0)).count() == 0
 
 
-def test_segmentation_finds_the_most_probable_words():
-    model = fit_url_model({"the": 1000, "rapist": 3, "therapist": 60, "a": 50, "news": 100, "new": 100, "sports": 80, "port": 70})
-    assert model.segment("newsports") == ("new", "sports") and model.segment("newssports") == ("news", "sports")
-    assert model.segment("therapist") == ("therapist",)
-    assert model.segment("freebetscasino") == ("free", "bets", "casino")
-    assert "".join(model.segment("zzqqnewszz")) == "zzqqnewszz" and "news" in model.segment("zzqqnewszz")
-    assert model.segment("") == () and model.segment("12-34") == ()
-    assert model.block_odds(model.tokens_of("www.freecasino.com", "/win")) > 0 > model.block_odds(model.tokens_of("city-library.org", "/blog"))
+def test_url_query(spark, small):
+    rows = queries.op1_url_filter(spark, small).collect()
+    urls = {r.page_id: r.url for r in spark.read.parquet(f"{small}/pages.parquet").collect()}
+    assert {r.page_id: (r.host, r.path, r.rule) for r in rows} == {i: plain_url(u)[:3] for i, u in urls.items()}
 
 
-def test_single_bad_words_block():
-    """Hosts that are no seed names: one bad word is enough, a word of either class is not."""
-    model = fit_url_model({"the": 1000, "shop": 30, "my": 50, "best": 40, "world": 60})
-    for host in ("porn.example.org", "casinocity.example.com", "viagra-shop.example.net", "spam.example.com", "ads.example.com", "mypoker.example.org", "best-warez.example.com", "xxx.example.com", "phishing.example.org", "bestcasinos.example.org"):
-        assert model.block_odds(model.tokens_of(host, "/en/1")) > 0, host
-    for host in ("example.org", "organicfarm.example.com", "free-library.example.org", "cheapflights.example.com", "onlinecourse.example.net", "video-games.example.com", "citypharmacy.example.org", "track-record.example.com", "the-world.example.org"):
-        assert model.block_odds(model.tokens_of(host, "/en/1")) < 0, host
-    from voxlake.llm import url_filter
+WORDS_OF_ABC = ["a", "ab", "abc", "b", "ca", "bca", "cc"]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="abc", max_size=9), st.dictionaries(st.sampled_from(WORDS_OF_ABC), st.integers(1, 50), max_size=7))
+def test_viterbi_against_all_splits(run, counts):
+    """Of all ways to cut a run, none is more probable than the one that is found."""
+    words = {w: math.log(n / 100) for w, n in counts.items()}
+    unknown = math.log(1 / 100) - 2
+
+    def cost(pieces):
+        return sum(words.get(p, unknown * len(p)) for p in pieces)
+
+    splits = []
+    for mask in range(2 ** max(len(run) - 1, 0)):
+        cuts = [0, *(k + 1 for k in range(len(run) - 1) if mask >> k & 1), len(run)]
+        splits.append([run[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True) if a < b])
+    found = segment(run, words, unknown)
+    assert "".join(found) == run and cost(found) == pytest.approx(max(map(cost, splits)))
+
 
+def test_hosts_are_split_at_words(spark):
+    urls = ["http://newsports.org/", "http://newssports.org/", "http://therapist.org", "http://zzqqnewszz.org", "http://12-34.org", "http://straßenbahn.org/ÉCOLE", "http://freebetscasino.org/"]
+    got = judged_urls(spark, urls, [("the", 1000), ("rapist", 3), ("therapist", 60), ("news", 100), ("new", 100), ("sports", 80), ("port", 70), ("straßen", 9), ("bahn", 9), ("école", 2)])
+    assert [got[u].segments for u in urls] == [["new", "sports"], ["news", "sports"], ["therapist"], ["zzqq", "news", "zz"], [], ["straßen", "bahn", "école"], ["free", "bets", "casino"]]
+
+
+def test_single_bad_words_block(spark):
+    """Hosts that are no seed names: one bad word is enough, a word of either class is not."""
+    bad = ("porn.example.org", "casinocity.example.com", "viagra-shop.example.com", "spam.example.com", "ads.example.com", "mypoker.example.org", "best-warez.example.com", "xxx.example.com", "phishing.example.org", "bestcasinos.example.org")
+    fine = ("example.org", "organicfarm.example.com", "free-library.example.org", "cheapflights.example.com", "onlinecourse.example.org", "video-games.example.com", "citypharmacy.example.org", "track-record.example.com", "the-world.example.org")
+    got = judged_urls(spark, [f"http://{h}/en/1" for h in (*bad, *fine)], [("the", 1000), ("shop", 30), ("my", 50), ("best", 40), ("world", 60)])
+    assert {h for h in (*bad, *fine) if got[f"http://{h}/en/1"].block_odds > 0} == set(bad)
     names = {" ".join(n.split()) for n in url_filter.BLOCK_SEEDS.split(";")}
     assert not names & {"casino win", "free bets", "cheap pills", "ads track", "spam farm", "adult x"}
 
 
+def test_bayes_learns_from_what_the_rules_judge(spark):
+    """A word of many blocked URLs and no allowed one counts against others; rare ones say nothing."""
+    urls = [f"http://zorblax{k}.some.net/" for k in range(400)] + [f"http://quiet{k}.some.org/fr/" for k in range(400)] + ["http://seldom.some.net/"]
+    got = judged_urls(spark, [*urls, "http://zorblax.example.com/", "http://seldom.example.com/", "http://quiet.example.com/", "http://some.example.com/"], [("zorblax", 5), ("quiet", 5), ("seldom", 5), ("some", 5)])
+    odds = {w: got[f"http://{w}.example.com/"].block_odds for w in ("zorblax", "seldom", "quiet", "some")}
+    assert got["http://zorblax.example.com/"].verdict == "block"
+    assert odds["zorblax"] > 0 > odds["some"] == odds["seldom"] == pytest.approx(math.log(0.3 / 0.7)) and odds["seldom"] > odds["quiet"]
+
+
+def test_dictionary_has_no_bound(spark):
+    """A rare word splits a host however many commoner words there are."""
+    counts = [(f"w{'abcdefghij'[k % 10]}{'abcdefghij'[k // 10 % 10]}{'abcdefghij'[k // 100 % 10]}{'abcdefghij'[k // 1000 % 10]}{'abcdefghij'[k // 10000 % 10]}{'ab'[k // 100000]}", 1000) for k in range(120_000)]
+    got = judged_urls(spark, ["http://zyxnews.org/"], [*counts, ("zyx", 1), ("news", 1)])
+    assert got["http://zyxnews.org/"].segments == ["zyx", "news"]
+
+
 def test_word_counts_are_of_all_pages(spark):
-    pages = spark.createDataFrame([("<p>Alpha beta</p>",), ("beta <b>gamma</b> beta",), (None,), ("",)], "html string")
-    assert word_counts(pages) == {"alpha": 1, "beta": 3, "gamma": 1}
-    assert word_counts(pages, most_words=1) == {"beta": 3}
+    pages = spark.createDataFrame([("<p>Alpha beta caf&eacute;</p>",), ("beta <b>gamma</b> beta<script>var gamma = '<p>delta'</script>",), (None,), ("",), (f"<style>x{{color:red}}</style>{'y' * 30}<!-- epsilon -->",)], "html string")
+    assert {r.word: r.n for r in word_counts(pages).collect()} == {"alpha": 1, "beta": 3, "gamma": 1, "café": 1}
 
 
 ODD_PAGES = [(1, "http://a.b/c", "é" * 60), (2, None, "é" * 60), (3, "x\r\ny", None), (None, "http://a.b/c", "é" * 60), (5, "http://A.b", "s"), (5, "http://A.b", "s"), (7, "", "q\r\n\r\nWARC/1.1\r\n\r\n" * 30), (8, "http://a.b/c", "\r\n\r\n" * 40)]

@@ -26,7 +26,7 @@ from voxlake.llm.tokens import Memo, encode_apart, gather, ids_of, offsets_of, t
 from voxlake.llm.wordhash import Rolling, Texts, U, hash_words, mix, text_slices
 
 ROLL = 8  # pieces that decide about a cut
-CUT_MASK = 127  # a chunk has about this many pieces
+CUT_MASK = 255  # a chunk has about this many pieces
 AROUND = 2  # pieces on each side that a join is first judged by
 RIM = 3  # ids next to a join that a chunk has to share with what the join was judged by
 NONE = 2**32 - 1

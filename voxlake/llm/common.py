@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from voxlake.functions.shared import materialise, new_folder, shared_folder, shuffle_partitions  # noqa: F401
 
@@ -13,6 +14,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+HOT = 1000
+
+
+def join_counted(left: DataFrame, right: DataFrame, key: str, n: str, counted: DataFrame) -> DataFrame:
+    """Inner join on a key that is unique in ``right``, without its column ``n``: how many rows of
+    ``left`` have the key.  The sum of ``n`` over ``counted`` is the number of rows of ``left``.
+
+    Keys of a thousandth of the rows or more, ``HOT`` at most, are broadcast; the others shuffle."""
+    total = F.lit(counted.agg(F.sum(n)).first()[0] or 0)
+    hot = F.broadcast(right.where(F.col(n) * HOT >= total).drop(n))
+    rest = right.where(F.col(n) * HOT < total).drop(n)
+    cold = left.join(F.broadcast(right.where(F.col(n) * HOT >= total).select(key)), key, "left_anti")
+    return left.join(hot, key).unionByName(cold.join(rest.hint("merge"), key))
+
+
 # ---- packed rows -------------------------------------------------------------
 # Entries (document, position, payload) of one bucket travel as a few binary columns:
 # far smaller than a row for each entry, and still dealt by an ordinary shuffle.  Entries that

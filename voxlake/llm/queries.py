@@ -17,7 +17,7 @@ from voxlake.llm.quality_classifier import fit_quality, grade, score_quality
 from voxlake.llm.quality_rules import QUERY_SQL as RULES_SQL
 from voxlake.llm.quality_rules import quality_cascade
 from voxlake.llm.substring_dedup import substring_dedup
-from voxlake.llm.url_filter import filter_urls, fit_url_model, word_counts
+from voxlake.llm.url_filter import filter_urls, word_counts
 from voxlake.llm.warc import archive_pages
 
 
@@ -61,7 +61,7 @@ def op3_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return filter_urls(pages, fit_url_model(word_counts(pages)))
+    return filter_urls(pages, word_counts(pages))
 
 
 def op4_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

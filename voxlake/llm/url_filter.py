@@ -1,9 +1,17 @@
 """URL filter: block and allow rules, then host word segmentation and naive Bayes.
 
-Host names run words together.  A unigram Viterbi search splits each label of a host at the
-most probable words; word counts come from the text of all pages and from the seed words.
-Multinomial naive Bayes over the words of host and path then gives the verdict for URLs that
-no rule fits.  It is trained on a fixed list of seed names per class.
+Host names run words together.  A unigram Viterbi search splits each run of letters in a host or
+path at the most probable words; word counts come from the text of all pages and from the seed
+words.  No dictionary is shipped or cut: the distinct runs' substrings meet the full table of
+counts in a join, and each run is split by the words that it holds.
+
+Multinomial naive Bayes over the words of host and path then gives the verdict for URLs that no
+rule fits.  Its prior knowledge is a fixed list of seed names per class; what it learns comes from
+all URLs that a rule does judge: a word counts as far as its odds between blocked and allowed ones
+are surely, by ``SURE`` standard errors, off 0.  Words that the rules name say nothing.
+
+Runs and words that a thousandth of all rows or more hold, a thousand at most, are joined by
+broadcast; so no task gets the rows of a hot one.
 """
 
 from __future__ import annotations
@@ -12,7 +20,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from html import unescape
 
 import pandas as pd
 import pyarrow as pa
@@ -20,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxlake.llm.common import materialise
+from voxlake.llm.common import join_counted, materialise
 
 # Rules as (verdict, host, path).
 RULES = [
@@ -30,7 +38,7 @@ RULES = [
     ("allow", "org", "/fr/"),
 ]
 
-# Seed names, written as words, that train the classifier.  They are general
+# Seed names, written as words, that the classifier knows from the start.  They are general
 # vocabulary, not names from the tables; words that either class uses stand in both lists.
 BLOCK_SEEDS = """
 casino; online casino bonus; casino games; live casino; poker; poker rooms; slots; slots jackpot; jackpot; sports betting odds; betting; bets; bet; gambling;
@@ -55,10 +63,10 @@ farm; organic farm; farm shop; sheep farm; link; link list; click here; banner;
 sussex; essex; middlesex; wessex; sexton; better; alphabet; diabetes; tibet; elizabeth; between; bethlehem; adsorption; roads; railroads; loads; uploads; heads; threads; beads; leads; crackers; nutcracker; spills; caterpillars; cockpit; grapes; analysis; classic; assets
 """
 COMMON = {"www", "com", "net", "org", "http", "https", "html", "htm", "php", "index"}  # fixed values: tokens that say nothing
-MOST_WORDS = 100_000  # of the word table that is sent to the workers
 LONGEST_WORD = 24
-SEED_COUNT = 50
+SEED_COUNT = 50  # each seed word counts as if the pages held it so many times
 PRIOR_BLOCK, SMOOTHING = 0.3, 0.05  # one bad word, seen once, is enough; one that both lists have is not
+SURE = 3.0  # standard errors that are taken off what the rules' verdicts teach about a word
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -81,13 +89,18 @@ def matching_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
     return rule, verdict
 
 
-_TAG, _PLAIN = re.compile(r"<[^>]*>"), re.compile(r"[a-z]{2,24}")
+_UNSEEN = re.compile(r"(?is)<(script|style)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)")
+_TAG, _LETTERS = re.compile(r"<[^>]*>"), re.compile(r"[^\W\d_]+")
 
 
-def word_counts(pages: DataFrame, most_words: int = MOST_WORDS) -> dict[str, int]:
-    """Counts of the words ``[a-z]{2,24}`` of all pages.  The commonest of them, at most
-    ``most_words``, are the dictionary of the segmentation; words of about equal counts are
-    taken or left together."""
+def words_of_page(html: str) -> list[str]:
+    """Runs of letters of the page's text, in lower case; scripts, styles and comments are no text."""
+    return _LETTERS.findall(unescape(_TAG.sub(" ", _UNSEEN.sub(" ", html))).lower())
+
+
+def word_counts(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """(word, n): how often the pages hold each word of 2 to ``LONGEST_WORD`` letters; longer ones
+    could not be found again.  Counts are combined in the tasks first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter[str] = Counter()
@@ -98,125 +111,141 @@ def word_counts(pages: DataFrame, most_words: int = MOST_WORDS) -> dict[str, int
         for batch in batches:
             for text in batch.column(0):
                 if (t := text.as_py()) is not None:
-                    found.update(_PLAIN.findall(_TAG.sub(" ", t).lower()))
+                    found.update(w for w in words_of_page(t) if 2 <= len(w) <= LONGEST_WORD)
                 if len(found) > 200_000:  # counts so far leave the task
                     yield rows()
                     found.clear()
         if found:
             yield rows()
 
-    counted = materialise(pages.select("html").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
-    # Counts by eighths of octaves, a few hundred rows, tell from where on the words are few
-    # enough; so no more than ``most_words`` rows reach the driver, however many tasks there are.
-    level = F.floor(F.log2("n") * 8).cast("int")
-    levels = sorted(((r["level"], r["words"]) for r in counted.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words")).collect()), reverse=True)
-    lowest, words = None, 0
-    for at, more in levels:
-        if words + more > most_words:
-            break
-        lowest, words = at, words + more
-    if lowest is None:
-        return {}
-    return {r["word"]: r["n"] for r in counted.where(level >= lowest).collect()}
-
-
-@dataclass
-class UrlModel:
-    """Log probabilities of words for the segmentation, and of tokens for each class."""
-
-    words: dict[str, float]
-    unknown: float  # of one letter of an unknown word
-    tokens: dict[str, tuple[float, float]]  # token -> (block, allow)
-    prior: tuple[float, float]
-    cache: dict[str, tuple[str, ...]] = field(default_factory=dict)
-
-    def segment(self, label: str) -> tuple[str, ...]:
-        """The most probable words of one label: Viterbi over its letters.
-
-        Runs of characters other than letters part a label; a letter outside every word
-        joins its neighbours into one unknown word."""
-        if label in self.cache:
-            return self.cache[label]
-        out: list[str] = []
-        for run in re.findall(r"[^\W\d_]+", label):
-            best, last = [0.0], [0]
-            for end in range(1, len(run) + 1):
-                score, start = best[end - 1] + self.unknown, end - 1
-                for k in range(max(0, end - LONGEST_WORD), end):
-                    p = self.words.get(run[k:end])
-                    if p is not None and best[k] + p > score:
-                        score, start = best[k] + p, k
-                best.append(score)
-                last.append(start)
-            cut, pieces = len(run), []
-            while cut:
-                pieces.append(run[last[cut] : cut])
-                cut = last[cut]
-            merged: list[str] = []
-            loose = False
-            for w in reversed(pieces):
-                known = w in self.words
-                if not known and loose:
-                    merged[-1] += w
-                else:
-                    merged.append(w)
-                loose = not known
-            out += merged
-        if len(self.cache) > 50_000:
-            self.cache.clear()
-        self.cache[label] = tuple(out)
-        return self.cache[label]
-
-    def tokens_of(self, host: str, path: str) -> list[str]:
-        """Words of the host's labels but the last, and of the path's parts."""
-        labels = host.split(".")
-        parts = (labels[:-1] if len(labels) > 1 else labels) + re.split(r"[/.]", path.lower())
-        return [w for p in parts if p for w in self.segment(p) if w not in COMMON]
-
-    def block_odds(self, tokens: list[str]) -> float:
-        """Log odds of block against allow; tokens without a count say nothing."""
-        odds = self.prior[0] - self.prior[1]
-        for t in tokens:
-            if t in self.tokens:
-                b, a = self.tokens[t]
-                odds += b - a
-        return odds
-
-
-def fit_url_model(counts: dict[str, int], block: str = BLOCK_SEEDS, allow: str = ALLOW_SEEDS, prior_block: float = PRIOR_BLOCK, smoothing: float = SMOOTHING) -> UrlModel:
-    """Word probabilities from ``counts`` plus the seed words; naive Bayes from the seeds."""
-    names = [[n.split() for n in text.split(";") if n.split()] for text in (block, allow)]
-    by_class = [Counter(w for n in group for w in n) for group in names]
-    total = Counter(counts)
-    for c in by_class:
-        for w in c:
-            total[w] += SEED_COUNT
-    mass = sum(total.values())
-    words = {w: math.log(n / mass) for w, n in total.items() if len(w) > 1 or w in by_class[0]}
-    seen = set(by_class[0]) | set(by_class[1])
+    return pages.select(html_col).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def segment(run: str, words: dict[str, float], unknown: float) -> list[str]:
+    """The most probable words of one run of letters: Viterbi.
+
+    ``words`` are log probabilities; a letter outside every word costs ``unknown`` and joins its
+    neighbours into one unknown word."""
+    longest = max(map(len, words), default=0)
+    best, last = [0.0], [0]
+    for end in range(1, len(run) + 1):
+        score, start = best[end - 1] + unknown, end - 1
+        for k in range(max(0, end - longest), end):
+            p = words.get(run[k:end])
+            if p is not None and best[k] + p > score:
+                score, start = best[k] + p, k
+        best.append(score)
+        last.append(start)
+    cut, pieces = len(run), []
+    while cut:
+        pieces.append(run[last[cut] : cut])
+        cut = last[cut]
+    merged: list[str] = []
+    loose = False
+    for w in reversed(pieces):
+        known = w in words
+        if not known and loose:
+            merged[-1] += w
+        else:
+            merged.append(w)
+        loose = not known
+    return merged
+
+
+def seed_counts(block: str, allow: str) -> list[Counter]:
+    """Counts of the words of each class's names."""
+    return [Counter(w for name in text.split(";") for w in name.split()) for text in (block, allow)]
+
+
+def segmented(runs: DataFrame, counts: DataFrame) -> DataFrame:
+    """(key, segments) for ``runs`` (key, run), distinct; ``counts`` is (word, n)."""
+    mass = counts.agg(F.sum("n")).first()[0] or 1
+
+    def substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for key, run in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for a in range(0, len(run), 20_000):  # a very long run in parts
+                    found = sorted({run[k:e] for k in range(a, min(a + 20_000, len(run))) for e in range(k + 2, min(k + LONGEST_WORD, len(run)) + 1)})
+                    if found:
+                        yield pa.RecordBatch.from_arrays([pa.array([key] * len(found)), pa.array(found)], ["key", "word"])
+
+    held = runs.select("key", "run").mapInArrow(substrings, "key string, word string").join(counts, "word")
+    words = held.groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("word", F.log(F.col("n") / F.lit(float(mass))).alias("p")))).alias("words"))
+    unknown = math.log(1.0 / mass) - 2.0
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def split(run: pd.Series, words: pd.Series) -> pd.Series:
+        return pd.Series([segment(r, dict(w) if w is not None else {}, unknown) for r, w in zip(run, words, strict=True)])
+
+    return runs.join(words, "key", "left").select("key", split("run", "words").alias("segments"))
+
+
+def token_odds(tokens: DataFrame, rules: list[tuple[str, str, str]], block: str, allow: str, smoothing: float) -> DataFrame:
+    """(token, odds): log odds of block against allow, from ``tokens`` (token, n_block, n_allow),
+    distinct, and the seeds; tokens that say nothing have no row."""
+    spark = tokens.sparkSession
+    by_class = seed_counts(block, allow)
+    seen = sorted(set(by_class[0]) | set(by_class[1]))
     sizes = [sum(c.values()) + smoothing * len(seen) for c in by_class]
-    tokens = {w: (math.log((by_class[0][w] + smoothing) / sizes[0]), math.log((by_class[1][w] + smoothing) / sizes[1])) for w in seen}
-    return UrlModel(words, math.log(1.0 / mass) - 2.0, tokens, (math.log(prior_block), math.log(1 - prior_block)))
-
-
-def filter_urls(pages: DataFrame, model: UrlModel, rules: list[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    fixed = [(w, math.log((by_class[0][w] + smoothing) / sizes[0]) - math.log((by_class[1][w] + smoothing) / sizes[1])) for w in seen]
+    seeds = spark.createDataFrame(fixed, "token string, seed double")
+    named = sorted({w for _, host, path in rules for w in _LETTERS.findall(f"{host} {path}".lower())})
+    tokens = tokens.where(~F.col("token").isin([*named, *sorted(COMMON)]))
+    total = tokens.agg(F.sum("n_block").alias("b"), F.sum("n_allow").alias("a")).first()
+    b, a = F.col("n_block") + 0.5, F.col("n_allow") + 0.5
+    taught = F.log(b / F.lit(float(total["b"] or 0) + 1)) - F.log(a / F.lit(float(total["a"] or 0) + 1))
+    sure = F.signum(taught) * F.greatest(F.abs(taught) - SURE * F.sqrt(1 / b + 1 / a), F.lit(0.0))
+    learnt = tokens.select("token", sure.alias("learnt")).where("learnt <> 0")
+    odds = learnt.join(seeds, "token", "full").select("token", (F.coalesce("seed", F.lit(0.0)) + F.coalesce("learnt", F.lit(0.0))).alias("odds"))
+    return odds.where(~F.col("token").isin(sorted(COMMON)))
+
+
+def filter_urls(
+    pages: DataFrame,
+    counts: DataFrame | None = None,
+    rules: list[tuple[str, str, str]] = RULES,
+    block: str = BLOCK_SEEDS,
+    allow: str = ALLOW_SEEDS,
+    prior_block: float = PRIOR_BLOCK,
+    smoothing: float = SMOOTHING,
+    id_col: str = "page_id",
+    url_col: str = "url",
+) -> DataFrame:
     """(id, host, path, rule, verdict, segments, block_odds) of every URL.
 
-    The verdict is the rule's, or else ``block`` if the odds are above 0.  A null URL or one
+    ``counts`` (word, n), such as ``word_counts`` gives, is the segmentation's dictionary beside the
+    seeds.  The verdict is the rule's, or else ``block`` if the odds are above 0.  A null URL or one
     without ``://`` has an empty host and path, no segments, and is allowed.  Ties in length
     between rules go to the alphabetically later one; repeated rows and null ids get their
     own result; extra columns are not carried."""
+    spark = pages.sparkSession
     host, path = host_and_path(F.col(url_col))
     rule, fixed = matching_rule(F.col("host"), F.col("path"), rules)
-    shared = pages.sparkSession.sparkContext.broadcast(model)  # at most MOST_WORDS words and the seeds
-
-    @F.pandas_udf(T.StructType([T.StructField("segments", T.ArrayType(T.StringType())), T.StructField("block_odds", T.DoubleType())]))
-    def judge(h: pd.Series, p: pd.Series) -> pd.DataFrame:
-        m = shared.value
-        tokens = [m.tokens_of(a, b) for a, b in zip(h, p, strict=True)]
-        return pd.DataFrame({"segments": tokens, "block_odds": [m.block_odds(t) for t in tokens]})
-
-    parts = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
-    judged = parts.withColumn("rule", rule).withColumn("_fixed", fixed).withColumn("_m", judge("host", "path"))
-    own = F.when(F.col("_m.block_odds") > 0, "block").otherwise("allow")
-    return judged.select(id_col, "host", "path", "rule", F.coalesce("_fixed", own).alias("verdict"), F.col("_m.segments").alias("segments"), F.col("_m.block_odds").alias("block_odds"))
+    labels = F.split("host", r"\.")
+    names = F.concat_ws("/", F.when(F.size(labels) > 1, F.slice(labels, 1, F.size(labels) - 1)).otherwise(labels), F.col("path"))
+    rows = pages.select(F.col(id_col).alias("_page"), host.alias("host"), path.alias("path")).withColumn("rule", rule).withColumn("fixed", fixed)
+    rows = rows.withColumn("runs", F.regexp_extract_all(F.lower(names), F.lit(r"(\p{L}+)"), F.lit(1)))
+    rows = materialise(rows.withColumn("_row", F.monotonically_increasing_id()), "urls")
+    every = rows.select("_row", "fixed", F.posexplode("runs").alias("at", "run")).withColumn("key", F.md5("run"))
+    judged = lambda what: F.count_if(F.col("fixed").eqNullSafe(F.lit(what)))
+    runs = materialise(every.groupBy("key").agg(F.first("run").alias("run"), F.count(F.lit(1)).alias("n"), judged("block").alias("n_block"), judged("allow").alias("n_allow")), "url-runs")
+
+    seeds = [(w, SEED_COUNT) for c in seed_counts(block, allow) for w in c if len(w) > 1]
+    seeded = spark.createDataFrame(seeds, "word string, n long")
+    known = (seeded if counts is None else seeded.unionByName(counts.select("word", "n"))).groupBy("word").agg(F.sum("n").alias("n"))
+    split = materialise(segmented(runs, materialise(known, "word-counts")).join(runs.drop("run"), "key"), "url-segments")
+
+    said = split.select("key", "n_block", "n_allow", F.explode("segments").alias("token"))
+    tokens = materialise(said.groupBy("token").agg(F.sum("n_block").alias("n_block"), F.sum("n_allow").alias("n_allow"), F.count(F.lit(1)).alias("n")), "url-tokens")
+    odds = token_odds(tokens, rules, block, allow, smoothing).join(tokens.select("token", "n"), "token")
+    by_run = join_counted(said.select("key", "token"), odds, "token", "n", tokens).groupBy("key").agg(F.sum("odds").alias("odds"))
+    plain = F.filter("segments", lambda w: ~w.isin(sorted(COMMON)))
+    table = split.join(by_run, "key", "left").select("key", "n", plain.alias("segments"), F.coalesce("odds", F.lit(0.0)).alias("odds"))
+    table = materialise(table, "url-runs-judged")
+    found = join_counted(every.select("_row", "at", "key"), table, "key", "n", table)
+    own = found.groupBy("_row").agg(F.sum("odds").alias("odds"), F.sort_array(F.collect_list(F.struct("at", "segments"))).alias("parts"))
+    prior = math.log(prior_block) - math.log(1 - prior_block)
+    total = F.round(F.lit(prior) + F.coalesce("odds", F.lit(0.0)), 9)  # sums come in any order
+    verdict = F.coalesce("fixed", F.when(total > 0, "block").otherwise("allow"))
+    segments = F.coalesce(F.flatten(F.transform("parts", lambda p: p["segments"])), F.array().cast("array<string>"))
+    return rows.join(own, "_row", "left").select(F.col("_page").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), segments.alias("segments"), total.alias("block_odds"))
