@@ -452,6 +452,47 @@ def test_ordinal_model_orders_and_separates():
     assert not none.weights.any() and (np.diff(none.thresholds) > 0).all()
 
 
+def test_ordinal_fit_is_a_maximum():
+    """On a small table, the fit's loss equals that of a plain descent on the dense likelihood."""
+    rng = np.random.default_rng(5)
+    x = rng.random((120, 4))
+    grades = np.clip((x @ [2.0, -1.0, 0.5, 0.0] * 1.5 + rng.normal(0, 0.8, 120)).round().astype(int), 0, 2)
+    places = np.array([3, 77, 5000, 200_000])
+    shards = [(np.tile(places, 60).astype(np.int32), x[a : a + 60].ravel(), np.repeat(np.arange(60), 4), grades[a : a + 60]) for a in (0, 60)]
+    l2 = 0.5
+
+    def loss(w, t):
+        tail = 1 / (1 + np.exp(-(x @ w)[:, None] + t))
+        p = np.column_stack((np.ones(120), tail)) - np.column_stack((tail, np.zeros(120)))
+        return -np.log(p[np.arange(120), grades]).mean() + l2 / 240 * (w**2).sum()
+
+    model = Q.fit_ordinal(shards, 3, l2=l2, rounds=3000)
+    got = loss(model.weights[places].astype(float), model.thresholds)
+    par = np.array([0, 0, 0, 0, -0.5, 1.0])
+    for step in (0.5, 0.2, 0.05):  # numeric gradient
+        for _ in range(1500):
+            grad = np.array([(loss(*np.split(par + e, [4])) - loss(*np.split(par - e, [4]))) / 2e-5 for e in np.eye(6) * 1e-5])
+            par = par - step * grad
+    assert got == pytest.approx(loss(*np.split(par, [4])), abs=2e-4)
+    assert np.count_nonzero(model.weights) == 4
+
+
+def test_labelled_sample_is_bounded_and_repeats_count_once(spark):
+    docs = spark.createDataFrame([(k % 300, f"text {k % 300} " + "bad " * (k % 3)) for k in range(900)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k % 300, 2 if k < 300 else k % 3) for k in range(600)], "doc_id long, grade int")
+    seen = []
+    original = Q._fit_rows
+    Q._fit_rows = lambda rows, n: seen.append(len(rows)) or original(rows, n)
+    try:
+        Q.fit_quality(docs, labels, most_labelled=100)
+        Q.fit_quality(docs, labels, most_labelled=299)
+        Q.fit_quality(docs, labels, most_labelled=301)
+    finally:
+        Q._fit_rows = original
+    whole = seen[3::4]
+    assert 50 < whole[0] <= 100 and 100 < whole[1] <= 299 and whole[2] == 300
+
+
 def test_classifier_on_held_out_documents(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{d}/labels.parquet")

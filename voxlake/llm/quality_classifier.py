@@ -10,7 +10,7 @@ weight vector w; ordered thresholds t_1 < t_2 < ... part them:
     P(grade >= k | x) = sigmoid(w . x - t_k)
 
 The loss is the negative log likelihood of the grades with an L2 penalty, minimised by
-AdaGrad over the whole sample.  The expected grade is the sum of the tail probabilities;
+AdaGrad over the whole sample, on the dimensions that occur in it.  The expected grade is the sum of the tail probabilities;
 documents are selected by a tail probability, whose cut weighs both errors on out-of-fold rows.
 
 The weights are fitted on a bounded sample (``most_labelled``) of the labelled rows; scoring
@@ -106,7 +106,10 @@ def fit_ordinal(shards: list[Shard], n_grades: int, l2: float = 1e-4, rounds: in
     gradient over all shards, so only one shard's working arrays exist at a time."""
     grades = np.concatenate([g for *_, g in shards]) if shards else np.empty(0, int)
     n = max(len(grades), 1)
-    w = np.zeros((1 << BITS) + n_grades - 1)
+    # only the dimensions that occur: the others keep their weight of 0
+    used = np.unique(np.concatenate([np.unique(s[0]) for s in shards])) if shards else np.empty(0, int)
+    shards = [(np.searchsorted(used, index), value, doc, own) for index, value, doc, own in shards]
+    w = np.zeros(len(used))
     at_least = np.array([(grades >= k).mean() if len(grades) else 0.5 for k in range(1, n_grades)]).clip(1e-3, 1 - 1e-3)
     start = -np.log(at_least / (1 - at_least))
     first, steps = start[0], np.log(np.maximum(np.diff(start), 1e-3))  # thresholds by log steps: always ordered
@@ -132,7 +135,9 @@ def fit_ordinal(shards: list[Shard], n_grades: int, l2: float = 1e-4, rounds: in
         w -= rate * g_w / np.sqrt(seen_w)
         move = rate * g_par / np.sqrt(seen_t)
         first, steps = first - move[0], steps - move[1:]
-    return OrdinalModel(w.astype(np.float32), first + np.concatenate(([0.0], np.cumsum(np.exp(steps)))))
+    weights = np.zeros((1 << BITS) + n_grades - 1, np.float32)
+    weights[used] = w
+    return OrdinalModel(weights, first + np.concatenate(([0.0], np.cumsum(np.exp(steps)))))
 
 
 def _sparse_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,14 +192,18 @@ def choose_cut(tail: np.ndarray, best: np.ndarray) -> float:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, n_grades: int = 3, most_labelled: int = MOST_LABELLED) -> OrdinalModel:
-    """Fit on the ``most_labelled`` labelled rows that come first by hash of their id.
+    """Fit on at most ``most_labelled`` labelled ids, drawn by their hash.
 
     ``labels`` has ``doc_id`` and ``grade``; null grades and ids that ``docs`` lacks take no
-    part.  ``cut`` is set in the same way at every size, on out-of-fold scores of all rows of
+    part.  An id that is labelled twice has the lowest of its grades, and one that several
+    rows of ``docs`` share counts once, with the first of its texts in order.  ``cut`` is set in the same way at every size, on out-of-fold scores of all rows of
     the sample; copies of a text share a fold.  Without labels the model gives every document the same score."""
-    chosen = labels.where("grade is not null and doc_id is not null").select("doc_id", "grade").orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(most_labelled)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most most_labelled rows are broadcast
-    found = rows.mapInArrow(_sparse_rows, "grade int, index binary, value binary, words binary").limit(2 * most_labelled).collect()
+    graded = labels.where("grade is not null and doc_id is not null").groupBy("doc_id").agg(F.min("grade").alias("grade"))
+    one_in = max(1, -(-graded.count() // most_labelled))
+    chosen = graded.where(F.pmod(F.xxhash64("doc_id"), F.lit(one_in).cast("long")) == 0)  # about most_labelled rows at most
+    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("grade").alias("grade"))
+    found = rows.select("doc_id", "text", "grade").mapInArrow(_sparse_rows, "grade int, index binary, value binary, words binary").collect()
     found.sort(key=lambda r: (zlib.crc32(r["index"]), r["grade"]))  # the rows come in any order
     fold = np.array([zlib.crc32(r["index"]) % FOLDS for r in found], int)
     tail, best = np.zeros(len(found)), np.array([r["grade"] == n_grades - 1 for r in found], bool)
