@@ -375,12 +375,30 @@ def test_near_duplicates(spark, texts):
 
 
 def test_near_duplicates_in_blocks(spark, monkeypatch):
-    """Groups cut into pairs of blocks give the same classes."""
+    """Large groups, cut into blocks: one class, two close classes, a chain, and strays between."""
     monkeypatch.setattr(N, "BLOCK", 4)
     base = [f"w{k}" for k in range(200)]
+    other = [*base[:100], *(f"v{k}" for k in range(22)), *base[122:]]
     rows = [(k, " ".join([*base[:k], f"x{k}", *base[k + 1 :]])) for k in range(40)]
-    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r.class_id for r in got} == {0} and sum(r.kept for r in got) == 1
+    rows += [(100 + k, " ".join([*other[:k], f"y{k}", *other[k + 1 :]])) for k in range(30)]
+    rows += [(200 + k, " ".join([*(f"z{i}" for i in range(2 * k)), *base[2 * k :]])) for k in range(1, 30)]
+    rng = np.random.default_rng(3)
+    rng.shuffle(rows)
+    rows = [(int(i), t) for i, t in rows]
+    got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_classes(rows) and len(set(got.values())) > 1
+
+
+def test_second_round_leaves_connected_pairs_out(spark, monkeypatch):
+    """A document of a large component goes to the blocks of others only: copies stay linear."""
+    monkeypatch.setattr(N, "BLOCK", 4)
+    rows = spark.range(41).select(F.lit(1).alias("key"), F.lit(41).alias("n"), F.lit(0).alias("least"), F.col("id").alias("doc_id"))
+    first = N._blocks(rows)
+    assert first.count() == 41 + 10 and first.where("doc_id = 0").count() == 11
+    found = spark.range(38).select("id", F.lit(0).cast("long").alias("root"))  # three strays
+    again = N._block_pairs(rows, found)
+    assert again.count() == 38 * 1 + 3 * 11
+    assert N._block_pairs(rows, spark.range(41).select("id", F.lit(0).cast("long").alias("root"))) is None
 
 
 def test_near_duplicates_edges(spark, edge, edge_rows):

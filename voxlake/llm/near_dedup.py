@@ -11,10 +11,15 @@ termination).  The share of equal registers estimates the probability Jaccard si
 1. Documents of equal word sequences collapse to the smallest id.
 2. Bands of registers are bucket keys.  Buckets of the same members count once.  In a bucket,
    pairs whose 8-bit registers agree often enough become candidate links; only a spanning
-   forest of them leaves the task.  Large buckets are cut into blocks, block pairs are tasks.
-3. Components of candidate links are groups; each group's documents come together, again in
-   blocks, and pairs that aren't connected yet are verified by their exact J_P.
+   forest of them leaves the task.
+3. Components of candidate links are groups; each group's documents come together, and pairs
+   that aren't connected yet are verified by their exact J_P.
 4. Components of verified links are the classes.
+
+Large buckets and groups, in steps 2 and 3 alike, are cut into blocks; each block is compared
+within itself and with the smallest member, which goes along with every block: linear in the
+group.  Only what that leaves unconnected meets again, in pairs of blocks of different
+components, so no link is lost; what the first round has joined is not compared again.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxlake.llm.common import materialise, shuffle_partitions
@@ -35,7 +40,8 @@ THRESHOLD = 0.8
 REGISTERS, ROWS = 120, 5  # 24 bands: at 0.8 a pair is missed once in 13,000
 #: Registers that must agree for a candidate link: 4.8 standard deviations under 0.8.
 CANDIDATE = 75
-BLOCK = 1024
+BLOCK = 256  # documents of a bucket or group that are compared with each other at once
+TASK = ["key", "i", "j"]
 SIGNATURES = "doc_id long, k1 long, k2 long, bands array<long>, sig binary"
 
 
@@ -141,6 +147,12 @@ class Forest:
             self.up[max(x, y)] = min(x, y)
             self.edges.append((a, b))
 
+    def know(self, a: int, b: int) -> None:
+        """``a`` and ``b`` are connected already: no edge."""
+        x, y = self.root(a), self.root(b)
+        if x != y:
+            self.up[max(x, y)] = min(x, y)
+
     def batch(self) -> pa.RecordBatch:
         a, b = zip(*self.edges, strict=True) if self.edges else ((), ())
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -173,11 +185,11 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], most_rows:
 
 
 def _candidate_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for table in _whole_groups(batches, ["bucket", "i", "j"]):
+    for table in _whole_groups(batches, TASK):
         forest = Forest()
-        ids = table.column("doc_id").to_numpy()
+        ids, seed = table.column("doc_id").to_numpy(), table.column("seed").to_numpy()
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, REGISTERS)
-        bounds = _groups(table, ["bucket", "i", "j"])
+        bounds = _groups(table, TASK)
         size = np.diff(bounds)
         small = np.flatnonzero((size > 1) & (size <= 24))
         for n in np.unique(size[small]):
@@ -186,35 +198,56 @@ def _candidate_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             step = max(1, 200_000 // len(p))
             for k in range(0, len(lo), step):
                 a, b = (lo[k : k + step, None] + p).ravel(), (lo[k : k + step, None] + q).ravel()
+                apart = seed[a] != seed[b]
+                a, b = a[apart], b[apart]
                 near = (sig[a] == sig[b]).sum(1) >= CANDIDATE
                 for u, v in zip(ids[a[near]].tolist(), ids[b[near]].tolist(), strict=True):
                     forest.join(u, v)
         for g in np.flatnonzero(size > 24):
-            own, s = ids[bounds[g] : bounds[g + 1]].tolist(), sig[bounds[g] : bounds[g + 1]]
-            rest = np.arange(len(own))
-            while len(rest):  # breadth first: each document is compared with those not yet reached
-                front, rest = [rest[0]], rest[1:]
-                while front and len(rest):
-                    k = front.pop()
-                    near = (s[rest] == s[k]).sum(1) >= CANDIDATE
-                    for t in rest[near].tolist():
-                        forest.join(own[k], own[t])
-                        front.append(t)
-                    rest = rest[~near]
+            own = slice(bounds[g], bounds[g + 1])
+            _join_near(ids[own].tolist(), seed[own], sig[own], forest)
         yield forest.batch()
 
 
+def _join_near(ids: list[int], seed: np.ndarray, sig: np.ndarray, forest: Forest) -> None:
+    """Breadth first: each document is compared with those not yet reached.  Documents of one
+    seed are connected already; whoever reaches one has reached all."""
+    mates: dict[int, list[int]] = {}
+    for k, m in enumerate(seed.tolist()):
+        mates.setdefault(m, []).append(k)
+    waiting = np.ones(len(ids), bool)
+    for first in range(len(ids)):
+        if not waiting[first]:
+            continue
+        front = list(mates[int(seed[first])])
+        waiting[front] = False
+        while front:
+            k = front.pop()
+            rest = np.flatnonzero(waiting)
+            if not len(rest):
+                return
+            for t in rest[(sig[rest] == sig[k]).sum(1) >= CANDIDATE].tolist():
+                if waiting[t]:
+                    forest.join(ids[k], ids[t])
+                    new = mates[int(seed[t])]
+                    waiting[new] = False
+                    front += new
+
+
 def _verified_links(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_groups(batches, ["root", "i", "j"], 2000):
+        for table in _whole_groups(batches, TASK, 2000):
             forest = Forest()
-            bounds = _groups(table, ["root", "i", "j"])
+            bounds = _groups(table, TASK)
             sets: list[tuple[np.ndarray, np.ndarray]] = []
             for x in text_slices(table.select(["doc_id", "text"]).to_batches(), "doc_id", "text"):
                 doc, h, w = shingles(x, x.hashes())
                 cut = np.searchsorted(doc, np.arange(len(x.ids) + 1))
                 sets += [(h[a:b], w[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
             ids = table.column("doc_id").to_pylist()
+            for i, m in zip(ids, table.column("seed").to_pylist(), strict=True):
+                if i != m:
+                    forest.know(i, m)
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 _verify(ids[a:b], sets[a:b], threshold, forest)
             yield forest.batch()
@@ -247,14 +280,60 @@ def _verify(ids: list[int], sets: list[tuple[np.ndarray, np.ndarray]], threshold
                 forest.join(ids[p], ids[q])
 
 
-def _blocks(df: DataFrame, key: str, size: Column) -> DataFrame:
-    """Columns i, j: one task for a small group; pairs of blocks for a large one."""
-    nb = F.ceil(size / F.lit(BLOCK)).cast("int")
+def _blocks(rows: DataFrame) -> DataFrame:
+    """First round.  ``rows`` has key, n (its rows), least (its smallest id) and doc_id; adds i, j
+    and seed.  A large key is cut into blocks, and its smallest member goes to each."""
+    nb = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("doc_id"), nb.cast("long")).cast("int")
-    out = df.withColumn("_nb", F.when(size > 2 * BLOCK, nb).otherwise(F.lit(1)))
-    out = out.withColumn("_own", F.when(F.col("_nb") > 1, own).otherwise(F.lit(0)))
-    out = out.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
-    return out.withColumn("i", F.least("_own", "_other")).withColumn("j", F.greatest("_own", "_other")).drop("_nb", "_own", "_other")
+    to = F.when(F.col("doc_id") == F.col("least"), F.sequence(F.lit(0), nb - 1)).otherwise(F.array(own))
+    return rows.withColumn("i", F.explode(to)).withColumn("j", F.lit(0)).withColumn("seed", F.col("doc_id"))
+
+
+def _block_pairs(rows: DataFrame, found: DataFrame) -> DataFrame | None:
+    """Second round, for large keys whose members the first one left in several components (id,
+    root): pairs of blocks but those of one component; ``None`` if there is no such key.
+
+    A component of ``BLOCK`` members or more has blocks of its own; the others share some."""
+    large = rows.where(F.col("n") > BLOCK).select("key", "doc_id").join(found.select(F.col("id").alias("doc_id"), "root"), "doc_id", "left")
+    large = large.withColumn("seed", F.coalesce("root", "doc_id")).drop("root")
+    parts = large.groupBy("key", "seed").agg(F.count(F.lit(1)).alias("m"))
+    several = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key")
+    parts = materialise(parts.join(several, "key", "left_semi"), "near-parts")
+    if parts.isEmpty():
+        return None
+    big = F.col("m") >= BLOCK
+    parts = parts.withColumn("part", F.when(big, F.col("seed")))  # null: shares blocks
+    shared = parts.groupBy("key", "part").agg(F.ceil(F.sum("m") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    # Rows of a key are its large components and one more: ``n / BLOCK`` at most.
+    upto = Window.partitionBy("key").orderBy(F.asc_nulls_first("part"))
+    placed = shared.withColumn("first", F.sum("blocks").over(upto) - F.col("blocks")).withColumn("all", F.sum("blocks").over(Window.partitionBy("key")))
+    where = parts.alias("p").join(placed.alias("q"), (F.col("p.key") == F.col("q.key")) & F.col("p.part").eqNullSafe(F.col("q.part")))
+    where = where.select(F.col("p.key").alias("key"), F.col("p.seed").alias("seed"), F.col("p.part").isNotNull().alias("alone"), "blocks", "first", "all")
+    members = large.join(where.hint("merge"), ["key", "seed"])
+    own = (F.col("first") + F.pmod(F.xxhash64("doc_id"), F.col("blocks").cast("long"))).cast("int")
+    every = F.sequence(F.lit(0), (F.col("all") - 1).cast("int"))
+    other = F.filter(every, lambda b: ~F.col("alone") | (b < F.col("first")) | (b >= F.col("first") + F.col("blocks")))
+    members = members.select("key", "doc_id", "seed", own.alias("own"), F.explode(other).alias("other"))
+    members = members.select("key", "doc_id", "seed", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return rows.join(members.hint("merge"), ["key", "doc_id"])
+
+
+def _connected(rows: DataFrame, payload: str, links_of, name: str) -> DataFrame:
+    """Components (id, root) of the links among rows of the same key; ``links_of`` finds the links
+    in batches of tasks (key, i, j)."""
+    parts = shuffle_partitions(rows.sparkSession)
+
+    def round_of(work: DataFrame, which: str) -> DataFrame:
+        dealt = work.select(*TASK, "doc_id", "seed", payload).repartition(parts, *TASK).sortWithinPartitions(*TASK, "doc_id")
+        return materialise(dealt.mapInArrow(links_of, "a long, b long"), f"{name}-{which}")
+
+    links = round_of(_blocks(rows), "blocks")
+    found = materialise(connected_components(links), f"{name}-found")
+    again = _block_pairs(rows, found)
+    if again is None:
+        return found
+    more = round_of(again, "pairs")
+    return found if more.isEmpty() else materialise(connected_components(links.unionByName(more)), f"{name}-found")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -268,8 +347,6 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     four words is one shingle.  Rows with equal ids count as one document each and share the
     flag; rows without an id come back with a null class and ``kept`` true.  Extra columns are
     not carried."""
-    spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     known = docs.where("doc_id is not null")
     sigs = materialise(known.mapInArrow(lambda it: _signatures(it, "doc_id", "text"), SIGNATURES), "near-signatures")
@@ -277,18 +354,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     # Signatures of the first of equal texts; of rows that share id and text, one.
     firsts = sigs.join(reps, (sigs["k1"] == reps["k1"]) & (sigs["k2"] == reps["k2"]) & (sigs["doc_id"] == reps["rep"]), "left_semi").select("doc_id", "bands", "sig")
     banded = firsts.select("doc_id", F.explode("bands").alias("bucket"))
-    buckets = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("members")).where("n > 1")
-    buckets = buckets.groupBy("n", "members").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
+    buckets = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"), F.bit_xor(F.xxhash64("doc_id")).alias("members")).where("n > 1")
+    buckets = buckets.groupBy("n", "least", "members").agg(F.min("bucket").alias("bucket")).select("bucket", "n", "least")
     met = banded.join(buckets, "bucket").join(firsts.select("doc_id", "sig"), "doc_id").dropDuplicates(["bucket", "doc_id"])
-    tasks = _blocks(met, "bucket", F.col("n")).repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "doc_id")
-    links = materialise(tasks.select("bucket", "i", "j", "doc_id", "sig").mapInArrow(_candidate_links, "a long, b long"), "near-candidates")
-    groups = materialise(connected_components(links), "near-groups")
-    sized = groups.join(groups.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root")
+    groups = _connected(met.withColumnRenamed("bucket", "key"), "sig", _candidate_links, "near-candidates")
+    sized = groups.join(groups.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root").select(F.col("id").alias("doc_id"), F.col("root").alias("key"), "n", F.col("root").alias("least"))
     # The table of groups grows with the data: never broadcast, at any size the same plan.
-    texts = known.join(sized.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id")
-    work = _blocks(texts, "root", F.col("n")).repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j", "doc_id")
-    verified = materialise(work.select("root", "i", "j", "doc_id", "text").mapInArrow(_verified_links(threshold), "a long, b long"), "near-links")
-    classes = connected_components(verified)
+    texts = known.join(sized.hint("merge"), "doc_id")
+    classes = _connected(texts, "text", _verified_links(threshold), "near-links")
     named = reps.join(classes, reps["rep"] == classes["id"], "left").select("k1", "k2", F.coalesce("root", "rep").alias("class_id"))
     worded = sigs.select("doc_id", "k1", "k2").join(named, ["k1", "k2"]).select("doc_id", "class_id")
     blank = docs.where(F.col("doc_id").isNull() | ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")).select("doc_id", F.col("doc_id").alias("class_id"))
