@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 
 from voxlake.llm import bpe
 from voxlake.llm import near_dedup as N
-from voxlake.llm import packing
+from voxlake.llm import packing, quality_rules
 from voxlake.llm import quality_classifier as Q
 from voxlake.llm import queries
 from voxlake.llm import substring_dedup as substring
@@ -445,6 +445,39 @@ def test_cascade_equals_its_rules_in_any_order(spark, small, edge, edge_rows):
     assert quality_cascade(edge.limit(0)).count() == 0
 
 
+def test_order_is_by_rejections_per_cost_and_stable(spark, small):
+    """A dear rule comes after a cheap one that rejects as much, and before a cheap one that never
+    does; the same table gives the same order each time, in any partitioning."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    found = [
+        Rule("dear", lambda s, t: F.length(t) % 2 == 0, passes=20),
+        Rule("never", lambda s, t: s["n_words"] < 0),
+        Rule("cheap", lambda s, t: F.length(t) % 2 == 0),
+    ]
+    assert {tuple(r.name for r in quality_rules.order_rules(docs.repartition(k + 1), found)) for k in range(3)} == {("cheap", "dear", "never")}
+    assert len({tuple(r.name for r in quality_rules.order_rules(docs.repartition(k + 1), quality_rules.rules())) for k in range(10)}) == 1
+    assert quality_rules.order_rules(docs.limit(0), found) == found
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 3), max_size=40), min_size=1, max_size=6), st.booleans())
+def test_repeated_words(spark, rows, few):
+    """Words that repeated five-word runs cover, both ways of looking them up."""
+    texts = [" ".join(f"w{k}" for k in r) for r in rows]
+    want = []
+    for r in rows:
+        runs = [tuple(r[k : k + 5]) for k in range(len(r) - 4)]
+        n = collections.Counter(runs)
+        want.append(len({k + d for k, g in enumerate(runs) if n[g] > 1 for d in range(5)}))
+    before, quality_rules.FEW = quality_rules.FEW, 32 if few else 0
+    try:
+        df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+        got = {r.k: r.n for r in df.select("k", quality_rules.repeated_words(quality_rules.words_of(F.col("text"))).alias("n")).collect()}
+    finally:
+        quality_rules.FEW = before
+    assert [got[k] for k in range(len(rows))] == want
+
+
 def test_rules_query_equals_sql(spark, small):
     import duckdb
 
