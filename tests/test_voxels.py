@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -10,13 +12,14 @@ from pyspark.sql import functions as F
 
 from voxlake.functions import pointwise as P
 from voxlake.functions.volume import Shape, densify, ranked
+from voxlake.jobs import files
 from voxlake.jobs.fixtures import synthetic_mask
 from voxlake.operators import components as C
 from voxlake.operators import diffusion as D
 from voxlake.operators import histograms as H
 from voxlake.operators.graph import connected_components
 from voxlake.sources import images
-from voxlake.sources.raw import read_raw, write_raw
+from voxlake.sources.raw import read_raw, update_raw, write_raw
 
 GAUSS = [float(np.exp(-0.5 * (o / 5) ** 2) / (5 * np.sqrt(2 * np.pi))) for o in range(-20, 21)]
 
@@ -51,7 +54,7 @@ def flood(a: np.ndarray) -> np.ndarray:
     return out
 
 
-@pytest.mark.parametrize("planes", [1, 3, 5, 32])
+@pytest.mark.parametrize("planes", [1, 5, 32, Shape(4, 3, 5), Shape(1, 1, 1)])
 def test_components_of_any_chunking(spark, planes):
     rng = np.random.default_rng(3)
     a = (rng.random((17, 9, 8)) < 0.35).astype(int)
@@ -113,12 +116,14 @@ def test_diffusion_forms_agree(spark, kernel, repetitions):
         dense = densify(as_table(spark, a), shape)
         for r in D.diffuse(dense, kernel, repetitions).collect():
             assert r.u == pytest.approx(want[r.z, r.y, r.x], abs=1e-12)
-    blocks = D.diffuse_blocks(D.to_blocks(as_table(spark, a), shape, 3), shape, kernel, repetitions, 3)
-    got = np.zeros(a.shape)
-    for r in D.from_blocks(blocks, shape).collect():
-        got[r.z, r.y, r.x] = r.u
-    assert np.abs(got - want).max() < 1e-6
-    assert np.abs(np.floor(got * 255) - np.floor(want * 255)).max() <= 1
+    outside = spark.createDataFrame([(0, 0, 5, 1), (7, 0, 0, 1), (0, -1, 2, 1)], "z long, y long, x long, v long")
+    for brick in (3, Shape(4, 2, 3)):  # slabs, and bricks smaller than the kernel
+        blocks = D.diffuse_blocks(D.to_blocks(as_table(spark, a).unionByName(outside), shape, brick), shape, kernel, repetitions, brick)
+        got = np.zeros(a.shape)
+        for r in D.from_blocks(blocks, shape, brick).collect():
+            got[r.z, r.y, r.x] = r.u
+        assert np.abs(got - want).max() < 1e-6
+        assert np.abs(np.floor(got * 255) - np.floor(want * 255)).max() <= 1
 
 
 def test_scatter_matches_correlation(spark):
@@ -166,6 +171,84 @@ def test_raw_round_trip(spark, tmp_path, dtype):
         read_raw(spark, f"{path}.none", shape, dtype).collect()
 
 
+def test_raw_box_and_safe_rewriting(spark, tmp_path):
+    """Voxels outside are left out; a file can be replaced by what is read from it."""
+    shape = Shape(4, 3, 4)
+    path = f"{tmp_path}/v.uint8"
+    rows = spark.createDataFrame([(0, 0, 5, 9), (4, 0, 0, 9), (0, 3, 0, 9), (-1, 0, 0, 9), (1, 2, 3, 7)], "z long, y long, x long, v long")
+    write_raw(rows, path, shape)
+    want = np.zeros((4, 3, 4), np.uint8)
+    want[1, 2, 3] = 7
+    assert (np.fromfile(path, np.uint8).reshape(want.shape) == want).all()
+    write_raw(read_raw(spark, path, shape).withColumn("v", F.col("v") + 1), path, shape)
+    assert (np.fromfile(path, np.uint8).reshape(want.shape) == want + 1).all()
+    update_raw(read_raw(spark, path, shape, z_from=1, z_to=2).withColumn("v", F.col("v") * 2), path, shape)
+    want = want + 1
+    want[1] *= 2
+    assert (np.fromfile(path, np.uint8).reshape(want.shape) == want).all()
+    update_raw(rows, f"{tmp_path}/new.uint8", shape)
+    assert np.fromfile(f"{tmp_path}/new.uint8", np.uint8).sum() == 7
+    with pytest.raises(ValueError, match="shape"):
+        update_raw(rows, path, Shape(5, 3, 4))
+    assert not list(tmp_path.glob("*.part"))
+
+
+@pytest.mark.parametrize("heights", [[4] * 16, [4] * 17, [3, 1, 7, 2, 5]])
+def test_label_files_merge(spark, tmp_path, heights):
+    """Chunk files labelled apart, with gaps in their labels, make the whole's components."""
+    rng = np.random.default_rng(len(heights))
+    a = rng.random((sum(heights), 6, 5)) < 0.4
+    z0 = 0
+    for i, n in enumerate(heights):
+        (flood(a[z0 : z0 + n]) * 3).astype("<i8").tofile(f"{tmp_path}/c{i}.int64")
+        z0 += n
+    want = flood(a)
+    assert files.merge_label_files(spark, f"{tmp_path}/c", (6, 5), heights) == want.max()
+    assert (np.fromfile(f"{tmp_path}/call.int64", "<i8").reshape(a.shape) == want).all()
+    names = {r.label: (r.z, r.y, r.x, r["size"]) for r in files.names_of_label_file(spark, f"{tmp_path}/call.int64", Shape(*a.shape)).collect()}
+    assert names == {int(k): (*(int(c) for c in np.argwhere(want == k)[0]), int((want == k).sum())) for k in np.unique(want)}
+
+
+@pytest.mark.parametrize("repetitions", [0, 1, 2])
+def test_diffusion_of_files(spark, tmp_path, repetitions):
+    a = (np.random.default_rng(5).random((17, 20, 9)) < 0.1).astype(np.uint8) * 255
+    a.tofile(f"{tmp_path}/mask.uint8")
+    files.diffuse_file(spark, f"{tmp_path}/mask.uint8", files.gaussian(5, 20), f"{tmp_path}/grey.uint8", Shape(17, 20, 9), repetitions, Shape(8, 6, 5))
+    got = np.fromfile(f"{tmp_path}/grey.uint8", np.uint8).reshape(a.shape).astype(int)
+    assert np.abs(got - np.floor(diffuse_numpy(a, GAUSS, repetitions) * 255)).max() <= 1
+    with pytest.raises(Exception, match="no volume"):
+        files.diffuse_file(spark, f"{tmp_path}/none.uint8", GAUSS, f"{tmp_path}/x.uint8", Shape(17, 20, 9))
+
+
+def png_pixels(path):
+    data = open(path, "rb").read()
+    assert data[:8] == b"\x89PNG\r\n\x1a\n"
+    at, body = 8, b""
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 4], "big")
+        kind, part = data[at + 4 : at + 8], data[at + 8 : at + 8 + n]
+        assert zlib.crc32(kind + part) == int.from_bytes(data[at + 8 + n : at + 12 + n], "big")
+        if kind == b"IHDR":
+            width, height = (int.from_bytes(part[k : k + 4], "big") for k in (0, 4))
+        body += part if kind == b"IDAT" else b""
+        at += 12 + n
+    return np.frombuffer(zlib.decompress(body), np.uint8).reshape(height, width + 1)[:, 1:]
+
+
+def test_middle_planes_as_png(spark, tmp_path):
+    a = np.random.default_rng(1).integers(0, 256, (6, 6, 6)).astype(np.uint8)
+    a[3, 2] = 0  # a row without voxels
+    a.tofile(f"{tmp_path}/v.uint8")
+    assert files.plot_file(spark, f"{tmp_path}/v.uint8", Shape(6, 6, 6), f"{tmp_path}/v.png") == [f"{tmp_path}/v.png"]
+    assert (png_pixels(f"{tmp_path}/v.png") == np.hstack((a[3], a[:, 3], a[:, :, 3]))).all()
+    b = a[:4, :5]
+    paths = images.plot_middle_planes(as_table(spark, b.astype(int)), Shape(4, 5, 6), f"{tmp_path}/b.png")
+    for path, want in zip(paths, (b[2], b[:, 2], b[:, :, 3]), strict=True):
+        assert (png_pixels(path) == want).all()
+    with pytest.raises(ValueError, match="does not end"):
+        files.dtype_of("x.bin")
+
+
 def test_pgm(spark, tmp_path):
     image = spark.createDataFrame([(0, 0, 0.0), (0, 1, 1.0), (1, 0, 0.5), (1, 1, 0.25)], "r long, c long, v double")
     images.write_pgm(images.pgm_rows(image, F.col("v")), f"{tmp_path}/image", 2, 2)

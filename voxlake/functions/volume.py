@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxlake.functions.shared import materialise, shuffle_partitions
@@ -25,6 +25,10 @@ class Shape:
     def of(self, axis: str) -> int:
         return getattr(self, axis)
 
+    def bricks(self, brick: Shape) -> Shape:
+        """How many bricks lie along each axis; the last ones may be smaller."""
+        return Shape(*(-(-self.of(a) // brick.of(a)) for a in AXES))
+
 
 def coordinates(flat: Column, shape: Shape) -> list[Column]:
     """z, y, x of a row-major index."""
@@ -64,8 +68,7 @@ def ranked(df: DataFrame, order: list[str], name: str) -> DataFrame:
     kept = materialise(placed.withColumn("_id", F.monotonically_increasing_id()), "ranked")
     part = F.shiftright("_id", 33).alias("_part")
     counts = kept.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
-    ahead = counts.alias("a").join(counts.alias("b"), F.col("b._part") < F.col("a._part"), "left")
-    before = ahead.groupBy(F.col("a._part").alias("_part")).agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before"))
-    # one row for each partition
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each partition
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).drop("_n")
     out = kept.withColumn("_part", F.shiftright("_id", 33)).join(F.broadcast(before), "_part")
     return out.withColumn(name, (F.col("_before") + F.col("_id") - F.shiftleft(F.col("_part"), 33) + 1).cast("long")).drop("_id", "_part", "_before")

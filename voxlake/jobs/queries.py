@@ -6,7 +6,9 @@ All read the volume VOX: quantities of ``lineitem`` summed on a grid of 32 voxel
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,7 @@ from voxlake.sources import images
 N, COARSE = 32, 8
 SHAPE, FIELD = Shape(N, N, N), Shape(COARSE, COARSE, COARSE)
 PLANES = 8  # of a chunk
+BRICK = Shape(13, 10, 31)
 LOW, HIGH, BINS = 20, 200, 16
 CENTER, MOST_RADIUS = (16, 16), 20
 FIELD_LOW, FIELD_HIGH = 1, 1000
@@ -226,13 +229,32 @@ def diffuse_grey(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {STATE_SQL}, {_repetition_sql('u0', 'once_')} SELECT * FROM once_")
 def diffuse_slabs(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = D.to_blocks(bright(spark, sf_dir), SHAPE, PLANES)
-    return D.from_blocks(D.diffuse_blocks(blocks, SHAPE, KERNEL, 1, PLANES), SHAPE)
+    return D.from_blocks(D.diffuse_blocks(blocks, SHAPE, KERNEL, 1, PLANES), SHAPE, PLANES)
 
 
-@query("SELECT CAST(t AS BIGINT) AS slab, CAST(max(lo) AS BIGINT) AS low, CAST(max(hi) AS BIGINT) AS high, CAST(max(hi) - max(lo) AS BIGINT) AS planes FROM (SELECT t, greatest(t * 8 - 2, 0) AS lo, least(t * 8 + 10, 32) AS hi FROM (SELECT unnest(range(0, 4)) AS t)) GROUP BY t")
+@query(f"{TWICE_SQL} SELECT * FROM twice_")
+def diffuse_bricks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bricks cut on all axes, at the end of an axis smaller than the kernel."""
+    blocks = D.to_blocks(bright(spark, sf_dir), SHAPE, BRICK)
+    return D.from_blocks(D.diffuse_blocks(blocks, SHAPE, KERNEL, 2, BRICK), SHAPE, BRICK)
+
+
+@query(
+    f"WITH {STATE_SQL}, t AS (SELECT unnest(range(0, 4)) AS t), w AS (SELECT t, greatest(t * 8 - 2, 0) AS lo, least(t * 8 + 10, 32) AS hi FROM t) "
+    "SELECT CAST(t AS BIGINT) AS slab, CAST(lo AS BIGINT) AS low, CAST(hi AS BIGINT) AS high, CAST(sum(CASE WHEN z < t * 8 OR z >= t * 8 + 8 THEN u ELSE 0 END) AS BIGINT) AS halo, CAST(sum(u) AS BIGINT) AS total FROM w JOIN u0 ON z >= lo AND z < hi GROUP BY t, lo, hi"
+)
 def halo_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = D.exchange_halo(D.to_blocks(bright(spark, sf_dir), SHAPE, PLANES), SHAPE, 2, PLANES)
-    return blocks.groupBy("slab").agg(F.min("z0").cast("long").alias("low"), F.max(F.col("z0") + F.col("nz")).cast("long").alias("high"), F.sum(F.octet_length("data") / F.lit(4 * N * N)).cast("long").alias("planes"))
+    """What each slab gets: sums of the values in its own and in its halo planes."""
+    parts = D.exchange_halo(D.to_blocks(bright(spark, sf_dir), SHAPE, PLANES), SHAPE, 2, PLANES)
+
+    def sums(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            b["total"] = [int(np.frombuffer(d, np.float32).sum()) for d in b["data"]]
+            yield b[["bz", "z0", "nz", "total"]]
+
+    own = (F.col("z0") >= F.col("bz") * PLANES) & (F.col("z0") < (F.col("bz") + 1) * PLANES)
+    summed = parts.mapInPandas(sums, "bz long, z0 long, nz long, total long")
+    return summed.groupBy(F.col("bz").alias("slab")).agg(F.min("z0").alias("low"), F.max(F.col("z0") + F.col("nz")).alias("high"), F.sum(F.when(~own, F.col("total")).otherwise(0)).alias("halo"), F.sum("total").alias("total"))
 
 
 # Components by reachability over faces; a label is the smallest flat index it reaches.
@@ -274,11 +296,42 @@ def seam_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("chunk", "side", "label", F.size("neighbours").cast("long").alias("n"), words.alias("neighbours"))
 
 
+@query(
+    f"{CHUNK_SQL}, {EDGE_SQL}, n AS (SELECT chunk, 'a' AS side, la AS label, CASE WHEN lb % 3 = 0 THEN lb // 3 + chunk + 1 ELSE lb END AS one FROM edge UNION ALL SELECT chunk, 'b', lb, CASE WHEN la % 3 = 0 THEN la // 3 + chunk ELSE la END FROM edge), d AS (SELECT DISTINCT * FROM n)"
+    " SELECT chunk, side, label, count(*) AS n, string_agg(CAST(one AS VARCHAR), ' ' ORDER BY one) AS neighbours FROM d GROUP BY ALL"
+)
+def rename_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _chunked(spark, sf_dir)
+    lut = labels.where("label % 3 = 0").select("chunk", "label").distinct().withColumn("new", (F.col("label") / 3).cast("long") + F.col("chunk"))
+    found = C.rename_sets(C.seam_mappings(C.seam_edges(labels, PLANES)), lut)
+    words = F.concat_ws(" ", F.transform("neighbours", lambda v: v.cast("string")))
+    return found.select("chunk", "side", "label", F.size("neighbours").cast("long").alias("n"), words.alias("neighbours"))
+
+
 @query(f"{LABEL_SQL} SELECT * FROM lab")
 def component_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.components(bright(spark, sf_dir), PLANES)
 
 
+@query(f"{LABEL_SQL} SELECT * FROM lab")
+def brick_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from bricks cut on all axes."""
+    return C.components(bright(spark, sf_dir), BRICK)
+
+
+UNEQUAL = (0, 5, 6, 20, 23, 32)  # where z-slabs of unequal heights begin, and the end
+
+
+@query(f"{LABEL_SQL} SELECT * FROM lab")
+def given_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels that come with the chunks, slabs of unequal heights, merge to those of the whole."""
+    parts = []
+    for k, (a, b) in enumerate(zip(UNEQUAL[:-1], UNEQUAL[1:], strict=True)):
+        own = C.label_chunks(bright(spark, sf_dir).where(F.col("z").between(a, b - 1)), N)
+        parts.append(own.withColumn("chunk", F.lit(k).cast("long")).withColumn("label", F.col("label") * 10))
+    return C.merge_labels(materialise(reduce(DataFrame.unionByName, parts), "given-labels"))
+
+
 @query(f"{LABEL_SQL} SELECT count(DISTINCT label) AS components, count(*) AS voxels FROM lab")
 def components_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = C.label_sizes(C.components(bright(spark, sf_dir), PLANES))

@@ -1,10 +1,13 @@
-"""Connected components of a volume cut into z-chunks (faces connect)."""
+"""Connected components of a volume cut into chunks (faces connect).
+
+Chunks are slabs of planes or bricks in all three axes, labelled here, or z-slabs of any heights
+whose labels come from outside."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxlake.functions.shared import materialise
@@ -35,28 +38,59 @@ def _label(z: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
             label = label[label]
 
 
-def label_chunks(volume: DataFrame, planes: int) -> DataFrame:
-    """(chunk, z, y, x, label): components within each chunk of ``planes`` planes, 1, 2, ... in
-    raster order of their first voxels.  Voxels with v = 0 or null are background, without a
-    row; a voxel that is given twice counts once.  A chunk fits in a task."""
+def chunk_of(brick: Shape | int) -> Column:
+    """The chunk of a voxel: its slab of ``brick`` planes, or its brick (up to 2**20 along y and x)."""
+    if isinstance(brick, int):
+        return F.floor(F.col("z") / F.lit(brick)).cast("long")
+    at = [F.floor(F.col(a) / F.lit(brick.of(a))).cast("long") for a in AXES]
+    return F.shiftleft(at[0], 40) + F.shiftleft(at[1], 20) + at[2]
+
+
+def label_chunks(volume: DataFrame, brick: Shape | int) -> DataFrame:
+    """(chunk, z, y, x, label): components within each chunk, 1, 2, ... in raster order of their
+    first voxels.  Voxels with v = 0 or null are background, without a row; a voxel that is given
+    twice counts once.  A chunk fits in a task: for large planes give bricks."""
 
     def label(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates(list(AXES)).sort_values(list(AXES))
         z, y, x = (rows[a].to_numpy() for a in AXES)
-        found = _label(z, y, x)
+        found = _label(z - z.min(), y - y.min(), x - x.min())
         return pd.DataFrame({"chunk": int(key[0]), "z": z, "y": y, "x": x, "label": np.unique(found, return_inverse=True)[1] + 1})
 
-    placed = volume.where("v <> 0").select(*AXES).withColumn("chunk", F.floor(F.col("z") / F.lit(planes)).cast("long"))
+    placed = volume.where("v <> 0").select(*AXES).withColumn("chunk", chunk_of(brick))
     return placed.groupBy("chunk").applyInPandas(label, CHUNK_LABELS)
 
 
-def seam_edges(labelled: DataFrame, planes: int) -> DataFrame:
+def seam_edges(labelled: DataFrame, planes: int | None = None) -> DataFrame:
     """(chunk, la, lb): distinct labels that touch across the seam of ``chunk`` and the next.
 
-    Only the planes at seams are read: the last of a chunk and the first of the next."""
-    last = labelled.where((F.col("z") % planes == planes - 1) & (F.col("label") != 0)).select("chunk", "y", "x", F.col("label").alias("la"))
-    first = labelled.where((F.col("z") % planes == 0) & (F.col("label") != 0)).select((F.col("chunk") - 1).alias("chunk"), "y", "x", F.col("label").alias("lb"))
-    return last.join(first, ["chunk", "y", "x"]).select("chunk", "la", "lb").distinct()
+    Only the planes at seams are read: the last of a chunk and the first of the next.  Without
+    ``planes``, chunks are z-slabs of any heights, in order; where each begins and ends is found
+    first, one row for each chunk."""
+    if planes is not None:
+        last = labelled.where((F.col("z") % planes == planes - 1) & (F.col("label") != 0)).select("chunk", "y", "x", F.col("label").alias("la"))
+        first = labelled.where((F.col("z") % planes == 0) & (F.col("label") != 0)).select((F.col("chunk") - 1).alias("chunk"), "y", "x", F.col("label").alias("lb"))
+        return last.join(first, ["chunk", "y", "x"]).select("chunk", "la", "lb").distinct()
+    seen = labelled.where("label <> 0")
+    ends = seen.groupBy("chunk").agg(F.min("z").alias("from"), F.max("z").alias("to"))
+    met = ends.select("chunk", F.col("to").alias("z")).join(ends.select((F.col("chunk") - 1).alias("chunk"), (F.col("from") - 1).alias("z")), ["chunk", "z"])
+    met = F.broadcast(met)  # at most a row for each chunk
+    last = seen.join(met, ["chunk", "z"]).select("chunk", "y", "x", F.col("label").alias("la"))
+    first = seen.select((F.col("chunk") - 1).alias("chunk"), (F.col("z") - 1).alias("z"), "y", "x", F.col("label").alias("lb")).join(met, ["chunk", "z"])
+    return last.join(first.drop("z"), ["chunk", "y", "x"]).select("chunk", "la", "lb").distinct()
+
+
+def brick_edges(labelled: DataFrame, brick: Shape) -> DataFrame:
+    """(chunk, la, other, lb): distinct labels that touch across the faces of bricks, on all axes.
+
+    Only the voxels at faces take part."""
+    found = []
+    for axis in AXES:
+        side = brick.of(axis)
+        last = labelled.where((F.col(axis) % side == side - 1) & (F.col("label") != 0)).withColumn(axis, F.col(axis) + 1)
+        first = labelled.where((F.col(axis) % side == 0) & (F.col("label") != 0)).select(*AXES, F.col("chunk").alias("other"), F.col("label").alias("lb"))
+        found.append(last.select(*AXES, "chunk", F.col("label").alias("la")).join(first, list(AXES)).select("chunk", "la", "other", "lb"))
+    return found[0].unionByName(found[1]).unionByName(found[2]).distinct()
 
 
 def seam_mappings(edges: DataFrame) -> DataFrame:
@@ -78,17 +112,31 @@ def merge_tree(chunks: DataFrame) -> DataFrame:
     return seams.select(layer.alias("layer"), j.alias("l"), (j + 1).alias("r"))
 
 
-def rename_table(labelled: DataFrame, planes: int) -> DataFrame:
+def rename_sets(mappings: DataFrame, lut: DataFrame) -> DataFrame:
+    """``mappings`` (chunk, side, label, neighbours) with the neighbours renamed by ``lut`` (chunk,
+    label, new), distinct and sorted; -1 and neighbours without an entry stay.
+
+    Neighbours of side ``a`` are labels of the next chunk, those of side ``b`` of ``chunk`` itself."""
+    one = mappings.select("chunk", "side", "label", F.explode("neighbours").alias("one"))
+    one = one.withColumn("in", F.col("chunk") + F.when(F.col("side") == "a", 1).otherwise(0))
+    to = lut.select(F.col("chunk").alias("in"), F.col("label").alias("one"), "new")
+    new = F.when(F.col("one") == -1, F.col("one")).otherwise(F.coalesce("new", "one"))
+    named = one.join(to, ["in", "one"], "left").groupBy("chunk", "side", "label").agg(F.sort_array(F.collect_set(new)).alias("neighbours"))
+    return named.select("chunk", "side", "label", "neighbours")
+
+
+def rename_table(labelled: DataFrame, brick: Shape | int | None = None) -> DataFrame:
     """(chunk, label, new): global labels 1, 2, ... in raster order of first voxels.
 
-    The label graph is one row for each chunk label; it never holds voxels."""
+    The label graph is one row for each chunk label; it never holds voxels.  ``brick`` is how the
+    chunks were cut; without it they are z-slabs of any heights."""
     firsts = materialise(labelled.where("label <> 0").groupBy("chunk", "label").agg(F.min(F.struct(*AXES)).alias("first")), "chunk-labels")
     ids = ranked(firsts.select("chunk", "label", F.col("first.z").alias("z"), F.col("first.y").alias("y"), F.col("first.x").alias("x")), list(AXES), "id")
     ids = materialise(ids.select("chunk", "label", "id"), "label-ids")
-    e = seam_edges(labelled, planes)
+    e = brick_edges(labelled, brick) if isinstance(brick, Shape) else seam_edges(labelled, brick).withColumn("other", F.col("chunk") + 1)
     a = ids.select("chunk", F.col("label").alias("la"), F.col("id").alias("a"))
-    b = ids.select((F.col("chunk") - 1).alias("chunk"), F.col("label").alias("lb"), F.col("id").alias("b"))
-    links = e.join(a, ["chunk", "la"]).join(b, ["chunk", "lb"]).select("a", "b")
+    b = ids.select(F.col("chunk").alias("other"), F.col("label").alias("lb"), F.col("id").alias("b"))
+    links = e.join(a, ["chunk", "la"]).join(b, ["other", "lb"]).select("a", "b")
     roots = connected_components(materialise(links, "label-links"))
     # ids follow raster order, so a root is the id of the component's first voxel
     rooted = ids.join(roots, ids["id"] == roots["id"], "left").select("chunk", "label", F.coalesce("root", ids["id"]).alias("root"))
@@ -109,10 +157,19 @@ def compose_renaming(first: DataFrame, then: DataFrame) -> DataFrame:
     return first.join(step, ["chunk", "new"], "left").select("chunk", "label", F.coalesce("_then", "new").alias("new"))
 
 
-def components(volume: DataFrame, planes: int) -> DataFrame:
-    """(z, y, x, label): components of the whole volume, for any number of chunks."""
-    labelled = materialise(label_chunks(volume, planes), "chunk-voxels")
-    return apply_renaming(labelled, rename_table(labelled, planes)).select(*AXES, "label")
+def merge_labels(labelled: DataFrame) -> DataFrame:
+    """(z, y, x, label) of chunks (chunk, z, y, x, label) that were labelled elsewhere.
+
+    Chunks are z-slabs of any heights, numbered in order; labels are any positive numbers, their
+    own in each chunk; 0 stays 0."""
+    return apply_renaming(labelled, rename_table(labelled)).select(*AXES, "label")
+
+
+def components(volume: DataFrame, brick: Shape | int) -> DataFrame:
+    """(z, y, x, label): components of the whole volume, for any number of chunks: slabs of
+    ``brick`` planes, or bricks."""
+    labelled = materialise(label_chunks(volume, brick), "chunk-voxels")
+    return apply_renaming(labelled, rename_table(labelled, brick)).select(*AXES, "label")
 
 
 def names_and_sizes(labels: DataFrame) -> DataFrame:

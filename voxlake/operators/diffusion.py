@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxlake.functions.pointwise import binarize, illuminate, is_source, quantize
 from voxlake.functions.shared import materialise
-from voxlake.functions.volume import AXES, Shape
+from voxlake.functions.volume import AXES, Shape, coordinates, in_box
 
 
 def correlate_axis(dense: DataFrame, axis: str, kernel: list[float], value: str = "u") -> DataFrame:
@@ -53,44 +54,78 @@ def to_grey(diffused: DataFrame) -> DataFrame:
     return diffused.select(*AXES, quantize(F.col("u")).alias("g"))
 
 
-# ---- blocks: for volumes of billions of voxels --------------------------------------
-# A slab of planes is one row (slab, z0, nz, data): float32 in row-major order.
+# ---- bricks: for volumes of billions of voxels --------------------------------------
+# A box of voxels is one row (bz, by, bx, data): its place among the bricks along each axis, and
+# float32 values in row-major order.  Bricks at the end of an axis may be smaller.
 
-BLOCKS = "slab long, z0 long, nz long, data binary"
+BRICKS = "bz long, by long, bx long, data binary"
+KEY = ["bz", "by", "bx"]
 
 
-def to_blocks(volume: DataFrame, shape: Shape, planes: int) -> DataFrame:
-    """Slabs of ``planes`` planes from (z, y, x, v): 1.0 where v > 0.  A slab fits in a task."""
+def as_brick(brick: Shape | int, shape: Shape) -> Shape:
+    """A number stands for a slab of so many whole planes."""
+    return Shape(brick, shape.y, shape.x) if isinstance(brick, int) else brick
+
+
+def box_of(place: tuple, brick: Shape, shape: Shape) -> list[tuple[int, int]]:
+    """(low, high) of a brick along each axis."""
+    return [(int(k) * brick.of(a), min((int(k) + 1) * brick.of(a), shape.of(a))) for k, a in zip(place, AXES, strict=True)]
+
+
+def all_bricks(spark: SparkSession, brick: Shape, shape: Shape) -> DataFrame:
+    """(bz, by, bx) of every brick."""
+    n = shape.bricks(brick)
+    return spark.range(n.size).select(*(c.alias(k) for c, k in zip(coordinates(F.col("id"), n), KEY, strict=True)))
+
+
+def to_blocks(volume: DataFrame, shape: Shape, brick: Shape | int) -> DataFrame:
+    """Bricks from (z, y, x, v): 1.0 where v > 0.  Voxels outside the shape are left out."""
+    brick = as_brick(brick, shape)
 
     def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        z0 = int(key[0]) * planes
-        nz = min(planes, shape.z - z0)
-        block = np.zeros((nz, shape.y, shape.x), np.float32)
-        hit = rows["v"].to_numpy() > 0
-        block[rows["z"].to_numpy()[hit] - z0, rows["y"].to_numpy()[hit], rows["x"].to_numpy()[hit]] = 1
-        return pd.DataFrame({"slab": [int(key[0])], "z0": [z0], "nz": [nz], "data": [block.tobytes()]})
-
-    placed = volume.where(F.col("z").between(0, shape.z - 1)).withColumn("slab", F.floor(F.col("z") / F.lit(planes)).cast("long"))
-    found = placed.groupBy("slab").applyInPandas(build, BLOCKS)
-    every = volume.sparkSession.range(-(-shape.z // planes)).select(F.col("id").alias("slab"))
-    z0 = F.col("slab") * planes
-    empty_nz = F.least(F.lit(planes), F.lit(shape.z) - z0).cast("long")
-    plane = F.lit(shape.y * shape.x * 4)
-    empty = F.unhex(F.repeat(F.lit("00"), (empty_nz * plane).cast("int")))
-    return every.join(found.select("slab", "data"), "slab", "left").select("slab", z0.alias("z0"), empty_nz.alias("nz"), F.coalesce("data", empty).alias("data"))
-
-
-def exchange_halo(blocks: DataFrame, shape: Shape, radius: int, planes: int) -> DataFrame:
-    """(slab, z0, nz, data) by target slab: each slab with the planes of others that lie
-    within ``radius`` of it; only those planes travel."""
-    reach = -(-radius // planes)
-    plane = shape.y * shape.x * 4
-    near = blocks.withColumn("target", F.explode(F.sequence(F.col("slab") - reach, F.col("slab") + reach))).where(F.col("target").between(0, -(-shape.z // planes) - 1))
-    low = F.greatest(F.col("z0"), F.col("target") * planes - radius)
-    high = F.least(F.col("z0") + F.col("nz"), F.least(F.col("target") * planes + planes, F.lit(shape.z)) + radius)
-    near = near.withColumn("low", low).withColumn("high", high).where("high > low")
-    part = F.substring(F.col("data"), ((F.col("low") - F.col("z0")) * plane + 1).cast("int"), ((F.col("high") - F.col("low")) * plane).cast("int"))
-    return near.select(F.col("target").alias("slab"), F.col("low").alias("z0"), (F.col("high") - F.col("low")).alias("nz"), part.alias("data"))
+        box = box_of(key, brick, shape)
+        block = np.zeros([b - a for a, b in box], np.float32)
+        hit = (rows["v"] > 0).to_numpy()
+        block[tuple(rows[c].to_numpy()[hit] - a for c, (a, _) in zip(AXES, box, strict=True))] = 1
+        return pd.DataFrame({**{k: [int(v)] for k, v in zip(KEY, key, strict=True)}, "data": [block.tobytes()]})
+
+    def filled(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for i in np.flatnonzero(part["data"].isna()):
+                size = np.prod([b - a for a, b in box_of(tuple(part.loc[i, KEY]), brick, shape)])
+                part.at[i, "data"] = bytes(4 * int(size))
+            yield part
+
+    placed = volume.where(in_box(Shape(0, 0, 0), shape)).select(*AXES, "v", *(F.floor(F.col(a) / F.lit(brick.of(a))).cast("long").alias(k) for a, k in zip(AXES, KEY, strict=True)))
+    found = placed.groupBy(*KEY).applyInPandas(build, BRICKS)
+    return all_bricks(volume.sparkSession, brick, shape).join(found, KEY, "left").mapInPandas(filled, BRICKS)
+
+
+HALO = "bz long, by long, bx long, z0 long, y0 long, x0 long, nz long, ny long, nx long, data binary"
+
+
+def exchange_halo(blocks: DataFrame, shape: Shape, radius: int, brick: Shape | int) -> DataFrame:
+    """(bz, by, bx, z0, y0, x0, nz, ny, nx, data) by target brick: each brick with the boxes of
+    others that lie within ``radius`` of it; only those boxes travel."""
+    brick = as_brick(brick, shape)
+    many = shape.bricks(brick)
+
+    def parts_of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for row in part.itertuples(index=False):
+                box = box_of(row[:3], brick, shape)
+                block = np.frombuffer(row.data, np.float32).reshape([b - a for a, b in box])
+                near = []  # along each axis: (target, low, high)
+                for (a, b), name in zip(box, AXES, strict=True):
+                    side = brick.of(name)
+                    first, last = max(0, (a - radius) // side), min(many.of(name) - 1, (b - 1 + radius) // side)
+                    near.append([(t, max(a, t * side - radius), min(b, min((t + 1) * side, shape.of(name)) + radius)) for t in range(first, last + 1)])
+                for to in product(*near):
+                    cut = block[tuple(slice(lo - a, hi - a) for (_, lo, hi), (a, _) in zip(to, box, strict=True))]
+                    if cut.size:
+                        yield pd.DataFrame([[*(t for t, _, _ in to), *(lo for _, lo, _ in to), *cut.shape, cut.tobytes()]], columns=[*KEY, "z0", "y0", "x0", "nz", "ny", "nx", "data"])
+
+    return blocks.mapInPandas(parts_of, HALO)
 
 
 def correlate(a: np.ndarray, kernel: np.ndarray, axis: int) -> np.ndarray:
@@ -107,40 +142,46 @@ def correlate(a: np.ndarray, kernel: np.ndarray, axis: int) -> np.ndarray:
     return out
 
 
-def diffuse_blocks(blocks: DataFrame, shape: Shape, kernel: list[float], repetitions: int, planes: int) -> DataFrame:
-    """Diffusion of slabs: one shuffle of slabs and halos a repetition, all axes in one task."""
+def diffuse_blocks(blocks: DataFrame, shape: Shape, kernel: list[float], repetitions: int, brick: Shape | int) -> DataFrame:
+    """Diffusion of bricks: one shuffle of bricks and halos a repetition, all axes in one task.
+
+    A task holds a brick with the kernel's radius around it, whatever the volume's size."""
     weights = np.asarray(kernel, np.float32)
-    half = len(kernel) // 2
+    half, brick = len(kernel) // 2, as_brick(brick, shape)
 
     def step(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        slab = int(key[0])
-        z0 = slab * planes
-        nz = min(planes, shape.z - z0)
-        low, high = max(0, z0 - half), min(shape.z, z0 + nz + half)
-        state = np.zeros((high - low, shape.y, shape.x), np.float32)
-        for z, n, data in zip(rows["z0"], rows["nz"], rows["data"], strict=True):
-            state[z - low : z - low + n] = np.frombuffer(data, np.float32).reshape(int(n), shape.y, shape.x)
-        own = slice(z0 - low, z0 - low + nz)
-        mask = state[own] == 1
-        out = correlate(state, weights, 0)[own]
-        out = correlate(correlate(out, weights, 1), weights, 2)
-        out[mask] = 1
-        return pd.DataFrame({"slab": [slab], "z0": [z0], "nz": [nz], "data": [out.tobytes()]})
+        own = box_of(key, brick, shape)
+        wide = [(max(0, a - half), min(shape.of(n), b + half)) for (a, b), n in zip(own, AXES, strict=True)]
+        state = np.zeros([b - a for a, b in wide], np.float32)
+        for r in rows.itertuples(index=False):
+            size, low = (r.nz, r.ny, r.nx), (r.z0, r.y0, r.x0)
+            state[tuple(slice(lo - a, lo - a + n) for lo, n, (a, _) in zip(low, size, wide, strict=True))] = np.frombuffer(r.data, np.float32).reshape(size)
+        inner = tuple(slice(a - lo, b - lo) for (a, b), (lo, _) in zip(own, wide, strict=True))
+        mask = state[inner] == 1
+        for axis in range(3):  # along each axis only its inner part is right, and only that goes on
+            keep = [slice(None)] * 3
+            keep[axis] = inner[axis]
+            state = np.ascontiguousarray(correlate(state, weights, axis)[tuple(keep)])
+        state[mask] = 1
+        return pd.DataFrame({**{k: [int(v)] for k, v in zip(KEY, key, strict=True)}, "data": [state.tobytes()]})
 
     for _ in range(repetitions):
-        blocks = materialise(exchange_halo(blocks, shape, half, planes).groupBy("slab").applyInPandas(step, BLOCKS), "diffusion-blocks")
+        blocks = materialise(exchange_halo(blocks, shape, half, brick).groupBy(*KEY).applyInPandas(step, BRICKS), "diffusion-bricks")
     return blocks
 
 
-def from_blocks(blocks: DataFrame, shape: Shape) -> DataFrame:
-    """(z, y, x, u) of slabs."""
+def from_blocks(blocks: DataFrame, shape: Shape, brick: Shape | int) -> DataFrame:
+    """(z, y, x, u) of bricks."""
+    brick = as_brick(brick, shape)
 
     def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        y, x = (c.ravel() for c in np.mgrid[0 : shape.y, 0 : shape.x])
         for part in parts:
-            for z0, nz, data in zip(part["z0"], part["nz"], part["data"], strict=True):
-                state = np.frombuffer(data, np.float32).reshape(int(nz), -1)
-                for k in range(int(nz)):
-                    yield pd.DataFrame({"z": np.full(len(y), z0 + k), "y": y, "x": x, "u": state[k].astype(float)})
+            for row in part.itertuples(index=False):
+                box = box_of(row[:3], brick, shape)
+                state = np.frombuffer(row.data, np.float32).reshape([b - a for a, b in box])
+                (z0, _), (y0, y1), (x0, x1) = box
+                y, x = (c.ravel() for c in np.mgrid[y0:y1, x0:x1])
+                for k, plane in enumerate(state):
+                    yield pd.DataFrame({"z": np.full(len(y), z0 + k), "y": y, "x": x, "u": plane.ravel().astype(float)})
 
     return blocks.mapInPandas(rows, "z long, y long, x long, u double")

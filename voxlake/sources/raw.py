@@ -8,16 +8,19 @@ Files lie in a folder that all executors share.  A missing file or one too short
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from voxlake.functions.shared import materialise
-from voxlake.functions.volume import Shape
+from voxlake.functions.volume import AXES, Shape, in_box
+from voxlake.operators.diffusion import BRICKS, KEY, all_bricks, box_of
 
 # Element types, with the Spark type that holds their values.
 DTYPES = {"uint8": ("<u1", "int"), "uint16": ("<u2", "int"), "int64": ("<i8", "long"), "float32": ("<f4", "float")}
@@ -75,23 +78,90 @@ def read_raw(spark: SparkSession, path: str, shape: Shape, dtype: str = "uint8",
     return (reader if z_to is None else reader.option("z_to", z_to)).load()
 
 
-def write_raw(volume: DataFrame, path: str, shape: Shape, dtype: str = "uint8") -> None:
-    """Write a volume (z, y, x, v) into one raw file in a folder that executors share.
-
-    The driver sets the file's size; each task writes whole planes at their places, so a task
-    that runs twice writes the same bytes twice.  Voxels that the table lacks are 0."""
-    kind = DTYPES[dtype][0]
-    at = _local(path)
+def _planes_into(volume: DataFrame, at: str, shape: Shape, kind: str, keep: bool) -> None:
+    """Each task writes whole planes at their places, so a task that runs twice writes the same
+    bytes twice.  With ``keep``, voxels that the table lacks stay as they are."""
     plane, width = shape.y * shape.x, np.dtype(kind).itemsize
-    with open(at, "wb") as f:
-        f.truncate(shape.size * width)
 
     def put(key: tuple, rows):  # noqa: ANN001, ANN202
-        flat = np.zeros(plane, kind)
+        z = int(key[0])
+        flat = np.fromfile(at, kind, plane, offset=z * plane * width) if keep else np.zeros(plane, kind)
         flat[rows["y"].to_numpy() * shape.x + rows["x"].to_numpy()] = rows["v"].to_numpy()
         with open(at, "r+b") as f:
-            f.seek(int(key[0]) * plane * width)
+            f.seek(z * plane * width)
             f.write(flat.tobytes())
         return rows[["z"]].head(1)
 
-    materialise(volume.where(f"z between 0 and {shape.z - 1}").groupBy("z").applyInPandas(put, "z long"), "raw-planes")
+    materialise(volume.where(in_box(Shape(0, 0, 0), shape)).select(*AXES, "v").groupBy("z").applyInPandas(put, "z long"), "raw-planes")
+
+
+def _new_file(at: str, size: int) -> str:
+    """A file of zeros beside ``at``, to be renamed when it is whole."""
+    part = f"{at}.{uuid.uuid4().hex}.part"
+    with open(part, "wb") as f:
+        f.truncate(size)
+    return part
+
+
+def write_raw(volume: DataFrame, path: str, shape: Shape, dtype: str = "uint8") -> None:
+    """Write a volume (z, y, x, v) into one raw file in a folder that executors share.
+
+    The file appears under its name when it is whole, so ``volume`` may come from the file that it
+    replaces.  Voxels that the table lacks are 0; ones outside the shape are left out."""
+    kind, at = DTYPES[dtype][0], _local(path)
+    part = _new_file(at, shape.size * np.dtype(kind).itemsize)
+    _planes_into(volume, part, shape, kind, keep=False)
+    os.replace(part, at)
+
+
+def update_raw(volume: DataFrame, path: str, shape: Shape, dtype: str = "uint8") -> None:
+    """Write voxels (a slab, a box, any set) into an existing raw file; all others stay.
+
+    A missing file is made first, all 0.  ``volume`` is written to the shared folder before the
+    file is touched, so it may come from that file; running it again gives the same file.  Voxels
+    outside the shape are left out.  Write one range of planes at a time."""
+    kind, at = DTYPES[dtype][0], _local(path)
+    rows = materialise(volume.select(*AXES, "v"), "raw-update")
+    if not os.path.exists(at):
+        os.replace(_new_file(at, shape.size * np.dtype(kind).itemsize), at)
+    if os.path.getsize(at) != shape.size * np.dtype(kind).itemsize:
+        raise ValueError(f"{path} does not hold a volume of this shape and type")
+    _planes_into(rows, at, shape, kind, keep=True)
+
+
+def read_bricks(spark: SparkSession, path: str, shape: Shape, brick: Shape, dtype: str = "uint8") -> DataFrame:
+    """The file as bricks of 1.0 where positive, else 0.0: a task maps the file and copies its boxes."""
+    kind, at = DTYPES[dtype][0], _local(path)
+
+    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if not os.path.exists(at):
+            raise FileNotFoundError(f"no volume at {at}")
+        if os.path.getsize(at) < shape.size * np.dtype(kind).itemsize:
+            raise ValueError(f"{at} ends before the volume does")
+        volume = np.memmap(at, kind, "r", shape=(shape.z, shape.y, shape.x))
+        for part in parts:
+            for row in part.itertuples(index=False):
+                box = tuple(slice(a, b) for a, b in box_of(row, brick, shape))
+                yield pd.DataFrame([[*row, (volume[box] > 0).astype(np.float32).tobytes()]], columns=[*KEY, "data"])
+
+    return all_bricks(spark, brick, shape).mapInPandas(read, BRICKS)
+
+
+def write_grey_bricks(blocks: DataFrame, path: str, shape: Shape, brick: Shape) -> None:
+    """Bricks as grey levels (truncated ``u * 255``, clipped) into one uint8 file; each task writes
+    its boxes, and the file appears under its name when it is whole."""
+    at = _local(path)
+    part = _new_file(at, shape.size)
+
+    def put(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        volume = np.memmap(part, "u1", "r+", shape=(shape.z, shape.y, shape.x))
+        for rows in parts:
+            for row in rows.itertuples(index=False):
+                box = box_of(row[:3], brick, shape)
+                grey = np.floor(np.frombuffer(row.data, np.float32) * np.float64(255)).clip(0, 255).astype(np.uint8)
+                volume[tuple(slice(a, b) for a, b in box)] = grey.reshape([b - a for a, b in box])
+            volume.flush()
+            yield rows[KEY]
+
+    materialise(blocks.mapInPandas(put, "bz long, by long, bx long"), "raw-bricks")
+    os.replace(part, at)
