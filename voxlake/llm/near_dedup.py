@@ -40,7 +40,7 @@ THRESHOLD = 0.8
 REGISTERS, ROWS = 120, 5  # 24 bands: at 0.8 a pair is missed once in 13,000
 #: Registers that must agree for a candidate link: 4.8 standard deviations under 0.8.
 CANDIDATE = 75
-BLOCK = 256  # documents of a bucket or group that are compared with each other at once
+BLOCK = 512  # documents of a bucket or group that are compared with each other at once
 TASK = ["key", "i", "j"]
 SIGNATURES = "doc_id long, k1 long, k2 long, bands array<long>, sig binary"
 
@@ -131,6 +131,7 @@ class Forest:
     def __init__(self) -> None:
         self.up: dict[int, int] = {}
         self.edges: list[tuple[int, int]] = []
+        self.known = False
 
     def root(self, a: int) -> int:
         up = self.up
@@ -149,12 +150,16 @@ class Forest:
 
     def know(self, a: int, b: int) -> None:
         """``a`` and ``b`` are connected already: no edge."""
+        self.known = True
         x, y = self.root(a), self.root(b)
         if x != y:
             self.up[max(x, y)] = min(x, y)
 
     def batch(self) -> pa.RecordBatch:
-        a, b = zip(*self.edges, strict=True) if self.edges else ((), ())
+        edges = self.edges
+        if not self.known:  # as stars: components of links close in fewer rounds
+            edges = [(i, top) for i in self.up if (top := self.root(i)) != i]
+        a, b = zip(*edges, strict=True) if edges else ((), ())
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
@@ -294,7 +299,10 @@ def _block_pairs(rows: DataFrame, found: DataFrame) -> DataFrame | None:
     root): pairs of blocks but those of one component; ``None`` if there is no such key.
 
     A component of ``BLOCK`` members or more has blocks of its own; the others share some."""
-    large = rows.where(F.col("n") > BLOCK).select("key", "doc_id").join(found.select(F.col("id").alias("doc_id"), "root"), "doc_id", "left")
+    large = rows.where(F.col("n") > BLOCK).select("key", "doc_id")
+    if large.isEmpty():
+        return None
+    large = large.join(found.select(F.col("id").alias("doc_id"), "root"), "doc_id", "left")
     large = large.withColumn("seed", F.coalesce("root", "doc_id")).drop("root")
     parts = large.groupBy("key", "seed").agg(F.count(F.lit(1)).alias("m"))
     several = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key")
@@ -333,7 +341,8 @@ def _connected(rows: DataFrame, payload: str, links_of, name: str) -> DataFrame:
     if again is None:
         return found
     more = round_of(again, "pairs")
-    return found if more.isEmpty() else materialise(connected_components(links.unionByName(more)), f"{name}-found")
+    stars = found.select(F.col("id").alias("a"), F.col("root").alias("b"))
+    return found if more.isEmpty() else materialise(connected_components(stars.unionByName(more)), f"{name}-found")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -357,10 +366,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     buckets = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"), F.bit_xor(F.xxhash64("doc_id")).alias("members")).where("n > 1")
     buckets = buckets.groupBy("n", "least", "members").agg(F.min("bucket").alias("bucket")).select("bucket", "n", "least")
     met = banded.join(buckets, "bucket").join(firsts.select("doc_id", "sig"), "doc_id").dropDuplicates(["bucket", "doc_id"])
-    groups = _connected(met.withColumnRenamed("bucket", "key"), "sig", _candidate_links, "near-candidates")
+    met = materialise(met.withColumnRenamed("bucket", "key"), "near-buckets")
+    groups = _connected(met, "sig", _candidate_links, "near-candidates")
     sized = groups.join(groups.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root").select(F.col("id").alias("doc_id"), F.col("root").alias("key"), "n", F.col("root").alias("least"))
     # The table of groups grows with the data: never broadcast, at any size the same plan.
-    texts = known.join(sized.hint("merge"), "doc_id")
+    texts = materialise(known.join(sized.hint("merge"), "doc_id"), "near-texts")
     classes = _connected(texts, "text", _verified_links(threshold), "near-links")
     named = reps.join(classes, reps["rep"] == classes["id"], "left").select("k1", "k2", F.coalesce("root", "rep").alias("class_id"))
     worded = sigs.select("doc_id", "k1", "k2").join(named, ["k1", "k2"]).select("doc_id", "class_id")
