@@ -274,6 +274,22 @@ def test_one_sweep_is_best_fit_decreasing(rows):
         assert all(a == sum(n for _, n in own[:i]) for i, (a, _) in enumerate(own)) and sum(n for _, n in own) <= rows[s][0]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 40), max_size=60))
+def test_the_first_range_opens_sequences(lengths):
+    lengths = sorted(lengths, reverse=True)
+    n = len(lengths)
+    found, rest, left, smaller = sweep(lengths, [True] * n, [0] * n, [0] * n, 40, 7)
+    assert not rest and sorted(k for k, _, _ in found) == list(range(n))
+    spans = collections.defaultdict(list)
+    for k, s, a in found:
+        spans[s].append((a, lengths[k]))
+    assert sorted(spans) == list(range(7, 7 + len(spans))) and len(spans) == best_fit_decreasing(lengths, 40)
+    for own in spans.values():
+        assert all(a == sum(m for _, m in sorted(own)[:i]) for i, (a, _) in enumerate(sorted(own))) and sum(m for _, m in own) <= 40
+    assert sum(m for m, _, _ in left + smaller) == 40 * len(spans) - sum(lengths)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 5), st.integers(0, 5)), max_size=8))
 def test_ranges_meet_in_order(sizes):

@@ -6,9 +6,9 @@ gap that can hold it and that no longer document takes; what is left of a gap st
 range if its size lies there.  What a range leaves over is its longest documents and its smallest
 gaps, by rank; the counts of all ranges (a row for each range and length) tell which ranks of one
 range meet which of another, and an ordinary join brings them together.  Then gaps shrink and
-the next superstep begins.  Sequences are opened for documents of more than half the capacity,
-then, for the longest documents left, as many as all packings need at least, and where no gap
-can hold a document.
+the next superstep begins.  Sequences are opened in the sweep of the first range, whose documents
+nobody else has a gap for; then for documents of more than half the capacity, then, for the
+longest documents left, as many as all packings need at least, and where no gap can hold one.
 
 Ranges have about ``RANGE_ROWS`` rows, and equal sizes are parted by a hash, so a length that a
 third of all documents have is dealt over many ranges.  Only counts reach the driver.
@@ -129,9 +129,12 @@ INTERVALS = "part int, low long, high long, pair int, first long, step int"
 OPENED = "size long, first_rank long, take long, first_seq long, per long"
 
 
-def sweep(size: list[int], is_doc: list[bool], seq: list[int], at: list[int]) -> tuple[list, list, list, list]:
+def sweep(size: list[int], is_doc: list[bool], seq: list[int], at: list[int], capacity: int = 0, first_new: int = 0) -> tuple[list, list, list, list]:
     """One range, largest first, gaps before documents of their size.
 
+    With ``capacity``, for the first range of all, a document without a gap opens a sequence, from
+    ``first_new`` on: no other range has a gap for it.
+
     (documents that found a gap as (place, sequence, offset), places of the others, gaps left as
     (size, sequence, offset) from the largest on, gaps left that are smaller than the range)."""
     low = size[-1] if size else 0
@@ -150,13 +153,20 @@ def sweep(size: list[int], is_doc: list[bool], seq: list[int], at: list[int]) ->
                 heappush(later, (room + n, s, a + n))
             elif -room > n:
                 smaller.append((-room - n, s, a + n))
+        elif capacity:
+            found.append((k, first_new, 0))
+            if capacity - n >= max(low, 1):
+                heappush(later, (n - capacity, first_new, n))
+            elif capacity > n:
+                smaller.append((capacity - n, first_new, n))
+            first_new += 1
         else:
             without.append(k)
     stack += sorted(later)
     return found, without, [(-n, s, a) for n, s, a in stack], smaller
 
 
-def _sweeps(schema: pa.Schema):
+def _sweeps(schema: pa.Schema, capacity: int, first_new: int):
     """Match within a range; the rest keeps its rank among the range's documents or gaps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,11 +174,11 @@ def _sweeps(schema: pa.Schema):
         if not held:
             return
         t = pa.Table.from_batches(held).combine_chunks()
+        part = TaskContext.get().partitionId()
         role, size, seq, at = (t.column(c).to_numpy() for c in ("role", "size", "seq", "at"))
-        found, without, gaps, smaller = sweep(size.tolist(), (role == DOC).tolist(), seq.tolist(), at.tolist())
+        found, without, gaps, smaller = sweep(size.tolist(), (role == DOC).tolist(), seq.tolist(), at.tolist(), 0 if part else capacity, first_new)
         row = t.column("row").combine_chunks()
         row = row.combine_chunks() if isinstance(row, pa.ChunkedArray) else row
-        part = TaskContext.get().partitionId()
 
         def rows(role: int, size, seq, at, row) -> pa.RecordBatch:
             n = len(size)
@@ -245,12 +255,14 @@ def best_fit_pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         tie = F.xxhash64("seq", "at", "row")
         parts = max(1, rows // RANGE_ROWS)
         dealt = state.withColumn("_size", -F.col("size")).withColumn("_tie", tie).repartitionByRange(parts, "_size", "role", "_tie")
-        swept = dealt.sortWithinPartitions("_size", "role", "_tie").select(*names).mapInArrow(_sweeps(to_arrow_schema(step_schema)), step_schema)
+        swept = dealt.sortWithinPartitions("_size", "role", "_tie").select(*names).mapInArrow(_sweeps(to_arrow_schema(step_schema), capacity, n_open), step_schema)
         step = materialise(swept, "pack-step")
         placed.append(step.where(F.col("role") == PLACED))
         # At most a row for each range and role, and one more for each length: counts only.
         kinds = F.when(F.col("role") == DOC, F.col("size")).otherwise(0)
-        counted = step.where(F.col("role") != PLACED).groupBy("part", "role", kinds.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"), F.max("size").alias("most")).collect()
+        counted = step.groupBy("part", "role", kinds.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"), F.max("size").alias("most"), F.max("seq").alias("seq")).collect()
+        n_open = max([n_open, *(r["seq"] + 1 for r in counted if r["role"] != DOC)])
+        counted = [r for r in counted if r["role"] != PLACED]
         lengths: dict[int, dict[int, int]] = {}
         for r in counted:
             if r["role"] == DOC:
