@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -34,5 +35,56 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    """(file system, path) of a folder, wherever Spark can write it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a folder that nothing reads any more."""
+    files, at = _hadoop(spark, path)
+    files.delete(at, True)
+
+
+class Generations:
+    """A state that a job writes again and again, two generations on disk at most.
+
+    Each ``write`` makes a numbered folder, whole once Spark's ``_SUCCESS`` file lies in it; then
+    the one before goes, as only the new one is read from there on.  A job that starts again on the
+    same ``folder`` goes on from ``last``, with what another attempt left half written removed."""
+
+    def __init__(self, spark: SparkSession, name: str, folder: str | None = None) -> None:
+        self.spark, self.folder = spark, (folder or new_folder(spark, name)).rstrip("/")
+
+    def _path(self, number: int) -> str:
+        return f"{self.folder}/generation-{number:06d}"
+
+    def numbers(self) -> list[int]:
+        """The whole generations on disk, ascending."""
+        files, at = _hadoop(self.spark, self.folder)
+        if not files.exists(at):
+            return []
+        names = (s.getPath().getName() for s in files.listStatus(at))
+        found = sorted(int(n.rsplit("-", 1)[1]) for n in names if re.fullmatch(r"generation-\d+", n))
+        return [n for n in found if files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self._path(n)}/_SUCCESS"))]
+
+    def last(self) -> tuple[int, DataFrame] | None:
+        """(number, state) of the last whole generation."""
+        whole = self.numbers()
+        return (whole[-1], self.spark.read.parquet(self._path(whole[-1]))) if whole else None
+
+    def write(self, number: int, state: DataFrame) -> DataFrame:
+        """Write generation ``number``, drop all others, and read it back."""
+        before = [n for n in self.numbers() if n != number]
+        state.write.mode("overwrite").parquet(self._path(number))
+        for n in before:
+            discard(self.spark, self._path(n))
+        return self.spark.read.schema(state.schema).parquet(self._path(number))
+
+    def clear(self) -> None:
+        discard(self.spark, self.folder)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
