@@ -10,14 +10,17 @@ import public_tokenizers
 from voxlake.llm.ann import nearest_neighbours
 from voxlake.llm.bpe import bpe_encode
 from voxlake.llm.common import table
+from voxlake.llm.conversations import damage, repair_summaries
 from voxlake.llm.html_extract import extract_text
 from voxlake.llm.near_dedup import near_duplicates
 from voxlake.llm.packing import pack_documents
+from voxlake.llm.pii import find_private, fit_from_table, labelled_table
 from voxlake.llm.quality_classifier import fit_quality, grade, score_quality
 from voxlake.llm.quality_rules import QUERY_SQL as RULES_SQL
 from voxlake.llm.quality_rules import quality_cascade
 from voxlake.llm.substring_dedup import substring_dedup
 from voxlake.llm.url_filter import filter_urls, word_counts
+from voxlake.llm.vector_codes import codes_sql, compress_vectors
 from voxlake.llm.warc import archive_pages
 
 
@@ -78,7 +81,24 @@ def op7_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "ts", F.col("range").alias("index_range"), F.col("place").alias("index_place"))
 
 
+def op11_private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return find_private(docs, fit_from_table(labelled_table(spark)), digests=True)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_summaries(damage(table(spark, sf_dir, "conversations")))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = compress_vectors(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
 QUERIES = {
+    "op11_private_spans": op11_private_spans,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_vector_codes": op13_vector_codes,
     "op7_warc_index_merge": op7_warc_index_merge,
     "op8_text_to_tag": op8_text_to_tag,
     "op4_adaptive_scan": op4_adaptive_scan,
@@ -93,4 +113,5 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op6_quality_rules": RULES_SQL.format(source="documents"),
+    "op13_vector_codes": codes_sql(),
 }
