@@ -131,7 +131,7 @@ HIDDEN = [  # forms and words that no labelled sentence has
     ("Rechnung: 5500-0000-1234-0005 danke", ["5500-0000-1234-0005"]),
     ("her number was (415) 555 0199 I think", ["(415) 555 0199"]),
     ("the box at 10[.]20[.]30[.]40 is down", ["10[.]20[.]30[.]40"]),
-    ("de la 5295745161764470 que", ["5295745161764470"]),
+    ("de la 9807915762804490 que", ["9807915762804490"]),
 ]
 CLEAN = ["In 2019 the 12 teams met at 10:30 on 2019-05-07.", "pi is 3.14159265 and e is 2.71828", 'token = "b44e15e09fd311c3cf3163b66d5a9875b883d8c1"', "no numbers here, at a point where dots are", "It cost $1,299.00 for 3 units (1200 x 800 px)", "1. one\n2. two\n3. three", "a list: 1 2 3 4 5 6 7 8 9 10 11 12", "see @someone and the dot product of vectors"]
 

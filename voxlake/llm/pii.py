@@ -91,12 +91,12 @@ CUES = [
     ("phone", "tel", "telephone", "telefon", "téléphone", "teléfono", "mobile", "mobil", "cell", "fax", "call", "ring", "portable", "móvil", "handy", "whatsapp", "dial", "rufnummer", "appelez", "llame"),
     ("card", "visa", "mastercard", "amex", "karte", "kreditkarte", "carte", "tarjeta", "cc", "credit", "debit"),
     ("ip", "host", "address", "server", "adresse", "dirección", "ping", "router", "subnet", "serveur", "servidor"),
-    ("email", "mail", "e", "courriel", "correo", "contact", "write", "kontakt", "reach", "schreiben", "contacto"),
-    ("com", "org", "net", "edu", "gov", "de", "fr", "es", "uk", "eu", "io", "info", "example"),
-    ("isbn", "issn", "doi", "page", "pages", "seite", "página", "chapter", "section", "figure", "table", "vol", "no", "nr"),
-    ("version", "v", "release", "build", "rev", "release", "token", "key", "hash", "commit", "id", "uuid", "sha", "order", "invoice", "serial", "tracking", "sku", "ref"),
+    ("email", "mail", "courriel", "correo", "contact", "write", "kontakt", "reach", "schreiben", "contacto"),
+    ("com", "org", "net", "edu", "gov"),
+    ("isbn", "issn", "doi", "page", "pages", "seite", "página", "chapter", "section", "figure", "table", "vol"),
+    ("version", "v", "release", "build", "rev", "token", "key", "hash", "commit", "id", "uuid", "sha", "order", "invoice", "serial", "tracking", "sku", "ref"),
     ("usd", "eur", "gbp", "price", "total", "percent", "kg", "km", "cm", "mb", "gb", "units", "people", "years", "euros", "dollars", "euro", "million", "hours", "minutes"),
-    ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december", "mon", "tue", "wed", "thu", "fri", "sat", "sun"),
+    ("january", "february", "march", "april", "june", "july", "august", "september", "october", "november", "december"),
 ]
 _CUE = {w: k + 1 for k, group in enumerate(CUES) for w in group}
 _PUNCT = {c: k for k, c in enumerate("@.-_+()/:,;#=|'\"[]{}*%$€£!?<>&~")}
@@ -464,6 +464,12 @@ SENTENCES = [
     "{w} the <card>{n16}</card>. {W} {w}",
     "{w} | <card>{n16}</card> | {w}",
     "<card>{n16}</card> {w} {w}",
+    "{w} de la <card>{n16}</card> que no {w}",
+    "{w} at the <card>{n16}</card> of an {w}",
+    "{w} <card>{n16}</card> <ip>{o}.{o}.{o}.{o}</ip> {w}",
+    "{w} <card>{n16}</card> <card>{n16}</card> {w}",
+    "<phone>+1 ({n3}) {n3}-{n4}</phone> <card>{n16}</card> {w}",
+    "{w} <phone>+1 ({n3}) {n3}-{n4}</phone> <ip>{o}.{o}.{o}.{o}</ip> {w}",
     "{w} {w} <card>{n16}</card>",
     "card <card>{n4} {n4} {n4} {n4}</card> {w} {w}",
     "{w} <card>{n4}-{n4}-{n4}-{n4}</card>, {w}",
