@@ -270,6 +270,15 @@ def test_conversation_query_equals_plain_version(spark, small):
     check_conversations(queries.op12_conversation_repair(spark, small).collect(), rows)
 
 
+def test_conversation_query_equals_sql(spark, small):
+    got = queries.op12_conversation_repair(spark, small)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{small}/conversations.parquet'")
+    want = con.execute(queries.ORACLE_SQL["op12_conversation_repair"])
+    assert got.columns == [d[0] for d in want.description]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want.fetchall())
+
+
 def test_conversation_odd_rows(spark):
     rows = [(None, None, None, None), (None, 3, "user", None), (1, None, "user", "a."), (1, 2, None, "b."), (1, 2, None, "b."), (1, 2, "system", "\x0b\x0c"), (2, 7, "user", "x" * 100_000)]
     rows += [(3, k, "user", "again?") for k in range(5)] + [(4, -(2**40), "assistant", "é…"), (4, 2**40, "user", " ")]

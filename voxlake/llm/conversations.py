@@ -324,3 +324,36 @@ def repair_conversations(rows: DataFrame) -> DataFrame:
             yield _as_batch(made, arrow)
 
     return _ordered(rows).mapInArrow(run, schema)
+
+
+def _edits_sql() -> str:
+    """(s, t, e, w, i, o): from state to state by the edits ``e`` of cost ``w``, the last of them the
+    row's; ``i`` is the initial that a kept row needs, ``o`` what inserts leave, and ``n`` the role of
+    the row's turn: null for none, a space for its own."""
+    moves = []
+    inserts = [(s, s, "", "") for s in range(4)] + [(s, t, "I", f"{NAME[t]}:") for s, t in NEXT.items()] + [(s, ASSISTANT, "II", "user:\nassistant:") for s in (START, SYSTEM)]
+    for s, m, e, o in inserts:
+        cost = COST[INSERT] * len(e)
+        moves.append((s, m, e, cost, "", o, None))  # no row: the end
+        moves.append((s, m, e + DELETE, cost + COST[DELETE], "", o, None))
+        moves.append((s, NEXT[m], e + REROLE, cost + COST[REROLE], "", o, NAME[NEXT[m]]))
+        moves += [(s, t, e + KEEP, cost, i, o, " ") for (f, i), t in KEPT.items() if f == m]
+    values = ", ".join("({}, {}, '{}', {}, '{}', '{}', {})".format(*m[:6], "NULL" if m[6] is None else f"'{m[6]}'") for m in moves)
+    return f"moves(s, t, e, w, i, o, n) AS (VALUES {values})"
+
+
+# CRC-32 bit by bit; a dynamic programme over rows whose states hold the least (cost, edits, text).
+QUERY_SQL = (
+    f"WITH RECURSIVE {_edits_sql()}, named AS (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations), "
+    "hashed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, CAST(xor(list_reduce(list_transform(range(1, length(key) + 1), lambda j: CAST(ascii(key[j]) AS UBIGINT)),"
+    " lambda c, b: list_reduce([xor(c, b), 1, 2, 3, 4, 5, 6, 7, 8], lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::UBIGINT) ELSE a >> 1 END), 4294967295::UBIGINT), 4294967295::UBIGINT) % 20 AS BIGINT) AS kind FROM named), "
+    "left_over AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(0, CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM hashed WHERE kind <> 0), "
+    "placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS again, regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) AS tail FROM left_over), "
+    "judged AS (SELECT *, tail = '' AS blank, tail <> '' AND again AS duplicate, tail <> '' AND NOT again AND tail NOT IN ('.', '!', '?') AS truncated, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY k) AS before FROM placed), "
+    "best(conv_id, k, s, b) AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT), 0, {'c': CAST(0 AS BIGINT), 'a': '', 'r': ''} FROM conversations UNION ALL (SELECT t.conv_id, j.k, m.t, min({'c': CAST(b.c + m.w + CASE WHEN j.truncated AND m.n IS NOT NULL THEN 5 ELSE 0 END AS BIGINT), 'a': b.a || m.e,"
+    " 'r': concat_ws(chr(10), nullif(b.r, ''), nullif(m.o, ''), CASE WHEN m.n = ' ' THEN j.role ELSE m.n END || ':' || j.text)}) FROM best t JOIN judged j ON j.conv_id IS NOT DISTINCT FROM t.conv_id AND j.k = t.k + 1"
+    " JOIN moves m ON m.s = t.s AND m.e NOT IN ('', 'I', 'II') AND (m.i = '' OR m.i = j.role[1]) AND (m.n IS NULL OR NOT (j.blank OR j.duplicate)) GROUP BY ALL)), "
+    "ends AS (SELECT conv_id, min({'c': b.c + m.w, 'a': b.a || m.e, 'r': concat_ws(chr(10), nullif(b.r, ''), nullif(m.o, ''))}) AS b FROM best t JOIN moves m ON m.s = t.s AND m.e IN ('', 'I', 'II') AND m.t IN (0, 3) WHERE k = (SELECT coalesce(max(j.k), 0) FROM judged j WHERE j.conv_id IS NOT DISTINCT FROM t.conv_id) GROUP BY conv_id), "
+    "counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated, count(*) FILTER (k > 1 AND before || role[1] NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id) "
+    "SELECT e.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(b.c AS BIGINT) AS cost, b.a AS audit, sha256(b.r) AS repaired_sha256 FROM ends e LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id"
+)

@@ -10,6 +10,7 @@ import public_tokenizers
 from voxlake.llm.ann import nearest_neighbours
 from voxlake.llm.bpe import bpe_encode
 from voxlake.llm.common import table
+from voxlake.llm.conversations import QUERY_SQL as REPAIR_SQL
 from voxlake.llm.conversations import damage, repair_summaries
 from voxlake.llm.html_extract import extract_text
 from voxlake.llm.near_dedup import near_duplicates
@@ -113,5 +114,6 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op6_quality_rules": RULES_SQL.format(source="documents"),
+    "op12_conversation_repair": REPAIR_SQL,
     "op13_vector_codes": codes_sql(),
 }
