@@ -280,6 +280,47 @@ def test_hostile_markup_takes_linear_time():
         assert time.perf_counter() - began < 20, start
 
 
+def test_nothing_but_boilerplate_is_lost():
+    first = "<p>A paragraph of the story that is long enough.</p>"
+    lost = "A paragraph of the story that is long enough."
+    assert main_text(f"<article>{first}<p><a href=x>Read the full report of the group</a></p></article>") == f"{lost}\nRead the full report of the group"
+    sources = "<h2>Sources</h2><ul><li><a href=x>One source</a></li><li><a href=y>Another source</a></li></ul>"
+    assert main_text(f"<article>{first}{sources}</article>") == f"{lost}\nSources\nOne source\nAnother source"
+    assert main_text("<article><p><a href=x>only a link</a></p></article>") == "only a link"
+    named = "<p class='related-work'>Related work.</p><p id=search-results>Results of the search.</p><p class=social>Social life.</p><h2 class=sponsored>On sponsors</h2>"
+    assert main_text(f"<article>{first}{named}</article>") == f"{lost}\nRelated work.\nResults of the search.\nSocial life.\nOn sponsors"
+    replies = "".join(f"<p>Reply {k}.</p>" for k in range(30))
+    assert main_text(f"<div>{first}{replies}</div>").count("Reply") == main_text(f"<div>{replies}{first}</div>").count("Reply") == 30
+    for name in ("ad", "ad-slot", "site-footer", "comment-list", "cookie-banner", "sidebar-left", "shareButtons"):
+        assert main_text(f"<article>{first}<div class={name}>Not of the story</div></article>") == lost, name
+    for name in ("related-work", "search-results", "advertising-history"):
+        assert main_text(f"<article>{first}<div class={name}>Of the story</div></article>") == f"{lost}\nOf the story", name
+
+
+BROKEN = ["<!", "<![", "[", "<b>", "</", ">", '"', "'", "=", "a", "-", "--", "<!--", "-->", "<?", "&", "&#", ";", " ", "<p", 'x="', "<!doctype", "CDATA[", "]]", "<script>", "</script", "<", "\x00"]
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.sampled_from(BROKEN), max_size=12))
+def test_broken_markup_does_not_crash(parts):
+    assert main_text("<p>A story</p>" + "".join(parts)).startswith("A story")
+
+
+def test_text_behind_broken_markup_is_read():
+    for broken in ("<![", "<!-", "<!x", "<!doctype", "<?php", "<a href='x", '<a href="x', "<![CDATA["):
+        assert "The end." in main_text(f"<p>A story</p>{broken}<p>Its middle.</p><p>The end.</p>"), broken
+    assert main_text("<p>A story</p><p>The end.</p><div clas") == "A story\nThe end."
+    assert main_text("<p>A story</p><!-- left open <p>The end.</p>") == "A story\nThe end."
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<!--", "<!", "<![", "</", "<?", "<a", "<a x=\"", "<a x='", '<a x=">" ', "<a x='>\"' ", "<a x='\"> ", "&", "&#", "<a/", "<a =", "<script>", "<script></", "<!-- -", "< "])
+def test_unclosed_markup_takes_linear_time(unit):
+    for end in ("", ">", '"', "-->"):
+        began = time.perf_counter()
+        assert main_text("<p>A story</p>" + unit * 60_000 + end).startswith("A story")
+        assert time.perf_counter() - began < 8, end
+
+
 def test_extraction_of_tables(spark):
     rows = [(1, "u", NO_ARTICLE, "clash"), (1, "u", NO_ARTICLE, "clash"), (None, None, None, None), (2, "v", "", "clash"), (3, "w", "<p>" + "long words " * 100_000, "clash")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")

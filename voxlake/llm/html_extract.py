@@ -6,9 +6,9 @@ notices, adverts, forms, scripts, styles and reader comments, which their elemen
 class names tell, count as 0.  The ratios are smoothed with a Gaussian, and a threshold between
 two clusters of them selects the content lines.  The smallest container that holds nearly all of
 the content's text is the article; an ``article`` or ``main`` element around it decides where
-several would do.  In it, content regions grow over the lines between them and next to them;
-runs of lines that are mostly links, and what lies apart from all content, are left out.  A class
-name alone does not skip a block that turns out to hold the article.
+several would do.  In an ``article`` or ``main`` all lines count but lists of links that no heading
+introduces; in another container, runs of lines that are mostly links are left out, unless they
+are paragraphs or headings.  A class name alone does not skip a block that holds the article.
 """
 
 from __future__ import annotations
@@ -36,6 +36,10 @@ SKIPPED_WORDS = set(
     menu breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login social
     share sharing related recommended recommendations comment comments respond disqus reply replies widget toolbar pagination pager masthead skip contentinfo complementary search""".split()
 )
+# words of names that leave open what the part is: a name of these and skipped words is skipped
+NEUTRAL_WORDS = set("area bar block blocks bottom box button buttons container content element form global group holder inner item items left link links list main module outer page panel post region right row section site slot top unit user wrap wrapper zone".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+TEXT_BLOCKS = HEADINGS | set("p blockquote figcaption pre dd".split())  # never skipped or left out for a name or for their links
 MODIFIERS = set("has with without no not by open closed enabled disabled".split())  # a class name with one tells of another element
 IN_HEAD = set("head title base link meta style script noscript template".split())
 HEADER_WORDS = {"header", "topbar", "top"}
@@ -51,7 +55,9 @@ CLOSED_BY = {  # an open element (left) ends where one of these starts
 }
 BARRIERS = CONTAINERS - {"td", "tr", "tbody"} | {"ul", "ol", "dl", "table"}  # left-out end tags are not looked for beyond these
 SIGMA, RADIUS = 1.0, 2
-REACH = 5  # lines before and after all content that may still belong to it
+FAILED_SCANS = 20  # tags without an end that are looked through to the end of the page
+_COMMENT_END = re.compile(r"--\s*>")
+_TAG_NAME = re.compile(r"<([a-zA-Z][^\s/>]*)")
 MOST_OF_TEXT = 0.85
 
 
@@ -67,6 +73,7 @@ class _Lines(HTMLParser):
         self.title: list[bool] = []
         self.parent, self.kind = [0], ["#"]  # of containers
         self.links: list[int] = []  # characters of each line in links
+        self.form: list[str] = []  # of each line: h in a heading, p in another block of text, li in an item
         self.open: list[tuple[str, int, int]] = []  # (element, skipped, container); skipped: -1, or the innermost region
         self.n_open: Counter[str] = Counter()  # elements in ``open`` by name
         self.marks: list[str] = []  # those of them that may be closed early, or stop the search for such
@@ -75,21 +82,72 @@ class _Lines(HTMLParser):
         self.landmarks: list[tuple[int, bool]] = []  # region of each article, h1 and main, and whether it is a main
         self.buffer: list[str] = []
         self.hidden: list[str] = []  # text of skipped elements
-        self.where: tuple[int, int, bool] | None = None  # region, container and heading of the text in the buffer
+        self.where: tuple[int, int, bool, str] | None = None  # region, container, h1 and form of the text in the buffer
+        self.end_left = self.comment_left = 0  # how far from the end the last ``>`` and the last end of a comment lie
+        self.failed = 0
         self.tags = 0
         self.linked = 0
         self.heading = False
 
+    def read(self, html: str) -> None:
+        """All events of a page.  Linear: what cannot end is not looked for again and again."""
+        self.end_left = len(html) - html.rfind(">") if ">" in html else -1
+        last = max((m.start() for m in _COMMENT_END.finditer(html)), default=-1)
+        self.comment_left = len(html) - last if last >= 0 else -1
+        self.feed(html)
+        self.close()
+        self.open.clear()
+        self._flush()
+
+    def _ends(self, i: int, left: int) -> bool:
+        return 0 <= left <= len(self.rawdata) - i
+
+    def _unclosed(self, i: int) -> int:
+        """Markup that never ends goes, up to the next that begins."""
+        k = self.rawdata.find("<", i + 1)
+        return k if k >= 0 else len(self.rawdata)
+
+    def parse_starttag(self, i: int) -> int:
+        """A tag whose quotes don't close ends at the next ``>``."""
+        if not self._ends(i, self.end_left):
+            return self._unclosed(i)
+        if self.failed < FAILED_SCANS:
+            k = super().parse_starttag(i)
+            if k >= 0:
+                return k
+            self.failed += 1
+        tag = _TAG_NAME.match(self.rawdata, i).group(1).lower()
+        self.handle_starttag(tag, [])
+        if tag in self.CDATA_CONTENT_ELEMENTS:
+            self.set_cdata_mode(tag)
+        return self.rawdata.find(">", i) + 1
+
+    def parse_endtag(self, i: int) -> int:
+        return super().parse_endtag(i) if self._ends(i, self.end_left) else self._unclosed(i)
+
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        if not self._ends(i + 4, self.comment_left):
+            return self._unclosed(i)
+        return super().parse_comment(i, report)
+
+    def parse_pi(self, i: int) -> int:
+        return super().parse_pi(i) if self._ends(i + 2, self.end_left) else self._unclosed(i)
+
+    def parse_html_declaration(self, i: int) -> int:
+        """Declarations and marked sections alike go up to the next ``>``."""
+        k = self.rawdata.find(">", i + 2) if self._ends(i + 2, self.end_left) else -1
+        return k + 1 if k >= 0 else self._unclosed(i)
+
     def _flush(self) -> None:
         """End the lines.  In a skipped element only its own ends: it may be part of an open one."""
         if self.buffer and not (self.open and self.open[-1][1] < 0):
-            self._line(self.buffer, *(self.where or (0, 0, False)))
+            self._line(self.buffer, *(self.where or (0, 0, False, "")))
             self.buffer, self.where = [], None
         if self.hidden:
-            self._line(self.hidden, -1, self.open[-1][2] if self.open else 0, False)
+            self._line(self.hidden, -1, self.open[-1][2] if self.open else 0, False, "")
             self.hidden = []
 
-    def _line(self, buffer: list[str], skipped: int, box: int, title: bool) -> None:
+    def _line(self, buffer: list[str], skipped: int, box: int, title: bool, form: str) -> None:
         line = " ".join("".join(buffer).split())
         if line:
             self.text.append(line)
@@ -99,6 +157,7 @@ class _Lines(HTMLParser):
             self.box.append(box)
             self.skip.append(skipped)
             self.title.append(title)
+            self.form.append(form)
             self.tags = self.linked = 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -157,18 +216,26 @@ class _Lines(HTMLParser):
                 return True
         return False
 
+    def _form(self) -> str:
+        if any(self.n_open[t] for t in HEADINGS):
+            return "h"
+        return "p" if any(self.n_open[t] for t in TEXT_BLOCKS) else "li" if self.n_open["li"] else ""
+
     def _inside(self) -> bool:
         return self.n_inside > 0
 
     def _is_named(self, tag: str, attrs: list) -> bool:
-        """Whether a whole class name, id or role, without modifiers, tells of a part to skip."""
-        if tag in ("html", "body"):
+        """Whether a class name, id or role, but for neutral words, tells of a part to skip."""
+        if tag in ("html", "body", "li") or tag in TEXT_BLOCKS:
             return False
         for name, value in attrs:
             if name in ("class", "id", "role") and value:
                 for one in value.split():
                     words = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", one).lower()))
-                    if not words & MODIFIERS and (words & SKIPPED_WORDS or words & HEADER_WORDS and not self._inside()):
+                    telling = words - NEUTRAL_WORDS - HEADER_WORDS
+                    if words & MODIFIERS or telling - SKIPPED_WORDS:
+                        continue
+                    if telling or words & HEADER_WORDS and not self._inside():
                         return True
         return False
 
@@ -211,7 +278,7 @@ class _Lines(HTMLParser):
         name, skipped, box = self.open[-1] if self.open else ("", 0, 0)
         if skipped >= 0:
             if self.where is None and data.strip():
-                self.where = (skipped, box, self.heading)
+                self.where = (skipped, box, self.heading, self._form())
             self.buffer.append(data)
             if self.n_open["a"]:
                 self.linked += len(" ".join(data.split()))
@@ -290,13 +357,12 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     page = _Lines()
-    page.feed(html)
-    page.close()
-    page.open.clear()
-    page._flush()
+    page.read(html)
     lines = [k for k, s in enumerate(page.skip) if s >= 0]
     if not lines:
         return ""
+    if not any(page.ratio[k] for k in lines):  # nothing but links
+        page.ratio = [float(len(t)) if s >= 0 else 0.0 for t, s in zip(page.text, page.skip, strict=True)]
     level = smooth(np.log1p(np.asarray(page.ratio)))
     cut = threshold(level)
     selected = (level >= cut) & (level > 0)
@@ -338,21 +404,23 @@ def main_text(html: str | None) -> str:
 def grow(page: _Lines, own: list[int], selected: np.ndarray, marked: bool) -> np.ndarray:
     """Which of a container's lines are in a content region.
 
-    Selected lines are.  A run of other lines joins them unless it is mostly links; one before
-    the first or after the last selected line joins only up to ``REACH`` lines from it, if no
-    article or main element is around (``marked``)."""
+    Selected lines, paragraphs and headings are, and runs of other lines that are not mostly links.
+    In an article or main element (``marked``) only a list can be left out, and not behind a heading."""
     kept = selected[own].copy()
-    at = np.flatnonzero(kept)
-    if not len(at):
+    if not kept.any():
         return kept
-    length, links = np.array([len(page.text[k]) for k in own]), np.array([page.links[k] for k in own])
-    edges = [-1, *at.tolist(), len(own)]
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        low, high = a + 1, b
-        if not marked:
-            low, high = (max(low, b - REACH) if a < 0 else low), (min(high, a + 1 + REACH) if b == len(own) else high)
-        if low < high and 2 * links[a + 1 : b].sum() <= length[a + 1 : b].sum():
-            kept[low:high] = True
+    form, length, links = [page.form[k] for k in own], [len(page.text[k]) for k in own], [page.links[k] for k in own]
+    a = 0
+    while a < len(own):
+        if kept[a] or form[a] in ("h", "p") or marked and form[a] != "li":
+            kept[a] = True
+            a += 1
+            continue
+        b = a
+        while b < len(own) and not kept[b] and (form[b] == "li" if marked else form[b] not in ("h", "p")):
+            b += 1
+        kept[a:b] = 2 * sum(links[a:b]) <= sum(length[a:b]) or marked and a > 0 and form[a - 1] == "h"
+        a = b
     return kept
 
 
@@ -364,9 +432,9 @@ def main_text_udf(html: pd.Series) -> pd.Series:
 def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """Add ``text`` (string, never null) and ``n_chars`` (its code points) to ``pages``.
 
-    A null or empty page, or one without text outside links and skipped elements, has an empty
-    text.
-    ``<br>`` is white space in a block.  Broken or unclosed markup is read as far as it goes.
+    A null or empty page, or one without text outside skipped elements, has an empty text.
+    ``<br>`` is white space in a block.  A tag, comment or declaration that never ends goes, up to
+    the next ``<``; a tag whose quotes don't close ends at the next ``>``.
     All rows come back with their columns; ones named like an added column are replaced."""
     kept = pages.drop(*(c for c in ("text", "n_chars") if c != html_col))
     return kept.withColumn("text", main_text_udf(F.col(html_col))).withColumn("n_chars", F.length("text").cast("long"))
