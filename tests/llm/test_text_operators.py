@@ -610,3 +610,14 @@ def test_classifier_edges(spark, edge, edge_rows):
     assert len(rows) == len(edge_rows)
     assert all(r.score == 0 for r in rows if not (r.text or "").strip())
     assert len(queries.judge_quality(edge, edge.select("doc_id", "text"), labels.limit(0)).collect()) == len(edge_rows)
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_texts_whose_rolling_hashes_meet(spark, n):
+    """A Thue-Morse word over two words and its complement: equal polynomials modulo 2**64."""
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    texts = [" ".join(pair[b] for b in bits) for pair in (("cat", "dog"), ("dog", "cat"))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    tok = Tokenizer.from_file(path("word_bpe_49k.json"))
+    got = {r.doc_id: r.ids for r in bpe_encode(docs, path("word_bpe_49k.json")).collect()}
+    assert [got[k] for k in range(2)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]

@@ -2,7 +2,7 @@
 
 A text is cut into pieces, each a word with the white space after it, and into chunks of
 pieces where a rolling hash of the last pieces says so; texts that share a passage share its
-chunks.  The bytes of a chunk are encoded as one text, once, and reused by their hash, within
+chunks.  The bytes of a chunk are encoded as one text, once, and reused by their digest, within
 a worker and across documents and tasks.  A join of two chunks stands if the pieces around it
 come out together as they do on each side.  Where they don't, the join is re-encoded over
 ever more pieces until two widths agree on what to replace on each side; if that doesn't fit
@@ -65,6 +65,14 @@ def chunk_starts(rolling: Rolling, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
+def chunk_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits of the BLAKE2 digest of each chunk's bytes: rolling hashes of built texts can
+    meet (those of a Thue-Morse word and its complement do), digests don't."""
+    raw = memoryview(data)
+    digests = [hashlib.blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+    return np.frombuffer(b"".join(digests), "<u8")
+
+
 def splice(left: np.ndarray, right: np.ndarray, both: np.ndarray) -> tuple[int, int, np.ndarray]:
     """(ids lost at the end of ``left``, ids lost at the start of ``right``, ids between): what
     makes ``both`` of the ids of two sides."""
@@ -88,7 +96,7 @@ def encode_slice(path: str, x: Texts) -> tuple[np.ndarray, np.ndarray]:
     first = chunk_starts(rolling, texts)
     bounds = np.append(first, texts[-1])
     size = np.diff(bounds)
-    count, ids = chunk_memo.runs(rolling.at(first, size), lambda new: encode_apart(tok, [x.data[at[bounds[k]] : at[bounds[k + 1]]].tobytes() for k in new.tolist()]))
+    count, ids = chunk_memo.runs(chunk_keys(x.data, at[bounds[:-1]], at[bounds[1:]]), lambda new: encode_apart(tok, [x.data[at[bounds[k]] : at[bounds[k + 1]]].tobytes() for k in new.tolist()]))
     doc = np.searchsorted(texts, first, side="right") - 1
     inner = np.flatnonzero(doc[1:] == doc[:-1]) + 1  # chunks that have one before them in their text
     bad: list[int] = []
@@ -109,7 +117,7 @@ def encode_slice(path: str, x: Texts) -> tuple[np.ndarray, np.ndarray]:
                 row[1 : 1 + len(near)], row[1 + RIM : 1 + RIM + len(far)] = near, far
             return np.full(len(new), out.shape[1], np.int64), out.ravel()
 
-        key = rolling.at(a, b - a) ^ mix((b - first[inner]).astype(U))
+        key = chunk_keys(x.data, at[a], at[b]) ^ mix((at[b] - at[first[inner]]).astype(U))
         judged = join_memo.runs(key, joins)[1].reshape(len(inner), -1)
         stands, end = judged[:, 0] == 1, offsets_of(count)[:-1][inner]
         for k in range(RIM):
