@@ -621,3 +621,6 @@ def test_texts_whose_rolling_hashes_meet(spark, n):
     tok = Tokenizer.from_file(path("word_bpe_49k.json"))
     got = {r.doc_id: r.ids for r in bpe_encode(docs, path("word_bpe_49k.json")).collect()}
     assert [got[k] for k in range(2)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    same = spark.createDataFrame([(3, texts[0].replace(" ", "\n ")), (4, f" {texts[1]}")], "doc_id long, text string")
+    keys = {k: N.word_digests(x)[0].tolist() for k, t in [*enumerate(texts), *((r.doc_id, r.text) for r in same.collect())] for x in text_slices([batch([t])], "doc_id", "text")}
+    assert keys[0] == keys[3] and keys[1] == keys[4] and keys[0] != keys[1]

@@ -24,6 +24,7 @@ components, so no link is lost; what the first round has joined is not compared
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxlake.llm.common import materialise, shuffle_partitions
-from voxlake.llm.wordhash import MULT2, Rolling, Texts, U, mix, text_slices
+from voxlake.llm.wordhash import Rolling, Texts, U, mix, text_slices
 from voxlake.operators.graph import connected_components
 
 SHINGLE = 5
@@ -106,6 +107,12 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     return float(np.sum(1.0 / ((x_from + only_x) / x + (y_upto + only_y) / y)))
 
 
+def word_digests(x: Texts) -> np.ndarray:
+    """128 bits of the BLAKE2 digest of each text's words, in two columns."""
+    digests = [hashlib.blake2b(b" ".join(x.text(k).split()), digest_size=16).digest() for k in range(len(x.ids))]
+    return np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2)
+
+
 def _signatures(batches: Iterator[pa.RecordBatch], id_col: str, text_col: str) -> Iterator[pa.RecordBatch]:
     for x in text_slices(batches, id_col, text_col):
         hashes = x.hashes()
@@ -115,8 +122,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], id_col: str, text_col: str) -
         bands = np.full((len(n), REGISTERS // ROWS), U(0x51ED270B0A1F39C1)) + np.arange(REGISTERS // ROWS, dtype=U)
         for k in range(ROWS):
             bands = mix(bands ^ z[:, k::ROWS][:, : REGISTERS // ROWS])
-        k1 = Rolling(hashes).at(x.word_offsets[:-1], n)
-        k2 = Rolling(x.hashes(1), MULT2).at(x.word_offsets[:-1], n)
+        k1, k2 = word_digests(x).T
         has = np.flatnonzero(n > 0)
         bands, low = bands[has], mix(z[has]).astype(np.uint8)
         yield pa.RecordBatch.from_arrays(
