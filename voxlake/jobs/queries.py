@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from voxlake.functions import pointwise as P
 from voxlake.functions.shared import materialise
 from voxlake.functions.volume import Shape, coordinates, densify, flat_index, in_box
+from voxlake.operators import bricks as B
 from voxlake.operators import components as C
 from voxlake.operators import diffusion as D
 from voxlake.operators import histograms as H
@@ -319,6 +320,22 @@ def brick_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.components(bright(spark, sf_dir), BRICK)
 
 
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = materialise(B.label_bricks(B.pack_masks(bright(spark, sf_dir), SHAPE, BRICK)), "label-bricks")
+    return B.merge_bricks(labelled)
+
+
+@query(f"{LABEL_SQL} SELECT * FROM lab")
+def packed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from packed bricks: labels meet by boundary planes, not by voxels."""
+    return B.unpack(_packed(spark, sf_dir))
+
+
+@query(f"{LABEL_SQL}, {NAMES_SQL} SELECT label, {ZYX_SQL}, size FROM names")
+def packed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.packed_names(_packed(spark, sf_dir)).where("label <> 0")
+
+
 UNEQUAL = (0, 5, 6, 20, 23, 32)  # where z-slabs of unequal heights begin, and the end
 
 

@@ -130,13 +130,19 @@ def rename_table(labelled: DataFrame, brick: Shape | int | None = None) -> DataF
 
     The label graph is one row for each chunk label; it never holds voxels.  ``brick`` is how the
     chunks were cut; without it they are z-slabs of any heights."""
-    firsts = materialise(labelled.where("label <> 0").groupBy("chunk", "label").agg(F.min(F.struct(*AXES)).alias("first")), "chunk-labels")
+    firsts = labelled.where("label <> 0").groupBy("chunk", "label").agg(F.min(F.struct(*AXES)).alias("first"))
+    return rename_from(firsts, brick_edges(labelled, brick) if isinstance(brick, Shape) else seam_edges(labelled, brick).withColumn("other", F.col("chunk") + 1))
+
+
+def rename_from(firsts: DataFrame, edges: DataFrame) -> DataFrame:
+    """(chunk, label, new) from the labels' first voxels (chunk, label, first) and the labels that
+    touch (chunk, la, other, lb)."""
+    firsts = materialise(firsts, "chunk-labels")
     ids = ranked(firsts.select("chunk", "label", F.col("first.z").alias("z"), F.col("first.y").alias("y"), F.col("first.x").alias("x")), list(AXES), "id")
     ids = materialise(ids.select("chunk", "label", "id"), "label-ids")
-    e = brick_edges(labelled, brick) if isinstance(brick, Shape) else seam_edges(labelled, brick).withColumn("other", F.col("chunk") + 1)
     a = ids.select("chunk", F.col("label").alias("la"), F.col("id").alias("a"))
     b = ids.select(F.col("chunk").alias("other"), F.col("label").alias("lb"), F.col("id").alias("b"))
-    links = e.join(a, ["chunk", "la"]).join(b, ["other", "lb"]).select("a", "b")
+    links = edges.join(a, ["chunk", "la"]).join(b, ["other", "lb"]).select("a", "b")
     roots = connected_components(materialise(links, "label-links"))
     # ids follow raster order, so a root is the id of the component's first voxel
     rooted = ids.join(roots, ids["id"] == roots["id"], "left").select("chunk", "label", F.coalesce("root", ids["id"]).alias("root"))
