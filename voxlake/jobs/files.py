@@ -4,6 +4,10 @@ Files are headerless C-order scalars in a folder that the driver and all executo
 ending of a name tells the type (``mask.uint8``, ``labels0.int64``).
 
     python -m voxlake.jobs.files merge BASE Z,Y,X PLANES_OF_CHUNK,PLANES_OF_CHUNK,...
+    python -m voxlake.jobs.files label MASK.uint8 Z,Y,X OUT.int64
+    python -m voxlake.jobs.files same PATH PATH Z,Y,X
+    python -m voxlake.jobs.files compare PATH PATH Z,Y,X
+    python -m voxlake.jobs.files synthesize OUT.uint8 SIDE
     python -m voxlake.jobs.files names PATH Z,Y,X FOLDER
     python -m voxlake.jobs.files diffuse PATH.uint8 OUT.uint8 Z,Y,X SIGMA RADIUS [REPETITIONS]
     python -m voxlake.jobs.files plot PATH Z,Y,X OUT.png
@@ -13,17 +17,18 @@ from __future__ import annotations
 
 import math
 import sys
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxlake.functions.shared import materialise
-from voxlake.functions.volume import AXES, Shape
-from voxlake.operators.components import merge_labels, names_and_sizes
+from voxlake.functions.volume import Shape
+from voxlake.jobs.fixtures import synthetic_mask
+from voxlake.operators.bricks import brick_labels, label_bricks, merge_bricks, packed_names
 from voxlake.operators.diffusion import diffuse_blocks
+from voxlake.operators.stats import difference_stats, names_differ
 from voxlake.sources.images import plot_middle_planes
-from voxlake.sources.raw import DTYPES, read_bricks, read_raw, write_grey_bricks, write_raw
+from voxlake.sources.raw import DTYPES, read_bricks, read_packed, read_raw, write_grey_bricks, write_packed, write_raw
 
 BRICK = Shape(128, 128, 128)
 
@@ -41,31 +46,46 @@ def gaussian(sigma: float, radius: int) -> list[float]:
     return [math.exp(-0.5 * (o / sigma) ** 2) / (sigma * math.sqrt(2 * math.pi)) for o in range(-radius, radius + 1)]
 
 
-def read_chunks(spark: SparkSession, base: str, plane: tuple[int, int], planes: list[int]) -> DataFrame:
-    """(chunk, z, y, x, label) of the files ``{base}{i}.int64``, z-slabs of any heights; without
-    background."""
-    parts, z0 = [], 0
-    for i, n in enumerate(planes):
-        part = read_raw(spark, f"{base}{i}.int64", Shape(n, *plane), "int64").where("v <> 0")
-        parts.append(part.select(F.lit(i).cast("long").alias("chunk"), (F.col("z") + z0).alias("z"), "y", "x", F.col("v").alias("label")))
-        z0 += n
-    return reduce(DataFrame.unionByName, parts)
-
-
-def merge_label_files(spark: SparkSession, base: str, plane: tuple[int, int], planes: list[int]) -> int:
+def merge_label_files(spark: SparkSession, base: str, plane: tuple[int, int], planes: list[int], brick: Shape = BRICK) -> int:
     """Merge the labels of chunk files ``{base}{i}.int64`` across their seams into
     ``{base}all.int64``; returns the number of components.
 
     Labels are numbered 1, 2, ... in raster order of first voxels.  Any number of chunks, of any
-    heights; each was labelled on its own."""
-    merged = materialise(merge_labels(materialise(read_chunks(spark, base, plane, planes), "chunk-files")), "merged-labels")
-    write_raw(merged.select(*AXES, F.col("label").alias("v")), f"{base}all.int64", Shape(sum(planes), *plane), "int64")
-    return merged.agg(F.coalesce(F.max("label"), F.lit(0))).first()[0]
+    heights; each was labelled on its own.  Bricks go from file to file; only labels and boundary
+    planes become rows."""
+    ends = [sum(planes[:k]) for k in range(len(planes) + 1)]
+    files = [(f"{base}{i}.int64", ends[i], n) for i, n in enumerate(planes)]
+    labelled = materialise(read_packed(spark, files, plane, brick), "chunk-files")
+    return _write_components(merge_bricks(labelled), f"{base}all.int64", Shape(ends[-1], *plane))
+
+
+def label_mask_file(spark: SparkSession, path: str, shape: Shape, out: str, brick: Shape = BRICK) -> int:
+    """Label the components of a uint8 mask file into an int64 file; returns their number."""
+    masks = read_packed(spark, [(path, 0, shape.z)], (shape.y, shape.x), brick, dtype_of(path))
+    own = masks.withColumn("chunk", F.expr(f"shiftleft(z0 div {brick.z}, 40) + shiftleft(y0 div {brick.y}, 20) + x0 div {brick.x}"))
+    return _write_components(merge_bricks(materialise(label_bricks(own), "label-bricks")), out, shape)
+
 
+def _write_components(merged: DataFrame, path: str, shape: Shape) -> int:
+    merged = materialise(merged, "merged-bricks")
+    write_packed(merged, path, shape)
+    return brick_labels(merged).agg(F.coalesce(F.max("label"), F.lit(0))).first()[0]
 
-def names_of_label_file(spark: SparkSession, path: str, shape: Shape) -> DataFrame:
+
+def names_of_label_file(spark: SparkSession, path: str, shape: Shape, brick: Shape = BRICK) -> DataFrame:
     """(label, z, y, x, size) of a label file, background (0) included."""
-    return names_and_sizes(read_raw(spark, path, shape, "int64").withColumnRenamed("v", "label"))
+    return packed_names(read_packed(spark, [(path, 0, shape.z)], (shape.y, shape.x), brick))
+
+
+def same_components(spark: SparkSession, one: str, other: str, shape: Shape) -> DataFrame:
+    """Components of two label files that differ, whatever their numbers: (z, y, x, size, side) of
+    those whose first voxel and size only one file has.  No rows: the files agree."""
+    return names_differ(names_of_label_file(spark, one, shape), names_of_label_file(spark, other, shape))
+
+
+def compare_grey_files(spark: SparkSession, one: str, other: str, shape: Shape) -> DataFrame:
+    """(mean, max, min, stddev) of the absolute differences of two volume files."""
+    return difference_stats(read_raw(spark, one, shape, dtype_of(one)), read_raw(spark, other, shape, dtype_of(other)))
 
 
 def diffuse_file(spark: SparkSession, path: str, kernel: list[float], out: str, shape: Shape, repetitions: int = 1, brick: Shape = BRICK) -> None:
@@ -90,6 +110,15 @@ def main(args: list[str]) -> None:
     match args:
         case ["merge", base, shape, planes]:
             print(merge_label_files(spark, base, tuple(numbers(shape)[1:]), numbers(planes)))
+        case ["label", path, shape, out]:
+            print(label_mask_file(spark, path, Shape(*numbers(shape)), out))
+        case ["same", one, other, shape]:
+            differ = same_components(spark, one, other, Shape(*numbers(shape)))
+            print("the same components" if differ.isEmpty() else differ._show_string(20))
+        case ["compare", one, other, shape]:
+            compare_grey_files(spark, one, other, Shape(*numbers(shape))).show()
+        case ["synthesize", out, side]:
+            write_raw(synthetic_mask(spark, int(side)).where("v > 0"), out, Shape(*[int(side)] * 3))
         case ["names", path, shape, folder]:
             names_of_label_file(spark, path, Shape(*numbers(shape))).write.parquet(folder)
         case ["diffuse", path, out, shape, sigma, radius, *more]:
