@@ -7,6 +7,7 @@ ending of a name tells the type (``mask.uint8``, ``labels0.int64``).
     python -m voxlake.jobs.files label MASK.uint8 Z,Y,X OUT.int64
     python -m voxlake.jobs.files same PATH PATH Z,Y,X
     python -m voxlake.jobs.files compare PATH PATH Z,Y,X
+    python -m voxlake.jobs.files histograms PATH Z,Y,X LOW HIGH BINS FOLDER
     python -m voxlake.jobs.files synthesize OUT.uint8 SIDE
     python -m voxlake.jobs.files names PATH Z,Y,X FOLDER
     python -m voxlake.jobs.files diffuse PATH.uint8 OUT.uint8 Z,Y,X SIGMA RADIUS [REPETITIONS]
@@ -21,14 +22,15 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxlake.functions.shared import materialise
+from voxlake.functions.shared import Generations, materialise
 from voxlake.functions.volume import Shape
 from voxlake.jobs.fixtures import synthetic_mask
 from voxlake.operators.bricks import brick_labels, label_bricks, merge_bricks, packed_names
 from voxlake.operators.diffusion import diffuse_blocks
-from voxlake.operators.stats import difference_stats, names_differ
+from voxlake.operators.histograms import packed_field_histogram, packed_histograms
+from voxlake.operators.stats import names_differ
 from voxlake.sources.images import plot_middle_planes
-from voxlake.sources.raw import DTYPES, read_bricks, read_packed, read_raw, write_grey_bricks, write_packed, write_raw
+from voxlake.sources.raw import DTYPES, difference_sums, read_bricks, read_packed, read_raw, write_grey_bricks, write_packed, write_raw
 
 BRICK = Shape(128, 128, 128)
 
@@ -83,17 +85,37 @@ def same_components(spark: SparkSession, one: str, other: str, shape: Shape) ->
     return names_differ(names_of_label_file(spark, one, shape), names_of_label_file(spark, other, shape))
 
 
-def compare_grey_files(spark: SparkSession, one: str, other: str, shape: Shape) -> DataFrame:
-    """(mean, max, min, stddev) of the absolute differences of two volume files."""
-    return difference_stats(read_raw(spark, one, shape, dtype_of(one)), read_raw(spark, other, shape, dtype_of(other)))
+def compare_files(spark: SparkSession, one: str, other: str, shape: Shape, brick: Shape = BRICK) -> DataFrame:
+    """(mean, max, min, stddev) of the absolute differences of two volume files, as doubles.
 
+    Bricks of both files are read side by side; a row of sums for each brick is all that meets."""
+    sums = difference_sums(spark, one, other, shape, brick, (dtype_of(one), dtype_of(other)))
+    mean, square = F.sum("total") / F.sum("n"), F.sum("squares") / F.sum("n")
+    return sums.agg(mean.alias("mean"), F.max("most").alias("max"), F.min("least").alias("min"), F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("stddev"))
 
-def diffuse_file(spark: SparkSession, path: str, kernel: list[float], out: str, shape: Shape, repetitions: int = 1, brick: Shape = BRICK) -> None:
+
+def histograms_of_file(spark: SparkSession, path: str, shape: Shape, low: float, high: float, bins: int, center: tuple[int, int], most_radius: int | None = None, brick: Shape = BRICK) -> DataFrame:
+    """(axis, pos, bin, n) along z, y, x and r of a volume file of whole numbers."""
+    bricks = read_packed(spark, [(path, 0, shape.z)], (shape.y, shape.x), brick, dtype_of(path), wide=True)
+    return packed_histograms(bricks, low, high, bins, center, most_radius)
+
+
+def field_histogram_of_files(spark: SparkSession, path: str, shape: Shape, field: str, field_shape: Shape, bins: int, value_range: tuple[float, float], field_range: tuple[float, float], brick: Shape = BRICK) -> DataFrame:
+    """(fbin, vbin, n) of a volume file of whole numbers and a coarser field's file."""
+    bricks = read_packed(spark, [(path, 0, shape.z)], (shape.y, shape.x), brick, dtype_of(path), wide=True)
+    cells = read_raw(spark, field, field_shape, dtype_of(field)).withColumnRenamed("v", "f")
+    return packed_field_histogram(bricks, shape, cells, field_shape, bins, *value_range, *field_range)
+
+
+def diffuse_file(spark: SparkSession, path: str, kernel: list[float], out: str, shape: Shape, repetitions: int = 1, brick: Shape = BRICK, state: str | None = None) -> None:
     """Diffuse a uint8 mask file (positive voxels are sources) into a uint8 file of grey levels.
 
-    Bricks are read and written in the tasks; without repetitions the result is mask * 255."""
+    Bricks are read and written in the tasks; without repetitions the result is mask * 255.  With
+    a ``state`` folder a job that was stopped goes on behind its last whole repetition."""
     blocks = read_bricks(spark, path, shape, brick, dtype_of(path))
-    write_grey_bricks(diffuse_blocks(blocks, shape, kernel, repetitions, brick), out, shape, brick)
+    write_grey_bricks(diffuse_blocks(blocks, shape, kernel, repetitions, brick, state), out, shape, brick)
+    if state:
+        Generations(spark, "diffusion", state).clear()
 
 
 def plot_file(spark: SparkSession, path: str, shape: Shape, out: str) -> list[str]:
@@ -116,7 +138,10 @@ def main(args: list[str]) -> None:
             differ = same_components(spark, one, other, Shape(*numbers(shape)))
             print("the same components" if differ.isEmpty() else differ._show_string(20))
         case ["compare", one, other, shape]:
-            compare_grey_files(spark, one, other, Shape(*numbers(shape))).show()
+            compare_files(spark, one, other, Shape(*numbers(shape))).show()
+        case ["histograms", path, shape, low, high, bins, folder]:
+            size = Shape(*numbers(shape))
+            histograms_of_file(spark, path, size, float(low), float(high), int(bins), (size.y // 2, size.x // 2)).write.parquet(folder)
         case ["synthesize", out, side]:
             write_raw(synthetic_mask(spark, int(side)).where("v > 0"), out, Shape(*[int(side)] * 3))
         case ["names", path, shape, folder]:

@@ -13,14 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxlake.functions import pointwise as P
-from voxlake.functions.shared import materialise
+from voxlake.functions.shared import materialise, new_folder
 from voxlake.functions.volume import Shape, coordinates, densify, flat_index, in_box
 from voxlake.operators import bricks as B
 from voxlake.operators import components as C
 from voxlake.operators import diffusion as D
 from voxlake.operators import histograms as H
 from voxlake.operators import stats as S
-from voxlake.sources import images
+from voxlake.sources import images, store
 
 N, COARSE = 32, 8
 SHAPE, FIELD = Shape(N, N, N), Shape(COARSE, COARSE, COARSE)
@@ -173,10 +173,38 @@ FIELD_SQL = "field AS (SELECT CAST(o_custkey % 8 AS BIGINT) AS fz, CAST(o_orderk
     f"ON fz = CAST(floor(z * 0.25e0) AS BIGINT) AND fy = CAST(floor(y * 0.25e0) AS BIGINT) AND fx = CAST(floor(x * 0.25e0) AS BIGINT) WHERE {IN_SQL} AND f > 0 AND f BETWEEN 1 AND 1000 GROUP BY ALL"
 )
 def field_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.field_histogram(vox(spark, sf_dir), SHAPE, _field(spark, sf_dir), FIELD, BINS, LOW, HIGH, FIELD_LOW, FIELD_HIGH)
+
+
+def _field(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     keys = [(F.col("o_custkey") % COARSE).cast("long").alias("z"), (F.col("o_orderkey") % COARSE).cast("long").alias("y"), (F.floor(F.col("o_orderkey") / F.lit(8.0)).cast("long") % COARSE).alias("x")]
-    field = orders.groupBy(*keys).agg((F.sum("o_orderkey") % 1000).cast("long").alias("f"))
-    return H.field_histogram(vox(spark, sf_dir), SHAPE, field, FIELD, BINS, LOW, HIGH, FIELD_LOW, FIELD_HIGH)
+    return orders.groupBy(*keys).agg((F.sum("o_orderkey") % 1000).cast("long").alias("f"))
+
+
+def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.pack_values(vox(spark, sf_dir), SHAPE, BRICK)
+
+
+@query(f"WITH {VOX_SQL} {ALL_AXES_SQL}")
+def packed_hist_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from packed bricks."""
+    return H.packed_histograms(_values(spark, sf_dir), LOW, HIGH, BINS, CENTER, MOST_RADIUS)
+
+
+@query(ORACLE_SQL["field_hist"])
+def packed_field_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.packed_field_histogram(_values(spark, sf_dir), SHAPE, _field(spark, sf_dir), FIELD, BINS, LOW, HIGH, FIELD_LOW, FIELD_HIGH)
+
+
+@query(f"WITH {VOX_SQL} SELECT z, y, x, CASE WHEN z >= 8 AND z < 16 THEN 2 * v ELSE v END AS v FROM vox WHERE z >= 4 AND z < 20 AND y >= 9 AND y < 31 AND x >= 3 AND x < 32")
+def stored_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A box of a store of bricks in which one slab was written again."""
+    path = new_folder(spark, "vox-store")
+    store.store_volume(vox(spark, sf_dir), path, SHAPE, BRICK)
+    slab = store.read_store(spark, path, Shape(8, 0, 0), Shape(16, N, N), BRICK)
+    store.update_store(slab.withColumn("v", 2 * F.col("v")), path, SHAPE, BRICK)
+    return store.read_store(spark, path, Shape(4, 9, 3), Shape(20, 31, N), BRICK)
 
 
 def _conv_sql(source: str, axis: str, name: str, keep: str = "") -> str:
@@ -240,6 +268,15 @@ def diffuse_bricks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.from_blocks(D.diffuse_blocks(blocks, SHAPE, KERNEL, 2, BRICK), SHAPE, BRICK)
 
 
+@query(f"{TWICE_SQL} SELECT * FROM twice_")
+def diffuse_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job that stops after one repetition, and one that goes on from its state."""
+    state = new_folder(spark, "vox-state")
+    blocks = D.to_blocks(bright(spark, sf_dir), SHAPE, BRICK)
+    D.diffuse_blocks(blocks, SHAPE, KERNEL, 1, BRICK, state)
+    return D.from_blocks(D.diffuse_blocks(blocks, SHAPE, KERNEL, 2, BRICK, state), SHAPE, BRICK)
+
+
 @query(
     f"WITH {STATE_SQL}, t AS (SELECT unnest(range(0, 4)) AS t), w AS (SELECT t, greatest(t * 8 - 2, 0) AS lo, least(t * 8 + 10, 32) AS hi FROM t) "
     "SELECT CAST(t AS BIGINT) AS slab, CAST(lo AS BIGINT) AS low, CAST(hi AS BIGINT) AS high, CAST(sum(CASE WHEN z < t * 8 OR z >= t * 8 + 8 THEN u ELSE 0 END) AS BIGINT) AS halo, CAST(sum(u) AS BIGINT) AS total FROM w JOIN u0 ON z >= lo AND z < hi GROUP BY t, lo, hi"
@@ -336,6 +373,21 @@ def packed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.packed_names(_packed(spark, sf_dir)).where("label <> 0")
 
 
+HALVES_SQL = f"{CELL_SQL}, {_reach_sql('whole', '')}, {_reach_sql('part', ' AND a.chunk = b.chunk')}".replace("z / 8.0e0", "z / 16.0e0")
+
+
+@query(
+    f"{HALVES_SQL}, lab AS (SELECT chunk, CAST(dense_rank() OVER (PARTITION BY chunk ORDER BY part.root) AS BIGINT) AS label, whole.root AS g FROM cell JOIN part USING (id) JOIN whole USING (id)), "
+    "kinds AS (SELECT g, CASE WHEN count(DISTINCT chunk) = 2 THEN 0 ELSE 1 + min(chunk) END AS kind, coalesce(min(label) FILTER (chunk = 0), min(label)) AS first FROM lab GROUP BY g), "
+    "numbered AS (SELECT g, row_number() OVER (ORDER BY kind, first) AS new FROM kinds) SELECT DISTINCT CASE WHEN chunk = 0 THEN 'a' ELSE 'b' END AS side, label, new FROM lab JOIN numbered USING (g)"
+)
+def pair_renaming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lower and the upper half, labelled apart, get one numbering."""
+    halves = materialise(C.label_chunks(bright(spark, sf_dir), N // 2), "halves")
+    labels = halves.select(F.when(F.col("chunk") == 0, "a").otherwise("b").alias("side"), "label")
+    return C.pair_renaming(labels, C.seam_edges(halves, N // 2).select("la", "lb"))
+
+
 UNEQUAL = (0, 5, 6, 20, 23, 32)  # where z-slabs of unequal heights begin, and the end
 
 

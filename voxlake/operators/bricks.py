@@ -53,6 +53,23 @@ def pack_masks(volume: DataFrame, shape: Shape, brick: Shape) -> DataFrame:
     return placed.groupBy("chunk").applyInPandas(build, PACKED)
 
 
+def pack_values(volume: DataFrame, shape: Shape, brick: Shape) -> DataFrame:
+    """Bricks of 64-bit values from (z, y, x, v), null as 0; of voxels given twice one stays.  Bricks
+    without voxels don't exist; voxels outside the shape are left out."""
+
+    def build(key: tuple, rows: pa.Table) -> pa.Table:
+        k = key[0].as_py()
+        low = [(k >> 40) * brick.z, (k >> 20 & 0xFFFFF) * brick.y, (k & 0xFFFFF) * brick.x]
+        size = [min(brick.of(a), shape.of(a) - b) for a, b in zip(AXES, low, strict=True)]
+        block = np.zeros(size, "<i8")
+        block[tuple(rows.column(a).to_numpy() - b for a, b in zip(AXES, low, strict=True))] = rows.column("v").to_numpy()
+        return pa.Table.from_batches([_out([dict(zip(_PACKED.names, (k, *low, *size, block.tobytes()), strict=True))])])
+
+    inside = volume.where(in_box(Shape(0, 0, 0), shape))
+    placed = inside.select(chunk_of(brick).alias("chunk"), *(F.col(a).cast("long").alias(a) for a in AXES), F.coalesce(F.col("v").cast("long"), F.lit(0)).alias("v"))
+    return placed.groupBy("chunk").applyInArrow(build, PACKED)
+
+
 def run_labels(mask: np.ndarray) -> np.ndarray:
     """Components of a box, 1, 2, ... in raster order of first voxels; 0 is background.
 

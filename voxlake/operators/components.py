@@ -150,6 +150,21 @@ def rename_from(firsts: DataFrame, edges: DataFrame) -> DataFrame:
     return rooted.join(ranked(rooted.select("root").distinct(), ["root"], "new"), "root").select("chunk", "label", "new")
 
 
+def pair_renaming(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """(side, label, new): the renamings of two labelled parts, ``a`` and ``b``, into one numbering.
+
+    ``labels`` (side, label) are all labels of both, ``edges`` (la, lb) those that touch.  Numbers
+    are consecutive: first what joins both parts, by its least label of ``a``, then what lies in
+    ``a`` alone, then in ``b`` alone, each by label.  The largest number is the number of components."""
+    node = lambda c, side: F.col(c) * 2 + side
+    roots = connected_components(edges.select(node("la", 0).alias("a"), node("lb", 1).alias("b")))
+    known = labels.where("label <> 0").select("side", "label").distinct().withColumn("id", node("label", F.when(F.col("side") == "b", 1).otherwise(0)))
+    rooted = materialise(known.join(roots, "id", "left").select("side", "label", F.coalesce("root", "id").alias("root"), F.when(F.col("root").isNotNull(), 0).when(F.col("side") == "a", 1).otherwise(2).alias("kind")), "pair-roots")
+    first = F.min(F.when((F.col("kind") > 0) | (F.col("side") == "a"), F.col("label")))
+    groups = ranked(rooted.groupBy("kind", "root").agg(first.alias("first")), ["kind", "first"], "new")
+    return rooted.join(groups, ["kind", "root"]).select("side", "label", "new")
+
+
 def apply_renaming(labelled: DataFrame, lut: DataFrame) -> DataFrame:
     """Replace labels by ``lut`` (chunk, label, new); labels that it lacks stay."""
     cols = labelled.columns

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxlake.functions.pointwise import binarize, illuminate, is_source, quantize
-from voxlake.functions.shared import materialise
+from voxlake.functions.shared import Generations, materialise
 from voxlake.functions.volume import AXES, Shape, coordinates, in_box
 
 
@@ -142,10 +142,12 @@ def correlate(a: np.ndarray, kernel: np.ndarray, axis: int) -> np.ndarray:
     return out
 
 
-def diffuse_blocks(blocks: DataFrame, shape: Shape, kernel: list[float], repetitions: int, brick: Shape | int) -> DataFrame:
+def diffuse_blocks(blocks: DataFrame, shape: Shape, kernel: list[float], repetitions: int, brick: Shape | int, state: str | None = None) -> DataFrame:
     """Diffusion of bricks: one shuffle of bricks and halos a repetition, all axes in one task.
 
-    A task holds a brick with the kernel's radius around it, whatever the volume's size."""
+    A task holds a brick with the kernel's radius around it, whatever the volume's size.  Each
+    repetition is a generation, of which two are on disk at most; those of a ``state`` folder
+    outlive the job, and one that starts again there does only the repetitions that are left."""
     weights = np.asarray(kernel, np.float32)
     half, brick = len(kernel) // 2, as_brick(brick, shape)
 
@@ -165,9 +167,13 @@ def diffuse_blocks(blocks: DataFrame, shape: Shape, kernel: list[float], repetit
         state[mask] = 1
         return pd.DataFrame({**{k: [int(v)] for k, v in zip(KEY, key, strict=True)}, "data": [state.tobytes()]})
 
-    for _ in range(repetitions):
-        blocks = materialise(exchange_halo(blocks, shape, half, brick).groupBy(*KEY).applyInPandas(step, BRICKS), "diffusion-bricks")
-    return blocks
+    states = Generations(blocks.sparkSession, "diffusion", state)
+    done, now = (states.last() if state else None) or (0, blocks)
+    if done > repetitions:
+        raise ValueError(f"the state is {done} repetitions old, more than {repetitions}")
+    for k in range(done, repetitions):
+        now = states.write(k + 1, exchange_halo(now, shape, half, brick).groupBy(*KEY).applyInPandas(step, BRICKS))
+    return now
 
 
 def from_blocks(blocks: DataFrame, shape: Shape, brick: Shape | int) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,3 +58,63 @@ def field_histogram(volume: DataFrame, shape: Shape, field: DataFrame, field_sha
     # counts by cell first: the join then carries a row for each cell and bin
     counted = placed.groupBy("fz", "fy", "fx", F.col("bin").alias("vbin")).agg(F.count(F.lit(1)).alias("n"))
     return counted.join(cells, ["fz", "fy", "fx"]).groupBy("fbin", "vbin").agg(F.sum("n").cast("long").alias("n"))
+
+
+# ---- packed bricks: counts of a brick meet, not its voxels ----------------------------------
+
+
+def _bins_of(v: np.ndarray, low: float, high: float, bins: int) -> np.ndarray:
+    return np.floor((bins - 1) * ((v.astype(float) - low) / (high - low))).astype(np.int64)
+
+
+def _counted(packed: DataFrame, names: list[str], found) -> DataFrame:  # noqa: ANN001
+    """Rows (``names``, n) from ``found(row, z, y, x, v)``, the counts of a brick's voxels but zeros;
+    equal rows of a batch of bricks meet in the task, those of tasks in a sum."""
+    schema = pa.schema([*((n, pa.int64()) for n in names), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                block = np.frombuffer(row["data"], "<i8").reshape(row["nz"], row["ny"], row["nx"])
+                z, y, x = np.nonzero(block)
+                keys = found(z + row["z0"], y + row["y0"], x + row["x0"], block[z, y, x])
+                distinct, n = np.unique(keys, axis=1, return_counts=True)
+                yield pa.RecordBatch.from_arrays([*(pa.array(k) for k in distinct), pa.array(n)], schema=schema)
+
+    counts = packed.mapInArrow(run, ", ".join(f"{f.name} long" for f in schema))
+    return counts.groupBy(*names).agg(F.sum("n").alias("n"))
+
+
+def packed_histograms(packed: DataFrame, low: float, high: float, bins: int, center: tuple[int, int], most_radius: int | None = None, offset_z: int = 0) -> DataFrame:
+    """``axis_histograms`` of packed bricks of 64-bit values: (axis, pos, bin, n)."""
+    if high <= low:
+        raise ValueError("the value range is empty")
+    axes = ("z", "y", "x", "r")
+
+    def found(z: np.ndarray, y: np.ndarray, x: np.ndarray, v: np.ndarray) -> np.ndarray:
+        inside = (v >= low) & (v <= high)
+        z, y, x, b = z[inside], y[inside], x[inside], _bins_of(v[inside], low, high, bins)
+        dy, dx = y - center[0], x - center[1]
+        r = np.floor(np.sqrt((dy * dy + dx * dx).astype(float))).astype(np.int64)
+        near = np.ones(len(r), bool) if most_radius is None else r < most_radius
+        parts = [np.stack((np.full(len(p), k), p, c)) for k, (p, c) in enumerate(((z + offset_z, b), (y, b), (x, b), (r[near], b[near])))]
+        return np.concatenate(parts, axis=1)
+
+    counts = _counted(packed, ["axis", "pos", "bin"], found)
+    return counts.withColumn("axis", F.element_at(F.array(*(F.lit(a) for a in axes)), (F.col("axis") + 1).cast("int")))
+
+
+def packed_field_histogram(packed: DataFrame, shape: Shape, field: DataFrame, field_shape: Shape, bins: int, low: float, high: float, field_low: float, field_high: float) -> DataFrame:
+    """``field_histogram`` of packed bricks: counts by coarse cell and bin meet the field's cells."""
+    if high <= low:
+        raise ValueError("the value range is empty")
+    sides = [(field_shape.of(a) / shape.of(a)) for a in ("z", "y", "x")]
+
+    def found(z: np.ndarray, y: np.ndarray, x: np.ndarray, v: np.ndarray) -> np.ndarray:
+        inside = (v >= low) & (v <= high)
+        cells = [np.floor(c[inside] * s).astype(np.int64) for c, s in zip((z, y, x), sides, strict=True)]
+        return np.stack((*cells, _bins_of(v[inside], low, high, bins)))
+
+    cells = field.where((F.col("f") > 0) & F.col("f").between(field_low, field_high)).select(*(F.col(a).alias(f"f{a}") for a in ("z", "y", "x")), value_bin(F.col("f"), field_low, field_high, bins).alias("fbin"))
+    counted = _counted(packed, ["fz", "fy", "fx", "vbin"], found)
+    return counted.join(cells, ["fz", "fy", "fx"]).groupBy("fbin", "vbin").agg(F.sum("n").cast("long").alias("n"))

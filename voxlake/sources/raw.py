@@ -50,6 +50,20 @@ def _read_at(file: int, kind: str, count: int, offset: int) -> np.ndarray:
     return np.frombuffer(os.pread(file, count * width, offset * width), kind)
 
 
+def read_box(file: int, kind: str, low: list[int], size: list[int], plane: tuple[int, int]) -> np.ndarray:
+    """A box of a file with ``plane`` (lines, elements of a line): whole lines in one range a plane."""
+    ny, nx = plane
+    block = np.empty(size, kind)
+    for k in range(size[0]):
+        at = ((low[0] + k) * ny + low[1]) * nx + low[2]
+        if size[2] == nx:
+            block[k] = _read_at(file, kind, size[1] * nx, at).reshape(size[1], nx)
+        else:
+            for j in range(size[1]):
+                block[k, j] = _read_at(file, kind, size[2], at + j * nx)
+    return block
+
+
 def _write_at(file: int, values: np.ndarray, offset: int) -> None:
     raw, at = memoryview(np.ascontiguousarray(values)).cast("B"), offset * values.itemsize
     while len(raw):
@@ -317,10 +331,12 @@ def write_grey_bricks(blocks: DataFrame, path: str, shape: Shape, brick: Shape)
 # ---- packed bricks of labels or masks ---------------------------------------------------
 
 
-def read_packed(spark: SparkSession, files: list[tuple[str, int, int]], plane: tuple[int, int], brick: Shape, dtype: str = "int64") -> DataFrame:
+def read_packed(spark: SparkSession, files: list[tuple[str, int, int]], plane: tuple[int, int], brick: Shape, dtype: str = "int64", wide: bool | None = None) -> DataFrame:
     """Packed bricks of z-slab files (path, first plane, planes), one chunk each in their order.
 
-    Values become 64-bit labels, for uint8 bytes.  Each task reads the ranges of its boxes."""
+    Values become 64-bit integers, or stay bytes for uint8 unless ``wide`` says otherwise.  Each
+    task reads the ranges of its boxes."""
+    wide = dtype != "uint8" if wide is None else wide
     kind = DTYPES[dtype][0]
     ny, nx = plane
     boxes = []
@@ -337,17 +353,10 @@ def read_packed(spark: SparkSession, files: list[tuple[str, int, int]], plane: t
                     raise ValueError(f"{row['path']} ends before the volume does")
                 file = os.open(row["path"], os.O_RDONLY)
                 try:
-                    block = np.empty((row["nz"], row["ny"], row["nx"]), kind)
-                    for k in range(row["nz"]):
-                        at = ((row["a"] + k) * ny + row["y0"]) * nx + row["x0"]
-                        if row["nx"] == nx:
-                            block[k] = _read_at(file, kind, row["ny"] * nx, at).reshape(row["ny"], nx)
-                        else:
-                            for j in range(row["ny"]):
-                                block[k, j] = _read_at(file, kind, row["nx"], at + j * nx)
+                    block = read_box(file, kind, [row["a"], row["y0"], row["x0"]], [row["nz"], row["ny"], row["nx"]], plane)
                 finally:
                     os.close(file)
-                data = block if dtype == "uint8" else block.astype("<i8")
+                data = block.astype("<i8") if wide else block
                 yield _out([{c: row[c] for c in ("chunk", *PLACE, "nz", "ny", "nx")} | {"data": data.tobytes()}])
 
     made = boxes[0]
@@ -407,3 +416,30 @@ def pack_lines(lines: DataFrame, shape: Shape, brick: Shape, dtype: str = "int64
         return pa.Table.from_batches([_out([dict(zip(("chunk", *PLACE, "nz", "ny", "nx"), (0, *low, *size), strict=True)) | {"data": data.tobytes()}])])
 
     return cut.groupBy(*PLACE).applyInArrow(build, PACKED)
+
+
+def difference_sums(spark: SparkSession, one: str, other: str, shape: Shape, brick: Shape, dtypes: tuple[str, str]) -> DataFrame:
+    """(n, total, squares, most, least) of the absolute differences of two files, a row for each
+    brick: a task reads the same box of both."""
+    kinds = [DTYPES[d][0] for d in dtypes]
+    paths = [_local(p) for p in (one, other)]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for path, kind in zip(paths, kinds, strict=True):
+            if not os.path.exists(path):
+                raise FileNotFoundError(f"no volume at {path}")
+            if os.path.getsize(path) < shape.size * np.dtype(kind).itemsize:
+                raise ValueError(f"{path} ends before the volume does")
+        files = [os.open(path, os.O_RDONLY) for path in paths]
+        try:
+            for part in parts:
+                for row in part.itertuples(index=False):
+                    box = box_of(row, brick, shape)
+                    a, b = (read_box(f, k, [lo for lo, _ in box], [hi - lo for lo, hi in box], (shape.y, shape.x)).astype(float) for f, k in zip(files, kinds, strict=True))
+                    d = np.abs(a - b)
+                    yield pd.DataFrame([[d.size, d.sum(), (d * d).sum(), d.max(), d.min()]], columns=["n", "total", "squares", "most", "least"])
+        finally:
+            for file in files:
+                os.close(file)
+
+    return all_bricks(spark, brick, shape).mapInPandas(run, "n long, total double, squares double, most double, least double")
