@@ -166,7 +166,7 @@ def test_raw_round_trip(spark, tmp_path, dtype):
     for r in read_raw(spark, path, shape, dtype, planes=2).collect():
         back[r.z, r.y, r.x] = r.v
     assert (back == a).all()
-    assert {r.z for r in read_raw(spark, path, shape, dtype, z_from=1, z_to=3).collect()} == {1, 2}
+    assert {r.z for r in read_raw(spark, path, shape, dtype, low=Shape(1, 0, 0), high=Shape(3, 3, 4)).collect()} == {1, 2}
     with pytest.raises(Exception, match="no volume"):
         read_raw(spark, f"{path}.none", shape, dtype).collect()
 
@@ -182,7 +182,7 @@ def test_raw_box_and_safe_rewriting(spark, tmp_path):
     assert (np.fromfile(path, np.uint8).reshape(want.shape) == want).all()
     write_raw(read_raw(spark, path, shape).withColumn("v", F.col("v") + 1), path, shape)
     assert (np.fromfile(path, np.uint8).reshape(want.shape) == want + 1).all()
-    update_raw(read_raw(spark, path, shape, z_from=1, z_to=2).withColumn("v", F.col("v") * 2), path, shape)
+    update_raw(read_raw(spark, path, shape, low=Shape(1, 0, 0), high=Shape(2, 3, 4)).withColumn("v", F.col("v") * 2), path, shape)
     want = want + 1
     want[1] *= 2
     assert (np.fromfile(path, np.uint8).reshape(want.shape) == want).all()

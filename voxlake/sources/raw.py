@@ -2,9 +2,11 @@
 
 ``raw_volume`` is a Spark data source with the options ``path``, ``shape`` ("z,y,x") and ``dtype``.
 
-Reading gives (z, y, x, v).  Bounds on z, y and x in the query's filters become the planes that are
-planned and the byte ranges that are read; each input partition covers ``planes`` planes, in
-batches of bounded size.  A missing file or one too short is an error.
+Reading gives (z, y, x, v) of the half-open box from ``low`` to ``high`` ("z,y,x" each, the whole
+volume without them): only its planes are planned and only its byte ranges are read.  Each input
+partition covers ``planes`` planes, in batches of bounded size.  A missing file or one too short is
+an error.  Filters of a query are not pushed into the source: Spark 4.1.2 keeps what one query
+has pushed for the other queries on the same DataFrame, which then lack rows.
 
 Writing takes (z, y, x, v) in any order.  ``overwrite`` fills a new file beside the old one and
 puts it in its place when all tasks are done; a job that fails leaves the old one as it was.
@@ -18,7 +20,7 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, IsNotNull, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from voxlake.functions.shared import materialise, shuffle_partitions
@@ -97,26 +99,11 @@ class _Planes(InputPartition):
 class _Reader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.of = _Volume.of(options)
-        self.box = {a: [0, self.of.shape.of(a)] for a in AXES}
-        self._bound("z", int(options.get("z_from", 0)), int(options.get("z_to", self.of.shape.z)))
+        ends = [[int(k) for k in options[name].split(",")] if name in options else None for name in ("low", "high")]
+        low, high = ends[0] or [0, 0, 0], ends[1] or [self.of.shape.of(a) for a in AXES]
+        self.box = {a: (max(lo, 0), min(hi, self.of.shape.of(a))) for a, lo, hi in zip(AXES, low, high, strict=True)}
         self.planes = int(options.get("planes", 16))
 
-    def _bound(self, axis: str, low: int, high: int) -> None:
-        box = self.box[axis]
-        box[0], box[1] = max(box[0], low), min(box[1], high)
-
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        """Bounds on coordinates are met by the box; all other filters stay with Spark."""
-        ends = {EqualTo: lambda v: (v, v + 1), GreaterThan: lambda v: (v + 1, 2**62), GreaterThanOrEqual: lambda v: (v, 2**62), LessThan: lambda v: (0, v), LessThanOrEqual: lambda v: (0, v + 1)}
-        for f in filters:
-            name = f.attribute[0] if hasattr(f, "attribute") and len(f.attribute) == 1 else ""
-            if name in AXES and isinstance(f, IsNotNull):
-                continue
-            if name in AXES and type(f) in ends and isinstance(f.value, int):
-                self._bound(name, *ends[type(f)](f.value))
-            else:
-                yield f
-
     def partitions(self) -> list[InputPartition]:
         (low, high), (y0, y1), (x0, x1) = (self.box[a] for a in AXES)
         return [_Planes(a, min(a + self.planes, high)) for a in range(low, high, self.planes) if y0 < y1 and x0 < x1] or [_Planes(0, 0)]
@@ -206,19 +193,22 @@ class RawVolume(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Make ``raw_volume`` known, and let Spark hand its filters to sources in Python."""
+    """Make ``raw_volume`` known."""
     spark.dataSource.register(RawVolume)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
 def _options(path: str, shape: Shape, dtype: str) -> dict:
     return {"path": _local(path), "shape": f"{shape.z},{shape.y},{shape.x}", "dtype": dtype}
 
 
-def read_raw(spark: SparkSession, path: str, shape: Shape, dtype: str = "uint8", planes: int = 16, z_from: int = 0, z_to: int | None = None) -> DataFrame:
+def read_raw(spark: SparkSession, path: str, shape: Shape, dtype: str = "uint8", planes: int = 16, low: Shape | None = None, high: Shape | None = None) -> DataFrame:
+    """(z, y, x, v) of a raw file, or of its half-open box from ``low`` to ``high``."""
     register(spark)
-    reader = spark.read.format("raw_volume").options(**_options(path, shape, dtype), planes=planes, z_from=z_from)
-    return (reader if z_to is None else reader.option("z_to", z_to)).load()
+    reader = spark.read.format("raw_volume").options(**_options(path, shape, dtype), planes=planes)
+    for name, end in (("low", low), ("high", high)):
+        if end is not None:
+            reader = reader.option(name, f"{end.z},{end.y},{end.x}")
+    return reader.load()
 
 
 def _write(volume: DataFrame, mode: str, path: str, shape: Shape, dtype: str) -> None:
