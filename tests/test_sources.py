@@ -251,3 +251,52 @@ def test_pair_renaming_order(spark):
     assert got == {("a", 2): 1, ("a", 4): 1, ("b", 2): 1, ("a", 3): 2, ("b", 5): 2, ("a", 1): 3, ("b", 1): 4, ("b", 3): 5}
     none = {(r.side, r.label): r.new for r in C.pair_renaming(labels, edges.limit(0)).collect()}
     assert none[("a", 1)] == 1 and none[("b", 5)] == 8
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_replaced_chunks_equal_a_merge_of_all(spark, seed, monkeypatch):
+    """Chunks of random graphs come, go and change; groups are those of the whole graph, components
+    that nothing touches keep their numbers and are not looked at again."""
+    rng = np.random.default_rng(seed)
+    n = 12
+    edges = {(c, int(a), c + 1, int(b)) for c in range(5) for a, b in rng.integers(1, n + 1, (5, 2))}
+    table = lambda e: spark.createDataFrame(sorted(e), "chunk long, la long, other long, lb long")
+    firsts = spark.createDataFrame([(c, k, (c, k, 0)) for c in range(6) for k in range(1, n + 1)], "chunk long, label long, first struct<z: long, y: long, x: long>")
+    state = C.merged_chunks(firsts, table(edges))
+    sizes = {c: n for c in range(6)}
+    seen = []
+    monkeypatch.setattr(C, "connected_components", lambda e, find=C.connected_components: seen.append(e.count()) or find(e))
+
+    def groups(state):
+        out = {}
+        for r in state.labels.collect():
+            out.setdefault(r.new, set()).add((r.chunk, r.label))
+        return out
+
+    for chunk, size in ((2, 9), (5, 0), (6, 7)):
+        before = groups(state)
+        gone = {e for e in edges if chunk in (e[0], e[2])}
+        new = {(c, int(rng.integers(1, (sizes.get(c, 0) if c != chunk else size) + 1)), c + 1, int(rng.integers(1, (sizes.get(c + 1, 0) if c + 1 != chunk else size) + 1))) for c in (chunk - 1, chunk) for _ in range(4) if size and (sizes.get(c) or c == chunk) and (sizes.get(c + 1) or c + 1 == chunk)}
+        edges = edges - gone | new
+        sizes[chunk] = size
+        state = C.replace_chunk(state, chunk, spark.createDataFrame([(k,) for k in range(1, size + 1)], "label long"), table(new) if new else table(edges).limit(0))
+        after = groups(state)
+        up = {(c, k): (c, k) for c, m in sizes.items() for k in range(1, m + 1)}
+
+        def root(p, up=up):
+            while up[p] != p:
+                p = up[p]
+            return p
+
+        for c, a, d, b in edges:
+            x, y = root((c, a)), root((d, b))
+            up[max(x, y)] = min(x, y)
+        want = {}
+        for p in up:
+            want.setdefault(root(p), set()).add(p)
+        assert sorted(map(sorted, after.values())) == sorted(map(sorted, want.values()))
+        met = {(c, k) for e in gone | new for c, k in (e[:2], e[2:])} | {(chunk, k) for k in range(1, 20)}
+        for number, members in before.items():
+            if not members & met:
+                assert after[number] == members
+        assert seen[-1] < len(edges)

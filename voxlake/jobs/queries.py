@@ -9,7 +9,7 @@ from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxlake.functions import pointwise as P
@@ -388,6 +388,26 @@ def pair_renaming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.pair_renaming(labels, C.seam_edges(halves, N // 2).select("la", "lb"))
 
 
+OTHER_CELLS_SQL = f"{CELL_SQL.removesuffix(')')} WHERE NOT (z >= 16 AND z < 24 AND v % 2 = 1)), {_reach_sql('whole', '')}, {_reach_sql('part', ' AND a.chunk = b.chunk')}"
+
+
+@query(
+    f"{OTHER_CELLS_SQL}, lab AS (SELECT chunk, CAST(dense_rank() OVER (PARTITION BY chunk ORDER BY part.root) AS BIGINT) AS label, whole.root AS g FROM cell JOIN part USING (id) JOIN whole USING (id))"
+    " SELECT DISTINCT chunk, label, min(chunk * 1000000 + label) OVER (PARTITION BY g) AS least FROM lab"
+)
+def chunk_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk label with the least one of its component, after one chunk of merged ones was
+    replaced by another."""
+    volume = bright(spark, sf_dir)
+    labels = materialise(C.label_chunks(volume, PLANES), "chunk-voxels")
+    edges = lambda of: C.seam_edges(of, PLANES).select("chunk", "la", (F.col("chunk") + 1).alias("other"), "lb")
+    state = C.merged_chunks(labels.groupBy("chunk", "label").agg(F.min(F.struct("z", "y", "x")).alias("first")), edges(labels))
+    other = materialise(C.label_chunks(volume.where("z >= 16 and z < 24 and v % 2 = 0"), PLANES), "chunk-voxels")
+    near = labels.where("chunk in (1, 3)").unionByName(other)
+    found = C.replace_chunk(state, 2, other.select("label"), edges(near)).labels
+    return found.select("chunk", "label", F.min(F.col("chunk") * 1000000 + F.col("label")).over(Window.partitionBy("new")).alias("least"))
+
+
 UNEQUAL = (0, 5, 6, 20, 23, 32)  # where z-slabs of unequal heights begin, and the end
 
 

@@ -5,6 +5,8 @@ whose labels come from outside."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -165,6 +167,52 @@ def pair_renaming(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return rooted.join(groups, ["kind", "root"]).select("side", "label", "new")
 
 
+@dataclass
+class Merged:
+    """The label graph of merged chunks: ``labels`` (chunk, label, new), ``edges`` (chunk, la, other, lb)."""
+
+    labels: DataFrame
+    edges: DataFrame
+
+
+def merged_chunks(firsts: DataFrame, edges: DataFrame) -> Merged:
+    """The graph of all chunks, from the labels' first voxels (chunk, label, first) and edges."""
+    edges = materialise(edges.select("chunk", "la", "other", "lb"), "merged-edges")
+    return Merged(materialise(rename_from(firsts, edges), "merged-labels"), edges)
+
+
+def replace_chunk(state: Merged, chunk: int, labels: DataFrame, edges: DataFrame) -> Merged:
+    """The graph after ``chunk`` was added, or put in the place of the one there was.
+
+    ``labels`` (label) are the new chunk's, ``edges`` (chunk, la, other, lb) where they touch other
+    chunks' labels; none of either take the chunk away.  Only components that the old or the new
+    chunk touches are found again; all others keep their numbers.  One that is found again keeps
+    the least number of its labels, unless another of them with smaller labels keeps it; the rest
+    get numbers behind the largest."""
+    rest = state.labels.where(F.col("chunk") != chunk)
+    ends = [edges.select(F.col(c).alias("chunk"), F.col(k).alias("label")) for c, k in (("chunk", "la"), ("other", "lb"))]
+    met = ends[0].unionByName(ends[1]).where(F.col("chunk") != chunk).distinct()
+    touched = state.labels.where(F.col("chunk") == chunk).select("new").unionByName(rest.join(met, ["chunk", "label"]).select("new")).distinct()
+    touched = materialise(touched, "touched")
+    stay = rest.join(touched, "new", "left_anti")
+    fresh = labels.select(F.lit(chunk).cast("long").alias("chunk"), "label").where("label <> 0").distinct().withColumn("new", F.lit(None).cast("long"))
+    redo = rest.join(touched, "new", "left_semi").select("chunk", "label", "new").unionByName(fresh)
+    redo = materialise(ranked(redo, ["chunk", "label"], "id"), "redo")
+    every = state.edges.where((F.col("chunk") != chunk) & (F.col("other") != chunk)).unionByName(edges.select("chunk", "la", "other", "lb"))
+    every = materialise(every, "merged-edges")
+    a = redo.select("chunk", F.col("label").alias("la"), F.col("id").alias("a"))
+    b = redo.select(F.col("chunk").alias("other"), F.col("label").alias("lb"), F.col("id").alias("b"))
+    roots = connected_components(materialise(every.join(a, ["chunk", "la"]).join(b, ["other", "lb"]).select("a", "b"), "redo-links"))
+    rooted = materialise(redo.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "redo-roots")
+    claims = materialise(rooted.groupBy("root").agg(F.min("new").alias("claim")), "redo-claims")
+    won = claims.where("claim is not null").groupBy("claim").agg(F.min("root").alias("root"))
+    largest = state.labels.agg(F.coalesce(F.max("new"), F.lit(0))).first()[0]
+    others = ranked(claims.join(won, "root", "left_anti").select("root"), ["root"], "n").select("root", (F.col("n") + largest).alias("number"))
+    numbers = won.select("root", F.col("claim").alias("number")).unionByName(others)
+    done = rooted.join(numbers, "root").select("chunk", "label", F.col("number").alias("new"))
+    return Merged(materialise(stay.select("chunk", "label", "new").unionByName(done), "merged-labels"), every)
+
+
 def apply_renaming(labelled: DataFrame, lut: DataFrame) -> DataFrame:
     """Replace labels by ``lut`` (chunk, label, new); labels that it lacks stay."""
     cols = labelled.columns
