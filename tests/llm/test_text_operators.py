@@ -548,14 +548,14 @@ def test_labelled_sample_is_bounded_and_repeats_count_once(spark):
     docs = spark.createDataFrame([(k % 300, f"text {k % 300} " + "bad " * (k % 3)) for k in range(900)], "doc_id long, text string")
     labels = spark.createDataFrame([(k % 300, 2 if k < 300 else k % 3) for k in range(600)], "doc_id long, grade int")
     seen = []
-    original = Q._fit_rows
-    Q._fit_rows = lambda rows, n: seen.append(len(rows)) or original(rows, n)
+    original = Q._fit_folds
+    Q._fit_folds = lambda spark, rows, fold, n: seen.extend([*(int((fold != k).sum()) for k in range(Q.FOLDS)), len(rows)]) or original(spark, rows, fold, n)
     try:
         Q.fit_quality(docs, labels, most_labelled=100)
         Q.fit_quality(docs, labels, most_labelled=299)
         Q.fit_quality(docs, labels, most_labelled=301)
     finally:
-        Q._fit_rows = original
+        Q._fit_folds = original
     whole = seen[3::4]
     assert 50 < whole[0] <= 100 and 100 < whole[1] <= 299 and whole[2] == 300
 

@@ -25,7 +25,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -181,6 +181,33 @@ def _score_rows(rows: list, model: OrdinalModel) -> np.ndarray:
     return np.concatenate([np.empty(0), *(np.bincount(doc, model.weights[index] * value, len(own)) for index, value, doc, own in _shards(rows, model.evidence))])
 
 
+def _fit_folds(spark: SparkSession, rows: list, fold: np.ndarray, n_grades: int) -> tuple[OrdinalModel, np.ndarray]:
+    """(the model of all rows, out-of-fold tails): a task for each fold, and one for all rows.
+
+    The rows are the bounded sample; tasks get them by broadcast and give back a model and scores."""
+    shared = spark.sparkContext.broadcast((rows, fold))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, fold = shared.value
+        for batch in batches:
+            for k in batch.column("id").to_pylist():
+                model = _fit_rows([r for r, f in zip(rows, fold, strict=True) if f != k], n_grades)
+                if k < FOLDS:
+                    parts = [b"", b"", b"", model.tails(_score_rows([r for r, f in zip(rows, fold, strict=True) if f == k], model))[:, -1].tobytes()]
+                else:
+                    parts = [model.weights.tobytes(), model.thresholds.tobytes(), model.evidence.tobytes(), b""]
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), *(pa.array([p], pa.binary()) for p in parts)], ["id", "weights", "thresholds", "evidence", "tails"])
+
+    tail, model = np.zeros(len(rows)), None
+    for r in spark.range(0, FOLDS + 1, 1, FOLDS + 1).mapInArrow(run, "id long, weights binary, thresholds binary, evidence binary, tails binary").collect():
+        if r["id"] < FOLDS:
+            tail[fold == r["id"]] = np.frombuffer(r["tails"])
+        else:
+            evidence = np.frombuffer(r["evidence"], np.float32).reshape(n_grades - 1, -1)
+            model = OrdinalModel(np.frombuffer(r["weights"], np.float32), np.frombuffer(r["thresholds"]), evidence=evidence)
+    return model, tail
+
+
 def choose_cut(tail: np.ndarray, best: np.ndarray) -> float:
     """The cut of least ``GOOD_COST`` * (share of the best grade under it) + (share of the others
     that reach it).  It is 0 if there are only documents of the best grade, or none of it."""
@@ -206,11 +233,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, n_grades: int = 3, most_labe
     found = rows.select("doc_id", "text", "grade").mapInArrow(_sparse_rows, "grade int, index binary, value binary, words binary").collect()
     found.sort(key=lambda r: (zlib.crc32(r["index"]), r["grade"]))  # the rows come in any order
     fold = np.array([zlib.crc32(r["index"]) % FOLDS for r in found], int)
-    tail, best = np.zeros(len(found)), np.array([r["grade"] == n_grades - 1 for r in found], bool)
-    for k in range(FOLDS):
-        part = _fit_rows([r for r, f in zip(found, fold, strict=True) if f != k], n_grades)
-        tail[fold == k] = part.tails(_score_rows([r for r, f in zip(found, fold, strict=True) if f == k], part))[:, -1]
-    return replace(_fit_rows(found, n_grades), cut=choose_cut(tail, best))
+    best = np.array([r["grade"] == n_grades - 1 for r in found], bool)
+    model, tail = _fit_folds(docs.sparkSession, found, fold, n_grades)
+    return replace(model, cut=choose_cut(tail, best))
 
 
 def score_quality(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
