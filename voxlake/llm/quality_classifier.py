@@ -101,6 +101,14 @@ def word_values(words: list[np.ndarray], grades: np.ndarray, n_grades: int) -> n
 Shard = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # index, value, document, grades
 
 
+def _by_document(index: np.ndarray, value: np.ndarray, doc: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(index, value, documents with entries, where theirs begin, how many, grades): entries in
+    the order of documents, so that sums and repeats take no lookups."""
+    order = np.argsort(doc, kind="stable")
+    has, begins, count = np.unique(doc[order], return_index=True, return_counts=True)
+    return index[order].astype(np.intp), value[order].astype(float), has, begins, count, own
+
+
 def fit_ordinal(shards: list[Shard], n_grades: int, l2: float = 1e-4, rounds: int = 250, rate: float = 0.4) -> OrdinalModel:
     """Fit on sparse rows in shards; documents count from 0 in each.  Every round sums the
     gradient over all shards, so only one shard's working arrays exist at a time."""
@@ -108,7 +116,7 @@ def fit_ordinal(shards: list[Shard], n_grades: int, l2: float = 1e-4, rounds: in
     n = max(len(grades), 1)
     # only the dimensions that occur: the others keep their weight of 0
     used = np.unique(np.concatenate([np.unique(s[0]) for s in shards])) if shards else np.empty(0, int)
-    shards = [(np.searchsorted(used, index), value, doc, own) for index, value, doc, own in shards]
+    shards = [_by_document(np.searchsorted(used, index), value, doc, own) for index, value, doc, own in shards]
     w = np.zeros(len(used))
     at_least = np.array([(grades >= k).mean() if len(grades) else 0.5 for k in range(1, n_grades)]).clip(1e-3, 1 - 1e-3)
     start = -np.log(at_least / (1 - at_least))
@@ -117,8 +125,10 @@ def fit_ordinal(shards: list[Shard], n_grades: int, l2: float = 1e-4, rounds: in
     for _ in range(rounds if len(grades) else 0):
         t = first + np.concatenate(([0.0], np.cumsum(np.exp(steps))))
         g_w, g_t = l2 * w / n, np.zeros(n_grades - 1)
-        for index, value, doc, own in shards:
-            score = np.bincount(doc, w[index] * value, len(own))
+        for index, value, has, begins, count, own in shards:
+            score = np.zeros(len(own))
+            if len(index):
+                score[has] = np.add.reduceat(w[index] * value, begins)
             tail = 1 / (1 + np.exp(-np.clip(score[:, None] - t, -60, 60)))
             rows = np.arange(len(own))
             upper = np.column_stack((np.ones(len(own)), tail))[rows, own]
@@ -128,7 +138,7 @@ def fit_ordinal(shards: list[Shard], n_grades: int, l2: float = 1e-4, rounds: in
             p = np.maximum(upper - lower, 1e-9) * n
             np.add.at(g_t, np.maximum(own - 1, 0), np.where(own > 0, up / p, 0))
             np.add.at(g_t, np.minimum(own, n_grades - 2), np.where(own < n_grades - 1, -low / p, 0))
-            g_w += np.bincount(index, (-(up - low) / p)[doc] * value, len(w))
+            g_w += np.bincount(index, np.repeat(-(up - low)[has] / p[has], count) * value, len(w))
         g_par = np.concatenate(([g_t.sum()], [g_t[k + 1 :].sum() * np.exp(steps[k]) for k in range(len(steps))]))
         seen_w += g_w**2
         seen_t += g_par**2
