@@ -256,7 +256,7 @@ def _ordered(rows: DataFrame) -> DataFrame:
     texts = [F.coalesce(F.col(c).cast("string"), F.lit(" ")).alias(c) for c in ("role", "text")]
     dealt = rows.select("conv_id", F.col("turn").cast("long").alias("turn"), *texts, "present").repartition(shuffle_partitions(rows.sparkSession), "conv_id")
     same = Window.partitionBy("conv_id", "present", "role", "text").orderBy(F.col("turn").asc_nulls_first())
-    return dealt.withColumn("_again", F.row_number().over(same) > 1).sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "role", "text")
+    return dealt.withColumn("_again", F.row_number().over(same) > 1).sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "role", "text", "_again")
 
 
 def _stream(batches: Iterator[pa.RecordBatch], each: Callable | None) -> Iterator[list | None]:
@@ -348,7 +348,8 @@ QUERY_SQL = (
     "hashed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, CAST(xor(list_reduce(list_transform(range(1, length(key) + 1), lambda j: CAST(ascii(key[j]) AS UBIGINT)),"
     " lambda c, b: list_reduce([xor(c, b), 1, 2, 3, 4, 5, 6, 7, 8], lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::UBIGINT) ELSE a >> 1 END), 4294967295::UBIGINT), 4294967295::UBIGINT) % 20 AS BIGINT) AS kind FROM named), "
     "left_over AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(0, CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM hashed WHERE kind <> 0), "
-    "placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS again, regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) AS tail FROM left_over), "
+    "met AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS again FROM left_over), "
+    "placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, again) AS k, regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) AS tail FROM met), "
     "judged AS (SELECT *, tail = '' AS blank, tail <> '' AND again AS duplicate, tail <> '' AND NOT again AND tail NOT IN ('.', '!', '?') AS truncated, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY k) AS before FROM placed), "
     "best(conv_id, k, s, b) AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT), 0, {'c': CAST(0 AS BIGINT), 'a': '', 'r': ''} FROM conversations UNION ALL (SELECT t.conv_id, j.k, m.t, min({'c': CAST(b.c + m.w + CASE WHEN j.truncated AND m.n IS NOT NULL THEN 5 ELSE 0 END AS BIGINT), 'a': b.a || m.e,"
     " 'r': concat_ws(chr(10), nullif(b.r, ''), nullif(m.o, ''), CASE WHEN m.n = ' ' THEN j.role ELSE m.n END || ':' || j.text)}) FROM best t JOIN judged j ON j.conv_id IS NOT DISTINCT FROM t.conv_id AND j.k = t.k + 1"
