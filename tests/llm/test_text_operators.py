@@ -341,6 +341,18 @@ def test_supersteps_pack_like_best_fit(spark, case, monkeypatch):
     assert len(spans) <= best_fit_decreasing(lengths, 100) * 1.03 + 1
 
 
+def test_a_given_table_takes_supersteps(spark, small, tmp_path):
+    """Few documents are dealt over all ranges too, and pack as well as in one sweep."""
+    before = spark.conf.get("spark.checkpoint.dir")
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+    try:
+        found = QUERIES["op9_best_fit_packing"](spark, small).collect()
+    finally:
+        spark.conf.set("spark.checkpoint.dir", before)
+    assert len(list(tmp_path.glob("pack-step-*"))) > 1
+    assert len({r.sequence_id for r in found}) <= best_fit_decreasing([r.length for r in found], 1024) * 1.01
+
+
 def test_packing_edges(spark, edge, edge_rows):
     found = pack_documents(edge, path("byte_bpe_50k.json")).collect()
     assert sum(r.piece == 0 for r in found) == len(edge_rows)

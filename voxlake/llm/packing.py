@@ -10,8 +10,9 @@ the next superstep begins.  Sequences are opened in the sweep of the first range
 nobody else has a gap for; then for documents of more than half the capacity, then, for the
 longest documents left, as many as all packings need at least, and where no gap can hold one.
 
-Ranges have about ``RANGE_ROWS`` rows, and equal sizes are parted by a hash, so a length that a
-third of all documents have is dealt over many ranges.  Only counts reach the driver.
+There are as many ranges as shuffle partitions, more where they would hold over ``RANGE_ROWS``
+rows, and equal sizes are parted by a hash, so a length that a third of all documents have is
+dealt over many ranges.  Only counts reach the driver.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from voxlake.functions.shared import shuffle_partitions
 from voxlake.llm.common import materialise
 from voxlake.llm.tokens import Memo, encode_apart, ids_of, offsets_of, tokenizer
 from voxlake.llm.wordhash import Texts, U, hash_words, text_slices
@@ -124,7 +126,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end
 
 
 GAP, DOC, PLACED, SHRUNK = 0, 1, 2, 3  # roles of rows
-RANGE_ROWS = 20_000  # of documents and gaps, at least, if there are so many
+RANGE_ROWS = 20_000  # of documents and gaps, about, at most
 INTERVALS = "part int, low long, high long, pair int, first long, step int"
 OPENED = "size long, first_rank long, take long, first_seq long, per long"
 
@@ -253,7 +255,7 @@ def best_fit_pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     while True:
         # a hash parts equal sizes; gaps come before documents of their size
         tie = F.xxhash64("seq", "at", "row")
-        parts = max(1, rows // RANGE_ROWS)
+        parts = max(shuffle_partitions(spark), rows // RANGE_ROWS)
         dealt = state.withColumn("_size", -F.col("size")).withColumn("_tie", tie).repartitionByRange(parts, "_size", "role", "_tie")
         swept = dealt.sortWithinPartitions("_size", "role", "_tie").select(*names).mapInArrow(_sweeps(to_arrow_schema(step_schema), capacity, n_open), step_schema)
         step = materialise(swept, "pack-step")
