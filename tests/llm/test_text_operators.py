@@ -346,7 +346,7 @@ def test_a_given_table_takes_supersteps(spark, small, tmp_path):
     before = spark.conf.get("spark.checkpoint.dir")
     spark.conf.set("spark.checkpoint.dir", str(tmp_path))
     try:
-        found = QUERIES["op9_best_fit_packing"](spark, small).collect()
+        found = queries.QUERIES["op9_best_fit_packing"](spark, small).collect()
     finally:
         spark.conf.set("spark.checkpoint.dir", before)
     assert len(list(tmp_path.glob("pack-step-*"))) > 1
