@@ -300,3 +300,39 @@ def test_replaced_chunks_equal_a_merge_of_all(spark, seed, monkeypatch):
             if not members & met:
                 assert after[number] == members
         assert seen[-1] < len(edges)
+
+
+def test_chunk_files_that_arrive(spark, tmp_path):
+    """Chunks come in any order; a batch that is run again after a crash counts nothing twice."""
+    import shutil
+
+    from voxlake.operators import histograms as H
+    from voxlake.sources.arriving import stream_chunks
+    from voxlake.streaming.histogram import read_histograms, stored_histograms
+
+    a = np.random.default_rng(3).integers(0, 60, (25, 6, 5)).astype(np.uint8)
+    parts = [a[:10], a[10:20], a[20:]]
+    folder = f"{tmp_path}/state"
+
+    def run():
+        stored_histograms(stream_chunks(spark, f"{tmp_path}/part", (6, 5), 10), folder, 1, 50, 5, (3, 2)).awaitTermination()
+        return {(r.axis, r.pos, r.bin): r.n for r in read_histograms(spark, folder).collect()}
+
+    def want(n):
+        rows = [(int(z), int(y), int(x), int(a[z, y, x])) for z, y, x in np.ndindex(*a[:n].shape)]
+        return {(r.axis, r.pos, r.bin): r.n for r in H.axis_histograms(spark.createDataFrame(rows, "z long, y long, x long, v int"), 1, 50, 5, (3, 2)).collect()}
+
+    assert run() == {}
+    parts[0].tofile(f"{tmp_path}/part0.uint8")
+    parts[2].tofile(f"{tmp_path}/part2.uint8")
+    assert run() == want(10)  # the third waits for the second
+    parts[1].tofile(f"{tmp_path}/part1.uint8")
+    assert run() == want(25)
+    commits = sorted((tmp_path / "state/progress/commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    for p in (commits[-1], commits[-1].with_name(f".{commits[-1].name}.crc")):
+        p.unlink(missing_ok=True)  # as if the job had died before it noted its last batch
+    assert run() == want(25)
+    assert run() == want(25)
+    shutil.copy(f"{tmp_path}/part2.uint8", f"{tmp_path}/part3.uint8")
+    with pytest.raises(Exception, match="does not hold 10 planes"):
+        stored_histograms(stream_chunks(spark, f"{tmp_path}/part", (6, 5), 10), f"{tmp_path}/other", 1, 50, 5, (3, 2)).awaitTermination()

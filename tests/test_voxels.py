@@ -126,6 +126,22 @@ def test_diffusion_forms_agree(spark, kernel, repetitions):
         assert np.abs(np.floor(got * 255) - np.floor(want * 255)).max() <= 1
 
 
+@pytest.mark.parametrize("repetitions", [0, 1, 3])
+def test_sparse_bricks_hold_the_same_values(spark, repetitions):
+    """Two sources far apart: bricks wake as values reach them, and no others are kept."""
+    shape, brick = Shape(24, 24, 24), Shape(4, 4, 4)
+    volume = spark.createDataFrame([(1, 1, 1, 1), (22, 20, 3, 5), (10, 10, 10, 0), (11, 11, 11, None), (24, 0, 0, 1)], "z long, y long, x long, v long")
+    kernel = GAUSS[len(GAUSS) // 2 - 1 : len(GAUSS) // 2 + 2]
+    every = D.diffuse_blocks(D.to_blocks(volume, shape, brick), shape, kernel, repetitions, brick)
+    sparse = D.diffuse_blocks(D.to_blocks(volume, shape, brick, sparse=True), shape, kernel, repetitions, brick, sparse=True)
+    held = {(r.bz, r.by, r.bx): bytes(r.data) for r in every.collect()}
+    active = {k: d for k, d in held.items() if np.frombuffer(d, np.float32).any()}
+    assert {(r.bz, r.by, r.bx): bytes(r.data) for r in sparse.collect()} == active
+    assert len(held) == 216 and 2 <= len(active) <= 2 * (1 + 2 * -(-repetitions // 4)) ** 3
+    none = D.to_blocks(volume.where("v = 0"), shape, brick, sparse=True)
+    assert D.diffuse_blocks(none, shape, kernel, 1, brick, sparse=True).count() == 0
+
+
 def test_scatter_matches_correlation(spark):
     shape = Shape(5, 4, 6)
     a = np.random.default_rng(1).random((5, 4, 6)) * (np.random.default_rng(2).random((5, 4, 6)) < 0.3)
@@ -256,6 +272,18 @@ def test_pgm(spark, tmp_path):
     assert lines == ["P2", "2 2", "255", "0 255", "127 63"]
 
 
+def test_relabelling_reports_what_it_saw(spark):
+    from voxlake.operators import components as C
+
+    rows = [(0, 0, 0, 0, 5), (0, 0, 0, 1, 9), (1, 1, 0, 0, 5), (1, 1, 0, 1, None), (1, 1, 0, 2, 0), (1, 1, 0, 3, -1)]
+    labelled = spark.createDataFrame(rows, "chunk long, z long, y long, x long, label long")
+    lut = spark.createDataFrame([(0, 5, 7), (1, 5, 50)], "chunk long, label long, new long")
+    out, seen = C.relabel_observed(labelled, lut, 9)
+    assert sorted(str(r.label) for r in out.collect()) == sorted(str(k) for k in (7, 9, 50, None, 0, -1))
+    assert seen == {"voxels": 6, "rejects": 3, "largest": 50}
+    assert C.relabel_observed(labelled.limit(0), lut, 9)[1] == {"voxels": 0, "rejects": 0, "largest": None}
+
+
 def test_stream_histogram(spark, tmp_path):
     from voxlake.streaming.histogram import stream_histogram
 

@@ -111,9 +111,10 @@ def diffuse_file(spark: SparkSession, path: str, kernel: list[float], out: str,
     """Diffuse a uint8 mask file (positive voxels are sources) into a uint8 file of grey levels.
 
     Bricks are read and written in the tasks; without repetitions the result is mask * 255.  With
-    a ``state`` folder a job that was stopped goes on behind its last whole repetition."""
-    blocks = read_bricks(spark, path, shape, brick, dtype_of(path))
-    write_grey_bricks(diffuse_blocks(blocks, shape, kernel, repetitions, brick, state), out, shape, brick)
+    a ``state`` folder a job that was stopped goes on behind its last whole repetition.  Only
+    bricks that hold or get values are kept between repetitions."""
+    blocks = read_bricks(spark, path, shape, brick, dtype_of(path), sparse=True)
+    write_grey_bricks(diffuse_blocks(blocks, shape, kernel, repetitions, brick, state, sparse=True), out, shape, brick)
     if state:
         Generations(spark, "diffusion", state).clear()
 

@@ -21,6 +21,7 @@ from voxlake.operators import diffusion as D
 from voxlake.operators import histograms as H
 from voxlake.operators import stats as S
 from voxlake.sources import images, store
+from voxlake.streaming.histogram import read_histograms, stored_histograms
 
 N, COARSE = 32, 8
 SHAPE, FIELD = Shape(N, N, N), Shape(COARSE, COARSE, COARSE)
@@ -158,6 +159,18 @@ def axis_hist_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.axis_histograms(vox(spark, sf_dir), LOW, HIGH, BINS, CENTER, MOST_RADIUS)
 
 
+@query(ORACLE_SQL["axis_hist_all"])
+def stream_hist_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stream that ends halfway, and from another that goes on with what came since."""
+    folder = new_folder(spark, "vox-stream")
+    volume = materialise(vox(spark, sf_dir), "vox")
+    for half in ("z < 16", "z >= 16"):
+        volume.where(half).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(volume.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/in")
+        stored_histograms(stream, folder, LOW, HIGH, BINS, CENTER, MOST_RADIUS).awaitTermination()
+    return read_histograms(spark, folder)
+
+
 @query(ORACLE_SQL["axis_hist_y"])
 def hist_accumulate(spark: SparkSession, sf_dir: str) -> DataFrame:
     volume = vox(spark, sf_dir)
@@ -232,6 +245,8 @@ def _conv_query(axis: str) -> None:
 for _axis in ("z", "y", "x"):
     _conv_query(_axis)
 TWICE_SQL = f"WITH {STATE_SQL}, {_repetition_sql('u0', 'once_')}, {_repetition_sql('once_', 'twice_')}"
+CORNER, SMALL = "z < 9 AND y < 9 AND x < 9", 6  # sources of one corner, bricks of 6 voxels a side
+CORNER_SQL = f"WITH {STATE_SQL}, corner AS (SELECT z, y, x, CASE WHEN {CORNER} THEN u ELSE 0.0e0 END AS u FROM u0), {_repetition_sql('corner', 'once_')}, {_repetition_sql('once_', 'twice_')}"
 
 
 @query(f"WITH {STATE_SQL}, {_conv_sql('u0', 'x', 'c')} SELECT * FROM c WHERE u <> 0")
@@ -268,6 +283,16 @@ def diffuse_bricks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.from_blocks(D.diffuse_blocks(blocks, SHAPE, KERNEL, 2, BRICK), SHAPE, BRICK)
 
 
+@query(f"{CORNER_SQL} SELECT z // {SMALL} AS bz, y // {SMALL} AS \"by\", x // {SMALL} AS bx, count(*) FILTER (WHERE u <> 0) AS lit, sum(u) AS total FROM twice_ GROUP BY 1, 2, 3 HAVING count(*) FILTER (WHERE u <> 0) > 0")
+def diffuse_active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bright voxels of one corner only: the bricks that values have reached, and what they hold."""
+    small = Shape(SMALL, SMALL, SMALL)
+    blocks = D.to_blocks(bright(spark, sf_dir).where(CORNER), SHAPE, small, sparse=True)
+    found = D.from_blocks(D.diffuse_blocks(blocks, SHAPE, KERNEL, 2, small, sparse=True), SHAPE, small)
+    place = [F.expr(f"{a} div {SMALL}").alias(f"b{a}") for a in ("z", "y", "x")]
+    return found.groupBy(*place).agg(F.count_if(F.col("u") != 0).alias("lit"), F.sum("u").alias("total"))
+
+
 @query(f"{TWICE_SQL} SELECT * FROM twice_")
 def diffuse_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A job that stops after one repetition, and one that goes on from its state."""
@@ -449,6 +474,15 @@ def apply_renaming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.apply_renaming(labels, lut)
 
 
+@query(f"{CHUNK_SQL}, named AS (SELECT CASE WHEN label <= 100 THEN label + 1000 * chunk ELSE label END AS label FROM lab) SELECT count(*) AS voxels, count(*) FILTER (WHERE label > 1050) AS rejects, max(label) AS largest FROM named")
+def relabel_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a relabelling saw while it was written."""
+    labels = _chunked(spark, sf_dir)
+    lut = labels.where("label <= 100").select("chunk", "label").distinct().withColumn("new", F.col("label") + 1000 * F.col("chunk"))
+    _, seen = C.relabel_observed(labels, lut, 1050)
+    return spark.createDataFrame([tuple(seen[k] for k in ("voxels", "rejects", "largest"))], "voxels long, rejects long, largest long")
+
+
 @query(f"{CHUNK_SQL} SELECT DISTINCT chunk, label, CASE WHEN (label + 1) % 3 = 0 THEN (label + 1) * 10 ELSE label + 1 END AS new FROM lab")
 def lut_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = _chunked(spark, sf_dir).select("chunk", "label").distinct()

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from voxlake.functions.shared import materialise
@@ -220,6 +220,18 @@ def apply_renaming(labelled: DataFrame, lut: DataFrame) -> DataFrame:
     return renamed.select(*cols)
 
 
+def relabel_observed(labelled: DataFrame, lut: DataFrame, most: int) -> tuple[DataFrame, dict]:
+    """The labels renamed by ``lut`` and written, with what the same job saw: ``voxels``,
+    ``rejects`` (null, or not from 0 to ``most``) and ``largest`` (null without voxels).
+
+    The figures are observed where rows are written, so nothing is scanned a second time."""
+    seen = Observation("relabelled")
+    inside = F.coalesce(F.col("label").between(0, most), F.lit(False))
+    renamed = apply_renaming(labelled, lut).observe(seen, F.count(F.lit(1)).alias("voxels"), F.count_if(~inside).alias("rejects"), F.max("label").alias("largest"))
+    out = materialise(renamed, "relabelled")
+    return out, {"voxels": 0, "rejects": 0, "largest": None} | dict(seen.get)
+
+
 def compose_renaming(first: DataFrame, then: DataFrame) -> DataFrame:
     """(chunk, label, new) of one renaming after another."""
     step = then.select("chunk", F.col("label").alias("new"), F.col("new").alias("_then"))

@@ -78,8 +78,10 @@ def all_bricks(spark: SparkSession, brick: Shape, shape: Shape) -> DataFrame:
     return spark.range(n.size).select(*(c.alias(k) for c, k in zip(coordinates(F.col("id"), n), KEY, strict=True)))
 
 
-def to_blocks(volume: DataFrame, shape: Shape, brick: Shape | int) -> DataFrame:
-    """Bricks from (z, y, x, v): 1.0 where v > 0.  Voxels outside the shape are left out."""
+def to_blocks(volume: DataFrame, shape: Shape, brick: Shape | int, sparse: bool = False) -> DataFrame:
+    """Bricks from (z, y, x, v): 1.0 where v > 0.  Voxels outside the shape are left out.
+
+    ``sparse``: only bricks with such voxels exist."""
     brick = as_brick(brick, shape)
 
     def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -97,6 +99,8 @@ def to_blocks(volume: DataFrame, shape: Shape, brick: Shape | int) -> DataFrame:
             yield part
 
     placed = volume.where(in_box(Shape(0, 0, 0), shape)).select(*AXES, "v", *(F.floor(F.col(a) / F.lit(brick.of(a))).cast("long").alias(k) for a, k in zip(AXES, KEY, strict=True)))
+    if sparse:
+        return placed.where("v > 0").groupBy(*KEY).applyInPandas(build, BRICKS)
     found = placed.groupBy(*KEY).applyInPandas(build, BRICKS)
     return all_bricks(volume.sparkSession, brick, shape).join(found, KEY, "left").mapInPandas(filled, BRICKS)
 
@@ -104,9 +108,11 @@ def to_blocks(volume: DataFrame, shape: Shape, brick: Shape | int) -> DataFrame:
 HALO = "bz long, by long, bx long, z0 long, y0 long, x0 long, nz long, ny long, nx long, data binary"
 
 
-def exchange_halo(blocks: DataFrame, shape: Shape, radius: int, brick: Shape | int) -> DataFrame:
+def exchange_halo(blocks: DataFrame, shape: Shape, radius: int, brick: Shape | int, sparse: bool = False) -> DataFrame:
     """(bz, by, bx, z0, y0, x0, nz, ny, nx, data) by target brick: each brick with the boxes of
-    others that lie within ``radius`` of it; only those boxes travel."""
+    others that lie within ``radius`` of it; only those boxes travel.
+
+    ``sparse``: boxes of nothing but 0 stay at home, so a target appears if a value reaches it."""
     brick = as_brick(brick, shape)
     many = shape.bricks(brick)
 
@@ -122,7 +128,7 @@ def exchange_halo(blocks: DataFrame, shape: Shape, radius: int, brick: Shape | i
                     near.append([(t, max(a, t * side - radius), min(b, min((t + 1) * side, shape.of(name)) + radius)) for t in range(first, last + 1)])
                 for to in product(*near):
                     cut = block[tuple(slice(lo - a, hi - a) for (_, lo, hi), (a, _) in zip(to, box, strict=True))]
-                    if cut.size:
+                    if cut.any() if sparse else cut.size:
                         yield pd.DataFrame([[*(t for t, _, _ in to), *(lo for _, lo, _ in to), *cut.shape, cut.tobytes()]], columns=[*KEY, "z0", "y0", "x0", "nz", "ny", "nx", "data"])
 
     return blocks.mapInPandas(parts_of, HALO)
@@ -142,12 +148,16 @@ def correlate(a: np.ndarray, kernel: np.ndarray, axis: int) -> np.ndarray:
     return out
 
 
-def diffuse_blocks(blocks: DataFrame, shape: Shape, kernel: list[float], repetitions: int, brick: Shape | int, state: str | None = None) -> DataFrame:
+def diffuse_blocks(blocks: DataFrame, shape: Shape, kernel: list[float], repetitions: int, brick: Shape | int, state: str | None = None, sparse: bool = False) -> DataFrame:
     """Diffusion of bricks: one shuffle of bricks and halos a repetition, all axes in one task.
 
     A task holds a brick with the kernel's radius around it, whatever the volume's size.  Each
     repetition is a generation, of which two are on disk at most; those of a ``state`` folder
-    outlive the job, and one that starts again there does only the repetitions that are left."""
+    outlive the job, and one that starts again there does only the repetitions that are left.
+
+    ``sparse``: a brick that isn't there is all 0.  Values that reach it wake it, and one that
+    becomes all 0 goes, so rows, shuffle and disk follow the active bricks and not the volume;
+    the values are the same."""
     weights = np.asarray(kernel, np.float32)
     half, brick = len(kernel) // 2, as_brick(brick, shape)
 
@@ -165,6 +175,8 @@ def diffuse_blocks(blocks: DataFrame, shape: Shape, kernel: list[float], repetit
             keep[axis] = inner[axis]
             state = np.ascontiguousarray(correlate(state, weights, axis)[tuple(keep)])
         state[mask] = 1
+        if sparse and not state.any():
+            return pd.DataFrame(columns=[*KEY, "data"])
         return pd.DataFrame({**{k: [int(v)] for k, v in zip(KEY, key, strict=True)}, "data": [state.tobytes()]})
 
     states = Generations(blocks.sparkSession, "diffusion", state)
@@ -172,12 +184,12 @@ def diffuse_blocks(blocks: DataFrame, shape: Shape, kernel: list[float], repetit
     if done > repetitions:
         raise ValueError(f"the state is {done} repetitions old, more than {repetitions}")
     for k in range(done, repetitions):
-        now = states.write(k + 1, exchange_halo(now, shape, half, brick).groupBy(*KEY).applyInPandas(step, BRICKS))
+        now = states.write(k + 1, exchange_halo(now, shape, half, brick, sparse).groupBy(*KEY).applyInPandas(step, BRICKS))
     return now
 
 
 def from_blocks(blocks: DataFrame, shape: Shape, brick: Shape | int) -> DataFrame:
-    """(z, y, x, u) of bricks."""
+    """(z, y, x, u) of the bricks there are."""
     brick = as_brick(brick, shape)
 
     def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

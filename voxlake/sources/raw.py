@@ -248,8 +248,10 @@ def _new_file(at: str, size: int) -> str:
     return part
 
 
-def read_bricks(spark: SparkSession, path: str, shape: Shape, brick: Shape, dtype: str = "uint8") -> DataFrame:
-    """The file as bricks of 1.0 where positive, else 0.0: a task maps the file and copies its boxes."""
+def read_bricks(spark: SparkSession, path: str, shape: Shape, brick: Shape, dtype: str = "uint8", sparse: bool = False) -> DataFrame:
+    """The file as bricks of 1.0 where positive, else 0.0: a task maps the file and copies its boxes.
+
+    ``sparse``: bricks without a positive voxel are left out."""
     kind, at = DTYPES[dtype][0], _local(path)
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -261,7 +263,9 @@ def read_bricks(spark: SparkSession, path: str, shape: Shape, brick: Shape, dtyp
         for part in parts:
             for row in part.itertuples(index=False):
                 box = tuple(slice(a, b) for a, b in box_of(row, brick, shape))
-                yield pd.DataFrame([[*row, (volume[box] > 0).astype(np.float32).tobytes()]], columns=[*KEY, "data"])
+                positive = volume[box] > 0
+                if not sparse or positive.any():
+                    yield pd.DataFrame([[*row, positive.astype(np.float32).tobytes()]], columns=[*KEY, "data"])
 
     return all_bricks(spark, brick, shape).mapInPandas(read, BRICKS)
 
@@ -307,7 +311,7 @@ def _fill(blocks: DataFrame, path: str, size: int, put, schema: str) -> None:  #
 
 def write_grey_bricks(blocks: DataFrame, path: str, shape: Shape, brick: Shape) -> None:
     """Bricks as grey levels (truncated ``u * 255``, clipped) into one uint8 file; each task writes
-    its boxes, and the file appears under its name when it is whole."""
+    its boxes, and the file appears under its name when it is whole.  Missing bricks are 0."""
 
     def put(file: int, batch: pa.RecordBatch) -> None:
         for row in batch.to_pylist():
