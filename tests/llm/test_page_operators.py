@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from voxlake.llm import ann, html_extract, queries, url_filter, warc
 from voxlake.llm.html_extract import main_text
-from voxlake.llm.url_filter import RULES, filter_urls, segment, word_counts
+from voxlake.llm.url_filter import RULES, filter_urls, segment, word_counts, words_of_page
 from voxlake.llm.warc import LoserTree, archive_pages, new_folder, parse_warc, url_key, warc_records, write_warc
 
 
@@ -195,6 +195,22 @@ def test_ranges_grow_with_the_captures(spark, monkeypatch):
     assert keys == sorted(keys)
 
 
+def test_a_word_of_any_length_splits_a_run(spark):
+    long = "pneumonoultramicroscopicsilicovolcanoconiosis"
+    pages = spark.createDataFrame([(1, f"http://{long}garden.example/", f"<p>{long} {long} garden</p>"), (2, "http://" + "ab" * 3000 + ".example/", "x" * 5000)], "page_id long, url string, html string")
+    counts = word_counts(pages, longest=None)
+    assert {r.word: r.n for r in counts.collect()} == {long: 2, "garden": 1, "x" * 5000: 1}
+    found = {r.page_id: r.segments for r in filter_urls(pages, counts).collect()}
+    assert found[1] == [long, "garden"]
+    assert "".join(found[2]) == "ab" * 3000
+
+
+def test_words_of_broken_markup_take_linear_time():
+    started = time.perf_counter()
+    assert words_of_page("a<b>c" + "<" * 400_000 + "d") == ["a", "c", "d"]
+    assert time.perf_counter() - started < 5
+
+
 def test_url_keys():
     assert url_key("http://www.Example.org/A?b=C#d") == "org,example,www)/a?b=c"
     assert url_key("http://a.b") == "b,a)/" and url_key(None) == "" and url_key("http://a.b?x") == "b,a)?x"

@@ -65,7 +65,7 @@ def op3_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return filter_urls(pages, word_counts(pages))
+    return filter_urls(pages, word_counts(pages, longest=None))
 
 
 def op4_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,16 +2,17 @@
 
 Host names run words together.  A unigram Viterbi search splits each run of letters in a host or
 path at the most probable words; word counts come from the text of all pages and from the seed
-words.  No dictionary is shipped or cut: the distinct runs' substrings meet the full table of
-counts in a join, and each run is split by the words that it holds.
+words.  No dictionary is shipped or cut: the distinct runs' substrings, of every length that a
+counted word has, meet the full table of counts in a join, and each run is split by the words that
+it holds.
 
 Multinomial naive Bayes over the words of host and path then gives the verdict for URLs that no
 rule fits.  Its prior knowledge is a fixed list of seed names per class; what it learns comes from
 all URLs that a rule does judge: a word counts as far as its odds between blocked and allowed ones
 are surely, by ``SURE`` standard errors, off 0.  Words that the rules name say nothing.
 
-Runs and words that a thousandth of all rows or more hold, a thousand at most, are joined by
-broadcast; so no task gets the rows of a hot one.
+Runs, words and substrings that a thousandth of all rows or more hold, a thousand at most, are
+joined by broadcast; so no task gets the rows of a hot one.
 """
 
 from __future__ import annotations
@@ -63,7 +64,8 @@ farm; organic farm; farm shop; sheep farm; link; link list; click here; banner;
 sussex; essex; middlesex; wessex; sexton; better; alphabet; diabetes; tibet; elizabeth; between; bethlehem; adsorption; roads; railroads; loads; uploads; heads; threads; beads; leads; crackers; nutcracker; spills; caterpillars; cockpit; grapes; analysis; classic; assets
 """
 COMMON = {"www", "com", "net", "org", "http", "https", "html", "htm", "php", "index"}  # fixed values: tokens that say nothing
-LONGEST_WORD = 24
+LONGEST_WORD = 24  # that counts unless told otherwise; the registered query sets no bound
+PART_LETTERS = 4_000_000  # of substrings, that leave a task together
 SEED_COUNT = 50  # each seed word counts as if the pages held it so many times
 PRIOR_BLOCK, SMOOTHING = 0.3, 0.05  # one bad word, seen once, is enough; one that both lists have is not
 SURE = 3.0  # standard errors that are taken off what the rules' verdicts teach about a word
@@ -95,12 +97,14 @@ _TAG, _LETTERS = re.compile(r"<[^>]*>"), re.compile(r"[^\W\d_]+")
 
 def words_of_page(html: str) -> list[str]:
     """Runs of letters of the page's text, in lower case; scripts, styles and comments are no text."""
-    return _LETTERS.findall(unescape(_TAG.sub(" ", _UNSEEN.sub(" ", html))).lower())
+    seen = _UNSEEN.sub(" ", html)
+    tags = seen.rfind(">") + 1  # no tag ends behind it: what follows is text, and isn't searched in vain
+    return _LETTERS.findall(unescape(_TAG.sub(" ", seen[:tags]) + seen[tags:]).lower())
 
 
-def word_counts(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """(word, n): how often the pages hold each word of 2 to ``LONGEST_WORD`` letters; longer ones
-    could not be found again.  Counts are combined in the tasks first."""
+def word_counts(pages: DataFrame, html_col: str = "html", longest: int | None = LONGEST_WORD) -> DataFrame:
+    """(word, n): how often the pages hold each word of 2 letters or more, up to ``longest`` (None:
+    of any length).  Counts are combined in the tasks first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter[str] = Counter()
@@ -111,7 +115,7 @@ def word_counts(pages: DataFrame, html_col: str = "html") -> DataFrame:
         for batch in batches:
             for text in batch.column(0):
                 if (t := text.as_py()) is not None:
-                    found.update(w for w in words_of_page(t) if 2 <= len(w) <= LONGEST_WORD)
+                    found.update(w for w in words_of_page(t) if len(w) > 1 and (longest is None or len(w) <= longest))
                 if len(found) > 200_000:  # counts so far leave the task
                     yield rows()
                     found.clear()
@@ -160,16 +164,28 @@ def seed_counts(block: str, allow: str) -> list[Counter]:
 def segmented(runs: DataFrame, counts: DataFrame) -> DataFrame:
     """(key, segments) for ``runs`` (key, run), distinct; ``counts`` is (word, n)."""
     mass = counts.agg(F.sum("n")).first()[0] or 1
+    most = runs.agg(F.max(F.length("run"))).first()[0] or 0
+    # lengths that words have, no longer than the longest run: the driver holds one number for each
+    lengths = sorted(r[0] for r in counts.select(F.length("word").alias("k")).where(F.col("k").between(2, most)).distinct().collect())
 
     def substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for key, run in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for a in range(0, len(run), 20_000):  # a very long run in parts
-                    found = sorted({run[k:e] for k in range(a, min(a + 20_000, len(run))) for e in range(k + 2, min(k + LONGEST_WORD, len(run)) + 1)})
-                    if found:
-                        yield pa.RecordBatch.from_arrays([pa.array([key] * len(found)), pa.array(found)], ["key", "word"])
-
-    held = runs.select("key", "run").mapInArrow(substrings, "key string, word string").join(counts, "word")
+                found: set[str] = set()
+                letters = 0
+                for k in range(len(run)):
+                    for n in lengths:
+                        if k + n > len(run):
+                            break
+                        found.add(run[k : k + n])
+                        letters += n
+                    if found and (letters > PART_LETTERS or k + 1 == len(run)):  # a very long run in parts
+                        yield pa.RecordBatch.from_arrays([pa.array([key] * len(found)), pa.array(sorted(found))], ["key", "word"])
+                        found, letters = set(), 0
+
+    found = materialise(runs.select("key", "run").mapInArrow(substrings, "key string, word string"), "url-substrings")
+    inside = materialise(counts.join(found.groupBy("word").agg(F.count(F.lit(1)).alias("hits")), "word"), "url-words")
+    held = join_counted(found, inside, "word", "hits", inside)
     words = held.groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("word", F.log(F.col("n") / F.lit(float(mass))).alias("p")))).alias("words"))
     unknown = math.log(1.0 / mass) - 2.0
 
