@@ -16,6 +16,7 @@ from voxlake.jobs import files
 from voxlake.jobs.fixtures import synthetic_mask
 from voxlake.operators import components as C
 from voxlake.operators import diffusion as D
+from voxlake.operators import graph
 from voxlake.operators import histograms as H
 from voxlake.operators.graph import connected_components
 from voxlake.sources import images
@@ -93,6 +94,31 @@ def test_graph_components(spark):
     assert connected_components(chain.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [5, 40, 1_000_000])
+def test_graph_components_by_slices_and_by_stars(spark, most, monkeypatch):
+    """Few edges a slice leave work to the star rounds; a chain, a hub, rings and repeated edges."""
+    rng = np.random.default_rng(most)
+    chain = [(k, k + 1) for k in range(100)]
+    hub = [(900, k) for k in range(200, 290)] + [(900, 900)]
+    rings = [(300 + 10 * r + k, 300 + 10 * r + (k + 1) % 10) for r in range(5) for k in range(10)]
+    strays = [tuple(int(x) for x in rng.integers(1000, 1150, 2)) for _ in range(70)]
+    edges = chain + hub + rings + strays + strays[:20] + [(2**62, -(2**62)), (5, None)]
+    edges = [edges[k] for k in rng.permutation(len(edges))]
+    up: dict[int, int] = {}
+    for _ in range(200):  # by brute force: least labels spread until nothing changes
+        was = dict(up)
+        for a, b in edges:
+            if b is not None:
+                up[a] = up[b] = min(up.get(a, a), up.get(b, b))
+        if up == was:
+            break
+    rounds = []
+    monkeypatch.setattr(graph, "_star_rounds", lambda now, n, run=graph._star_rounds: rounds.append(now.count()) or run(now, n))
+    found = connected_components(spark.createDataFrame(edges, "a long, b long").repartition(7), most=most).collect()
+    assert len(found) == len(up) and {r.id: r.root for r in found} == up
+    assert bool(rounds) == (most < 1000)
+
+
 def diffuse_numpy(mask: np.ndarray, kernel: list[float], repetitions: int) -> np.ndarray:
     u = (mask > 0).astype(float)
     half = len(kernel) // 2
