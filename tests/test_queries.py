@@ -32,6 +32,17 @@ def test_query_equals_sql(spark, small, duck, name):
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows([d[0] for d in want.description], want.fetchall())
 
 
+def test_no_bright_voxel_counts_as_zero(spark, tmp_path):
+    """All voxels alike, as on large tables: none is above one and a half times the mean."""
+    lines = spark.range(64).selectExpr("id % 2 as l_suppkey", "id % 4 as l_partkey", "id % 8 as l_orderkey", "1.0D as l_quantity")
+    lines.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = con.execute(voxel.ORACLE_SQL["components_count"]).fetchall()
+    assert want == [(0, 0)]
+    assert [tuple(r) for r in voxel.QUERIES["components_count"](spark, str(tmp_path)).collect()] == want
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -449,7 +449,7 @@ def given_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{LABEL_SQL} SELECT count(DISTINCT label) AS components, count(*) AS voxels FROM lab")
 def components_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = C.label_sizes(C.components(bright(spark, sf_dir), PLANES))
-    return sizes.agg(F.count(F.lit(1)).alias("components"), F.sum("size").cast("long").alias("voxels"))
+    return sizes.agg(F.count(F.lit(1)).alias("components"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("voxels"))  # no bright voxel: 0, not null
 
 
 @query(f"{LABEL_SQL}, {NAMES_SQL} SELECT label, {ZYX_SQL}, size FROM names")
