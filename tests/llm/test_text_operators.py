@@ -350,6 +350,19 @@ def test_a_given_table_takes_supersteps(spark, small, monkeypatch):
     assert len({r.sequence_id for r in found}) <= best_fit_decreasing([r.length for r in found], 1024) * 1.01
 
 
+def test_supersteps_follow_what_is_left(spark, monkeypatch):
+    """Many short documents to a sequence take few supersteps: ranges get fewer with the rows left,
+    and gaps too small for all documents left are not dealt again."""
+    written = []
+    monkeypatch.setattr(packing, "RANGE_ROWS", 60)
+    monkeypatch.setattr(packing, "materialise", lambda df, name: written.append(name) or materialise(df, name))
+    lengths = np.minimum(100, np.random.default_rng(2).geometric(1 / 8, 400)).tolist()
+    found = best_fit_pack(spark.createDataFrame([(k, 0, n) for k, n in enumerate(lengths)], "doc_id long, piece int, length long"), 100).collect()
+    assert sorted(r.length for r in found) == sorted(lengths)
+    assert len({r.sequence_id for r in found}) <= best_fit_decreasing(lengths, 100) * 1.03 + 1
+    assert written.count("pack-step") <= 7  # 15 with as many ranges to the end
+
+
 def test_packing_edges(spark, edge, edge_rows):
     found = pack_documents(edge, path("byte_bpe_50k.json")).collect()
     assert sum(r.piece == 0 for r in found) == len(edge_rows)

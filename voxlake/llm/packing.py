@@ -10,9 +10,11 @@ the next superstep begins.  Sequences are opened in the sweep of the first range
 nobody else has a gap for; then for documents of more than half the capacity, then, for the
 longest documents left, as many as all packings need at least, and where no gap can hold one.
 
-There are as many ranges as shuffle partitions, more where they would hold over ``RANGE_ROWS``
-rows, and equal sizes are parted by a hash, so a length that a third of all documents have is
-dealt over many ranges.  Only counts reach the driver.
+There are as many ranges as shuffle partitions at first, more where they would hold over
+``RANGE_ROWS`` rows, then fewer in proportion to what is left, so that a range stays as large and
+its sweep goes through as many lengths; a gap too small for all documents left is not dealt again.
+Equal sizes are parted by a hash, so a length that a third of all documents have is dealt over
+many ranges.  Only counts reach the driver.
 """
 
 from __future__ import annotations
@@ -244,6 +246,8 @@ def best_fit_pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     Repeated rows are pieces each.  An empty table gives an empty result."""
     spark = pieces.sparkSession
     rows = pieces.count()
+    parts = max(shuffle_partitions(spark), rows // RANGE_ROWS)
+    a_range = max(1, -(-rows // parts))
     cols = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     zero = F.lit(0).cast("long")
     row = F.struct(*cols)
@@ -255,7 +259,6 @@ def best_fit_pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     while True:
         # a hash parts equal sizes; gaps come before documents of their size
         tie = F.xxhash64("seq", "at", "row")
-        parts = max(shuffle_partitions(spark), rows // RANGE_ROWS)
         dealt = state.withColumn("_size", -F.col("size")).withColumn("_tie", tie).repartitionByRange(parts, "_size", "role", "_tie")
         swept = dealt.sortWithinPartitions("_size", "role", "_tie").select(*names).mapInArrow(_sweeps(to_arrow_schema(step_schema), capacity, n_open), step_schema)
         step = materialise(swept, "pack-step")
@@ -269,7 +272,6 @@ def best_fit_pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         for r in counted:
             if r["role"] == DOC:
                 lengths.setdefault(r["part"], {})[r["kind"]] = r["n"]
-        rows = sum(r["n"] for r in counted)
         n_gaps = {r["part"]: r["n"] for r in counted if r["role"] == GAP}
         met = meet([(p, sum(c.values())) for p, c in lengths.items()], list(n_gaps.items()))
         free = sum(r["total"] for r in counted if r["role"] != DOC)
@@ -324,7 +326,13 @@ def best_fit_pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         resolved = materialise(across.unionByName(new).where("size > 0"), "pack-resolved")
         placed.append(resolved.where(F.col("role") == PLACED))
         gaps = idle.unionByName(step.where(F.col("role") == SHRUNK).select(*names)).unionByName(resolved.where(F.col("role") == SHRUNK).select(*names))
-        state = gaps.withColumn("role", F.lit(GAP)).unionByName(resolved.where(F.col("role") == DOC).select(*names))
+        for k, _, take, _, _ in opened:
+            counts[k] -= take
+        least = min((k for k, n in counts.items() if n), default=None)
+        if least is None:
+            break
+        state = gaps.where(F.col("size") >= least).withColumn("role", F.lit(GAP)).unionByName(resolved.where(F.col("role") == DOC).select(*names))
+        parts = max(1, -(-state.count() // a_range))
     out = placed[0].select("seq", "at", "row")
     for p in placed[1:]:
         out = out.unionByName(p.select("seq", "at", "row"))
